@@ -4,9 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import hyperminhash
+from . import bpe, hyperminhash, langid, licenses, secrets
+
+
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = secrets.find_secrets(docs)
+    base = F.filter("spans", lambda x: x["kind"].isin(*secrets.BASE_KINDS))
+
+    def n(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(n, secrets.BASE_KINDS), F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
 
 
 def op3_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +27,34 @@ def op3_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(docs, "doc_id", "text", shingle=3, percent=85)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    learned = langid.profiles(docs.where(remainder != 0), "text", "lang")
+    return langid.identify(docs.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "text"), learned)
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    places = F.size("places")
+    return licenses.find_licenses(docs).select(
+        "doc_id",
+        "n_words",
+        places.cast("long").alias("n_base"),
+        F.when(places > 0, F.element_at("places", 1)).alias("first_word"),
+        F.when(places > 0, F.element_at("places", -1)).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()]
     return {f.__name__: f for f in found}
