@@ -8,8 +8,8 @@ is confirmed on the full sets.
 
 No bucket emits all its pairs. Equal sets are folded first. Then every member of a band meets the band's smallest member
 only; components of the confirmed links follow. Members of one band that are still in different components then meet each
-other inside tasks, in blocks, and only pairs whose estimate can reach the threshold come out. Two documents that share a
-band are therefore either compared or already connected.
+other inside tasks, in blocks, and only links that connect components come out. Two documents that share a band are
+therefore either compared or already connected.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ MANTISSA_BITS = 10
 #: Chance of missing a band at the threshold; sets the registers of a band.
 MISS = 1e-6
 #: Standard deviations below the threshold at which an estimate rules a pair out.
-MARGIN = 6.0
+MARGIN = 5.0
 #: Members of a band compared in one block.
 BLOCK = 512
 #: Bytes of text hashed at once.
@@ -215,11 +215,17 @@ def _promising(pairs: DataFrame, reps: DataFrame, t: float) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a binary, b binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold."""
-    wanted = land(
-        pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(reps.select("sig", "_row"), "sig").select("_row", F.col("sig").alias("_sig")), "wanted"
-    )
+def _reach(a: bytes, b: bytes, percent: int) -> bool:
+    """Whether two sets of sorted hashes reach the threshold."""
+    both = np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
+def _full_sets(wanted: DataFrame, docs: DataFrame, reps: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``(sig, hashes)``, the whole sets, read again from the texts of the wanted ``sig`` only."""
+    rows = land(wanted.distinct().join(reps.select("sig", "_row"), "sig").select("_row", F.col("sig").alias("_sig")), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,17 +235,16 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text: str, sh
                 same = pa.compute.equal(own, batch.column("_sig").slice(a, b - a))  # other texts may repeat the id
                 yield pa.RecordBatch.from_arrays([own, _pack(hashes, bounds)], ["sig", "hashes"]).filter(same)
 
-    full = land(docs.select("_row", text).join(wanted, "_row").select("_sig", text).mapInArrow(sets, "sig binary, hashes binary").dropDuplicates(["sig"]), "sets")
+    found = docs.select("_row", text).join(rows, "_row").select("_sig", text).mapInArrow(sets, "sig binary, hashes binary")
+    return land(found.dropDuplicates(["sig"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            ok = []
-            for a, b in zip(x.column("h_a"), x.column("h_b"), strict=True):
-                a, b = (np.frombuffer(y.as_buffer(), np.uint64) for y in (a, b))
-                both = np.concatenate([a, b])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= percent * (len(both) - common))
+            ok = [_reach(a.as_buffer(), b.as_buffer(), percent) for a, b in zip(x.column("h_a"), x.column("h_b"), strict=True)]
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     for side in ("a", "b"):
@@ -247,29 +252,42 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text: str, sh
     return pairs.select("a", "b", "h_a", "h_b").mapInArrow(run, "a binary, b binary")
 
 
-def _inside_bands(members: DataFrame, t: float) -> DataFrame:
-    """Promising pairs of different components within a band; a band of many members is compared in pairs of blocks."""
-    sizes = land(members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi"), "open")
+def _inside_bands(members: DataFrame, percent: int, width: int) -> DataFrame:
+    """Confirmed links between different components within a band.
+
+    A band of many members is compared in pairs of blocks. A pair is compared in the first band it shares, on the full
+    sets if the estimate allows it, and a block gives at most the links that connect its components.
+    """
+    sizes = land(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "open")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = members.join(sizes.select("band", "n"), "band").withColumn("own", F.pmod(F.xxhash64("sig"), blocks))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    placed = placed.withColumn("other", other).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "component", "n_shingles", "registers")
+    placed = members.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("sig"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("band", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "component", "n_shingles", "registers", "hashes")
     placed = placed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    used = BUCKETS // width * width
 
     def compare(group: list[dict]) -> Iterator[pa.RecordBatch]:
-        left = [x for x in group if x["own"] == group[0]["i"]]
-        right = [x for x in group if x["own"] == group[0]["j"]]
+        i, j, k = (group[0][x] for x in "ijk")
+        left, right = [x for x in group if x["own"] == i], [x for x in group if x["own"] == j]
         regs = np.frombuffer(b"".join(x["registers"] for x in right), np.uint16).reshape(-1, BUCKETS)
-        size, comp = np.array([x["n_shingles"] for x in right]), np.array([x["component"] for x in right], object)
-        for k, x in enumerate(left):
-            later = k + 1 if group[0]["i"] == group[0]["j"] else 0
-            to = later + np.flatnonzero(comp[later:] != x["component"])
-            if len(to):
-                own = np.frombuffer(x["registers"], np.uint16)[None]
-                ok = to[_may_reach(own, regs[to], np.full(len(to), x["n_shingles"]), size[to], t)]
-                if len(ok):
-                    y = [right[q]["sig"] for q in ok]
-                    yield pa.RecordBatch.from_arrays([pa.array([min(x["sig"], z) for z in y], pa.binary()), pa.array([max(x["sig"], z) for z in y], pa.binary())], ["a", "b"])
+        size = np.array([x["n_shingles"] for x in right])
+        root = {x["component"]: x["component"] for x in group}
+
+        def find(c: bytes) -> bytes:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for at, x in enumerate(left):
+            start = at + 1 if i == j else 0
+            own = np.frombuffer(x["registers"], np.uint16)[None]
+            to = start + np.flatnonzero(_may_reach(own, regs[start:], np.full(len(right) - start, x["n_shingles"]), size[start:], percent / 100))
+            shared = (own[:, :used] == regs[to, :used]).reshape(len(to), used // width, width).all(2)
+            for q in to[shared[:, k] & ~shared[:, :k].any(1)]:
+                y = right[q]
+                a, b = find(x["component"]), find(y["component"])
+                if a != b and _reach(x["hashes"], y["hashes"], percent):
+                    root[a] = b
+                    yield pa.RecordBatch.from_arrays([pa.array([x["sig"]], pa.binary()), pa.array([y["sig"]], pa.binary())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, key = [], None
@@ -283,7 +301,7 @@ def _inside_bands(members: DataFrame, t: float) -> DataFrame:
         if group:
             yield from compare(group)
 
-    return placed.mapInArrow(run, "a binary, b binary").distinct()
+    return placed.mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -302,20 +320,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     reps = land(sketched.where("n_shingles > 0").groupBy("sig", "registers", "n_shingles").agg(F.min("_id").alias("_row")), "sets")
     width = band_width(t)
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("registers", 1 + 2 * width * i, 2 * width)) for i in range(BUCKETS // width)))
-    entries = reps.select("sig", F.explode(keys).alias("band"))
+    entries = reps.select("sig", F.posexplode(keys).alias("k", "band"))
     bands = land(entries.groupBy("band").agg(F.min("sig").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
-    shared = land(entries.join(bands, "band").where("sig != pivot").select("band", "sig", "pivot", "n"), "entries")
+    shared = land(entries.join(bands, "band").where("sig != pivot").select("k", "band", "sig", "pivot", "n"), "entries")
     rows = own.withColumnRenamed("_id", "_row")
     star = land(_promising(shared.select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct(), reps, t), "pairs")
-    links = land(_confirmed(star, rows, reps, text, shingle, percent), "links")
+    full = _full_sets(star.select(F.col("a").alias("sig")).union(star.select("b")), rows, reps, text, shingle)
+    links = land(_confirmed(star, full, percent), "links")
     labels = connected_components(links, "a", "b").withColumnRenamed("node", "sig")
-    members = shared.where("n > 2").select("band", "sig").join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    members = shared.where("n > 2").select("k", "band", "sig").join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     crossing = land(members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band"), "crossing")
     if not crossing.isEmpty():
-        members = members.join(crossing, "band").join(reps.select("sig", "n_shingles", "registers"), "sig")
-        more = land(_inside_bands(land(members, "members"), t), "pairs")
-        if not more.isEmpty():
-            more = land(_confirmed(more, rows, reps, text, shingle, percent), "links")
+        members = land(members.join(crossing, "band"), "members")
+        full = _full_sets(members.select("sig"), rows, reps, text, shingle)
+        members = members.join(full.join(reps.select("sig", "n_shingles", "registers"), "sig"), "sig")
+        more = land(_inside_bands(members, percent, width), "links")
         if not more.isEmpty():
             labels = connected_components(links.union(more), "a", "b").withColumnRenamed("node", "sig")
     by_set = reps.select("sig", "_row").join(labels, "sig", "left").select("sig", "_row", F.coalesce("component", "sig").alias("component"))
