@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hyperminhash, langid, licenses, secrets, urlfilter, warc
-from .shared import new_path
+from . import bpe, hyperminhash, langid, licenses, mixing, secrets, urlfilter, warc
+from .shared import land, new_path
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,13 @@ def op3_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(docs, "doc_id", "text", shingle=3, percent=85)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sized = land(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "sizes")
+    mixed = mixing.mix(sized, key=["doc_id"], size="size")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
