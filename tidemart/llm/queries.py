@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hyperminhash, langid, licenses, mixing, secrets, topk, urlfilter, warc
+from . import bpe, hnsw, hyperminhash, langid, licenses, mixing, secrets, topk, urlfilter, warc
 from .shared import land, new_path
 
 
@@ -34,6 +34,11 @@ def op3_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(docs, "doc_id", "text", shingle=3, percent=85)
 
 
+def op4_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hnsw.near_duplicates(vectors, "vec_id", "embedding", "label", 0.98)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = land(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "sizes")
@@ -101,6 +106,21 @@ SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> stored THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> stored THEN stored END AS refers_to
         FROM m""",
+    "op4_hnsw_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+              AND len([x FOR x IN embedding IF x <> 0]) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach AS (
+            SELECT vec_id AS id, vec_id AS r FROM embeddings
+            UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r),
+        c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+        n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept
+        FROM c LEFT JOIN n ON n.a = c.id""",
     # the pages have no canonical or refresh tags, so rules alone decide; aliases are tested against brute force
     "op7_url_filters": """
         WITH u AS (
