@@ -34,6 +34,8 @@ MISS = 1e-6
 MARGIN = 5.0
 #: Members of a band compared in one block.
 BLOCK = 512
+#: Ids of at most so many texts are broadcast to find the texts (some 50 MB); more are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
 #: Bytes of text hashed at once.
 CHUNK = 2_000_000
 
@@ -226,6 +228,8 @@ def _reach(a: bytes, b: bytes, percent: int) -> bool:
 def _full_sets(wanted: DataFrame, docs: DataFrame, reps: DataFrame, text: str, shingle: int) -> DataFrame:
     """``(sig, hashes)``, the whole sets, read again from the texts of the wanted ``sig`` only."""
     rows = land(wanted.distinct().join(reps.select("sig", "_row"), "sig").select("_row", F.col("sig").alias("_sig")), "wanted")
+    if rows.count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
