@@ -11,7 +11,7 @@ c AS (
            made + INTERVAL 300 SECOND AS later
     FROM ord JOIN customer ON o_custkey = c_custkey),
 oc AS (
-    SELECT *, 'insert' AS type, '1001' AS status, NULL AS old_status, made AS at FROM c
+    SELECT *, 'insert' AS type, '1001' AS status, NULL AS old_status, made AS moment FROM c
     UNION ALL SELECT *, 'update', CASE o_orderstatus WHEN 'F' THEN '1003' ELSE '1005' END, '1001', later FROM c WHERE o_orderstatus IN ('F', 'P')
     UNION ALL SELECT *, 'update', '1006', '1005', later FROM c WHERE o_orderstatus = 'P' AND o_orderkey % 2 = 0)"""
 _LINES = """lines AS (
@@ -89,14 +89,14 @@ def _bounds(time: str, width: str) -> str:
 
 
 SQL = {
-    "cdc_parse": f"WITH {_CHANGES} SELECT 'order_info' AS \"table\", type, CAST(epoch(at) AS BIGINT) AS ts, id, status, old_status FROM oc",
+    "cdc_parse": f"WITH {_CHANGES} SELECT 'order_info' AS \"table\", type, CAST(epoch(moment) AS BIGINT) AS ts, id, status, old_status FROM oc",
     "cdc_keep_types": """
         SELECT 'nation' AS "table", 'bootstrap-insert' AS type, CAST(n_nationkey AS VARCHAR) AS id FROM nation WHERE n_nationkey % 4 = 3
         UNION ALL SELECT 'part', 'insert', CAST(p_partkey AS VARCHAR) FROM part
         UNION ALL SELECT 'part', 'update', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 3 = 0
         UNION ALL SELECT 'supplier', 'insert', CAST(s_suppkey AS VARCHAR) FROM supplier""",
     "dic_lookup": "SELECT event_id, CAST(1101 + event_id % 5 AS VARCHAR) AS code, 'name_' || (1101 + event_id % 5) AS name FROM events WHERE event_id % 5 < 3",
-    "upsert_latest": f"WITH {_CHANGES} SELECT id, max(status) AS status, CAST(epoch(max(at)) AS BIGINT) AS ts FROM oc GROUP BY id",
+    "upsert_latest": f"WITH {_CHANGES} SELECT id, max(status) AS status, CAST(epoch(max(moment)) AS BIGINT) AS ts FROM oc GROUP BY id",
     "dim_filter_columns": """
         SELECT 'dim_base_province' AS sink_table, 'bootstrap-insert' AS type, 'id,name' AS columns, CAST(n_nationkey AS VARCHAR) AS id FROM nation WHERE n_nationkey % 4 = 3
         UNION ALL SELECT 'dim_sku_info', 'insert', 'id,tm_id', CAST(p_partkey AS VARCHAR) FROM part
