@@ -2,7 +2,7 @@
 
 Equal vectors are folded first. The vectors of a label are dealt into shards of at most about ``SHARD``; a task builds a
 shard's graph and stores it as a row. Every shard of a label is queried with every shard's vectors. A query's beam is
-widened while even its last entry is a link, and a block's beams are widened until an audit, a fixed number of its queries
+widened while much of it are links, and a block's first beam is widened until an audit, a fixed number of its queries
 compared with the whole shard, finds enough of the true links. Links are verified by cosine in double precision and
 counted where they are found; out of a task come the counts and the links that connect components.
 """
@@ -138,39 +138,46 @@ def _descend(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.n
     return entry
 
 
+def _scan(x: np.ndarray, q: np.ndarray, least: float) -> list[np.ndarray]:
+    """What a beam as wide as the shard finds."""
+    return [np.flatnonzero(row >= least) for a in range(0, len(q), BATCH) for row in q[a : a + BATCH] @ x.T]
+
+
 def search(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-    """For each query the nodes found with a similarity of ``least`` or more; its beam widens while all of it is."""
-    top = _descend(x, layers[:-1], q, 4)
+    """For each query the nodes found with a similarity of ``least`` or more.
+
+    A query's beam widens while a quarter of it or more is found; where that would be an eighth of the shard it is all of it.
+    """
     found: list[np.ndarray] = [np.zeros(0, np.int32)] * len(q)
-    base = layers[-1][1]
     waiting = np.arange(len(q))
-    while len(waiting):
+    top = _descend(x, layers[:-1], q, 4) if 8 * beam < len(x) else None
+    while len(waiting) and 8 * beam < len(x):
         again = []
         for a in range(0, len(waiting), BATCH):
             who = waiting[a : a + BATCH]
-            entry = np.where(top[who] < 0, layers[-1][0][0], top[who])
-            ids, sims = _beam_search(x, base, q[who], entry, min(beam, len(x)))
+            ids, sims = _beam_search(x, layers[-1][1], q[who], np.where(top[who] < 0, layers[-1][0][0], top[who]), beam)
             ok = sims >= least
             for i, w in enumerate(who):
                 found[w] = ids[i, ok[i]]
-            again.append(who[ok.all(1)])
-        waiting = np.concatenate(again) if beam < len(x) else np.zeros(0, int)
+            again.append(who[4 * ok.sum(1) >= beam])
+        waiting = np.concatenate(again)
         beam *= 4
+    for w, hits in zip(waiting, _scan(x, q[waiting], least), strict=True):
+        found[w] = hits
     return found
 
 
 def _audited(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, least: float) -> list[np.ndarray]:
-    """``search`` with beams widened until the audit passes; a beam as wide as the shard passes as exact comparison."""
+    """``search`` from the first beam that passes the audit: a sample of the queries finds enough of its true links."""
     sample = np.random.default_rng([13, len(q), len(x)]).permutation(len(q))[:AUDITS]
-    true = [np.flatnonzero(row >= least) for row in q[sample] @ x.T]
+    true = _scan(x, q[sample], least)
     beam = BEAM
-    while beam < len(x):
-        found = search(x, layers, q, least, beam)
-        hits, all_ = sum(len(np.intersect1d(found[i], t)) for i, t in zip(sample, true, strict=True)), sum(map(len, true))
-        if hits >= RECALL * all_:
-            return found
+    while 8 * beam < len(x):
+        found = search(x, layers, q[sample], least, beam)
+        if sum(len(np.intersect1d(f, t)) for f, t in zip(found, true, strict=True)) >= RECALL * sum(map(len, true)):
+            break
         beam *= 2
-    return [np.flatnonzero(row >= least) for a in range(0, len(q), BATCH) for row in q[a : a + BATCH] @ x.T]
+    return search(x, layers, q, least, beam)
 
 
 _INDEX = "label long, shard int, dim int, nodes array<string>, copies binary, x binary, layers array<binary>"
