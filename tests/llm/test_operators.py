@@ -1,0 +1,219 @@
+"""Operators on edge rows: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemart.llm import bpe, hnsw, hyperminhash, langid, licenses, mixing, secrets, topk, urlfilter, warc
+from tidemart.llm.components import connected_components
+
+from .test_small import PATH, PATTERN, naive_set
+
+WORDS = " ".join(f"w{i}" for i in range(60))
+DOCS = [(1, WORDS), (2, WORDS.upper()), (3, WORDS + " more"), (4, None), (5, ""), (6, " \n "), (7, "one two"), (8, "ONE  two"), (9, "other words here"), (None, WORDS), (9, "other words here"), (10, "x" * 50_000)]
+SCHEMA = "doc_id long, text string"
+
+
+@pytest.fixture
+def docs(spark):
+    return spark.createDataFrame(DOCS, SCHEMA)
+
+
+@pytest.fixture
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_near_duplicates(spark, docs, empty):
+    rows = docs.withColumn("sig", F.lit("clash")).withColumn("kept", F.lit(1))
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in hyperminhash.near_duplicates(rows, shingle=3, percent=85).collect()}
+    assert got[(1, 58)] == (1, True) and got[(2, 58)] == (1, False) and got[(3, 59)] == (1, False) and got[(None, 58)] == (1, False)
+    assert got[(4, 0)] == (4, True) and got[(5, 0)] == (5, True) and got[(6, 0)] == (6, True)
+    assert got[(7, 1)] == (7, True) and got[(8, 1)] == (7, False) and got[(9, 1)] == (9, True)
+    assert hyperminhash.near_duplicates(docs).count() == len(DOCS) and hyperminhash.near_duplicates(empty).count() == 0
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(int(rng.integers(4, 90)))]
+        for _ in range(int(rng.integers(1, 9))):
+            words = list(base)
+            for i in rng.integers(0, len(words), int(rng.integers(0, 3))):
+                words[i] = f"n{rng.integers(1000)}"
+            texts.append(" ".join([*words, *(["a shared passage of some words"] * int(rng.integers(0, 2)))]))
+    sets, root = [naive_set(t, 3) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    rows = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    assert {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(rows, shingle=3, percent=85).collect()} == {i: find(i) for i in range(len(texts))}
+
+
+def test_members_of_a_band_meet_without_their_pivot(spark):
+    sig = lambda i: bytes([i])
+    sets = [np.arange(100, dtype=np.uint64) + np.uint64(s) for s in (0, 40, 41, 500)]
+    regs = np.zeros(hyperminhash.BUCKETS, np.uint16).tobytes()
+    rows = [("b", 0, sig(i), sig(i), 100, regs, s.tobytes()) for i, s in enumerate(sets)]
+    members = spark.createDataFrame([(7, *r[1:]) for r in rows], "band long, k int, sig binary, component binary, n_shingles long, registers binary, hashes binary")
+    assert [(bytes(r.a), bytes(r.b)) for r in hyperminhash._inside_bands(members, 85, 7).collect()] in ([(sig(1), sig(2))], [(sig(2), sig(1))])
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3), (100, 90), (200, 40)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {i: 0 for i in [*range(41), 200]} | {90: 90, 95: 90, 100: 90}
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_secrets(spark, docs, empty):
+    rows = spark.createDataFrame([(1, "é token = abcdef!", "x"), (2, None, None), (3, "", "")], "doc_id long, text string, spans string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(rows).collect()}
+    assert got == {1: [("assign", 2, 16)], 2: [], 3: []}
+    assert {r.doc_id: r.text for r in secrets.find_secrets(rows, redact="*").collect()} == {1: "é *!", 2: None, 3: ""}
+    assert secrets.find_secrets(docs).count() == len(DOCS) and secrets.find_secrets(empty).count() == 0
+
+
+def test_licenses(docs, empty):
+    got = licenses.find_licenses(docs.withColumn("labels", F.lit(1))).collect()
+    assert len(got) == len(DOCS) and all(r.labels == [] and r.score == 0 for r in got) and licenses.find_licenses(empty).count() == 0
+
+
+def test_language(spark, docs, empty):
+    rng = np.random.default_rng(1)
+    make = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(30))
+    labelled = spark.createDataFrame([(make("abcde"), "x") for _ in range(20)] + [(make("uvwyz"), "y") for _ in range(20)] + [(None, "x"), ("abc", None)], "text string, lang string")
+    learned = langid.profiles(labelled)
+    tests = spark.createDataFrame([(1, make("abcde")), (2, make("uvwyz").upper()), (3, None), (4, "12 !"), (5, "漢字")], SCHEMA).withColumn("score", F.lit("clash"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(tests, learned).collect()}
+    assert [got[i][0] for i in range(1, 6)] == ["x", "y", "und", "und", "x"] and all(0 <= s <= 1 for _, s in got.values()) and got[3][1] == 0
+    none = langid.profiles(labelled.limit(0))
+    assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"} and langid.identify(empty, learned).count() == 0
+
+
+def test_language_held_out_accuracy(spark):
+    from tidemart.llm.queries import op6_language_id
+
+    d = "/root/testdata/sf0.01"
+    rows = op6_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
+    assert rows.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] >= 0.97
+
+
+def test_bpe(docs, empty):
+    rows = bpe.encode(docs.withColumn("ids", F.lit(1)), PATH, PATTERN, decoded=True).collect()
+    assert len(rows) == len(DOCS)
+    assert sorted(bytes(r.decoded) for r in rows) == sorted((t or "").encode() for _, t in DOCS)
+    again = bpe.decode(bpe.encode(docs, PATH, PATTERN), PATH, PATTERN).collect()
+    assert sorted(bytes(r.decoded) for r in again) == sorted((t or "").encode() for _, t in DOCS)
+    assert bpe.encode(empty, PATH, PATTERN).count() == 0
+
+
+def test_mixing(spark):
+    rows = [(i, ["a", "b", None, "z"][i % 4], 0 if i % 4 == 3 else 1 + i % 7) for i in range(4000)] + [(8, "a", 2), (None, "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("target", F.lit("clash"))
+    mixed = mixing.mix(docs, ["doc_id"], "size", block_words=200, shard_words=1000)
+    got = mixed.toPandas()
+    assert len(got) == len(rows) and got.shards.map(len).max() <= 2
+    total = got["size"].sum()
+    taken = (got.shards.map(len) * got["size"].fillna(0)).groupby(got.source.fillna("-")).sum()
+    target = got.groupby(got.source.fillna("-")).target.first()
+    assert abs(target.sum() - 1.5 * total) < 1 and (abs(taken - target) <= 8).all() and target["z"] == 0
+    again = mixing.mix(docs, ["doc_id"], "size", block_words=200, shard_words=1000).toPandas()
+    key = lambda df: sorted((str(a), str(b), list(s)) for a, b, s in zip(df.doc_id, df.source, df.shards, strict=True))
+    assert key(got) == key(again)
+    shards = mixing.shuffled(mixed, ["doc_id"]).groupBy("shard").count().toPandas()["count"]
+    assert len(shards) >= 8 and shards.max() < 2 * shards.median()
+    assert mixing.mix(docs.limit(0), ["doc_id"], "size").count() == 0
+
+
+def test_top_k(spark):
+    nan = float("nan")
+    rows = [(i, [float((i * 7 + j * 3) % 11 - 5) / 8 for j in range(4)]) for i in range(60)] + [(100, None), (101, [1.0, None, 0.0, 0.0]), (102, [nan, 0.0, 0.0, 0.0]), (103, []), (104, [1.0]), (None, [1.0] * 4), (5, [0.5] * 4)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 10).collect()}
+    x = {}
+    valid = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v in rows if i is not None and v and len(v) == 4 and None not in v and not np.isnan(v).any()]
+    for q, v in valid:
+        if q % 20 == 0:
+            best = sorted((-int(v @ w), i) for i, w in valid if i != q)[:10]
+            x |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
+    assert got == x
+    few = vectors.where("vec_id < 4")
+    assert topk.top_k(few, few.where("vec_id = 0"), 10).count() == 3 and topk.top_k(few.limit(0), few.limit(0), 10).count() == 0
+
+
+def test_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.05], 1), (4, [0.0, 1.0], 1), (5, [1.0, 0.0], 2), (6, [1.0, 0.0], None), (7, [0.0, 0.0], 1), (8, None, 1), (9, [1.0, None], 1), (10, [float("inf"), 1.0], 1), (11, [1.0, 0.0], 1), (12, [], 1), (None, [0.0, 1.0], 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("kept", F.lit("clash"))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(vectors).collect()}
+    assert got[1] == (3, 1, True) and got[2] == (3, 1, False) and got[3] == (3, 1, False) and got[11] == (3, 1, False)
+    assert got[4] == (1, 4, True) and got[None] == (1, 4, False)
+    assert all(got[i] == (0, i, True) for i in (5, 6, 7, 8, 9, 10, 12))
+    small = hnsw.near_duplicates(vectors, shard=2)
+    assert {r.vec_id: r.component_id for r in small.collect()} == {k: v[1] for k, v in got.items()} and hnsw.near_duplicates(vectors.limit(0)).count() == 0
+
+
+def test_url_rules_and_aliases(spark):
+    rules = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "bad.net/")]
+    canonical = lambda u: f'<html><link rel="canonical" href="{u}">'
+    rows = [
+        (1, "http://EXAMPLE.com/en/1?x", None), (2, "http://a.www.example.com/en/1", None), (3, "http://notexample.com", ""), (4, "http://bad.net/p", "x"), (5, "http://free.org/p", canonical("http://bad.net/p")),
+        (6, "http://other.org/q", '<meta http-equiv="refresh" content="0; url=//free.org/p">'), (7, "http://good.com/x", canonical("http://bad.net/p")), (8, None, None), (9, "no scheme", None), (10, "http://alone.org/", canonical("/two")), (5, "http://free.org/p#f", None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("verdict", F.lit("clash"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages, rules).collect()}
+    assert got[1] == ("example.com", "/en/1", "example.com/en/", "block") and got[2][2:] == ("www.example.com/en/", "allow") and got[3] == ("notexample.com", "", None, "allow")
+    assert got[4][3] == "block" and got[5][2:] == (None, "block") and got[6][2:] == (None, "block") and got[7][2:] == ("com/", "allow")
+    assert got[8] == ("", "", None, "allow") and got[9] == ("", "", None, "allow") and got[10][3] == "allow"
+    edges = spark.createDataFrame([("http://alone.org/", "http://far.org/z"), ("http://far.org/z", "http://bad.net/p"), (None, "x")], "src string, dst string")
+    assert {r.page_id: r.verdict for r in urlfilter.judge(pages, rules, edges).collect()}[10] == "block"
+    assert urlfilter.judge(pages.limit(0), rules).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    big = "<p>é</p>" * 400
+    rows = [(1, "u1", big), (2, "u2", big), (3, None, None), (4, "u4", "short"), (5, "u5", "short"), (None, "u6", big), (6, "u7", ""), (7, "u\r\n8", "x" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("clash"))
+    path = str(tmp_path / "warc")
+    warc.write_archives(warc.plan_records(pages), path)
+    got = {r.page_id: r for r in warc.page_records(warc.read_archives(spark, path)).collect()}
+    for i, _, html in rows:
+        payload = (html or "").encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(payload), hashlib.sha1(payload).hexdigest())
+    assert [(got[i].record_type, got[i].refers_to) for i in (1, 2, 4, 5, None)] == [("revisit", 2), ("response", None), ("response", None), ("response", None), ("revisit", 2)]
+
+
+def test_warc_ranges_and_chance_magic(spark, tmp_path):
+    """Small byte ranges, with a magic inside records that is not a member's start."""
+    digest = "da39a3ee5e6b4b0d3255bfef95601890afd80709"
+    import os
+    import zlib
+
+    out, n = [], 60
+    for i in range(n):
+        raw = warc._inflate(warc._member(i, "u", os.urandom(700) + warc.MAGIC + os.urandom(300), digest, 1003, None))
+        stored = zlib.compressobj(0, zlib.DEFLATED, 31)  # stored, so that the magic shows
+        out.append(stored.compress(raw) + stored.flush())
+    os.mkdir(tmp_path / "w")
+    (tmp_path / "w" / "part-0").write_bytes(b"".join(out))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = warc.page_records(warc.read_archives(spark, str(tmp_path / "w"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(r.page_id for r in got) == list(range(n)) and {r.payload_bytes for r in got} == {1003}

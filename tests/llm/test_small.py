@@ -1,0 +1,154 @@
+"""Helpers without Spark against brute force and known values."""
+
+from __future__ import annotations
+
+import base64
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from tidemart.llm import bpe, hnsw, hyperminhash, langid, licenses, mixing, secrets, topk, warc
+
+PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@pytest.fixture(scope="module")
+def reference():
+    with open(PATH, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_tree_equals_tiktoken(reference, monkeypatch):
+    for name, value in (("LEAF", 8), ("LONG", 16), ("PIECE", 4), ("WINDOW", 2)):
+        monkeypatch.setattr(bpe, name, value)
+    vocab, rnd = bpe.Vocabulary(PATH, PATTERN), random.Random(5)
+    parts = ["a", "b", "'s", "'re", " ", "  ", "\n", "\t", "1", "23", "é", "ß", "漢", "!", "...", "the", " of", "　", "😀", "'", "ll", "\x1c", "<|endoftext|>"]
+    for k in range(2000):
+        text = "".join(rnd.choices(parts if k % 2 else "aab", k=rnd.randrange(80)))
+        ids = vocab.encode(text)
+        assert ids.tolist() == reference.encode_ordinary(text)
+        assert vocab.decode(ids) == text.encode()
+
+
+def test_bpe_long_runs(reference):
+    vocab = bpe.Vocabulary(PATH, PATTERN)
+    for text in ("a" * 9000, " " * 9000, "\n" * 9000 + "x", "é" * 5000, "ab c" * 4000, ""):
+        assert vocab.encode(text).tolist() == reference.encode_ordinary(text)
+
+
+def naive_set(text, width):
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(words)} if 0 < len(words) < width else {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+
+def test_shingle_sets_and_registers():
+    rnd = random.Random(3)
+    texts = ["", "  ", "a", "A b", "a b", "a b c", "a b c a b c", "x　y z", "é É Ä"] + [" ".join(rnd.choices("abcdeFGH", k=rnd.randrange(40))) for _ in range(50)]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    hashes, bounds = hyperminhash.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), offsets, 3)
+    sets = [naive_set(t, 3) for t in texts]
+    assert np.diff(bounds).tolist() == [len(s) for s in sets]
+    sig = [tuple(x) for x in hyperminhash.fingerprints(hashes, bounds)]
+    assert all((sig[i] == sig[j]) == (sets[i] == sets[j]) for i in range(len(sets)) for j in range(len(sets)))
+    regs = hyperminhash.registers(hashes, bounds)
+    a, b = (np.sort(np.random.default_rng(s).integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2)) for s in (1, 2))
+    both = np.unique(np.concatenate([a, b[:1000]]))
+    r = hyperminhash.registers(np.concatenate([a, both]), np.array([0, 4000, 4000 + len(both)]))
+    got = hyperminhash.estimate(r[:1], r[1:], np.array([4000]), np.array([len(both)]))[0]
+    assert abs(got - 4000 / len(both)) < 0.12 and not regs[0].any()
+
+
+def test_band_width_bounds_misses():
+    for t in (0.5, 0.8, 0.85, 0.95):
+        r = hyperminhash.band_width(t)
+        assert (1 - t**r) ** (hyperminhash.BUCKETS // r) <= hyperminhash.MISS
+
+
+def test_registers_of_a_few_shingles_still_agree():
+    h = np.sort(np.random.default_rng(9).integers(0, 2**63, 7).astype(np.uint64) * np.uint64(2))
+    r = hyperminhash.registers(np.concatenate([h, h[:6]]), np.array([0, 7, 13]))
+    assert 0.7 < (r[0] == r[1]).mean() < 0.99
+
+
+def test_shunting_yard():
+    run = lambda s: licenses.evaluate(licenses.postfix(s))
+    assert run("mit") == ({"mit"}, 0.1)
+    assert run("gpl-2.0 or mit") == ({"mit"}, 0.1)
+    assert run("mit and (apache-2.0 or gpl-3.0)") == ({"mit", "apache-2.0"}, 0.15)
+    assert run("gpl-2.0 with classpath-exception-2.0 or proprietary") == ({"gpl-2.0", "classpath-exception-2.0"}, 0.35)
+    assert run("mit the rest is a comment") == ({"mit"}, 0.1) and run("mit and") == ({"mit"}, 0.1)
+    assert licenses.postfix("") is None and licenses.postfix("(mit") is None and licenses.postfix("and mit") is None
+
+
+def test_license_scan():
+    x = licenses.scan("Under CC-BY 4.0.\nGNU General  Public\nLicense; cc\x00by, All Rights Reserved. occ by")
+    assert x["places"] == [1, 6, 9, 11] and x["base_labels"] == ["cc-by", "gpl", "reserved"] and x["score"] == 1.0
+    assert licenses.scan("// SPDX-License-Identifier: MIT OR GPL-2.0\n")["labels"] == ["mit"]
+    assert licenses.scan("") == {"n_words": 0, "places": [], "base_labels": [], "labels": [], "score": 0.0}
+
+
+def test_secret_links():
+    find = lambda t: {k for k, *_ in secrets.linked_spans(t, secrets.base_spans(t))}
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEYab"
+    assert secrets.base_spans("token = 'abcdef' x" + "a" * 24 + " AKIA" + "B" * 16) == [("assign", 0, 15), ("access", 43, 63), ("hex", 18, 42)]
+    assert find(f"key {key}") == set()
+    assert find(f"AKIA{'A' * 16} {key}") == {"linked_secret"}
+    assert find(f"client_id: abc99 then {key}") == {"linked_id", "linked_secret"}
+    assert find(f"client_id: abc99\n\nthen {key}") == set()
+    assert find(f"client_id: abc99 {'x ' * 200} {key}") == set()
+    assert find("https://api.example.com/v1 with token=abcdef1") == {"linked_endpoint"}
+    assert find("see https://example.com and nothing else") == set()
+    assert secrets.base_spans("secret=ab: token=abcdef") and secrets.base_spans("paßword=abcdefgh") == []
+
+
+def test_split_is_exact_and_unbiased():
+    counts = np.array([1000, 0, 37, 5])
+    parts = mixing.split_counts(counts, 3, np.random.default_rng(1))
+    assert parts.sum(0).tolist() == counts.tolist() and (parts >= 0).all() and np.ptp(parts.sum(1)) <= 3
+    halves = [mixing.split_counts(np.array([10, 30]), 1, np.random.default_rng(s))[0, 0] for s in range(800)]
+    assert abs(np.mean(halves) - 5) < 0.2
+
+
+def test_lists_read_in_part_give_exact_scores():
+    rng = np.random.default_rng(2)
+    x = rng.integers(-50, 50, (300, 5))
+    x[:40] *= 30
+    places = np.argsort(x.T, 1, kind="stable").astype(np.int32)
+    values = np.take_along_axis(x.T, places, 1)
+    for q in [*rng.integers(-50, 50, (20, 5)), np.zeros(5, int)]:
+        at, scores = topk.read_lists(q, values, places, None, 10, np.zeros(300, bool))
+        exact = x @ q
+        assert (scores == exact[at]).all() and set(np.flatnonzero(exact >= np.sort(exact)[-10])) <= set(at.tolist())
+
+
+def test_graph_finds_links():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x[:600] = x[0] + rng.normal(size=(600, 16)).astype(np.float32) * 0.03
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = hnsw._audited(x, hnsw.build(x), x, 0.98)
+    true = [set(np.flatnonzero(r >= 0.98)) for r in x @ x.T]
+    assert sum(len(t & set(f.tolist())) for t, f in zip(true, found, strict=True)) >= 0.99 * sum(map(len, true))
+    for n in (1, 2, 5):
+        assert len(hnsw._audited(x[:n], hnsw.build(x[:n]), x[:n], 0.98)) == n
+
+
+def test_grams():
+    assert len(langid.grams("")) == len(langid.grams("12 .,")) == 0
+    assert langid.grams("Ab").tolist() == langid.grams(" aB!").tolist() and len(langid.grams("ab")) == 2 + 3 + 2
+
+
+def test_warc_record_round_trip():
+    digest = "da39a3ee5e6b4b0d3255bfef95601890afd80709"
+    for payload, refers in ((b"", None), ("<p>é\r\n\r\nx".encode(), None), (b"gone", 7)):
+        raw = warc._inflate(warc._member(3, "http://a/\r\n", payload, digest, len(payload), refers))
+        head, body = warc.parse_record(raw)
+        assert body == (b"" if refers else payload) and head["warc-type"] == ("revisit" if refers else "response") and head["http-content-length"] == str(len(payload))
+    assert warc._starts(warc._member(1, None, b"x", digest, 1, None)[3:]) and not warc._starts(b"\x00" * 50)

@@ -10,7 +10,7 @@ text is and shuffles nothing.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,8 +55,8 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
         low = max(part[0] - reach, breaks[k - 1] if k else 0)
         high = min(part[1] + reach, breaks[k] if k < len(breaks) else len(text))
         for parts in others:  # of one kind: disjoint and in order
-            i = bisect_left(parts, low, key=lambda x: x[1])
-            if i < len(parts) and parts[i][0] <= high and parts[i] != part:
+            i = bisect_right(parts, low, key=lambda x: x[1])
+            if i < len(parts) and parts[i][0] < high and parts[i] != part:
                 return True
         return False
 
