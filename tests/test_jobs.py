@@ -137,3 +137,10 @@ def test_replace_partitions_touches_only_its_days(spark, tmp_path):
 def test_window_edges(spark):
     rows = spark.createDataFrame([(t,) for t in ("2024-01-01 00:00:09", "2024-01-01 00:00:10", "2024-01-01 00:00:19")], "t string").select(F.to_timestamp("t").alias("rt"))
     assert sorted((r.stt[-2:], r.register_ct) for r in windows.user_register(rows).collect()) == [("00", 1), ("10", 2)]
+
+
+def test_traffic_flags_sum_up_the_union(spark):
+    rows = page(spark, [("a", 1, None), ("a", 5, "home"), ("a", 30, None), ("b", 3, None), ("b", 20, "x"), ("b", 86400, None)])
+    union = windows.traffic_rows(rows, logs.unique_visitors(rows), keyed.bounces(rows))
+    got = [sorted(map(str, windows.traffic(x).collect())) for x in (union, windows.traffic_flags(rows))]
+    assert got[0] == got[1]

@@ -6,7 +6,7 @@ dimensions and its measures. ``width`` is the window's width.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import explode_words
@@ -58,6 +58,21 @@ def traffic_rows(page: DataFrame, visitors: DataFrame, jumps: DataFrame) -> Data
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def traffic_flags(page: DataFrame, limit_ms: int = 10_000) -> DataFrame:
+    """What ``traffic_rows`` sums up, as one row for each page view of a batch: all flags from one exchange by visitor."""
+    mid, day = F.col("common.mid"), F.to_date(F.timestamp_millis("ts"))
+    start = F.col("page.last_page_id").isNull()
+    own = Window.partitionBy(mid).orderBy("ts")
+    first = start & (F.row_number().over(Window.partitionBy(mid, day, start).orderBy("ts")) == 1)
+    next_ms = F.lead("ts").over(own)
+    jump = start & (next_ms.isNull() | F.lead(start).over(own) | (next_ms - F.col("ts") >= limit_ms))
+    return page.where("common.mid IS NOT NULL").select(
+        F.timestamp_millis("ts").alias("rt"), *(F.col(f"common.{c}") for c in ("vc", "ch", "ar", "is_new")),
+        first.cast("long").alias("uv_ct"), start.cast("long").alias("sv_ct"), F.lit(1).cast("long").alias("pv_ct"),
+        F.coalesce("page.during_time", F.lit(0)).cast("long").alias("dur_sum"), jump.cast("long").alias("uj_ct"),
+    )
+
+
 def traffic(rows: DataFrame, width: str = WIDTH) -> DataFrame:
     return summarize(rows, width, ["vc", "ch", "ar", "is_new"], *_sums("uv_ct", "sv_ct", "pv_ct", "dur_sum", "uj_ct"))
 

@@ -23,11 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c, f"name_{c}") for c in CODES], "dic_code string, dic_name string")
+    return _values(spark, ["dic_code", "dic_name"], [(c, f"name_{c}") for c in CODES])
 
 
 def config(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(*r, None) for r in ROUTES], "source_table string, sink_table string, sink_columns string, sink_pk string, sink_extend string")
+    return _values(spark, ["source_table", "sink_table", "sink_columns", "sink_pk", "sink_extend"], [(*r, "") for r in ROUTES])
+
+
+def _values(spark: SparkSession, names: list[str], rows: list[tuple[str, ...]]) -> DataFrame:
+    """A table of settings as a literal, whose size the optimizer knows."""
+    listed = ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t({', '.join(names)})")
 
 
 def _text(time: Column) -> Column:

@@ -293,8 +293,7 @@ def dws_keyword_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dws_traffic_window(spark: SparkSession, d: str) -> DataFrame:
-    page = _pages(spark, d)
-    return windows.traffic(windows.traffic_rows(page, logs.unique_visitors(page), keyed.bounces(page, BOUNCE_MS)), HOUR)
+    return windows.traffic(windows.traffic_flags(_pages(spark, d), BOUNCE_MS), HOUR)
 
 
 @query

@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 from ..schemas import CHANGE, DICTIONARY, LOG
 
+#: Codes of a dictionary that joins may broadcast (some 10 MB).
+BROADCAST_CODES = 100_000
+
 
 def read_raw(spark: SparkSession, path: str | None = None, fmt: str = "text", streaming: bool = False, **options: str) -> DataFrame:
     """Records as one string column ``value``: text files, or a topic with ``fmt='kafka'`` and its options."""
@@ -43,6 +46,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, streaming:
 
 
 def read_dictionary(spark: SparkSession, path: str | None = None, **jdbc: str) -> DataFrame:
-    """The code dictionary from files, or over JDBC with its options (url, dbtable, user, ...)."""
+    """The code dictionary from files, or over JDBC with its options (url, dbtable, user, ...).
+
+    It is counted: up to ``BROADCAST_CODES`` codes are broadcast to the joins, since Spark cannot know a JDBC table's size and
+    would else shuffle facts by a handful of codes; a larger one is joined as Spark sees fit.
+    """
     rows = spark.read.format("jdbc").options(**jdbc).load() if jdbc else spark.read.schema(DICTIONARY).parquet(path)
-    return rows.select(*(F.col(f.name).cast(f.dataType) for f in DICTIONARY))
+    rows = rows.select(*(F.col(f.name).cast(f.dataType) for f in DICTIONARY))
+    return F.broadcast(rows) if rows.count() <= BROADCAST_CODES else rows
