@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -243,13 +243,16 @@ def dwd_user_register(spark: SparkSession, d: str) -> DataFrame:
 
 # keyed work and dimensions
 
-_TIES = [F.col("sku_id").cast("long"), F.col("source_id").cast("long"), F.col("sku_num").cast("long"), F.col("order_price").cast("decimal(18,2)")]
+
+def _by_time() -> list[str | Column]:
+    """Change time, with all that tells changes of one time apart."""
+    return ["row_op_ts", *(F.col(c).cast(kind) for c, kind in (("sku_id", "long"), ("source_id", "long"), ("sku_num", "long"), ("order_price", "decimal(18,2)")))]
 
 
 def _details(spark: SparkSession, d: str, last: bool) -> DataFrame:
     """Order details once per id: the first or the last by change time."""
     rows = facts.order_detail(_wide(spark, d))
-    rows = keyed.latest(rows, ["id"], ["row_op_ts", *_TIES]) if last else keyed.first(rows, ["id"], ["row_op_ts", *_TIES])
+    rows = keyed.latest(rows, ["id"], _by_time()) if last else keyed.first(rows, ["id"], _by_time())
     return rows.withColumn("rt", parse(F.col("create_time")))
 
 
@@ -321,7 +324,7 @@ def dws_cart_add_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dws_payment_window(spark: SparkSession, d: str) -> DataFrame:
-    rows = keyed.latest(_paid(spark, d).where("order_detail_id IS NOT NULL"), ["order_detail_id"], ["row_op_ts", *_TIES])
+    rows = keyed.latest(_paid(spark, d).where("order_detail_id IS NOT NULL"), ["order_detail_id"], _by_time())
     rows = rows.withColumn("rt", parse(F.col("callback_time"))).withColumn("day", date_part(F.col("callback_time")))
     return windows.payment(keyed.unique_and_new(rows, "user_id", "rt", ["order_detail_id"], "payment_suc_unique_user_count", "payment_new_user_count"), DAY)
 
