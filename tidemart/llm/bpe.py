@@ -22,6 +22,8 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
+from .shared import bounded_batches
+
 #: Characters of a part that is encoded alone, bytes of a match that is reduced over its bytes, and bytes of its parts.
 LEAF = 4096
 LONG = 1024
@@ -183,6 +185,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decoded
     text. Long texts and long runs without white space are encoded whole; other columns pass unchanged, repeated rows
     repeat, an empty table gives no rows. New columns replace columns of the same name.
     """
+    bounded_batches(docs.sparkSession)
     new = ["ids", "n_tokens"] + ["decoded"] * decoded
     keep = [f for f in docs.schema if f.name not in (text, *new)]
 
@@ -203,6 +206,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decoded
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """Every row with ``decoded``, the bytes of ``ids``; null ids give empty bytes."""
+    bounded_batches(encoded.sparkSession)
     keep = [f for f in encoded.schema if f.name != "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import land
+from .shared import bounded_batches, land
 
 #: Vectors of a shard, about; links of a vector in a layer (twice as many in the lowest); beam while building.
 SHARD, LINKS, BUILD_BEAM = 8192, 16, 48
@@ -222,6 +222,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     each other and counted one by one. Links are found by search: none is false, and the audits bound what can be missed.
     A null id is never a component's id. Extra columns are ignored. An empty table gives no rows.
     """
+    bounded_batches(vectors.sparkSession)
     ok = F.col(label).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(vector, lambda x: x != 0)
     own = F.when(ok, F.col(vector))
     rows = vectors.select(F.col(id_col).alias("_id"), F.col(label).cast("long").alias("label"), own.alias("v"))

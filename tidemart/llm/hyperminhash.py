@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import land
+from .shared import bounded_batches, land
 
 BUCKET_BITS = 8
 BUCKETS = 1 << BUCKET_BITS
@@ -37,7 +37,7 @@ BLOCK = 512
 #: Ids of at most so many texts are broadcast to find the texts (some 50 MB); more are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text hashed at once.
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -142,16 +142,16 @@ def registers(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _text_chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of about CHUNK bytes with their bytes and offsets; null counts as empty."""
-    text = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
-    text = pa.concat_arrays([text])  # offsets from 0
-    _, offsets, data = text.buffers()
-    offsets = np.frombuffer(offsets, np.int64, len(text) + 1, text.offset * 8) if len(text) else np.zeros(1, np.int64)
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    start = 0
-    while start < len(text):
-        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + CHUNK, "right")) - 1)
-        yield start, end, data, offsets[start : end + 1]
-        start = end
+    for low in range(0, batch.num_rows, 512):
+        text = pa.concat_arrays([batch.column(column).slice(low, 512).cast(pa.large_string())])  # offsets from 0
+        _, offsets, data = text.buffers()
+        offsets = np.frombuffer(offsets, np.int64, len(text) + 1, text.offset * 8)
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        start = 0
+        while start < len(text):
+            end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + CHUNK, "right")) - 1)
+            yield low + start, low + end, data, offsets[start : end + 1]
+            start = end
 
 
 def _pack(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -318,6 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     that shares a component is not kept, one alone is kept with a null component, and a text found only under null ids is linked with equal sets only. Rows repeating an id stand for
     themselves by their texts. Extra columns are ignored. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     t = percent / 100
     own = docs.select(F.col(id_col).alias("_id"), F.col(text).alias(text))
     sketched = land(sketch(own.select("_id", text), text, shingle), "sketches")

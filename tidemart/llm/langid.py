@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 #: Grams in a profile.
 PROFILE = 400
 #: Most languages that may be learned: bounds what the driver and the tasks hold (MAX_LANGUAGES * PROFILE ranks).
@@ -77,6 +79,7 @@ def profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size:
                 sums = np.bincount(where, weights=np.concatenate(found[1::2])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([one] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(sums)], ["lang", "gram", "n"])
 
+    bounded_batches(labelled.sparkSession)
     known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias(lang), F.col(text).alias(text))
     sums = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by = [F.desc("n"), F.asc("gram")]
@@ -92,6 +95,7 @@ def identify(docs: DataFrame, learned: DataFrame, text: str = "text", size: int
     ``und`` with score 0 for null texts, texts without letters, and if nothing was learned. Ties go to the language that
     sorts first. Texts are used whole. Other columns pass unchanged, but ``lang_pred`` and ``score`` are replaced.
     """
+    bounded_batches(docs.sparkSession)
     rows = learned.limit(max_languages * size + 1).collect()
     if len(rows) > max_languages * size:
         raise ValueError(f"more than {max_languages} languages")

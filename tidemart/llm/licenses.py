@@ -10,6 +10,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import bounded_batches
+
 #: Phrases of the base scan and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -161,6 +163,7 @@ def find_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     malformed one counts as far as it is well formed. ``score`` is how much the strictest license found restricts use, 0
     without any. A null or empty text has no words and no labels. Other columns pass unchanged; new ones replace their namesakes.
     """
+    bounded_batches(docs.sparkSession)
     new = "n_words long, places array<long>, base_labels array<string>, labels array<string>, score double"
     kinds = {"n_words": pa.int64(), "places": pa.list_(pa.int64()), "base_labels": pa.list_(pa.string()), "labels": pa.list_(pa.string()), "score": pa.float64()}
     keep = [f for f in docs.schema if f.name not in (text, *kinds)]

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "linked_id", "linked_secret", "linked_endpoint")
 #: Characters on either side of a part in which a complementary part counts.
@@ -76,6 +78,7 @@ def find_secrets(docs: DataFrame, text: str = "text", redact: str | None = None)
     The text is dropped, or, with ``redact``, kept with each stretch covered by spans replaced by that string. A null or
     empty text has no spans (null stays null). Texts are scanned whole. Other columns pass unchanged; ``spans`` is replaced.
     """
+    bounded_batches(docs.sparkSession)
     keep = [f for f in docs.schema if f.name not in (text, "spans")]
     span_type = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     order = {k: i for i, k in enumerate(KINDS)}

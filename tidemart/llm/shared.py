@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes in a batch that goes to Python.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
 _OWN: dict[str, str] = {}
 
 
@@ -22,6 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in batches of about BATCH_BYTES at most, whatever the length of their texts.
+
+    A smaller number of rows and any number of bytes that the session has set stay.
+    """
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    if spark.conf.get(size, None) is None:
+        spark.conf.set(size, BATCH_BYTES)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corpus/{name}-{uuid.uuid4().hex}"
 

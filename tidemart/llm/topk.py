@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import land
+from .shared import bounded_batches, land
 
 #: Candidates and queries in a block, blocks that one task reads for a query, and rounds in which lists are read.
 BLOCK, QUERIES, RUN, ROUNDS = 1024, 128, 4, 8
@@ -111,6 +111,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         whole = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
         return df.where(valid(vector) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
 
+    bounded_batches(vectors.sparkSession)
     n = vectors.count()
     n_blocks = max(1, -(-n // BLOCK))
     groups = max(1, -(-n_blocks // RUN))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import land
+from .shared import bounded_batches, land
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads below this many bytes are stored each time.
@@ -73,6 +73,7 @@ def write_archives(records: DataFrame, path: str) -> None:
                     out.append(member[:-1] if member[-1:] == _END.encode() else member)  # else padding, which readers skip
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
+    bounded_batches(records.sparkSession)
     names = ["page_id", "url", "payload", "payload_digest", "payload_bytes", "refers_to"]
     members = records.select(*names).mapInArrow(run, "member binary")
     members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", _END).text(path)
@@ -122,6 +123,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Bytes before a file's first magic are ignored, and so are members that are not WARC records. A record whose member is
     damaged is dropped.
     """
+    bounded_batches(spark)
     lines = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     place = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start")]
     stretches = lines.select(*place, F.col("value").cast("binary").alias("raw"))
