@@ -105,6 +105,8 @@ def test_secret_links():
     assert find(f"client_id: abc99 {'x ' * 200} {key}") == set()
     assert find("https://api.example.com/v1 with token=abcdef1") == {"linked_endpoint"}
     assert find("see https://example.com and nothing else") == set()
+    assert find("db.example.com:5432 password: hunter22") == {"linked_endpoint"}
+    assert find("secret: abcdefg " + "a.b-" * 50_000) == set()  # in linear time
     assert secrets.base_spans("secret=ab: token=abcdef") and secrets.base_spans("paßword=abcdefgh") == []
 
 

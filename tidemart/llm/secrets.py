@@ -29,7 +29,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ID = re.compile(r"""(?:access_?key(?:_?id)?|client_?id|user_?name|account_?id|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}""", re.I | re.A)
 _KEY = re.compile(r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}", re.A)
-_ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,9}://[^\s"'<>]+|\b[a-z0-9.-]+\.(?:com|net|org|io|internal):[0-9]{2,5}\b""", re.A)
+_ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,9}://[^\s"'<>]+|(?<![a-z0-9.-])[a-z0-9.-]{1,253}\.(?:com|net|org|io|internal):[0-9]{2,5}\b""", re.A)
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 
 Span = tuple[str, int, int]
