@@ -27,9 +27,15 @@ REACH = 300
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_ID = re.compile(r"""(?:access_?key(?:_?id)?|client_?id|user_?name|account_?id|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}""", re.I | re.A)
-_KEY = re.compile(r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}", re.A)
-_ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,9}://[^\s"'<>]+|(?<![a-z0-9.-])[a-z0-9.-]{1,253}\.(?:com|net|org|io|internal):[0-9]{2,5}\b""", re.A)
+_ID = re.compile(r"""(?:access_?key(?:_?id)?|client_?id|user_?name|account_?(?:id|name)|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}""", re.I | re.A)
+#: After '.', '-' or '_' only where no key material stands before them: those join the parts of host names and tokens.
+_KEY = re.compile(r"(?<![A-Za-z0-9+/])(?<![A-Za-z0-9+/][_.-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}", re.A)
+_ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,9}://[^\s"'<>;]+|(?<![a-z0-9.-])[a-z0-9.-]{1,253}\.(?:com|net|org|io|internal):[0-9]{2,5}\b""", re.A)
+#: The end of what stands before key material that a name with "secret" labels.
+_LABEL = re.compile(r"""secret[A-Za-z0-9_.-]{0,64}["']?\x20*[:=]\x20*["']?\Z""", re.I | re.A)
+_NAME = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-"
+#: Characters before a part in which its name is looked for.
+_BEFORE = 128
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 
 Span = tuple[str, int, int]
@@ -42,11 +48,14 @@ def base_spans(text: str) -> list[Span]:
 
 
 def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
-    """Weak candidates with a complementary part within reach and scope: identifiers and endpoints need a secret, key material an identifier or an endpoint."""
-    ids = [m.span() for m in _ID.finditer(text)] if "=" in text or ":" in text else []
+    """Weak candidates with a complementary part within reach and scope: identifiers and endpoints need a secret, key material an identifier or an endpoint.
+
+    A name with "secret" names no identifier; key material that it stands directly before needs no other part.
+    """
+    ids = [m.span() for m in _ID.finditer(text) if not _names_secret(text, m.start())] if "=" in text or ":" in text else []
     ends = [m.span() for m in _ENDPOINT.finditer(text)] if ":" in text else []
     strong_ids, secrets = [x[1:] for x in base if x[0] == "access"], [x[1:] for x in base if x[0] != "access"]
-    if not (ids or ends or strong_ids):
+    if not (ids or ends or strong_ids or "secret" in text.lower()):
         return []
     keys = [x for m in _KEY.finditer(text) if not any(a < m.end() and m.start() < b for a, b in _near(secrets + strong_ids, *m.span())) and (x := m.span())]
     keys = [x for x in keys if not any(a < x[1] and x[0] < b for a, b in ends)]
@@ -64,10 +73,16 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
 
     by_kind = [[x[1:] for x in base if x[0] == k] for k in ("assign", "hex")]
     found = [("linked_id", *x) for x in ids if meets(x, *by_kind, keys)]
-    found += [("linked_secret", *x) for x in keys if meets(x, ids, strong_ids, ends)]
+    found += [("linked_secret", *x) for x in keys if meets(x, ids, strong_ids, ends) or _LABEL.search(text, max(0, x[0] - _BEFORE), x[0])]
     return found + [("linked_endpoint", *x) for x in ends if meets(x, *by_kind, keys)]
 
 
+def _names_secret(text: str, start: int) -> bool:
+    """Whether the name that runs on to ``start`` has "secret" in it."""
+    before = text[max(0, start - _BEFORE) : start]
+    return "secret" in before[len(before.rstrip(_NAME)) :].lower()
+
+
 def _near(parts: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
     return [x for x in parts if x[0] < end and start < x[1]]
 
