@@ -169,6 +169,17 @@ def test_graph_finds_links():
         assert len(hnsw._audited(x[:n], hnsw.build(x[:n]), x[:n], 0.98)) == n
 
 
+def test_audit_sees_misses_where_links_are_rare():
+    """Ten queries of another shard have a link each, and no path of the graph leads there."""
+    rng = np.random.default_rng(8)
+    unit = lambda v: (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    x, q = unit(rng.normal(size=(1500, 16))), unit(rng.normal(size=(1500, 16)))
+    q[:10] = unit(x[:10] + rng.normal(0, 0.01, (10, 16)))
+    layers = [(nodes, np.where(links < 20, -1, links)) for nodes, links in hnsw.build(x)]
+    found = hnsw._audited(x, layers, q, 0.98)
+    assert [f.tolist() for f in found] == [np.flatnonzero(r >= 0.98).tolist() for r in q @ x.T] and all(i in found[i] for i in range(10))
+
+
 def test_grams():
     assert len(langid.grams("")) == len(langid.grams("12 .,")) == 0
     assert langid.grams("Ab").tolist() == langid.grams(" aB!").tolist() and len(langid.grams("ab")) == 2 + 3 + 2
