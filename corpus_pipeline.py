@@ -25,9 +25,10 @@ def of_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicates at five words and 0.8: of each group the document with the smallest id stays."""
-    gone = hyperminhash.near_duplicates(docs, "doc_id", "text", shingle=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Near-duplicates at five words and 0.8: of each group the document with the smallest id stays, and one row of it."""
+    rows = hyperminhash.numbered(docs)
+    gone = hyperminhash.duplicates(rows, "doc_id", "text", shingle=5, percent=80)
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

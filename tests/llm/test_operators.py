@@ -72,6 +72,20 @@ def test_members_of_a_band_meet_without_their_pivot(spark):
     assert [(bytes(r.a), bytes(r.b)) for r in hyperminhash._inside_bands(members, 85, 7).collect()] in ([(sig(1), sig(2))], [(sig(2), sig(1))])
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Null ids, an id with two different texts, repeated rows of the smallest id, near copies under null ids only."""
+    import corpus_pipeline
+
+    near = lambda p: " ".join(f"{p}{i}" for i in range(80))
+    a, b, c, d = (near(p) for p in "abcd")
+    rows = [(3, a, 0), (5, a + " x", 1), (5, b, 2), (None, a, 3), (None, c, 4), (None, c + " y", 5), (None, c, 6), (2, d, 7), (2, d, 8), (9, d, 9), (None, None, 10), (None, None, 11), (5, "", 12)]
+    got = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string, n int"), "").collect()
+    left = {r.n for r in got}
+    assert len(got) == len(left) == 7 and {0, 2, 10, 11, 12} <= left and len(left & {4, 5, 6}) == 1 and len(left & {7, 8}) == 1
+    kept = [(r.doc_id, r.component_id) for r in hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect() if r.kept and r.n_shingles]
+    assert sorted(map(str, kept)) == sorted(map(str, [(3, 3), (5, 5), (None, None), (2, 2), (2, 2)]))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3), (100, 90), (200, 40)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}

@@ -227,7 +227,7 @@ def _reach(a: bytes, b: bytes, percent: int) -> bool:
 
 def _full_sets(wanted: DataFrame, docs: DataFrame, reps: DataFrame, text: str, shingle: int) -> DataFrame:
     """``(sig, hashes)``, the whole sets, read again from the texts of the wanted ``sig`` only."""
-    rows = land(wanted.distinct().join(reps.select("sig", "_row"), "sig").select("_row", F.col("sig").alias("_sig")), "wanted")
+    rows = land(wanted.distinct().join(reps.select("sig", "_row"), "sig").select("_row"), "wanted")
     if rows.count() <= BROADCAST_ROWS:
         rows = F.broadcast(rows)
 
@@ -236,11 +236,10 @@ def _full_sets(wanted: DataFrame, docs: DataFrame, reps: DataFrame, text: str, s
             for a, b, data, offsets in _text_chunks(batch, text):
                 hashes, bounds = shingle_sets(data, offsets, shingle)
                 own = _pack(fingerprints(hashes, bounds), np.arange(b - a + 1))
-                same = pa.compute.equal(own, batch.column("_sig").slice(a, b - a))  # other texts may repeat the id
-                yield pa.RecordBatch.from_arrays([own, _pack(hashes, bounds)], ["sig", "hashes"]).filter(same)
+                yield pa.RecordBatch.from_arrays([own, _pack(hashes, bounds)], ["sig", "hashes"])
 
-    found = docs.select("_row", text).join(rows, "_row").select("_sig", text).mapInArrow(sets, "sig binary, hashes binary")
-    return land(found.dropDuplicates(["sig"]), "sets")
+    found = docs.select("_row", text).join(rows, "_row").select(text).mapInArrow(sets, "sig binary, hashes binary")
+    return land(found, "sets")
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -308,6 +307,11 @@ def _inside_bands(members: DataFrame, percent: int, width: int) -> DataFrame:
     return placed.mapInArrow(run, "a binary, b binary")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows, landed with a number of their own as ``_row``, which tells apart what ids and texts do not."""
+    return land(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``id_col, n_shingles, component_id, kept``.
 
@@ -315,37 +319,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     id reachable by links. A-Z count as a-z; words are runs without ASCII white space; a text of fewer words than
     ``shingle`` is one shingle. Null or empty texts and texts of white space have no shingles, are linked with nothing and
     kept. Rows with equal texts always share a component. A null id never becomes a component's id; a row with a null id
-    that shares a component is not kept, one alone is kept with a null component, and a text found only under null ids is linked with equal sets only. Rows repeating an id stand for
-    themselves by their texts. Extra columns are ignored. An empty table gives no rows.
+    that shares a component with an id is not kept; of a component of null ids only, one row is kept and the component is
+    null. Rows repeating an id stand for themselves by their texts; ``kept`` says that a row has its component's id, so rows
+    that repeat it are all kept (``duplicates`` leaves one). Extra columns are ignored. An empty table gives no rows.
+    """
+    out = _grouped(numbered(docs.select(F.col(id_col).alias("_id"), F.col(text).alias(text))), text, shingle, percent)
+    gone = _gone(out.where("_id IS NULL AND component_id IS NULL"))
+    out = out.join(gone.withColumn("gone", F.lit(True)), "_row", "left")
+    kept = F.coalesce(F.col("_id") == F.col("component_id"), F.col("component_id").isNull()) & F.col("gone").isNull()
+    return out.select(F.col("_id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
+
+
+def duplicates(rows: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``_row`` of all but one of each component of ``numbered`` rows; links as in ``near_duplicates``.
+
+    The row with the smallest id stays, null last, and of rows that repeat it the one with the smallest number.
     """
-    bounded_batches(docs.sparkSession)
+    return _gone(_grouped(rows.select(F.col(id_col).alias("_id"), F.col(text).alias(text), "_row"), text, shingle, percent))
+
+
+def _gone(grouped: DataFrame) -> DataFrame:
+    first = F.min(F.when(F.col("_id").eqNullSafe(F.col("component_id")), F.col("_row")))
+    large = grouped.where("sig IS NOT NULL").groupBy("component").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return land(grouped.join(land(large.select("component", "first"), "first"), "component").where("_row != first").select("_row"), "gone")
+
+
+def _grouped(own: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
+    """``_id, text, _row`` -> ``_row, _id, n_shingles, sig, component, component_id``; a text without shingles has a null ``sig`` and ``component``."""
+    bounded_batches(own.sparkSession)
     t = percent / 100
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text).alias(text))
-    sketched = land(sketch(own.select("_id", text), text, shingle), "sketches")
-    reps = land(sketched.where("n_shingles > 0").groupBy("sig", "registers", "n_shingles").agg(F.min("_id").alias("_row")), "sets")
+    sketched = land(sketch(own.select("_row", "_id", text), text, shingle), "sketches")
+    reps = land(sketched.where("n_shingles > 0").groupBy("sig", "registers", "n_shingles").agg(F.min("_id").alias("first_id"), F.min("_row").alias("_row")), "sets")
     width = band_width(t)
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("registers", 1 + 2 * width * i, 2 * width)) for i in range(BUCKETS // width)))
     entries = reps.select("sig", F.posexplode(keys).alias("k", "band"))
     bands = land(entries.groupBy("band").agg(F.min("sig").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
     shared = land(entries.join(bands, "band").where("sig != pivot").select("k", "band", "sig", "pivot", "n"), "entries")
-    rows = own.withColumnRenamed("_id", "_row")
     star = land(_promising(shared.select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct(), reps, t), "pairs")
-    full = _full_sets(star.select(F.col("a").alias("sig")).union(star.select("b")), rows, reps, text, shingle)
+    full = _full_sets(star.select(F.col("a").alias("sig")).union(star.select("b")), own, reps, text, shingle)
     links = land(_confirmed(star, full, percent), "links")
     labels = connected_components(links, "a", "b").withColumnRenamed("node", "sig")
     members = shared.where("n > 2").select("k", "band", "sig").join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     crossing = land(members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band"), "crossing")
     if not crossing.isEmpty():
         members = land(members.join(crossing, "band"), "members")
-        full = _full_sets(members.select("sig"), rows, reps, text, shingle)
+        full = _full_sets(members.select("sig"), own, reps, text, shingle)
         members = members.join(full.join(reps.select("sig", "n_shingles", "registers"), "sig"), "sig")
         more = land(_inside_bands(members, percent, width), "links")
         if not more.isEmpty():
             labels = connected_components(links.union(more), "a", "b").withColumnRenamed("node", "sig")
-    by_set = reps.select("sig", "_row").join(labels, "sig", "left").select("sig", "_row", F.coalesce("component", "sig").alias("component"))
+    by_set = reps.select("sig", "first_id").join(labels, "sig", "left").select("sig", "first_id", F.coalesce("component", "sig").alias("component"))
     by_set = land(by_set, "members")
-    least = land(by_set.groupBy("component").agg(F.min("_row").alias("component_id")), "least")
-    ids = land(by_set.join(least, "component").select("sig", "component_id"), "ids")
+    least = land(by_set.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
+    ids = land(by_set.join(least, "component").select("sig", "component", "component_id"), "ids")
     out = sketched.join(ids, "sig", "left").withColumn("component_id", F.when(F.col("sig").isNull(), F.col("_id")).otherwise(F.col("component_id")))
-    kept = F.coalesce(F.col("_id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select(F.col("_id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
+    return out.select("_row", "_id", "n_shingles", "sig", "component", "component_id")
