@@ -40,7 +40,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: a row for each time that the mix takes a document, shuffled inside its shard."""
     sized = docs.withColumn("size", mixing.n_words(F.col("text")))
-    return mixing.shuffled(mixing.mix(sized, key=["doc_id"], size="size"), ["doc_id"]).select(*docs.columns)
+    return mixing.shuffled(mixing.mix(sized, key=["doc_id", "text"], size="size"), ["doc_id", "text"]).select(*docs.columns)
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -161,6 +161,18 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), ["doc_id"], "size").count() == 0
 
 
+@pytest.mark.parametrize("text", ["no two alike", "all alike"])
+def test_mixing_of_a_source_with_one_third_null_ids(spark, text):
+    rows = [(None if i % 3 == 0 else i, "ab"[i % 2], f"{text} {i if text[0] == 'n' else ''}", 5) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, size long")
+    mixed = mixing.mix(docs, ["doc_id", "text"], "size", block_words=100, shard_words=1000)
+    got = mixed.toPandas()
+    taken, target = (got.shards.map(len) * got["size"]).groupby(got.source).sum(), got.groupby("source").target.first()
+    assert len(got) == len(rows) and (abs(taken - target) <= 5).all()
+    shards = mixing.shuffled(mixed, ["doc_id", "text"]).groupBy("shard").agg(F.sum("size").alias("n")).toPandas()["n"]
+    assert len(shards) >= 32 and shards.max() < 2 * shards.median()
+
+
 def test_top_k(spark):
     nan = float("nan")
     rows = [(i, [float((i * 7 + j * 3) % 11 - 5) / 8 for j in range(4)]) for i in range(60)] + [(100, None), (101, [1.0, None, 0.0, 0.0]), (102, [nan, 0.0, 0.0, 0.0]), (103, []), (104, [1.0]), (None, [1.0] * 4), (5, [0.5] * 4)]

@@ -1,6 +1,6 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-A source's documents are dealt by a hash into blocks of about ``BLOCK_WORDS`` words; the hash order of the blocks is the
+A source's documents are dealt by a hash, which also tells rows of one key apart, into blocks of about ``BLOCK_WORDS`` words; the hash order of the blocks is the
 source's random permutation. A source's quota is a number of whole epochs of its blocks and a last, partial epoch. A
 binary tree then splits the quotas of all sources between output shards: a node passes each half of its draws by a
 multivariate hypergeometric draw over its sources, so every split is exact and the shards together hold exactly the
@@ -110,16 +110,22 @@ def shard_ranges(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
 def mix(docs: DataFrame, key: list[str], size: str, source: str = "source", share: float = 1.5, cycle: tuple[float, ...] = CYCLE, most: float = MOST, seed: int = 7, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Every row with ``source_size``, ``target`` and ``shards``: one output shard for each time that the mix takes it, or none.
 
-    ``key`` are columns that tell rows apart; rows equal in them are taken alike. ``size`` holds a row's words. A row is taken
+    ``key`` are the columns whose hash orders a source; rows equal in them are told apart by the number they land with, so
+    that they are dealt and taken one by one. ``size`` holds a row's words. A row is taken
     floor(target / source_size) times, and once more if it stands in the part of its source's hash order that fills what
     is left; the row at its end is taken if that comes nearer, so a source misses its target by half a row at most. Sources without
-    words have target 0 and their rows are taken not at all. A null source is a source of its own. Reruns give the same.
+    words have target 0 and their rows are taken not at all. A null source is a source of its own. Reruns give the same;
+    where rows are equal in ``key``, as long as the table is read in the same partitions.
     An empty table gives no rows. Other columns pass unchanged, but the three new ones are replaced.
     """
-    docs = docs.drop("source_size", "target", "shards")
+    docs = land(docs.drop("source_size", "target", "shards").withColumn("_r", F.monotonically_increasing_id()), "numbered")
     own = F.xxhash64(F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in key))
     source_key = F.xxhash64(F.lit(seed), F.col(source).isNull(), source)
     rows = docs.withColumn("_h", own).withColumn("_s", source_key)
+    ties = land(rows.groupBy("_s", "_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_s", "_h", F.lit(True).alias("_tie")), "ties")
+    if not ties.isEmpty():
+        rows = rows.join(ties, ["_s", "_h"], "left").withColumn("_h", F.when(F.col("_tie"), F.xxhash64("_h", "_r")).otherwise(F.col("_h"))).drop("_tie")
+    rows = rows.drop("_r")
     lean = rows.groupBy("_s").agg(F.first(source).alias("source"), F.sum(size).alias("size"))
     plan = land(targets(lean.select("source", "size"), share, cycle, most).withColumn("source_key", F.xxhash64(F.lit(seed), F.col("source").isNull(), "source")), "targets")
     plan = plan.withColumn("epochs", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("int"))

@@ -41,8 +41,8 @@ def op4_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = land(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "sizes")
-    mixed = mixing.mix(sized, key=["doc_id"], size="size")
+    sized = land(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("digest")), "sizes")
+    mixed = mixing.mix(sized, key=["doc_id", "digest"], size="size")
     return mixed.select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"))
 
 
