@@ -1,36 +1,45 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one a shard.
 
 Equal vectors are folded first. The vectors of a label are dealt into shards of at most about ``SHARD``; a task builds a
-shard's graph and stores it as a row. Every shard of a label is queried with every shard's vectors. A query's beam is
-widened while much of it are links, and a block's first beam is widened until an audit, a fixed number of its queries
-compared with the whole shard, finds enough of their true nearest vectors, which every query has, and of the true links,
-which may be rare. Links are verified by cosine in double precision and
-counted where they are found; out of a task come the counts and the links that connect components.
+shard's graph and stores it as a row. Every shard of a label is queried with every shard's vectors: a task holds one graph
+and reads the vectors of some shards past it. A query's beam is widened while much of it are links, and a block's first
+beam is widened until an audit, a fixed number of its queries compared with the whole shard, finds enough of their true
+nearest vectors, which every query has, and of the true links, which may be rare. There is no other way than the graph; a
+beam that has grown to a shard's size holds all of it. Links are verified by cosine in double precision and counted where
+they are found; out of a task come the counts, the audits and the links that connect components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import bounded_batches, land
 
-#: Vectors of a shard, about; links of a vector in a layer (twice as many in the lowest); beam while building.
-SHARD, LINKS, BUILD_BEAM = 8192, 16, 48
+#: Vectors of a shard, about, and bytes of their components; links of a vector in a layer (twice as many in the lowest); beam while building.
+SHARD, SHARD_BYTES, LINKS, BUILD_BEAM = 8192, 32 << 20, 16, 48
 #: First beam of a query, queries searched or inserted at once, audited queries of a block, recall an audit must find.
 BEAM, BATCH, AUDITS, RECALL = 24, 256, 64, 0.995
 #: Nearest vectors of an audited query that count, without those of its own direction.
 NEAREST = 10
+#: Shards whose vectors one task reads past a graph.
+PAST = 4
+#: Makes every id a number that is not negative.
+_OFFSET = Decimal(2**63)
 
 
 def _beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``beam`` nearest nodes found for each query from its entry nodes (-1: none), with similarities; not in order."""
-    n, rows = len(q), np.arange(len(q))[:, None]
+    n = len(q)
+    if beam >= len(x):  # all nodes fit
+        return np.broadcast_to(np.arange(len(x), dtype=np.int32), (n, len(x))), q @ x.T
     seen = np.zeros((n, len(x)), bool)
     width = max(4, beam // 16)
     ids = np.full((n, beam), -1, np.int32)
@@ -71,11 +80,11 @@ def _beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndar
 
 def _choose(x: np.ndarray, q: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
     """Of each query's candidates (-1: none), nearest first, those nearer to it than to any chosen one; -1 fills up."""
-    sims = np.where(ids >= 0, np.einsum("id,ikd->ik", q, x[np.where(ids < 0, 0, ids)]), -np.inf)
+    sims = np.where(ids >= 0, (x[np.where(ids < 0, 0, ids)] @ q[:, :, None])[:, :, 0], -np.inf)
     order = np.argsort(-sims, 1, kind="stable")
     ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
     v = x[np.where(ids < 0, 0, ids)]
-    between = np.einsum("ikd,ild->ikl", v, v)
+    between = v @ v.transpose(0, 2, 1)
     chosen = np.zeros(ids.shape, bool)
     for k in range(ids.shape[1]):
         closest = np.where(chosen, between[:, k], -np.inf).max(1)
@@ -114,9 +123,13 @@ def _layer(x: np.ndarray, nodes: np.ndarray, entries: np.ndarray, most: int) ->
             offered = np.full((len(hit), int(count.max())), -1, np.int32)
             offered[np.repeat(np.arange(len(hit)), count), np.arange(len(to)) - np.repeat(first, count)] = back
             offered[(offered[:, :, None] == links[hit][:, None, :]).any(2)] = -1
-            for a in range(0, len(hit), BATCH):
-                both = np.concatenate([links[hit[a : a + BATCH]], offered[a : a + BATCH]], 1)
-                links[hit[a : a + BATCH]] = _choose(x, x[hit[a : a + BATCH]], both, most)
+            both = np.concatenate([links[hit], offered], 1)
+            room = (both >= 0).sum(1) <= most
+            full = np.flatnonzero(~room)
+            links[hit[room]] = -np.sort(-both[room], 1)[:, :most]  # all of them, -1 last
+            for a in range(0, len(full), BATCH):
+                who = hit[full[a : a + BATCH]]
+                links[who] = _choose(x, x[who], both[full[a : a + BATCH]], most)
     return links
 
 
@@ -141,150 +154,194 @@ def _descend(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.n
     return entry
 
 
-def _scan(x: np.ndarray, q: np.ndarray, least: float) -> list[np.ndarray]:
-    """What a beam as wide as the shard finds."""
-    return [np.flatnonzero(row >= least) for a in range(0, len(q), BATCH) for row in q[a : a + BATCH] @ x.T]
-
-
 def search(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-    """For each query the nodes found with a similarity of ``least`` or more.
-
-    A query's beam widens while a quarter of it or more is found; where that would be an eighth of the shard it is all of it.
-    """
+    """For each query the nodes found with a similarity of ``least`` or more; its beam widens while a quarter of it or more is found."""
     found: list[np.ndarray] = [np.zeros(0, np.int32)] * len(q)
-    waiting = np.arange(len(q))
-    top = _descend(x, layers[:-1], q, 4) if 8 * beam < len(x) else None
-    while len(waiting) and 8 * beam < len(x):
+    waiting, beam = np.arange(len(q)), min(beam, len(x))
+    top = _entries(x, layers, q)
+    while len(waiting):
         again = []
         for a in range(0, len(waiting), BATCH):
             who = waiting[a : a + BATCH]
-            ids, sims = _beam_search(x, layers[-1][1], q[who], np.where(top[who] < 0, layers[-1][0][0], top[who]), beam)
+            ids, sims = _beam_search(x, layers[-1][1], q[who], top[who], beam)
             ok = sims >= least
             for i, w in enumerate(who):
                 found[w] = ids[i, ok[i]]
-            again.append(who[4 * ok.sum(1) >= beam])
-        waiting = np.concatenate(again)
-        beam *= 4
-    for w, hits in zip(waiting, _scan(x, q[waiting], least), strict=True):
-        found[w] = hits
+            again.append(who[(4 * ok.sum(1) >= beam) & (beam < len(x))])
+        waiting, beam = np.concatenate(again), min(4 * beam, len(x))
     return found
 
 
-def _audited(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, least: float) -> list[np.ndarray]:
-    """``search`` from the first beam that passes the audit: a sample of the queries finds enough of its nearest vectors and of its true links."""
+def _entries(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray) -> np.ndarray:
+    top = _descend(x, layers[:-1], q, 4)
+    return np.where(top < 0, layers[-1][0][0], top)
+
+
+def audited(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, least: float, own: np.ndarray) -> tuple[list[np.ndarray], int, int]:
+    """``search`` from the first beam that passes the audit, and how many of the nearest vectors the audit found and looked for.
+
+    A sample of the queries must find RECALL of its nearest vectors and of its true links. ``own``: each query's own node
+    (-1: not in the shard), which counts as neither.
+    """
     sample = np.random.default_rng([13, len(q), len(x)]).permutation(len(q))[:AUDITS]
-    true = _scan(x, q[sample], least)
-    beam = BEAM
-    if 8 * beam < len(x):
-        sims = q[sample] @ x.T
-        sims[sims > 1 - 1e-6] = -np.inf
-        near = np.argpartition(-sims, NEAREST - 1, 1)[:, :NEAREST]
-        near[~np.isfinite(np.take_along_axis(sims, near, 1))] = -2
-        top = _descend(x, layers[:-1], q[sample], 4)
-        top = np.where(top < 0, layers[-1][0][0], top)
-    while 8 * beam < len(x):
+    sims = q[sample] @ x.T
+    at = np.flatnonzero(own[sample] >= 0)
+    sims[at, own[sample][at]] = -np.inf
+    true = sims >= least
+    sims[sims > 1 - 1e-6] = -np.inf
+    k = min(NEAREST, len(x))
+    near = np.argpartition(-sims, k - 1, 1)[:, :k].astype(np.int32)
+    near[~np.isfinite(np.take_along_axis(sims, near, 1))] = -2
+    of, top, beam = int((near >= 0).sum()), _entries(x, layers, q[sample]), min(BEAM, len(x))
+    while True:
         ids = _beam_search(x, layers[-1][1], q[sample], top, beam)[0]
         met = int((ids[:, None, :] == near[:, :, None]).any(2).sum())
-        if met >= RECALL * int((near >= 0).sum()):
-            found = search(x, layers, q[sample], least, beam)
-            if sum(len(np.intersect1d(f, t)) for f, t in zip(found, true, strict=True)) >= RECALL * sum(map(len, true)):
+        if beam == len(x):
+            break
+        if met >= RECALL * of:
+            hits = sum(int(true[i, f].sum()) for i, f in enumerate(search(x, layers, q[sample], least, beam)))
+            if hits >= RECALL * true.sum():
                 break
-        beam *= 2
-    return search(x, layers, q, least, beam)
+        beam = min(2 * beam, len(x))
+    return search(x, layers, q, least, beam), met, of
 
 
 _INDEX = "label long, shard int, dim int, nodes array<string>, copies binary, x binary, layers array<binary>"
 
 
 def _shards(vectors: DataFrame, shard: int) -> DataFrame:
-    """An index row for each shard of each label and length."""
-    sizes = land(vectors.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards")), "labels")
-    rows = vectors.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
-    rows = rows.select("label", "dim", "shard", "node", "copies", "embedding").repartition("label", "dim", "shard").sortWithinPartitions("label", "dim", "shard", "node")
+    """A landed index row for each shard of each label and length."""
+    most = F.greatest(F.lit(1), F.least(F.lit(shard), F.floor(SHARD_BYTES / (8 * F.col("dim")))))
+    sizes = land(vectors.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("shards")), "labels")
+    n = sizes.agg(F.sum("shards")).first()[0] or 1
+    by = ["label", "dim", "shard"]
+    rows = vectors.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("h"), F.col("shards")).cast("int"))
+    rows = rows.select(*by, "node", "copies", "embedding").repartition(2 * n, *by).sortWithinPartitions(*by, "node")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def index() -> pa.RecordBatch:
-            x = np.array([r[2] for r in held], np.float64)
+            whole = pa.Table.from_batches(held)
+            x = whole["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), -1)
             x /= np.abs(x).max(1, keepdims=True)
             unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
             layers = [y.astype(np.int32).tobytes() for pair in build(unit) for y in pair]
-            copies = np.array([r[1] for r in held], np.int64)
-            row = {"label": now[0], "shard": now[2], "dim": now[1], "nodes": [r[0] for r in held], "copies": copies.tobytes(), "x": x.tobytes(), "layers": layers}
+            row = {"label": now[0], "shard": now[2], "dim": now[1], "nodes": whole["node"].to_pylist(), "copies": whole["copies"].to_numpy().astype(np.int64).tobytes(), "x": x.tobytes(), "layers": layers}
             return pa.RecordBatch.from_pylist([row], schema)
 
         schema = pa.schema([("label", pa.int64()), ("shard", pa.int32()), ("dim", pa.int32()), ("nodes", pa.list_(pa.string())), ("copies", pa.binary()), ("x", pa.binary()), ("layers", pa.list_(pa.binary()))])
-        held, now = [], None
+        held: list[pa.RecordBatch] = []
+        now = None
         for batch in batches:
-            for label, dim, k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (label, dim, k) != now:
-                    if held:
-                        yield index()
-                    held, now = [], (label, dim, k)
-                held.append(row)
+            keys = np.stack([batch.column(c).to_numpy() for c in by], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)] if len(keys) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and tuple(keys[a].tolist()) != now:
+                    yield index()
+                    held = []
+                now = tuple(keys[a].tolist())
+                held.append(batch.slice(a, b - a))
         if held:
             yield index()
 
-    return land(rows.select("label", "dim", "shard", "node", "copies", "embedding").mapInArrow(pack, _INDEX), "shards")
+    return land(rows.mapInArrow(pack, _INDEX), "shards")
+
+
+def _links(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], copies: np.ndarray, q: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]], int, int]:
+    """Verified links of each query, copies counted, and those (query, node) that connect components; with the audit's figures."""
+    length, q_length = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
+    unit, q_unit = (x / length[:, None]).astype(np.float32), (q / q_length[:, None]).astype(np.float32)
+    found, met, of = audited(unit, layers, q_unit, threshold - 1e-4, np.arange(len(q)) if same else np.full(len(q), -1))
+    counts, ends = np.zeros(len(q), np.int64), []
+    far = 0 if same else len(q)  # nodes stand behind the queries, or are the queries
+    root = list(range(len(q) + (0 if same else len(x))))
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for i, to in enumerate(found):
+        to = to[(x[to] @ q[i]) / (length[to] * q_length[i]) >= threshold]
+        to = to[to != i] if same else to
+        counts[i] = copies[to].sum()
+        for j in to.tolist():
+            a, b = find(i), find(far + j)
+            if a != b:
+                root[a] = b
+                ends.append((i, j))
+    return counts, ends, met, of
+
+
+def _found(shards: DataFrame, threshold: float) -> DataFrame:
+    """Landed counts ``(node, n)``, connecting links ``(node, peer)`` and audits ``(label, dim, met, of)``."""
+    sizes = shards.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("shards")).withColumn("parts", F.ceil(F.col("shards") / PAST).cast("int"))
+    tasks = sizes.agg(F.sum(F.col("shards") * F.col("parts"))).first()[0] or 1
+    by = ["label", "dim", "shard", "part"]
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    held = shards.join(sizes, ["label", "dim"]).withColumn("part", each(F.col("parts"))).withColumn("q_shard", F.lit(-1))
+    read = shards.join(sizes, ["label", "dim"]).withColumn("part", F.floor(F.col("shard") / PAST).cast("int")).withColumn("q_shard", F.col("shard"))
+    read = read.withColumn("shard", each(F.col("shards").cast("int"))).withColumn("layers", F.lit(None).cast("array<binary>"))
+    columns = [*by, "q_shard", "nodes", "copies", "x", "layers"]
+    both = held.select(*columns).unionByName(read.select(*columns)).repartition(2 * tasks, *by).sortWithinPartitions(*by, "q_shard")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("node", pa.string()), ("n", pa.int64()), ("peer", pa.string()), ("label", pa.int64()), ("dim", pa.int32()), ("met", pa.int64()), ("of", pa.int64())])
+        graph: dict = {}
+        layers: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (r,) = batch.slice(i, 1).to_pylist()
+                if r["q_shard"] < 0:
+                    graph, raw = r, [np.frombuffer(y, np.int32) for y in r["layers"]]
+                    layers = [(a, b.reshape(len(r["nodes"]), -1)) for a, b in zip(raw[::2], raw[1::2], strict=True)]
+                    continue
+                x, q = (np.frombuffer(y["x"], np.float64).reshape(-1, r["dim"]) for y in (graph, r))
+                counts, ends, met, of = _links(x, layers, np.frombuffer(graph["copies"], np.int64), q, r["shard"] == r["q_shard"], threshold)
+                some = np.flatnonzero(counts)
+                out = {c: [None] * (1 + len(some) + len(ends)) for c in schema.names}
+                out["label"][0], out["dim"][0], out["met"][0], out["of"][0] = r["label"], r["dim"], met, of
+                out["node"][1:] = [r["nodes"][i] for i in some] + [r["nodes"][i] for i, _ in ends]
+                out["n"][1 : 1 + len(some)] = counts[some].tolist()
+                out["peer"][1 + len(some) :] = [graph["nodes"][j] for _, j in ends]
+                yield pa.RecordBatch.from_pydict(out, schema)
+
+    return land(both.mapInArrow(run, "node string, n long, peer string, label long, dim int, met long, of long"), "links")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, shard: int = SHARD) -> DataFrame:
-    """One row per vector: ``id_col, n_links, component_id, kept``.
+    """One row per vector: ``id_col, n_links, component_id, kept, recall``; ids are integers.
 
     Vectors of one label and length are linked where their cosine is at least ``threshold``. A null label, a null or empty
     vector, one of zeros only, or with a null or non-finite component has no links and is kept. Copies are linked with
-    each other and counted one by one. Links are found by search: none is false, and a sample of each block's
-    queries has found ``RECALL`` of its nearest vectors; that estimates what is missed and is no bound (figures: README).
+    each other and counted one by one. Links are found by search: none is false. ``recall`` is the share of their true
+    nearest vectors that audited queries of the row's label and length have found (null: nothing to find); audits are samples
+    that estimate what is missed and no bound (figures: README).
     A null id is never a component's id. Extra columns are ignored. An empty table gives no rows.
     """
     bounded_batches(vectors.sparkSession)
     ok = F.col(label).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(vector, lambda x: x != 0)
-    own = F.when(ok, F.col(vector))
-    rows = vectors.select(F.col(id_col).alias("_id"), F.col(label).cast("long").alias("label"), own.alias("v"))
-    rows = rows.withColumn("node", F.when(F.col("v").isNotNull(), F.concat(F.hex(F.xxhash64(F.lit(1), "label", "v")), F.hex(F.xxhash64(F.lit(2), "label", "v")))))
-    nodes = rows.where("node IS NOT NULL").groupBy("node", "label", F.col("v").alias("embedding"), F.size("v").alias("dim")).agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    nodes = land(nodes, "vectors")
-    shards = _shards(nodes, shard)
-    n = max(1, shards.count())
-    asked = shards.select("label", "dim", F.col("shard").alias("q_shard"), F.col("nodes").alias("q_nodes"), F.col("copies").alias("q_copies"), F.col("x").alias("q"))
-    met = shards.join(asked, ["label", "dim"]).repartition(n, "label", "dim", "shard", "q_shard")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                x, q = (np.frombuffer(r[c], np.float64).reshape(-1, r["dim"]) for c in ("x", "q"))
-                length, q_length = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
-                unit, q_unit = (x / length[:, None]).astype(np.float32), (q / q_length[:, None]).astype(np.float32)
-                raw = [np.frombuffer(y, np.int32) for y in r["layers"]]
-                layers = [(a, b.reshape(len(x), -1)) for a, b in zip(raw[::2], raw[1::2], strict=True)]
-                copies, same = np.frombuffer(r["copies"], np.int64), r["shard"] == r["q_shard"]
-                root: dict[tuple[int, int], tuple[int, int]] = {}
-
-                def find(c: tuple[int, int], root: dict = root) -> tuple[int, int]:
-                    while root.setdefault(c, c) != c:
-                        c = root[c] = root[root[c]]
-                    return c
-
-                counts, ends = np.zeros(len(q), np.int64), []
-                for i, to in enumerate(_audited(unit, layers, q_unit, threshold - 1e-4)):
-                    to = to[(x[to] @ q[i]) / (length[to] * q_length[i]) >= threshold]
-                    to = to[to != i] if same else to
-                    counts[i] = copies[to].sum()
-                    for j in to.tolist():
-                        a, b = find((0, i)), find((0 if same else 1, j))
-                        if a != b:
-                            root[a] = b
-                            ends.append((r["q_nodes"][i], r["nodes"][j]))
-                out = [(node, int(c), None) for node, c in zip(r["q_nodes"], counts, strict=True) if c] + [(a, 0, b) for a, b in ends]
-                yield pa.RecordBatch.from_arrays([pa.array([y[0] for y in out], pa.string()), pa.array([y[1] for y in out], pa.int64()), pa.array([y[2] for y in out], pa.string())], ["node", "n", "peer"])
-
-    found = land(met.mapInArrow(run, "node string, n long, peer string"), "links")
-    counts = found.where("peer IS NULL").groupBy("node").agg(F.sum("n").alias("n"))
+    rows = vectors.select(F.col(id_col).alias("_id"), F.col(label).cast("long").alias("label"), F.when(F.coalesce(ok, F.lit(False)), F.col(vector)).alias("v"))
+    valid = rows.where("v IS NOT NULL").withColumn("h", F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(i), "label", "v")), 16, "0") for i in (1, 2))))
+    nodes = valid.groupBy("h", "label", F.col("v").alias("embedding"), F.size("v").alias("dim")).agg(F.min(F.col("_id").cast("long")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    nodes = land(nodes.withColumn("node", _node(F.col("first"), F.col("h"))), "vectors")
+    found = _found(_shards(nodes, shard), threshold)
+    counts = found.where("n IS NOT NULL").groupBy("node").agg(F.sum("n").alias("n"))
     groups = connected_components(found.where("peer IS NOT NULL"), "node", "peer")
-    by_node = nodes.select("node", "first", "copies").join(counts, "node", "left").join(groups, "node", "left")
-    by_node = land(by_node.select("node", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "nodes")
-    least = by_node.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = land(by_node.join(least, "component").select("node", "n_links", "component_id"), "ids")
-    out = rows.select("_id", "node").join(ids, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id")
+    audits = found.where("of > 0").groupBy("label", "dim").agg((F.sum("met") / F.sum("of")).alias("recall"))
+    by_node = nodes.select("h", "node", "copies", "label", "dim").join(counts, "node", "left").join(groups, "node", "left").join(audits, ["label", "dim"], "left")
+    ids = land(by_node.select("h", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), _first_id(F.coalesce("component", "node")).alias("component_id"), "recall"), "ids")
     kept = F.coalesce(F.col("_id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select("_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component).select(F.col("_id").alias(id_col), "n_links", "component_id", kept.alias("kept"))
+    linked = valid.select("_id", "h").join(ids, "h").select("_id", "n_links", "component_id", kept.alias("kept"), "recall")
+    alone = rows.where("v IS NULL").select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").cast("long").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("double").alias("recall"))
+    return linked.unionByName(alone).withColumnRenamed("_id", id_col)
+
+
+def _node(first: Column, h: Column) -> Column:
+    """A text that sorts by the smallest id of equal vectors, null last, and names them."""
+    digits = F.lpad((first.cast("decimal(20,0)") + F.lit(_OFFSET)).cast("decimal(20,0)").cast("string"), 20, "0")
+    return F.concat(F.coalesce(digits, F.lit("~" * 20)), h)
+
+
+def _first_id(node: Column) -> Column:
+    digits = F.substring(node, 1, 20)
+    return F.when(~digits.startswith("~"), digits.cast("decimal(20,0)") - F.lit(_OFFSET)).cast("long")

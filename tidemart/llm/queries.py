@@ -36,7 +36,7 @@ def op3_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return hnsw.near_duplicates(vectors, "vec_id", "embedding", "label", 0.98)
+    return hnsw.near_duplicates(vectors, "vec_id", "embedding", "label", 0.98).drop("recall")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
