@@ -1,11 +1,11 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-A source's documents are dealt by a hash, which also tells rows of one key apart, into blocks of about ``BLOCK_WORDS`` words; the hash order of the blocks is the
-source's random permutation. A source's quota is a number of whole epochs of its blocks and a last, partial epoch. A
-binary tree then splits the quotas of all sources between output shards: a node passes each half of its draws by a
-multivariate hypergeometric draw over its sources, so every split is exact and the shards together hold exactly the
-quotas. A shard draws the next stretch of each source's permuted blocks, disjoint from all others', and its rows are
-shuffled inside it.
+A source's documents are dealt by a hash, which also tells rows of one key apart, into blocks of about a sixteenth of a
+shard; the hash order of the blocks is the source's random permutation. A source's quota is a number of whole epochs of its
+blocks and a last, partial epoch. A binary tree then splits the quotas of all sources between output shards: a node passes
+each half of its draws by a multivariate hypergeometric draw over its sources, so every split is exact and the shards
+together hold exactly the quotas. A shard draws the next stretch of each source's permuted blocks, disjoint from all
+others', and its rows are shuffled inside it.
 """
 
 from __future__ import annotations
@@ -20,14 +20,15 @@ from pyspark.sql import functions as F
 from .shared import land
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_WORDS = 50_000
-#: Words of a shard, about.
-SHARD_WORDS = 4_000_000
+#: Words of a shard, about, and the least number of shards, about, that smaller ones make up; blocks of a shard.
+SHARD_WORDS, LEAST_SHARDS, SHARD_BLOCKS = 4_000_000, 64, 16
 #: Levels of the tree that one task splits for one node.
 LEVELS = 4
 CYCLE = (5.0, 2.0, 1.0)
 #: Most of a source's words that its target can be.
 MOST = 2.0
+#: Rows that one task numbers at once in a running sum.
+STRETCH = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -76,12 +77,31 @@ def _draw(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def _hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, n))
-    # beyond the library's range: halves are drawn by their own proportions, which keeps the sum exact
-    p = good / (good + bad)
-    spread = np.sqrt(n * p * (1 - p) * max(0, (good + bad - n) / (good + bad - 1)))
-    return int(min(min(good, n), max(max(0, n - bad), round(rng.normal(n * p, spread)))))
+    """How many of ``n`` draws are good: by the distribution function around its mode, from the ratios of neighbouring chances.
+
+    The chances further than twelve standard deviations from the mode add up to less than a double resolves.
+    """
+    total = good + bad
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = 12 + int(12 * np.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))))
+    low, high = max(0, n - bad, mode - reach), min(good, n, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    chance = np.concatenate([[0.0], np.cumsum(np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1))])
+    upto = np.cumsum(np.exp(chance - chance.max()))
+    return low + int(np.searchsorted(upto, rng.random() * upto[-1], "right"))
+
+
+def running(rows: DataFrame, key: str, order: str, **sums: str) -> DataFrame:
+    """Rows with, for each ``name=column``, the sum of the column over the key's earlier rows by ``order`` (a number, unique in its key).
+
+    Sums of stretches are added up first and rows inside their stretch then, so that no task orders all rows of a key.
+    """
+    rows = rows.withColumn("_k", F.floor(F.col(order) / STRETCH))
+    parts = rows.groupBy(key, "_k").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    inside, before = (Window.partitionBy(key, *more).orderBy(by).rowsBetween(Window.unboundedPreceding, -1) for more, by in ((["_k"], order), ([], "_k")))
+    parts = parts.select(key, "_k", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums))
+    out = rows.join(parts, [key, "_k"]).withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_{n}") for n, c in sums.items()})
+    return out.drop("_k", *(f"_{n}" for n in sums))
 
 
 def _splitter(step: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -103,11 +123,10 @@ def shard_ranges(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
 
         nodes = nodes.groupBy("node").applyInPandas(_splitter(step, seed), "source_key long, node long, n long").where("n > 0")
         nodes = land(nodes, "split")
-    before = Window.partitionBy("source_key").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    return nodes.select("source_key", F.col("node").alias("shard"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), "n")
+    return running(nodes.withColumnRenamed("node", "shard"), "source_key", "shard", first="n").select("source_key", "shard", "first", "n")
 
 
-def mix(docs: DataFrame, key: list[str], size: str, source: str = "source", share: float = 1.5, cycle: tuple[float, ...] = CYCLE, most: float = MOST, seed: int = 7, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def mix(docs: DataFrame, key: list[str], size: str, source: str = "source", share: float = 1.5, cycle: tuple[float, ...] = CYCLE, most: float = MOST, seed: int = 7, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Every row with ``source_size``, ``target`` and ``shards``: one output shard for each time that the mix takes it, or none.
 
     ``key`` are the columns whose hash orders a source; rows equal in them are told apart by the number they land with, so
@@ -121,46 +140,51 @@ def mix(docs: DataFrame, key: list[str], size: str, source: str = "source", shar
     docs = land(docs.drop("source_size", "target", "shards").withColumn("_r", F.monotonically_increasing_id()), "numbered")
     own = F.xxhash64(F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in key))
     source_key = F.xxhash64(F.lit(seed), F.col(source).isNull(), source)
-    rows = docs.withColumn("_h", own).withColumn("_s", source_key)
-    ties = land(rows.groupBy("_s", "_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_s", "_h", F.lit(True).alias("_tie")), "ties")
-    if not ties.isEmpty():
-        rows = rows.join(ties, ["_s", "_h"], "left").withColumn("_h", F.when(F.col("_tie"), F.xxhash64("_h", "_r")).otherwise(F.col("_h"))).drop("_tie")
-    rows = rows.drop("_r")
-    lean = rows.groupBy("_s").agg(F.first(source).alias("source"), F.sum(size).alias("size"))
-    plan = land(targets(lean.select("source", "size"), share, cycle, most).withColumn("source_key", F.xxhash64(F.lit(seed), F.col("source").isNull(), "source")), "targets")
+    rows = land(docs.select("_r", own.alias("_h"), source_key.alias("_s"), F.col(size).alias("size"), F.col(source).alias("source")), "sizes")
+    ties = rows.groupBy("_s", "_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_s", "_h", F.lit(True).alias("_tie"))
+    rows = rows.join(ties, ["_s", "_h"], "left").withColumn("_h", F.when(F.col("_tie"), F.xxhash64("_h", "_r")).otherwise(F.col("_h"))).drop("_tie")
+    lean = rows.groupBy("_s").agg(F.first("source").alias("source"), F.sum("size").alias("size"))
+    plan = targets(lean.select("source", "size"), share, cycle, most).withColumn("_s", F.xxhash64(F.lit(seed), F.col("source").isNull(), "source"))
     plan = plan.withColumn("epochs", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("int"))
-    plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("size")).withColumn("blocks", F.ceil(F.col("size") / block_words).cast("long"))
+    plan = land(plan.select("_s", F.col("size").alias("source_size"), "target", "epochs", (F.col("target") - F.col("epochs") * F.col("size")).alias("rest")), "targets")
+    total = plan.agg(F.sum("target")).first()[0] or 0
+    shard = max(1.0, min(shard_words, total / LEAST_SHARDS))
+    depth = int(np.ceil(np.log2(max(1.0, total / shard))))
     # the hash's top 32 bits order a source; a block is an equal stretch of them
-    plan = plan.select(F.col("source_key").alias("_s"), F.col("size").alias("source_size"), "target", "epochs", "rest", "blocks")
+    blocks = F.ceil(F.col("source_size") / (shard / SHARD_BLOCKS)).cast("long")
     order = F.shiftrightunsigned("_h", 32)
-    rows = rows.join(plan, "_s").withColumn("_b", F.floor(order * F.col("blocks") / F.lit(1 << 32)).cast("long"))
-    blocks = land(rows.groupBy("_s", "_b").agg(F.sum(size).alias("words"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest")), "blocks")
-    so_far = Window.partitionBy("_s").orderBy("_b")
-    blocks = blocks.withColumn("place", F.row_number().over(so_far) - 1).withColumn("sum", F.sum("words").over(so_far))
-    blocks = blocks.withColumn("room", F.col("rest") - (F.col("sum") - F.col("words"))).withColumn("part", F.col("room") > 0)
+    rows = rows.join(plan, "_s").withColumn("_b", F.floor(order * blocks / F.lit(1 << 32)).cast("long"))
+    rows = land(rows.select("_r", "_s", "_h", "_b", "size", "source_size", "target", "epochs", "rest"), "dealt")
+    blocks = rows.groupBy("_s", "_b").agg(F.sum("size").alias("words"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"))
+    blocks = running(blocks.withColumn("one", F.lit(1).cast("long")).withColumn("words", F.coalesce("words", F.lit(0))), "_s", "_b", place="one", sum="words")
+    blocks = blocks.withColumn("room", F.col("rest") - F.col("sum")).withColumn("part", F.col("room") > 0)
     blocks = land(blocks.select("_s", "_b", "place", "words", "epochs", "room", "part"), "blocks")
     n = F.count(F.lit(1)) * F.max("epochs") + F.count_if("part")
-    quotas = land(blocks.groupBy(F.col("_s").alias("source_key")).agg(n.cast("long").alias("n"), F.count(F.lit(1)).alias("cycle"), (F.max("epochs") * F.sum("words")).alias("words")).where("n > 0"), "quotas")
-    total = quotas.agg(F.sum("words")).first()[0] or 0
-    depth = max(0, int(np.ceil(np.log2(max(1, total / shard_words)))))
+    quotas = land(blocks.groupBy(F.col("_s").alias("source_key")).agg(n.cast("long").alias("n"), F.count(F.lit(1)).alias("cycle")).where("n > 0"), "quotas")
     drawn = shard_ranges(quotas.select("source_key", "n"), depth, seed)
     drawn = drawn.select("source_key", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("at"))
     drawn = drawn.join(quotas.select("source_key", "cycle"), "source_key").withColumn("place", F.col("at") % F.col("cycle"))
     drawn = drawn.groupBy(F.col("source_key").alias("_s"), "place").agg(F.array_sort(F.collect_list(F.struct("at", "shard")))["shard"].alias("drawn"))
-    dealt = land(blocks.join(drawn, ["_s", "place"], "left").select("_s", "_b", "epochs", "room", "part", F.col("words").alias("_words"), F.coalesce("drawn", F.array().cast("array<long>")).alias("drawn")), "dealt")
-    rows = rows.drop("epochs", "rest", "blocks").join(dealt, ["_s", "_b"])
+    dealt = blocks.join(drawn, ["_s", "place"], "left").select("_s", "_b", "room", "part", F.col("words").alias("_words"), F.coalesce("drawn", F.array().cast("array<long>")).alias("drawn"))
+    rows = rows.drop("rest").join(land(dealt, "drawn"), ["_s", "_b"])
     # in the block where the source's room ends, the rows in hash order up to the nearest place
-    edge = land(rows.where(F.col("part") & (F.col("room") < F.col("_words"))).select("_s", "_h", "room", F.col(size).alias("size")), "edge")
-    fits = edge.groupBy("_s", "_h", "room").agg(F.sum("size").alias("size")).withColumn("sum", F.sum("size").over(Window.partitionBy("_s").orderBy("_h")))
+    edge = rows.where(F.col("part") & (F.col("room") < F.col("_words"))).groupBy("_s", "_h", "room").agg(F.sum("size").alias("size"))
+    fits = edge.withColumn("sum", F.sum("size").over(Window.partitionBy("_s").orderBy("_h")))
     fits = land(fits.where("sum - size / 2 <= room").select("_s", "_h", F.lit(True).alias("fits")), "edge")
     rows = rows.join(fits, ["_s", "_h"], "left")
     whole = F.col("part") & ((F.col("room") >= F.col("_words")) | F.col("fits"))
     taken = F.col("epochs") + F.when(whole, 1).otherwise(0)
-    return rows.withColumn("shards", F.slice("drawn", 1, taken)).drop("_s", "_h", "_b", "epochs", "room", "part", "_words", "drawn", "fits")
+    decided = land(rows.select("_r", "source_size", "target", F.slice("drawn", 1, taken).alias("shards")), "decided")
+    return docs.join(decided, "_r").drop("_r")
 
 
 def shuffled(mixed: DataFrame, key: list[str], seed: int = 7) -> DataFrame:
-    """The mix itself: a row for each time that one is taken, with its ``shard``, each shard in a random order of its own."""
-    rows = mixed.withColumn("shard", F.explode("shards"))
+    """The mix itself: a row for each time that one is taken, with its ``shard`` and, from 0, its ``place`` in the shard's own random order.
+
+    A row that the mix does not take gives none, and so does an empty table. Null keys count as a value of their own; rows
+    equal in ``key`` stand next to each other. ``shard`` and ``place`` replace columns of these names.
+    """
+    rows = mixed.drop("shard", "place").withColumn("shard", F.explode("shards"))
     order = F.xxhash64(F.lit(seed), "shard", *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in key))
-    return rows.withColumn("_order", order).repartition("shard").sortWithinPartitions("shard", "_order").drop("_order", "shards")
+    place = F.row_number().over(Window.partitionBy("shard").orderBy("_order")) - 1
+    return rows.withColumn("_order", order).withColumn("place", place).drop("_order", "shards")

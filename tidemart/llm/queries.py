@@ -41,9 +41,14 @@ def op4_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = land(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("digest")), "sizes")
-    mixed = mixing.mix(sized, key=["doc_id", "digest"], size="size")
-    return mixed.select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"))
+    sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("row"))
+    mixed = land(mixing.mix(sized, key=["doc_id", "digest"], size="size"), "mixed")
+    draws = mixing.shuffled(mixed.select("row", "doc_id", "digest", "size", "shards"), ["doc_id", "digest"])
+    draws = draws.groupBy("row").agg(F.sum("size").cast("long").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "place"))).alias("draws"))
+    taken = F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
+    # what was taken, and where: shards and places in their order
+    where = [F.coalesce(F.col("draws")[c], F.array().cast("array<long>")).cast("array<long>").alias(f"{c}s") for c in ("shard", "place")]
+    return mixed.join(draws, "row", "left").select("doc_id", "size", "source_size", "target", taken, *where)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
