@@ -29,6 +29,16 @@ _IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\x00"
 
 
+def _as_stored(spark: SparkSession) -> dict[str, str]:
+    """Reader options under which files named ``*.gz`` are read as stored, and so in ranges.
+
+    Readers take the codec of the greatest known ending, spelled backwards, that is not behind the name; one that is just
+    behind ".gz" and ends no name hides it. The option's name differs between builds of the reader's library.
+    """
+    codec = spark.sparkContext._jvm.org.apache.hadoop.io.compress.PassthroughCodec
+    return {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec", codec.OPT_EXTENSION: ".!.gz"}
+
+
 def plan_records(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Pages with ``payload`` (null html: empty), ``payload_bytes``, ``payload_digest`` and ``refers_to``.
 
@@ -120,11 +130,13 @@ def _row(content: bytes) -> tuple:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record: ``record_id, type, url, digest, refers_to, http_length, payload``, as its headers say.
 
-    Bytes before a file's first magic are ignored, and so are members that are not WARC records. A record whose member is
-    damaged is dropped.
+    Files of gzip members are read in byte ranges whatever their names, ``*.warc.gz`` included. Bytes before a file's first
+    magic are ignored, and so are members that are not WARC records. A record whose member is damaged is dropped. All types
+    of records come out (warcinfo, request, metadata, ...); of a header that repeats, the last value counts; a payload is
+    what is stored, in chunks if the server sent chunks. A file without records, or an empty folder of files, gives no rows.
     """
     bounded_batches(spark)
-    lines = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    lines = spark.read.options(**_as_stored(spark)).option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     place = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start")]
     stretches = lines.select(*place, F.col("value").cast("binary").alias("raw"))
 
