@@ -67,19 +67,35 @@ def postfix(expression: str) -> list[str] | None:
     """Shunting-yard: the longest well-formed start of a lower-case expression in postfix order; None if there is none.
 
     ``with`` binds more than ``and``, which binds more than ``or``. Reading stops at the first token that does not fit,
-    such as the words of a comment after the expression.
+    such as the words of a comment after the expression. Parentheses at the very start that never close are passed over.
     """
+    tokens = _TOKEN.findall(expression)
+    while tokens:
+        out, good = _yard(tokens)
+        if good:
+            return out if good == len(tokens) else _yard(tokens[:good])[0]
+        if tokens[0] != "(":
+            return None
+        tokens = tokens[1:]
+    return None
+
+
+def _yard(tokens: list[str]) -> tuple[list[str], int]:
+    """The tokens in postfix order as far as they fit, and how many of them make up the longest well-formed start."""
     out: list[str] = []
     stack: list[str] = []
     operand = False  # whether the last token completed an operand
-    for token in _TOKEN.findall(expression):
+    open_ = good = 0
+    for n, token in enumerate(tokens, 1):
         if token == "(":
             if operand:
                 break
             stack.append(token)
+            open_ += 1
         elif token == ")":
-            if not operand or "(" not in stack:
+            if not operand or not open_:
                 break
+            open_ -= 1
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
@@ -95,11 +111,8 @@ def postfix(expression: str) -> list[str] | None:
                 break
             out.append(token)
             operand = True
-    if "(" in stack or not out:
-        return None
-    if not operand:
-        stack.pop()  # an operator without its right side
-    return out + stack[::-1]
+        good = n if operand and not open_ else good
+    return out + stack[::-1], good
 
 
 def evaluate(tokens: list[str]) -> tuple[set[str], float]:
@@ -132,7 +145,7 @@ def scan(text: str) -> dict:
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.translate(_FOLD).split()
     line = b" ".join([b"", *words, b""]).decode("utf-8", "replace")
-    places, base, labels, score, tagged = [], set(), set(), 0.0, False
+    places, base, noticed, labels, score, tagged = [], set(), set(), set(), 0.0, False
     at, n = 0, 0
     for end, phrase in sorted((x for x in _automaton().iter(line)), key=lambda x: x[0] - len(x[1])):
         start = end - len(phrase) - 1
@@ -142,7 +155,7 @@ def scan(text: str) -> dict:
             places.append(n)
             base.add(BASE[phrase])
         if phrase in NOTICES:
-            labels.add(NOTICES[phrase])
+            noticed.add(NOTICES[phrase])
         tagged |= phrase == TAG
     if tagged:
         for expression in _EXPRESSION.findall(raw.translate(_LOWER).decode("utf-8", "replace")):
@@ -150,8 +163,8 @@ def scan(text: str) -> dict:
                 ids, value = evaluate(tokens)
                 labels |= ids
                 score = max(score, value)
-    labels |= base
-    score = max([score, *(restricts(x) for x in (labels if not tagged else base))])
+    labels |= noticed | base
+    score = max([score, *map(restricts, noticed | base)])
     return {"n_words": len(words), "places": sorted(places), "base_labels": sorted(base), "labels": sorted(labels), "score": score}
 
 
@@ -160,8 +173,8 @@ def find_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A-Z count as a-z; words are runs of letters, digits and non-ASCII characters. Phrases match whole words wherever they
     stand, so one place can carry several phrases. An identifier tag's expression reaches to the end of its line; a
-    malformed one counts as far as it is well formed. ``score`` is how much the strictest license found restricts use, 0
-    without any. A null or empty text has no words and no labels. Other columns pass unchanged; new ones replace their namesakes.
+    malformed one counts as far as it is well formed. ``score`` is how much the strictest of all expressions, notices and
+    base phrases restricts use, 0 without any; an expression counts by its value, which is the freer side of an ``or``. A null or empty text has no words and no labels. Other columns pass unchanged; new ones replace their namesakes.
     """
     bounded_batches(docs.sparkSession)
     new = "n_words long, places array<long>, base_labels array<string>, labels array<string>, score double"
