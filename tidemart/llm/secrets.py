@@ -30,7 +30,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _ID = re.compile(r"""(?:access_?key(?:_?id)?|client_?id|user_?name|account_?(?:id|name)|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}""", re.I | re.A)
 #: After '.', '-' or '_' only where no key material stands before them: those join the parts of host names and tokens.
 _KEY = re.compile(r"(?<![A-Za-z0-9+/])(?<![A-Za-z0-9+/][_.-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}", re.A)
-_ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,9}://[^\s"'<>;]+|(?<![a-z0-9.-])[a-z0-9.-]{1,253}\.(?:com|net|org|io|internal):[0-9]{2,5}\b""", re.A)
+_URL = re.compile(r"""[A-Za-z][A-Za-z0-9+]{1,9}://[^\s"'<>;]+""", re.A)
+#: A port and, before it, the dotted name of a host.
+_PORT, _HOST = re.compile(r"(?<=[A-Za-z]):[0-9]{2,5}\b", re.A), re.compile(r"(?<![A-Za-z0-9.-])[A-Za-z0-9.-]{1,230}\.[A-Za-z]{2,22}\Z", re.A)
 #: The end of what stands before key material that a name with "secret" labels.
 _LABEL = re.compile(r"""secret[A-Za-z0-9_.-]{0,64}["']?\x20*[:=]\x20*["']?\Z""", re.I | re.A)
 _NAME = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-"
@@ -53,12 +55,13 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     A name with "secret" names no identifier; key material that it stands directly before needs no other part.
     """
     ids = [m.span() for m in _ID.finditer(text) if not _names_secret(text, m.start())] if "=" in text or ":" in text else []
-    ends = [m.span() for m in _ENDPOINT.finditer(text)] if ":" in text else []
-    strong_ids, secrets = [x[1:] for x in base if x[0] == "access"], [x[1:] for x in base if x[0] != "access"]
+    ends = endpoints(text) if ":" in text else []
+    strong_ids = [x[1:] for x in base if x[0] == "access"]
     if not (ids or ends or strong_ids or "secret" in text.lower()):
         return []
-    keys = [x for m in _KEY.finditer(text) if not any(a < m.end() and m.start() < b for a, b in _near(secrets + strong_ids, *m.span())) and (x := m.span())]
-    keys = [x for x in keys if not any(a < x[1] and x[0] < b for a, b in ends)]
+    by_kind = [[x[1:] for x in base if x[0] == k] for k in ("assign", "hex")]
+    keys = [m.span() for m in _KEY.finditer(text)]
+    keys = [x for x in keys if not any(_overlaps(parts, *x) for parts in (*by_kind, strong_ids, ends))]
     breaks = [m.start() for m in _BLANK.finditer(text)]
 
     def meets(part: tuple[int, int], *others: list[tuple[int, int]]) -> bool:
@@ -71,7 +74,6 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
                 return True
         return False
 
-    by_kind = [[x[1:] for x in base if x[0] == k] for k in ("assign", "hex")]
     found = [("linked_id", *x) for x in ids if meets(x, *by_kind, keys)]
     found += [("linked_secret", *x) for x in keys if meets(x, ids, strong_ids, ends) or _LABEL.search(text, max(0, x[0] - _BEFORE), x[0])]
     return found + [("linked_endpoint", *x) for x in ends if meets(x, *by_kind, keys)]
@@ -83,8 +85,17 @@ def _names_secret(text: str, start: int) -> bool:
     return "secret" in before[len(before.rstrip(_NAME)) :].lower()
 
 
-def _near(parts: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
-    return [x for x in parts if x[0] < end and start < x[1]]
+def _overlaps(parts: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of the parts, disjoint and in order, shares a character with the stretch."""
+    i = bisect_right(parts, start, key=lambda x: x[1])
+    return i < len(parts) and parts[i][0] < end
+
+
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """URLs, and hosts with a port outside them, in order."""
+    urls = [m.span() for m in _URL.finditer(text)]
+    hosts = [(h.start(), m.end()) for m in _PORT.finditer(text) if (h := _HOST.search(text, max(0, m.start() - 254), m.start()))]
+    return sorted(urls + [x for x in hosts if not _overlaps(urls, *x)])
 
 
 def find_secrets(docs: DataFrame, text: str = "text", redact: str | None = None) -> DataFrame:
