@@ -146,14 +146,14 @@ def test_bpe(docs, empty):
 def test_mixing(spark):
     rows = [(i, ["a", "b", None, "z"][i % 4], 0 if i % 4 == 3 else 1 + i % 7) for i in range(4000)] + [(8, "a", 2), (None, "b", None)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("target", F.lit("clash"))
-    mixed = mixing.mix(docs, ["doc_id"], "size", block_words=200, shard_words=1000)
+    mixed = mixing.mix(docs, ["doc_id"], "size", shard_words=1000)
     got = mixed.toPandas()
     assert len(got) == len(rows) and got.shards.map(len).max() <= 2
     total = got["size"].sum()
     taken = (got.shards.map(len) * got["size"].fillna(0)).groupby(got.source.fillna("-")).sum()
     target = got.groupby(got.source.fillna("-")).target.first()
     assert abs(target.sum() - 1.5 * total) < 1 and (abs(taken - target) <= 8).all() and target["z"] == 0
-    again = mixing.mix(docs, ["doc_id"], "size", block_words=200, shard_words=1000).toPandas()
+    again = mixing.mix(docs, ["doc_id"], "size", shard_words=1000).toPandas()
     key = lambda df: sorted((str(a), str(b), list(s)) for a, b, s in zip(df.doc_id, df.source, df.shards, strict=True))
     assert key(got) == key(again)
     shards = mixing.shuffled(mixed, ["doc_id"]).groupBy("shard").count().toPandas()["count"]
@@ -165,7 +165,7 @@ def test_mixing(spark):
 def test_mixing_of_a_source_with_one_third_null_ids(spark, text):
     rows = [(None if i % 3 == 0 else i, "ab"[i % 2], f"{text} {i if text[0] == 'n' else ''}", 5) for i in range(6000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, size long")
-    mixed = mixing.mix(docs, ["doc_id", "text"], "size", block_words=100, shard_words=1000)
+    mixed = mixing.mix(docs, ["doc_id", "text"], "size", shard_words=1000)
     got = mixed.toPandas()
     taken, target = (got.shards.map(len) * got["size"]).groupby(got.source).sum(), got.groupby("source").target.first()
     assert len(got) == len(rows) and (abs(taken - target) <= 5).all()

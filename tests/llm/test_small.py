@@ -23,7 +23,7 @@ def reference():
 
 
 def test_bpe_tree_equals_tiktoken(reference, monkeypatch):
-    for name, value in (("LEAF", 8), ("LONG", 16), ("PIECE", 4), ("WINDOW", 2)):
+    for name, value in (("LEAF", 8), ("SHORT", 6), ("PIECE", 4), ("WINDOW", 2)):
         monkeypatch.setattr(bpe, name, value)
     vocab, rnd = bpe.Vocabulary(PATH, PATTERN), random.Random(5)
     parts = ["a", "b", "'s", "'re", " ", "  ", "\n", "\t", "1", "23", "é", "ß", "漢", "!", "...", "the", " of", "　", "😀", "'", "ll", "\x1c", "<|endoftext|>"]
@@ -34,6 +34,15 @@ def test_bpe_tree_equals_tiktoken(reference, monkeypatch):
         assert vocab.decode(ids) == text.encode()
 
 
+def test_bpe_of_every_character(reference):
+    """The split pattern's character classes are those of the library whose ids are wanted."""
+    vocab = bpe.Vocabulary(PATH, PATTERN)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for i in range(0, len(points), 8192):
+        text = " a".join(points[i : i + 8192])
+        assert vocab.encode(text).tolist() == reference.encode_ordinary(text)
+
+
 def test_bpe_long_runs(reference):
     vocab = bpe.Vocabulary(PATH, PATTERN)
     for text in ("a" * 9000, " " * 9000, "\n" * 9000 + "x", "é" * 5000, "ab c" * 4000, ""):
@@ -84,13 +93,18 @@ def test_shunting_yard():
     assert run("mit and (apache-2.0 or gpl-3.0)") == ({"mit", "apache-2.0"}, 0.15)
     assert run("gpl-2.0 with classpath-exception-2.0 or proprietary") == ({"gpl-2.0", "classpath-exception-2.0"}, 0.35)
     assert run("mit the rest is a comment") == ({"mit"}, 0.1) and run("mit and") == ({"mit"}, 0.1)
-    assert licenses.postfix("") is None and licenses.postfix("(mit") is None and licenses.postfix("and mit") is None
+    assert licenses.postfix("") is None and licenses.postfix("and mit") is None and licenses.postfix("( (") is None and licenses.postfix("()") is None
+    assert run("mit and (apache-2.0") == ({"mit"}, 0.1) and run("(mit or apache-2.0") == ({"mit"}, 0.1) and run("(mit) and ((bsd or gpl)") == ({"mit"}, 0.1)
+    assert run("mit)") == ({"mit"}, 0.1) and run("((mit or gpl) and isc) rest") == ({"mit", "isc"}, 0.1) and run("((mit) and (gpl") == ({"mit"}, 0.1)
 
 
 def test_license_scan():
     x = licenses.scan("Under CC-BY 4.0.\nGNU General  Public\nLicense; cc\x00by, All Rights Reserved. occ by")
     assert x["places"] == [1, 6, 9, 11] and x["base_labels"] == ["cc-by", "gpl", "reserved"] and x["score"] == 1.0
     assert licenses.scan("// SPDX-License-Identifier: MIT OR GPL-2.0\n")["labels"] == ["mit"]
+    both = licenses.scan("SPDX-License-Identifier: MIT AND (Apache-2.0\nunder the Mozilla Public License")
+    assert both["labels"] == ["mit", "mpl-2.0"] and both["score"] == 0.4
+    assert licenses.scan("SPDX-License-Identifier:\nproprietary and confidential")["score"] == 1.0
     assert licenses.scan("") == {"n_words": 0, "places": [], "base_labels": [], "labels": [], "score": 0.0}
 
 
@@ -105,7 +119,10 @@ def test_secret_links():
     assert find(f"client_id: abc99 {'x ' * 200} {key}") == set()
     assert find("https://api.example.com/v1 with token=abcdef1") == {"linked_endpoint"}
     assert find("see https://example.com and nothing else") == set()
-    assert find("db.example.com:5432 password: hunter22") == {"linked_endpoint"}
+    for host in ("db.example.com", "DB.EXAMPLE.COM", "db.example.dev", "Db-1.x.museum"):
+        assert find(f"{host}:5432 password: hunter22") == {"linked_endpoint"}
+    assert find("at 12:30 or a:80 or b.c:x password: hunter22") == set()
+    assert secrets.endpoints("POSTGRES://u@db.example.com:5432/x db.example.com:5432, a.example.org:443.") == [(0, 34), (35, 54), (56, 73)]
     assert find("secret: abcdefg " + "a.b-" * 50_000) == set()  # in linear time
     assert secrets.base_spans("secret=ab: token=abcdef") and secrets.base_spans("paßword=abcdefgh") == []
 
@@ -151,10 +168,22 @@ def test_lists_read_in_part_give_exact_scores():
     x[:40] *= 30
     places = np.argsort(x.T, 1, kind="stable").astype(np.int32)
     values = np.take_along_axis(x.T, places, 1)
-    for q in [*rng.integers(-50, 50, (20, 5)), np.zeros(5, int)]:
-        at, scores = topk.read_lists(q, values, places, None, 10, np.zeros(300, bool))
-        exact = x @ q
-        assert (scores == exact[at]).all() and set(np.flatnonzero(exact >= np.sort(exact)[-10])) <= set(at.tolist())
+    q = np.concatenate([rng.integers(-50, 50, (20, 5)), np.zeros((1, 5), int)])
+    exact, skip = q @ x.T, rng.random((21, 300)) < 0.05
+    for factor in (1, 2**40):  # sums within and beyond what doubles hold
+        kth = np.sort(np.where(skip, -(2**62), exact * factor), 1)[:, -10]
+        for bar in (np.full(21, topk._NONE), kth, np.where(np.arange(21) % 2 == 0, kth, topk._NONE)):
+            rows, at, scores, depth = topk.read_lists(q, values * factor, places, bar.copy(), 10, skip)
+            assert (scores == exact[rows, at] * factor).all() and 0 < depth <= 300
+            assert set(zip(*np.nonzero((exact * factor >= kth[:, None]) & ~skip), strict=True)) <= set(zip(rows, at, strict=True))
+            assert not skip[rows, at].any()
+
+
+def test_heads_bound_what_a_block_holds():
+    rng = np.random.default_rng(3)
+    x, q = rng.integers(-50, 50, (40, 6)), rng.integers(-50, 50, (9, 6))
+    heads = topk.heads_of(q, x.max(0)[None], x.min(0)[None])
+    assert (heads[:, 0] >= (q @ x.T).max(1)).all() and heads[0, 0] == np.maximum(q[0] * x.max(0), q[0] * x.min(0)).sum()
 
 
 def test_graph_finds_links():
@@ -162,11 +191,12 @@ def test_graph_finds_links():
     x = rng.normal(size=(1500, 16)).astype(np.float32)
     x[:600] = x[0] + rng.normal(size=(600, 16)).astype(np.float32) * 0.03
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    found = hnsw._audited(x, hnsw.build(x), x, 0.98)
+    found, met, of = hnsw.audited(x, hnsw.build(x), x, 0.98, np.arange(1500))
+    assert of and met >= hnsw.RECALL * of
     true = [set(np.flatnonzero(r >= 0.98)) for r in x @ x.T]
     assert sum(len(t & set(f.tolist())) for t, f in zip(true, found, strict=True)) >= 0.99 * sum(map(len, true))
     for n in (1, 2, 5):
-        assert len(hnsw._audited(x[:n], hnsw.build(x[:n]), x[:n], 0.98)) == n
+        assert len(hnsw.audited(x[:n], hnsw.build(x[:n]), x[:n], 0.98, np.arange(n))[0]) == n
 
 
 def test_audit_sees_misses_where_links_are_rare():
@@ -176,10 +206,33 @@ def test_audit_sees_misses_where_links_are_rare():
     x, q = unit(rng.normal(size=(1500, 16))), unit(rng.normal(size=(1500, 16)))
     q[:10] = unit(x[:10] + rng.normal(0, 0.01, (10, 16)))
     layers = [(nodes, np.where(links < 20, -1, links)) for nodes, links in hnsw.build(x)]
-    found = hnsw._audited(x, layers, q, 0.98)
+    found = hnsw.audited(x, layers, q, 0.98, np.full(1500, -1))[0]
     assert [f.tolist() for f in found] == [np.flatnonzero(r >= 0.98).tolist() for r in q @ x.T] and all(i in found[i] for i in range(10))
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_a_dense_group_gives_no_more_links_than_connect_it(same):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1, 16)) + rng.normal(size=(400, 16)) * 0.01
+    q = x if same else rng.normal(size=(1, 16)) * 0 + x[:1] + rng.normal(size=(300, 16)) * 0.01
+    layers = hnsw.build((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32))
+    counts, ends, _, _ = hnsw._links(x, layers, np.ones(400, np.int64), q, same, 0.98)
+    cos = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    if same:
+        np.fill_diagonal(cos, 0)
+    assert (counts >= 0.99 * (cos >= 0.98).sum(1)).all() and len(ends) == (399 if same else 699)
+
+
+def test_hypergeometric_draws():
+    draws = np.array([mixing._hypergeometric(30, 70, 20, np.random.default_rng(s)) for s in range(4000)])
+    assert abs(draws.mean() - 6) < 0.15 and abs(draws.var() - 20 * 0.3 * 0.7 * 80 / 99) < 0.3
+    for good, bad, n in ((0, 5, 3), (5, 0, 3), (1, 1, 1), (3, 4, 7), (3, 4, 0)):
+        k = mixing._hypergeometric(good, bad, n, np.random.default_rng(1))
+        assert max(0, n - bad) <= k <= min(good, n)
+    huge = [mixing._hypergeometric(3 * 10**11, 7 * 10**11, 5 * 10**11, np.random.default_rng(s)) for s in range(30)]
+    assert abs(np.mean(huge) - 1.5e11) < 3e5 and len(set(huge)) == 30
+
+
 def test_grams():
     assert len(langid.grams("")) == len(langid.grams("12 .,")) == 0
     assert langid.grams("Ab").tolist() == langid.grams(" aB!").tolist() and len(langid.grams("ab")) == 2 + 3 + 2

@@ -1,6 +1,7 @@
 """Byte-level BPE by monoid tree reduction.
 
-A text is halved until its parts are short, each part is encoded alone, and neighbours are joined up the tree. A join
+A text is halved until its parts are short, each part is encoded alone, match by match of the split pattern, and
+neighbours are joined up the tree. A join
 re-encodes only a window around the seam. The window's ends are *cuts*: places where a white-space character follows
 another character. The split pattern never matches across such a place, whatever stands further left or right, so tokens
 outside the window are those of the joined text. The window doubles until it holds a cut on each side, or reaches the
@@ -14,20 +15,19 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 
 from .shared import bounded_batches
 
-#: Characters of a part that is encoded alone, bytes of a match that is reduced over its bytes, and bytes of its parts.
-LEAF = 4096
-LONG = 1024
+#: Characters of a part that is encoded alone; bytes of the parts to which a longer match is reduced.
+LEAF = 512
 PIECE = 64
+#: Matches whose tokens are remembered, and characters of the longest such match.
+CACHE, SHORT = 1 << 17, 32
 #: Characters of the first window on each side of a seam.
 WINDOW = 48
 
@@ -39,37 +39,27 @@ class Vocabulary:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = dict(zip(self.ranks.values(), self.ranks, strict=True))
+        self.far = 1 + max(self.bytes_of, default=0)  # ranks no pair of parts
         self.pattern = regex.compile(pattern)
-        self.leaf = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+        self.short = lru_cache(CACHE)(self.encode_match)
         self.pair = lru_cache(65536)(lambda a, b: tuple(self.merge(self.bytes_of[a] + self.bytes_of[b])))
 
     # one match of the pattern, as bytes
 
     def merge(self, piece: bytes) -> list[int]:
         """Merge the adjacent pair of the lowest rank, the leftmost of equals, while there is one."""
-        n, ranks, far = len(piece), self.ranks, 1 << 60
-        end = list(range(1, n + 1))  # where the part that starts here ends; 0 once it is merged away
-        before = list(range(-1, n - 1))
-        heap = [(ranks.get(piece[i : i + 2], far), i, i + 2) for i in range(n - 1)]
-        heap = [x for x in heap if x[0] < far]
-        heapify(heap)
-        while heap:
-            rank, i, stop = heappop(heap)
-            middle = end[i]
-            if not middle or middle >= n or end[middle] != stop:
-                continue  # one of the two parts has changed
-            end[i], end[middle] = stop, 0
-            if stop < n:
-                before[stop] = i
-                if (r := ranks.get(piece[i : end[stop]], far)) < far:
-                    heappush(heap, (r, i, end[stop]))
-            if i and (r := ranks.get(piece[before[i] : stop], far)) < far:
-                heappush(heap, (r, before[i], stop))
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
-        return out
+        get, far = self.ranks.get, self.far
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        ranks = [get(piece[i : i + 2], far) for i in range(len(piece) - 1)]
+        while ranks and (least := min(ranks)) < far:
+            i = ranks.index(least)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(parts[i] + parts[i + 1], far)
+            if i:
+                ranks[i - 1] = get(parts[i - 1] + parts[i], far)
+        return [self.ranks[x] for x in parts]
 
     def join_pieces(self, left: list[int], right: list[int]) -> list[int]:
         """Tokens of two adjoining parts of one match: widen the window until its edges fit their neighbours."""
@@ -89,26 +79,25 @@ class Vocabulary:
         half = len(piece) // 2
         return self.join_pieces(self.encode_piece(piece[:half]), self.encode_piece(piece[half:]))
 
+    def encode_match(self, match: str) -> list[int]:
+        """Tokens of one match: itself if it is a token, else the merges of its bytes."""
+        piece = match.encode()
+        return [self.ranks[piece]] if piece in self.ranks else self.encode_piece(piece)
+
     # texts
 
-    def encode_window(self, text: str) -> np.ndarray:
-        """A stretch of text encoded match by match; long matches by their own tree."""
-        if len(text) <= LEAF:
-            return np.array(self.leaf(text), np.uint32)
+    def encode_window(self, text: str) -> list[int]:
+        """A stretch of text encoded match by match."""
         ids: list[int] = []
-        for m in self.pattern.finditer(text):
-            piece = m[0].encode()
-            if piece in self.ranks:
-                ids.append(self.ranks[piece])
-            else:
-                ids += self.encode_piece(piece) if len(piece) > LONG else self.leaf(m[0])
-        return np.array(ids, np.uint32)
+        for match in self.pattern.findall(text):
+            ids += self.short(match) if len(match) <= SHORT else self.encode_match(match)
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of the whole text."""
-        return np.concatenate(self._reduce(text, 0, len(text))) if text else np.zeros(0, np.uint32)
+        return np.array([t for part in self._reduce(text, 0, len(text)) for t in part], np.uint32)
 
-    def _reduce(self, text: str, a: int, b: int) -> list[np.ndarray]:
+    def _reduce(self, text: str, a: int, b: int) -> list[list[int]]:
         if b - a <= LEAF:
             return [self.encode_window(text[a:b])]
         seam = (a + b) // 2
@@ -116,20 +105,21 @@ class Vocabulary:
         if low == a and high == b:  # nothing outside the window: the halves would be encoded for nothing
             return [self.encode_window(text[a:b])]
         left, right = self._reduce(text, a, seam), self._reduce(text, seam, b)
-        return [*self._trim(left, len(text[low:seam].encode()), -1), self.encode_window(text[low:high]), *self._trim(right, len(text[seam:high].encode()), 0)]
+        self._trim(left, len(text[low:seam].encode()), -1)
+        self._trim(right, len(text[seam:high].encode()), 0)
+        return [*left, self.encode_window(text[low:high]), *right]
 
-    def _trim(self, parts: list[np.ndarray], n_bytes: int, end: int) -> list[np.ndarray]:
-        """The parts without the tokens of ``n_bytes`` bytes at their start (0) or end (-1)."""
-        parts = list(parts)
+    def _trim(self, parts: list[list[int]], n_bytes: int, end: int) -> None:
+        """Take the tokens of ``n_bytes`` bytes from the start (0) or the end (-1) of the parts."""
         while n_bytes:
-            ids = parts.pop(end)
-            k = 0
+            ids, k = parts[end], 0
             while n_bytes and k < len(ids):
-                n_bytes -= len(self.bytes_of[int(ids[k if end == 0 else -1 - k])])
+                n_bytes -= len(self.bytes_of[ids[k if end == 0 else -1 - k]])
                 k += 1
-            if k < len(ids):
-                parts.insert(len(parts) if end else 0, ids[k:] if end == 0 else ids[: len(ids) - k])
-        return parts
+            if k == len(ids):
+                parts.pop(end)
+            else:
+                parts[end] = ids[k:] if end == 0 else ids[: len(ids) - k]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the ids, halves concatenated up the tree."""
