@@ -217,6 +217,20 @@ def test_url_rules_and_aliases(spark):
     assert urlfilter.judge(pages.limit(0), rules).count() == 0
 
 
+@pytest.mark.parametrize("own, tag, to", [
+    ("http://a.org/x", "<meta http-equiv='refresh' content=\"0; url='http://bad.net/p'\">", "bad.net/p"),
+    ("http://a.org/x", "<META content='0;url=\"http://bad.net/p\"' http-equiv=refresh>", "bad.net/p"),
+    ("http://a.org/x", "<link rel='alternate canonical' href=http://bad.net/p>", "bad.net/p"),
+    ("http://a.org/x", "<link rel=canonical href='/y'><link rel=canonical href='http://bad.net/p'>", "bad.net/p"),
+    ("http://a.org", "<link rel=canonical href='y'>", "a.org/y"),
+    ("http://a.org/b/c?d=/e/", "<link rel=canonical href='y'>", "a.org/b/y"),
+    ("http://a.org/x", "<link " * 50_000 + "rel=canonical href=//bad.net/p>", "bad.net/p"),
+])
+def test_aliases(spark, own, tag, to):
+    pages = spark.createDataFrame([(own, tag), (None, tag), ("none", tag), (own, None), (own, "")], "url string, html string")
+    assert ("a.org/" + own.partition("a.org")[2].lstrip("/"), to) in {tuple(r) for r in urlfilter.alias_edges(pages).collect()}
+
+
 def test_warc(spark, tmp_path):
     big = "<p>é</p>" * 400
     rows = [(1, "u1", big), (2, "u2", big), (3, None, None), (4, "u4", "short"), (5, "u5", "short"), (None, "u6", big), (6, "u7", ""), (7, "u\r\n8", "x" * 300_000)]

@@ -14,11 +14,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a new temporary folder only where that is unset (tests, one machine)."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir")
+    """The cluster's ``spark.checkpoint.dir``; a new temporary folder only where that is unset and driver and tasks are one process."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="spark-")

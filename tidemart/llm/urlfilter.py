@@ -11,9 +11,9 @@ from .shared import land
 #: Characters in which A-Z become a-z; other letters stay.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Tags that name another address of the same page, and the attribute that holds it.
-_CANONICAL = r"""(?i)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]+)"""
+#: Tags that name another address of the same page, and the attribute that holds it. A tag ends at the next angle bracket.
+_CANONICAL = r"""(?i)<link\b(?=[^<>]*\brel\s*=\s*(?:"[^"<>]*|'[^'<>]*)?\bcanonical\b)[^<>]*\bhref\s*=\s*["']?([^"'\s<>]+)"""
+_REFRESH = r"""(?i)<meta\b(?=[^<>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^<>]*\bcontent\s*=\s*["']?[^"'<>]*?\burl\s*=\s*["']?([^"'\s<>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -46,18 +46,19 @@ def _key(url: Column) -> Column:
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``(src, dst)``: a page's key and that of its canonical or redirect address, where it names another page.
 
-    Addresses without a scheme are completed from the page's own url.
+    All canonical and refresh tags of a page count. Addresses without a scheme are completed from the page's own url. A
+    null url or html, a html without such tags and an empty table give no rows; html is read whole, however long.
     """
     own = F.col(url)
-    targets = F.array(*(F.regexp_extract(html, tag, 1) for tag in (_CANONICAL, _REFRESH)))
-    named = pages.where(F.col(html).rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b|\bhttp-equiv\s*=\s*[\"']?refresh\b"))
+    targets = F.flatten(F.array(*(F.regexp_extract_all(html, F.lit(tag), F.lit(1)) for tag in (_CANONICAL, _REFRESH))))
+    named = pages.where(F.col(html).rlike(r"(?i)\bcanonical\b|\bhttp-equiv\s*=\s*[\"']?refresh\b"))
     rows = named.select(own.alias("own"), F.explode(targets).alias("to")).where("to != ''")
     scheme = F.concat(F.regexp_extract("own", r"(?s)^(.*?)://", 1), F.lit(":"))
     to = (
         F.when(F.col("to").rlike("(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to"))
         .when(F.col("to").startswith("//"), F.concat(scheme, "to"))
         .when(F.col("to").startswith("/"), F.concat(scheme, F.lit("//"), host_of(F.col("own")), "to"))
-        .otherwise(F.concat(F.regexp_extract("own", r"(?s)^(.*?://[^?#]*/)", 1), "to"))
+        .otherwise(F.concat(F.coalesce(F.nullif(F.regexp_extract("own", r"(?s)^(.*?://[^/?#]*/(?:[^?#]*/)?)", 1), F.lit("")), F.concat(scheme, F.lit("//"), host_of(F.col("own")), F.lit("/"))), "to"))
     )
     return rows.select(_key(F.col("own")).alias("src"), _key(to).alias("dst")).where("src != dst")
 
