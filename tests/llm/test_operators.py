@@ -86,9 +86,10 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(map(str, kept)) == sorted(map(str, [(3, 3), (5, 5), (None, None), (2, 2), (2, 2)]))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last_edges", [0, 10, 1000])
+def test_components(spark, last_edges):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3), (100, 90), (200, 40)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), last_edges=last_edges).collect()}
     assert got == {i: 0 for i in [*range(41), 200]} | {90: 90, 95: 90, 100: 90}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
