@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -15,14 +16,19 @@ DATA = "/root/testdata/sf0.001"
 
 
 def rows(df: pd.DataFrame) -> list[tuple[str, ...]]:
+    """Rows as texts in order: whole numbers exactly, others to nine digits."""
+
     def text(v: object) -> str:
-        if v is None or pd.isna(v):
+        if v is None or (not isinstance(v, (list, tuple)) and pd.isna(v)):
             return ""
-        return f"{v:.6g}" if isinstance(v, float) else str(v)
+        if isinstance(v, (bool, np.bool_)):
+            return str(bool(v))
+        if isinstance(v, (int, np.integer)) or (isinstance(v, (float, np.floating)) and v == int(v) and abs(v) < 2**53):
+            return str(int(v))
+        return f"{v:.9g}" if isinstance(v, (float, np.floating)) else str(v)
 
     columns = sorted(df.columns)
-    numeric = {c for c in columns if pd.api.types.is_numeric_dtype(df[c]) and not pd.api.types.is_bool_dtype(df[c])}
-    return sorted(tuple(text(float(v)) if c in numeric and not pd.isna(v) else text(v) for c, v in zip(columns, r, strict=True)) for r in df[columns].itertuples(index=False))
+    return sorted(tuple(map(text, r)) for r in df[columns].astype(object).itertuples(index=False))
 
 
 @pytest.fixture(scope="module")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .changes import cart_increments, changed, changes_of, moved, new
+from ..functions.times import parse
+from .changes import cart_increments, change_seconds, changed, changes_of, moved, new
 
 # Status codes of the feeds (fixed values).
 CANCELLED, REFUNDING, REFUNDED = "1003", "1005", "1006"
@@ -30,38 +31,49 @@ def with_name(rows: DataFrame, dictionary: DataFrame, code: str, name: str) -> D
 
 
 def change_time() -> Column:
-    """Source time of a change as a timestamp, which a rerun repeats."""
-    return F.timestamp_seconds(F.col("ts").cast("long"))
+    """Source time of a change as a timestamp, which a rerun repeats; null if it is no number."""
+    return F.timestamp_seconds(change_seconds())
 
 
-def cart_add(changes: DataFrame, dictionary: DataFrame) -> DataFrame:
-    rows = with_name(cart_increments(changes), dictionary, "source_type", "source_type_name")
+#: How late rows of the two sides of a stream's join may come.
+WATERMARK = "2 seconds"
+
+
+def _late(rows: DataFrame, time: str) -> DataFrame:
+    return rows.withWatermark(time, WATERMARK) if rows.isStreaming else rows
+
+
+def _near(side: str, time: str, retention: str) -> Column:
+    """Whether two times lie within the interval; a null time is near none."""
+    reach = F.expr(f"INTERVAL {retention}")
+    return (F.col(side) >= F.col(time) - reach) & (F.col(side) <= F.col(time) + reach)
+
+
+def cart_add(changes: DataFrame, dictionary: DataFrame, database: str | None = None) -> DataFrame:
+    rows = with_name(cart_increments(changes, database), dictionary, "source_type", "source_type_name")
     return rows.withColumnRenamed("source_type", "source_type_id")
 
 
-def order_pre_process(changes: DataFrame, dictionary: DataFrame, retention: str | None = None) -> DataFrame:
+def order_pre_process(changes: DataFrame, dictionary: DataFrame, retention: str | None = None, database: str | None = None, extras: bool = True) -> DataFrame:
     """Order details with each change of their order, their activity, coupon and source name.
 
-    ``retention`` (an interval) also bounds the times between a detail and what joins it, as streams need it.
+    ``retention`` (an interval) also bounds the times between a detail and what joins it, as streams need it. Without
+    ``extras`` activities and coupons are not joined and their columns are null, for jobs that use neither.
     """
-    details = changes_of(changes, "order_detail", ("insert",), DETAIL, also=[change_time().alias("row_op_ts")])
-    orders = changes_of(changes, "order_info", ("insert", "update"), ["id", *ORDER], also=["type", "old", change_time().alias("o_ts")])
-    activities = changes_of(changes, "order_detail_activity", ("insert",), ["id", "order_detail_id", "activity_id", "activity_rule_id"], also=[change_time().alias("a_ts")])
-    coupons = changes_of(changes, "order_detail_coupon", ("insert",), ["id", "order_detail_id", "coupon_id", "coupon_use_id"], also=[change_time().alias("c_ts")])
-    sides = [
-        (orders.withColumnRenamed("id", "o_id"), "order_id", "o_id", "o_ts"),
-        (activities.withColumnsRenamed({"id": "order_detail_activity_id", "order_detail_id": "a_id"}), "id", "a_id", "a_ts"),
-        (coupons.withColumnsRenamed({"id": "order_detail_coupon_id", "order_detail_id": "c_id"}), "id", "c_id", "c_ts"),
-    ]
-    if details.isStreaming:
-        details = details.withWatermark("row_op_ts", "2 seconds")
+    details = changes_of(changes, "order_detail", ("insert",), DETAIL, also=[change_time().alias("row_op_ts")], database=database)
+    orders = changes_of(changes, "order_info", ("insert", "update"), ["id", *ORDER], also=["type", "old", change_time().alias("o_ts")], database=database)
+    sides = [(orders.withColumnRenamed("id", "o_id"), "order_id", "o_id", "o_ts")]
+    for kind, columns in (("activity", ["activity_id", "activity_rule_id"]), ("coupon", ["coupon_id", "coupon_use_id"])):
+        key, time = f"{kind[0]}_id", f"{kind[0]}_ts"
+        if extras:
+            side = changes_of(changes, f"order_detail_{kind}", ("insert",), ["id", "order_detail_id", *columns], also=[change_time().alias(time)], database=database)
+            sides.append((side.withColumnsRenamed({"id": f"order_detail_{kind}_id", "order_detail_id": key}), "id", key, time))
+    details = _late(details, "row_op_ts")
     for side, left, right, time in sides:
-        side = side.withWatermark(time, "2 seconds") if side.isStreaming else side
-        on = details[left] == side[right]
-        if retention:
-            reach = F.expr(f"INTERVAL {retention}")
-            on = on & (side[time] >= details["row_op_ts"] - reach) & (side[time] <= details["row_op_ts"] + reach)
-        details = details.join(side, on, "left").drop(right, time)
+        on = F.col(left) == F.col(right)
+        details = details.join(_late(side, time), on & _near(time, "row_op_ts", retention) if retention else on, "left").drop(right, time)
+    if not extras:
+        details = details.withColumns({c: F.lit(None).cast("string") for c in ("order_detail_activity_id", "activity_id", "activity_rule_id", "order_detail_coupon_id", "coupon_id", "coupon_use_id")})
     return with_name(details.withColumnRenamed("source_type", "source_type_id"), dictionary, "source_type_id", "source_type_name")
 
 
@@ -74,59 +86,85 @@ def cancel_detail(wide: DataFrame) -> DataFrame:
     return rows.select(*("operate_time" if c == "create_time" else c for c in _DETAIL_FACT)).withColumnRenamed("operate_time", "cancel_time")
 
 
-def pay_detail_suc(changes: DataFrame, details: DataFrame, dictionary: DataFrame, how: str = "left", retention_s: int | None = None) -> DataFrame:
+def pay_detail_suc(changes: DataFrame, details: DataFrame, dictionary: DataFrame, how: str = "left", retention_s: int | None = None, database: str | None = None) -> DataFrame:
     """Successful payments with the details of their order; a payment without any stays with nulls unless ``how`` is inner.
 
-    ``retention_s`` bounds the seconds between a detail and its payment.
+    ``retention_s`` bounds the seconds between a detail and its payment; streams need it, and forget what is older. A
+    payment or detail whose time cannot be read is then near nothing; a stream drops a payment without a readable time.
+    """
+    paid = changes_of(changes, "payment_info", ("update",), ["order_id", "payment_type", "callback_time"], new("payment_status") == PAID, database=database)
+    paid = paid.withColumnsRenamed({"order_id": "p_order_id", "payment_type": "payment_type_id"}).withColumn("_paid", parse(F.col("callback_time")))
+    # payments without an order match nothing; keys of their own keep them out of one task
+    paid = paid.withColumn("_key", F.coalesce("p_order_id", F.concat(F.lit("\0"), F.xxhash64("payment_type_id", "callback_time").cast("string"))))
+    details = details.withColumn("_made", parse(F.col("create_time")))
+    if paid.isStreaming:
+        if retention_s is None:
+            raise ValueError("a stream needs retention_s")
+        paid, details = _late(paid.where("_paid IS NOT NULL"), "_paid"), _late(details, "_made")
+    on = F.col("_key") == F.col("order_id")
+    rows = paid.join(details, on & _near("_paid", "_made", f"{retention_s} SECONDS") if retention_s is not None else on, how)
+    return with_name(rows.drop("_key", "_paid", "_made").withColumnRenamed("id", "order_detail_id"), dictionary, "payment_type_id", "payment_type_name")
+
+
+def order_refund(changes: DataFrame, dictionary: DataFrame, retention: str | None = None, database: str | None = None) -> DataFrame:
+    """Refunds asked for, with the province of their order if it has turned to refunding.
+
+    ``retention`` (an interval) bounds the times between a refund and its order's change, as streams need it.
     """
-    paid = changes_of(changes, "payment_info", ("update",), ["order_id", "payment_type", "callback_time"], new("payment_status") == PAID)
-    paid = paid.withColumnsRenamed({"order_id": "p_order_id", "payment_type": "payment_type_id"})
-    on = F.col("p_order_id") == F.col("order_id")
-    if retention_s is not None:
-        on = on & F.to_timestamp("callback_time").between(F.to_timestamp("create_time") - F.expr(f"INTERVAL {retention_s} SECONDS"), F.to_timestamp("create_time") + F.expr(f"INTERVAL {retention_s} SECONDS"))
-    rows = paid.join(details, on, how).withColumnRenamed("id", "order_detail_id")
-    return with_name(rows, dictionary, "payment_type_id", "payment_type_name")
-
-
-def order_refund(changes: DataFrame, dictionary: DataFrame) -> DataFrame:
     columns = ["id", "user_id", "order_id", "sku_id", "refund_type", "refund_num", "refund_amount", "refund_reason_type", "refund_reason_txt", "refund_status", "create_time"]
-    refunds = changes_of(changes, "order_refund_info", ("insert",), columns, also=[change_time().alias("row_op_ts")])
-    orders = changes_of(changes, "order_info", ("update",), ["id", "province_id"], (new("order_status") == REFUNDING) & changed("order_status"))
-    rows = refunds.join(orders.withColumnRenamed("id", "order_id"), "order_id", "left").withColumnsRenamed({"refund_type": "refund_type_id", "refund_reason_type": "refund_reason_type_id"})
+    refunds = changes_of(changes, "order_refund_info", ("insert",), columns, also=[change_time().alias("row_op_ts")], database=database)
+    turned = (new("order_status") == REFUNDING) & changed("order_status")
+    orders = changes_of(changes, "order_info", ("update",), ["id", "province_id"], turned, [change_time().alias("o_ts")], database)
+    on = F.col("order_id") == F.col("o_id")
+    on = on & _near("o_ts", "row_op_ts", retention) if retention else on
+    rows = _late(refunds, "row_op_ts").join(_late(orders.withColumnRenamed("id", "o_id"), "o_ts"), on, "left").drop("o_id", "o_ts")
+    rows = rows.withColumnsRenamed({"refund_type": "refund_type_id", "refund_reason_type": "refund_reason_type_id"})
     return with_name(with_name(rows, dictionary, "refund_reason_type_id", "refund_reason_type_name"), dictionary, "refund_type_id", "refund_type_name")
 
 
-def refund_pay_suc(changes: DataFrame, dictionary: DataFrame, by_sku: bool = True, payment_done: Column | None = None) -> DataFrame:
-    """Paid refunds. ``by_sku`` joins a payment with the refund of its own sku, else with all refunds of its order."""
-    done = changes_of(changes, "order_refund_info", ("update",), ["order_id", "sku_id", "refund_num"], (new("refund_status") == REFUND_PAID) & changed("refund_status"))
-    orders = changes_of(changes, "order_info", ("update",), ["id", "user_id", "province_id"], (new("order_status") == REFUNDED) & changed("order_status"))
+def refund_pay_suc(
+    changes: DataFrame, dictionary: DataFrame, by_sku: bool = True, payment_done: Column | None = None, retention: str | None = None, database: str | None = None
+) -> DataFrame:
+    """Paid refunds. ``by_sku`` joins a payment with the refund of its own sku, else with all refunds of its order.
+
+    ``retention`` (an interval) bounds the times between a payment and what joins it, and so what streams remember.
+    """
+    refunded = (new("refund_status") == REFUND_PAID) & changed("refund_status")
+    done = changes_of(changes, "order_refund_info", ("update",), ["order_id", "sku_id", "refund_num"], refunded, [change_time().alias("d_ts")], database)
+    done = done.withColumnsRenamed({"order_id": "d_order_id", "sku_id": "d_sku_id"})
+    turned = (new("order_status") == REFUNDED) & changed("order_status")
+    orders = changes_of(changes, "order_info", ("update",), ["id", "user_id", "province_id"], turned, [change_time().alias("o_ts")], database).withColumnRenamed("id", "o_id")
     columns = ["id", "order_id", "sku_id", "payment_type", "total_amount", "callback_time"]
-    paid = changes_of(changes, "refund_payment", ("insert", "update"), columns, payment_done, [change_time().alias("row_op_ts")])
-    rows = paid.join(done, ["order_id", "sku_id"]) if by_sku else paid.join(done.drop("sku_id"), "order_id")
-    rows = rows.join(orders.withColumnRenamed("id", "order_id"), "order_id").withColumnRenamed("payment_type", "payment_type_id")
+    rows = _late(changes_of(changes, "refund_payment", ("insert", "update"), columns, payment_done, [change_time().alias("row_op_ts")], database), "row_op_ts")
+    same = F.col("order_id") == F.col("d_order_id")
+    for side, time, on in ((done, "d_ts", same & (F.col("sku_id") == F.col("d_sku_id")) if by_sku else same), (orders, "o_ts", F.col("order_id") == F.col("o_id"))):
+        rows = rows.join(_late(side, time), on & _near(time, "row_op_ts", retention) if retention else on)
+    rows = rows.drop("d_order_id", "d_sku_id", "d_ts", "o_id", "o_ts").withColumnRenamed("payment_type", "payment_type_id")
     return with_name(rows, dictionary, "payment_type_id", "payment_type_name")
 
 
-def coupon_get(changes: DataFrame) -> DataFrame:
-    return changes_of(changes, "coupon_use", ("insert",), ["id", "coupon_id", "user_id", "get_time"], also=["ts"])
+def coupon_get(changes: DataFrame, database: str | None = None) -> DataFrame:
+    return changes_of(changes, "coupon_use", ("insert",), ["id", "coupon_id", "user_id", "get_time"], also=["ts"], database=database)
 
 
-def coupon_order(changes: DataFrame) -> DataFrame:
-    return changes_of(changes, "coupon_use", ("update",), ["id", "coupon_id", "user_id", "order_id", "using_time"], moved("coupon_status", COUPON_UNUSED, COUPON_USING), ["ts"])
+def coupon_order(changes: DataFrame, database: str | None = None) -> DataFrame:
+    columns = ["id", "coupon_id", "user_id", "order_id", "using_time"]
+    return changes_of(changes, "coupon_use", ("update",), columns, moved("coupon_status", COUPON_UNUSED, COUPON_USING), ["ts"], database)
 
 
-def coupon_pay(changes: DataFrame) -> DataFrame:
-    return changes_of(changes, "coupon_use", ("update",), ["id", "coupon_id", "user_id", "order_id", "used_time"], new("used_time").isNotNull(), ["ts"])
+def coupon_pay(changes: DataFrame, database: str | None = None) -> DataFrame:
+    return changes_of(changes, "coupon_use", ("update",), ["id", "coupon_id", "user_id", "order_id", "used_time"], new("used_time").isNotNull(), ["ts"], database)
 
 
-def favor_add(changes: DataFrame) -> DataFrame:
-    return changes_of(changes, "favor_info", ("insert",), ["id", "user_id", "sku_id", "create_time"], also=["ts"])
+def favor_add(changes: DataFrame, database: str | None = None) -> DataFrame:
+    return changes_of(changes, "favor_info", ("insert",), ["id", "user_id", "sku_id", "create_time"], also=["ts"], database=database)
 
 
-def comment(changes: DataFrame, dictionary: DataFrame) -> DataFrame:
-    rows = changes_of(changes, "comment_info", ("insert",), ["id", "user_id", "sku_id", "spu_id", "order_id", "appraise", "create_time"], also=["ts"])
+def comment(changes: DataFrame, dictionary: DataFrame, database: str | None = None) -> DataFrame:
+    columns = ["id", "user_id", "sku_id", "spu_id", "order_id", "appraise", "create_time"]
+    rows = changes_of(changes, "comment_info", ("insert",), columns, also=["ts"], database=database)
     return with_name(rows.withColumnRenamed("appraise", "appraise_type_id"), dictionary, "appraise_type_id", "appraise_type_name")
 
 
-def user_register(changes: DataFrame) -> DataFrame:
-    return changes_of(changes, "user_info", ("insert",), ["id", "create_time"], also=["ts"])
+def user_register(changes: DataFrame, database: str | None = None) -> DataFrame:
+    return changes_of(changes, "user_info", ("insert",), ["id", "create_time"], also=["ts"], database=database)

@@ -33,24 +33,46 @@ def first_per_day(rows: DataFrame, key: list[str], time: str, tie: list[str]) ->
 def fix_is_new(log: DataFrame, backfill: bool = False) -> DataFrame:
     """The log with ``common.is_new`` set to '0' on days after a visitor's first day as new.
 
-    With ``backfill`` a record that already says '0' makes every later one of its visitor old, too.
+    With ``backfill`` a record that already says '0' makes every later one of its visitor old, too. Both first times are
+    partial aggregates that are joined back: no task sorts a visitor's records. Records without a visitor stay as they are.
     """
     day, new = F.to_date(F.timestamp_millis("ts")), F.col("common.is_new") == "1"
-    so_far = Window.partitionBy("common.mid").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    old = day > F.min(F.when(new, day)).over(so_far)
+    firsts = log.where("common.mid IS NOT NULL").groupBy(F.col("common.mid").alias("_mid")).agg(F.min(F.when(new, day)).alias("_day"), F.min(F.when(~new, F.col("ts"))).alias("_old"))
+    old = day > F.col("_day")
     if backfill:
-        old = old | F.coalesce(F.max((~new).cast("int")).over(so_far) == 1, F.lit(False))
+        old = F.coalesce(old, F.lit(False)) | F.coalesce(F.col("_old") <= F.col("ts"), F.lit(False))
+    rows = log.join(firsts, F.col("common.mid") == F.col("_mid"), "left")
     flag = F.when(new & F.coalesce(old, F.lit(False)), "0").otherwise(F.col("common.is_new"))
-    return log.withColumn("_new", flag).withColumn("common", F.col("common").withField("is_new", F.col("_new"))).drop("_new")
+    return rows.withColumn("_new", flag).withColumn("common", F.col("common").withField("is_new", F.col("_new"))).select(*log.columns)
+
+
+#: Milliseconds of the stretches in which a visitor's page views are put in order.
+STRETCH_MS = 3_600_000
+
+
+def with_next(pages: DataFrame, tie: list[str] | None = None) -> DataFrame:
+    """Page views with the time ``_next`` of their visitor's next one, and whether that ``_starts`` a session.
+
+    A task puts one visitor's views of one hour in order; the first view of each hour is handed to the hour before it.
+    """
+    rows = pages.where("common.mid IS NOT NULL").withColumn("_mid", F.col("common.mid")).withColumn("_hour", F.floor(F.col("ts") / STRETCH_MS)).withColumn("_start", F.col("page.last_page_id").isNull())
+    order = ["ts", *(tie or [])]
+    firsts = rows.groupBy("_mid", "_hour").agg(F.min_by(F.struct("ts", "_start"), F.struct(*order)).alias("_first"))
+    firsts = firsts.select("_mid", "_hour", F.lead("_first").over(Window.partitionBy("_mid").orderBy("_hour")).alias("_later"))
+    w = Window.partitionBy("_mid", "_hour").orderBy(*order)
+    rows = rows.join(firsts, ["_mid", "_hour"])
+    after = {"_next": F.coalesce(F.lead("ts").over(w), F.col("_later.ts")), "_starts": F.coalesce(F.lead("_start").over(w), F.col("_later._start"))}
+    return rows.withColumns(after).select(*pages.columns, "_start", "_next", "_starts")
+
+
+def bounced(limit_ms: int) -> Column:
+    """Of rows of ``with_next``: session starts whose visitor's next page starts a session, comes ``limit_ms`` later or not at all."""
+    return F.col("_start") & (F.col("_next").isNull() | F.col("_starts") | (F.col("_next") - F.col("ts") >= limit_ms))
 
 
 def bounces(pages: DataFrame, limit_ms: int = 10_000, tie: list[str] | None = None) -> DataFrame:
-    """Session starts (no last page) whose visitor's next page starts a session, comes ``limit_ms`` later or not at all."""
-    w = Window.partitionBy("common.mid").orderBy("ts", *(tie or []))
-    start = F.col("page.last_page_id").isNull()
-    rows = pages.withColumn("_next", F.lead("ts").over(w)).withColumn("_starts", F.lead(start).over(w))
-    gone = F.col("_next").isNull() | F.col("_starts") | (F.col("_next") - F.col("ts") >= limit_ms)
-    return rows.where(start & gone).drop("_next", "_starts")
+    """Session starts (no last page) whose visitor's next page starts a session, comes ``limit_ms`` later or not at all; views without a visitor go."""
+    return with_next(pages, tie).where(bounced(limit_ms)).select(*pages.columns)
 
 
 def daily_logins(pages: DataFrame, tie: list[str] | None = None, away_days: int = 7) -> DataFrame:
@@ -64,8 +86,15 @@ def daily_logins(pages: DataFrame, tie: list[str] | None = None, away_days: int
 
 
 def unique_and_new(rows: DataFrame, user: str, time: str, tie: list[str], unique: str, new: str) -> DataFrame:
-    """Rows with flags: ``unique`` 1 on a user's first row of a day, ``new`` 1 on the user's first row ever."""
-    order = [F.col(time), *map(F.col, tie)]
-    day = F.row_number().over(Window.partitionBy(user, F.to_date(time)).orderBy(*order))
-    ever = F.row_number().over(Window.partitionBy(user).orderBy(*order))
-    return rows.withColumn(unique, (day == 1).cast("long")).withColumn(new, (ever == 1).cast("long"))
+    """Rows with flags: ``unique`` 1 on a user's first row of a day, ``new`` 1 on the user's first row ever.
+
+    The first row ever is the first one of the first day, so a task orders one user's rows of one day only. Rows without a
+    user or a time are the first of nothing.
+    """
+    day = F.to_date(time)
+    first_day = rows.where(F.col(user).isNotNull()).groupBy(F.col(user).alias("_user")).agg(F.min(day).alias("_first"))
+    own = F.coalesce(F.col(user).cast("string"), F.concat(F.lit("\0"), F.xxhash64(time, *tie).cast("string")))  # rows without a user stay apart
+    n = F.row_number().over(Window.partitionBy(own, day).orderBy(F.col(time), *map(F.col, tie)))
+    out = rows.withColumn("_n", F.when(F.col(user).isNotNull() & day.isNotNull(), n)).join(first_day, F.col(user) == F.col("_user"), "left")
+    flag = lambda x: F.coalesce(x, F.lit(False)).cast("long")
+    return out.withColumn(unique, flag(F.col("_n") == 1)).withColumn(new, flag((F.col("_n") == 1) & (day == F.col("_first")))).drop("_n", "_user", "_first")

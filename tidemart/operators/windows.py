@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import explode_words
 from ..functions.times import bounds
 from .dims import name_of
+from .keyed import bounced, with_next
 
 WIDTH = "10 seconds"
 _MONEY = "decimal(38,6)"
@@ -59,17 +60,13 @@ def traffic_rows(page: DataFrame, visitors: DataFrame, jumps: DataFrame) -> Data
 
 
 def traffic_flags(page: DataFrame, limit_ms: int = 10_000) -> DataFrame:
-    """What ``traffic_rows`` sums up, as one row for each page view of a batch: all flags from one exchange by visitor."""
+    """What ``traffic_rows`` sums up, as one row for each page view of a batch; no task orders more than a visitor's day."""
     mid, day = F.col("common.mid"), F.to_date(F.timestamp_millis("ts"))
-    start = F.col("page.last_page_id").isNull()
-    own = Window.partitionBy(mid).orderBy("ts")
-    first = start & (F.row_number().over(Window.partitionBy(mid, day, start).orderBy("ts")) == 1)
-    next_ms = F.lead("ts").over(own)
-    jump = start & (next_ms.isNull() | F.lead(start).over(own) | (next_ms - F.col("ts") >= limit_ms))
-    return page.where("common.mid IS NOT NULL").select(
+    first = F.col("_start") & (F.row_number().over(Window.partitionBy(mid, day, "_start").orderBy("ts")) == 1)
+    return with_next(page).withColumns({"_unique": first, "_jump": bounced(limit_ms)}).select(
         F.timestamp_millis("ts").alias("rt"), *(F.col(f"common.{c}") for c in ("vc", "ch", "ar", "is_new")),
-        first.cast("long").alias("uv_ct"), start.cast("long").alias("sv_ct"), F.lit(1).cast("long").alias("pv_ct"),
-        F.coalesce("page.during_time", F.lit(0)).cast("long").alias("dur_sum"), jump.cast("long").alias("uj_ct"),
+        F.col("_unique").cast("long").alias("uv_ct"), F.col("_start").cast("long").alias("sv_ct"), F.lit(1).cast("long").alias("pv_ct"),
+        F.coalesce("page.during_time", F.lit(0)).cast("long").alias("dur_sum"), F.col("_jump").cast("long").alias("uj_ct"),
     )
 
 
@@ -100,8 +97,9 @@ def payment(flagged: DataFrame, width: str = WIDTH) -> DataFrame:
 
 
 def trade_order(flagged: DataFrame, width: str = WIDTH) -> DataFrame:
-    money = lambda c: F.coalesce(F.col(c).cast("decimal(18,4)"), F.lit(0))
-    origin = F.col("order_price").cast("decimal(18,2)") * F.col("sku_num").cast("decimal(12,2)")
+    """Amounts that are no numbers count as none."""
+    money = lambda c: F.coalesce(F.col(c).try_cast("decimal(18,4)"), F.lit(0))
+    origin = F.col("order_price").try_cast("decimal(18,2)") * F.col("sku_num").try_cast("decimal(12,2)")
     return summarize(
         flagged, width, [], *_sums("order_unique_user_count", "order_new_user_count"),
         F.sum(money("split_activity_amount")).cast(_MONEY).alias("order_activity_reduce_amount"),
@@ -111,7 +109,8 @@ def trade_order(flagged: DataFrame, width: str = WIDTH) -> DataFrame:
 
 
 def _amount() -> Column:
-    return F.sum(F.col("split_total_amount").cast("decimal(18,4)")).cast(_MONEY).alias("order_amount")
+    """Amounts that are no numbers count as none."""
+    return F.sum(F.col("split_total_amount").try_cast("decimal(18,4)")).cast(_MONEY).alias("order_amount")
 
 
 def user_spu_order(rows: DataFrame, spu: DataFrame, trademark: DataFrame, chain: DataFrame, width: str = WIDTH) -> DataFrame:

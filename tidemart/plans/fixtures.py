@@ -11,7 +11,9 @@ from ..schemas import LOG
 #: The code dictionary (fixed values of the feeds).
 CODES = ["1101", "1102", "1103", "1201", "1202", "1203", "1204", "1301", "1302", "1303", "1304", "1305", "1306", "1307", "1501", "1502", "2401", "2402", "2403", "2404"]
 #: Source table, sink table, columns and key of three dimensions.
-ROUTES = [("part", "dim_sku_info", "id,tm_id", "id"), ("nation", "dim_base_province", "id,name", "id"), ("region", "dim_base_region", "id", "id")]
+ROUTES = [("part", "dim_sku_info", "id,tm_id", "id"), ("nation", "dim_base_province", "id,name", None), ("region", "dim_base_region", "id", "id")]
+#: The shop's database, and another whose tables have the same names: jobs must not mix them.
+DATABASE, OTHER = "shop", "branch"
 #: Tie-breaks of details with equal ids and times.
 DETAIL_TIES = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
@@ -30,9 +32,9 @@ def config(spark: SparkSession) -> DataFrame:
     return _values(spark, ["source_table", "sink_table", "sink_columns", "sink_pk", "sink_extend"], [(*r, "") for r in ROUTES])
 
 
-def _values(spark: SparkSession, names: list[str], rows: list[tuple[str, ...]]) -> DataFrame:
+def _values(spark: SparkSession, names: list[str], rows: list[tuple[str | None, ...]]) -> DataFrame:
     """A table of settings as a literal, whose size the optimizer knows."""
-    listed = ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in rows)
+    listed = ", ".join("(" + ", ".join("CAST(NULL AS STRING)" if v is None else f"'{v}'" for v in row) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {listed} AS t({', '.join(names)})")
 
 
@@ -44,17 +46,33 @@ def _money(c: str) -> Column:
     return F.col(c).cast("decimal(18,2)")
 
 
-def _change(rows: DataFrame, name: str, kind: str, time: Column, data: dict[str, Column], old: dict[str, Column] | None = None) -> DataFrame:
+def _change(rows: DataFrame, name: str, kind: str, time: Column, data: dict[str, Column], old: dict[str, Column] | None = None, database: str = DATABASE) -> DataFrame:
     def as_map(columns: dict[str, Column] | None) -> Column:
         pairs = [x for k, v in (columns or {}).items() for x in (F.lit(k), v.cast("string"))]
         return F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
 
     return rows.select(
-        F.lit("shop").alias("database"), F.lit(name).alias("table"), F.lit(kind).alias("type"), F.unix_seconds(time).cast("string").alias("ts"),
+        F.lit(database).alias("database"), F.lit(name).alias("table"), F.lit(kind).alias("type"), F.unix_seconds(time).cast("string").alias("ts"),
         as_map(data).alias("data"), as_map(old).alias("old"),
     )
 
 
+def elsewhere(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Changes of tables of these names in the other database, with keys and codes that would pass for the shop's."""
+    rows = table(spark, sf_dir, "nation")
+    key, day = F.col("n_nationkey") + 1, F.to_timestamp(F.lit("2024-01-01"))
+    keys = {c: key for c in ("id", "order_id", "order_detail_id", "user_id", "sku_id", "province_id", "coupon_id", "activity_id", "spu_id", "tm_id")}
+    codes = {"source_type": "2401", "payment_type": "1101", "refund_type": "1501", "refund_reason_type": "1301", "appraise": "1201", "payment_status": "1602", "refund_status": "0705", "sku_num": "9", "refund_num": "9"}
+    data = keys | {k: F.lit(v) for k, v in codes.items()} | {c: _text(day) for c in ("create_time", "callback_time", "operate_time", "get_time", "using_time", "used_time")}
+    before = {c: F.lit("1401" if c == "coupon_status" else "1") for c in ("order_status", "refund_status", "sku_num", "coupon_status")}
+    out = None
+    for name in names:
+        for kind, status in (("insert", "1001"), ("update", "1003"), ("update", "1005"), ("update", "1006")):
+            part = _change(rows, name, kind, day, data | {"order_status": F.lit(status), "coupon_status": F.lit("1402")}, before, OTHER)
+            out = part if out is None else out.union(part)
+    return out
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders")
     seconds = F.make_dt_interval(secs=F.col("o_orderkey") % 86400)
@@ -75,7 +93,7 @@ def order_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "1003").otherwise("1005")
     second = _change(rows.where("o_orderstatus IN ('F', 'P')"), "order_info", "update", later, data(status), {"order_status": F.lit("1001")})
     third = _change(rows.where("o_orderstatus = 'P' AND o_orderkey % 2 = 0"), "order_info", "update", later, data(F.lit("1006")), {"order_status": F.lit("1005")})
-    return first.union(second).union(third)
+    return first.union(second).union(third).union(elsewhere(spark, sf_dir, "order_info"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +114,7 @@ def order_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
         "create_time": _text(F.col("made")), "source_type": 2401 + F.col("l_suppkey") % 4, "source_id": F.col("l_suppkey"), "split_total_amount": F.col("price") - cut,
         "split_activity_amount": F.when(F.col("l_returnflag") == "A", cut), "split_coupon_amount": F.when(F.col("l_returnflag") == "R", cut),
     }
-    return _change(rows, "order_detail", "insert", F.col("l_shipdate"), data)
+    return _change(rows, "order_detail", "insert", F.col("l_shipdate"), data).union(elsewhere(spark, sf_dir, "order_detail"))
 
 
 def order_detail_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,14 +123,14 @@ def order_detail_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
     for flag, kind in (("A", "activity"), ("R", "coupon")):
         data = {"id": F.concat(F.lit(kind[0]), "id"), "order_id": F.col("l_orderkey"), "order_detail_id": F.col("id"), f"{kind}_id": F.col("l_suppkey")}
         parts.append(_change(rows.where(F.col("l_returnflag") == flag), f"order_detail_{kind}", "insert", F.col("l_shipdate"), data))
-    return parts[0].union(parts[1])
+    return parts[0].union(parts[1]).union(elsewhere(spark, sf_dir, "order_detail_activity", "order_detail_coupon"))
 
 
 def payment_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = orders(spark, sf_dir).where("o_orderstatus = 'O'")
     paid = F.col("made") + F.make_dt_interval(secs=F.when(F.col("o_orderkey") % 5 == 0, 1200).otherwise(600))
     data = {"order_id": F.col("o_orderkey"), "user_id": F.col("o_custkey"), "payment_type": 1101 + F.col("o_orderkey") % 3, "payment_status": F.lit("1602"), "callback_time": _text(paid)}
-    return _change(rows, "payment_info", "update", paid, data, {"payment_status": F.lit("1601")})
+    return _change(rows, "payment_info", "update", paid, data, {"payment_status": F.lit("1601")}).union(elsewhere(spark, sf_dir, "payment_info"))
 
 
 def refunds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +153,7 @@ def refunds(spark: SparkSession, sf_dir: str) -> DataFrame:
         _change(rows, "order_refund_info", "insert", asked, data("0701"))
         .union(_change(even, "order_refund_info", "update", asked, data("0705"), {"refund_status": F.lit("0701")}))
         .union(_change(even, "refund_payment", "update", asked, payment, {"refund_status": F.lit("0701")}))
+        .union(elsewhere(spark, sf_dir, "order_refund_info", "refund_payment"))
     )
 
 
@@ -143,7 +162,7 @@ def cart_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = {"id": F.col("event_id"), "user_id": F.col("user_id"), "sku_id": F.col("event_id") % 200, "create_time": _text(F.col("ts")), "source_type": 2401 + F.col("event_id") % 4}
     before = F.when(F.col("event_id") % 11 != 0, F.col("event_id") % 4)
     clicks = _change(rows.where("event_type = 'click'"), "cart_info", "insert", F.col("ts"), base | {"sku_num": 1 + F.col("event_id") % 3})
-    return clicks.union(_change(rows.where("event_type = 'purchase'"), "cart_info", "update", F.col("ts"), base | {"sku_num": F.col("event_id") % 6}, {"sku_num": before}))
+    return clicks.union(_change(rows.where("event_type = 'purchase'"), "cart_info", "update", F.col("ts"), base | {"sku_num": F.col("event_id") % 6}, {"sku_num": before})).union(elsewhere(spark, sf_dir, "cart_info"))
 
 
 def coupon_use(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +173,7 @@ def coupon_use(spark: SparkSession, sf_dir: str) -> DataFrame:
         _change(rows, "coupon_use", "insert", F.col("made"), data | {"get_time": time, "coupon_status": F.lit("1401")})
         .union(_change(rows.where("o_orderkey % 2 = 0"), "coupon_use", "update", F.col("made"), data | {"using_time": time, "coupon_status": F.lit("1402")}, {"coupon_status": F.lit("1401")}))
         .union(_change(rows.where("o_orderkey % 4 = 0"), "coupon_use", "update", F.col("made"), data | {"used_time": time, "coupon_status": F.lit("1403")}, {"coupon_status": F.lit("1402")}))
+        .union(elsewhere(spark, sf_dir, "coupon_use"))
     )
 
 
@@ -162,12 +182,14 @@ def favors_and_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = {"id": F.col("event_id"), "user_id": F.col("user_id"), "sku_id": F.col("event_id") % 200, "create_time": _text(F.col("ts"))}
     favors = _change(rows.where("event_type = 'view'"), "favor_info", "insert", F.col("ts"), data)
     more = {"spu_id": F.col("event_id") % 50, "order_id": F.col("event_id") * 2, "appraise": 1201 + F.col("event_id") % 5}
-    return favors.union(_change(rows.where("event_type = 'purchase'"), "comment_info", "insert", F.col("ts"), data | more))
+    comments = _change(rows.where("event_type = 'purchase'"), "comment_info", "insert", F.col("ts"), data | more)
+    return favors.union(comments).union(elsewhere(spark, sf_dir, "favor_info", "comment_info"))
 
 
 def user_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.to_timestamp(F.lit("2024-01-01")) + F.make_dt_interval(secs=F.col("c_custkey") * 37)
-    return _change(table(spark, sf_dir, "customer"), "user_info", "insert", made, {"id": F.col("c_custkey"), "create_time": _text(made)})
+    rows = _change(table(spark, sf_dir, "customer"), "user_info", "insert", made, {"id": F.col("c_custkey"), "create_time": _text(made)})
+    return rows.union(elsewhere(spark, sf_dir, "user_info"))
 
 
 def dimension_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,8 +204,8 @@ def dimension_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = day + F.expr("INTERVAL 1 HOUR")
     parts.append(_change(sku.where("p_partkey % 3 = 0"), "part", "update", later, {"id": F.col("p_partkey"), "tm_id": F.concat(F.col("p_brand"), F.lit("*"))}, {"tm_id": F.col("p_brand")}))
     parts.append(_change(table(spark, sf_dir, "supplier"), "supplier", "insert", day, {"id": F.col("s_suppkey")}))
-    out = parts[0]
-    for part in parts[1:]:
+    out = elsewhere(spark, sf_dir, "part", "nation")
+    for part in parts:
         out = out.union(part)
     return out
 

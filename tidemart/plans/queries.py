@@ -33,13 +33,17 @@ def query(work: Query) -> Query:
 @query
 def cdc_parse(spark: SparkSession, d: str) -> DataFrame:
     raw = X.order_info(spark, d).select(F.to_json(F.struct("*")).alias("value"))
-    rows = feeds.parse_changes(raw)
+    rows = C.of_database(feeds.parse_changes(raw), X.DATABASE)
     return rows.select("table", "type", F.col("ts").cast("long").alias("ts"), C.new("id").alias("id"), C.new("order_status").alias("status"), C.old("order_status").alias("old_status"))
 
 
+def _dimension_changes(spark: SparkSession, d: str) -> DataFrame:
+    return C.of_database(X.dimension_changes(spark, d), X.DATABASE)
+
+
 @query
 def cdc_keep_types(spark: SparkSession, d: str) -> DataFrame:
-    return C.keep_types(X.dimension_changes(spark, d)).select("table", "type", C.new("id").alias("id"))
+    return C.keep_types(_dimension_changes(spark, d)).select("table", "type", C.new("id").alias("id"))
 
 
 @query
@@ -50,25 +54,25 @@ def dic_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
-    rows = X.order_info(spark, d).select(C.new("id").alias("id"), C.new("order_status").alias("status"), F.col("ts").cast("long").alias("ts"))
+    rows = C.of_database(X.order_info(spark, d), X.DATABASE).select(C.new("id").alias("id"), C.new("order_status").alias("status"), F.col("ts").cast("long").alias("ts"))
     return sinks.upsert(None, rows, ["id"], ["ts", "status"])
 
 
 @query
 def dim_filter_columns(spark: SparkSession, d: str) -> DataFrame:
-    rows = C.route(X.dimension_changes(spark, d), X.config(spark))
+    rows = C.route(_dimension_changes(spark, d), X.config(spark))
     return rows.select("sink_table", "type", F.array_join(F.array_sort(F.map_keys("data")), ",").alias("columns"), F.col("data")["id"].alias("id"))
 
 
 @query
 def dim_route(spark: SparkSession, d: str) -> DataFrame:
-    rows = C.route(X.dimension_changes(spark, d), X.config(spark))
+    rows = C.route(_dimension_changes(spark, d), X.config(spark))
     return rows.select("sink_table", "type", F.col("ts").cast("long").alias("ts"), *(F.col("data")[c].alias(c) for c in ("id", "tm_id", "name")))
 
 
 @query
 def dim_upsert(spark: SparkSession, d: str) -> DataFrame:
-    rows = C.route(X.dimension_changes(spark, d), X.config(spark))
+    rows = C.route(_dimension_changes(spark, d), X.config(spark))
     rows = rows.select("sink_table", F.col("data")[F.col("sink_pk")].alias("pk"), F.col("ts").cast("long").alias("ts"), "type", *(F.col("data")[c].alias(c) for c in ("tm_id", "name")))
     return sinks.partial_upsert(rows, ["sink_table", "pk"], ["tm_id", "name"], ["ts", "type"])
 
@@ -145,9 +149,10 @@ def dwd_user_jump(spark: SparkSession, d: str) -> DataFrame:
 # facts
 
 
-def _wide(spark: SparkSession, d: str) -> DataFrame:
-    feed = X.order_detail(spark, d).union(X.order_info(spark, d)).union(X.order_detail_extras(spark, d))
-    return facts.order_pre_process(feed, X.dictionary(spark))
+def _wide(spark: SparkSession, d: str, extras: bool = True) -> DataFrame:
+    feed = X.order_detail(spark, d).union(X.order_info(spark, d))
+    feed = feed.union(X.order_detail_extras(spark, d)) if extras else feed
+    return facts.order_pre_process(feed, X.dictionary(spark), database=X.DATABASE, extras=extras)
 
 
 def _numbers(rows: DataFrame) -> DataFrame:
@@ -161,7 +166,7 @@ _SHOWN = ["id", "order_id", "user_id", "sku_id", "sku_num", "order_price", "prov
 
 @query
 def dwd_cart_add(spark: SparkSession, d: str) -> DataFrame:
-    return _numbers(facts.cart_add(X.cart_info(spark, d), X.dictionary(spark)).select("id", "user_id", "sku_id", "sku_num", "create_time", "source_type_id", "source_type_name"))
+    return _numbers(facts.cart_add(X.cart_info(spark, d), X.dictionary(spark), X.DATABASE).select("id", "user_id", "sku_id", "sku_num", "create_time", "source_type_id", "source_type_name"))
 
 
 @query
@@ -180,7 +185,8 @@ def dwd_cancel_detail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _paid(spark: SparkSession, d: str, **options: object) -> DataFrame:
-    return facts.pay_detail_suc(X.payment_info(spark, d), facts.order_detail(_wide(spark, d)), X.dictionary(spark), **options)
+    details = facts.order_detail(_wide(spark, d, extras=False))
+    return facts.pay_detail_suc(X.payment_info(spark, d), details, X.dictionary(spark), database=X.DATABASE, **options)
 
 
 _PAID = ["p_order_id", "order_detail_id", "user_id", "sku_id", "payment_type_id", "payment_type_name", "callback_time", "split_total_amount"]
@@ -197,7 +203,7 @@ def pay_detail_inner(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _refunds(spark: SparkSession, d: str) -> DataFrame:
-    return facts.order_refund(X.refunds(spark, d).union(X.order_info(spark, d)), X.dictionary(spark))
+    return facts.order_refund(X.refunds(spark, d).union(X.order_info(spark, d)), X.dictionary(spark), database=X.DATABASE)
 
 
 @query
@@ -207,38 +213,38 @@ def dwd_order_refund(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dwd_refund_pay_suc(spark: SparkSession, d: str) -> DataFrame:
-    rows = facts.refund_pay_suc(X.refunds(spark, d).union(X.order_info(spark, d)), X.dictionary(spark))
+    rows = facts.refund_pay_suc(X.refunds(spark, d).union(X.order_info(spark, d)), X.dictionary(spark), database=X.DATABASE)
     return _numbers(rows.select("id", "user_id", "order_id", "sku_id", "province_id", "payment_type_id", "payment_type_name", "refund_num", "total_amount", "callback_time"))
 
 
 @query
 def dwd_coupon_get(spark: SparkSession, d: str) -> DataFrame:
-    return facts.coupon_get(X.coupon_use(spark, d)).select("id", "coupon_id", "user_id", "get_time")
+    return facts.coupon_get(X.coupon_use(spark, d), X.DATABASE).select("id", "coupon_id", "user_id", "get_time")
 
 
 @query
 def dwd_coupon_order(spark: SparkSession, d: str) -> DataFrame:
-    return facts.coupon_order(X.coupon_use(spark, d)).select("id", "coupon_id", "user_id", "order_id", "using_time")
+    return facts.coupon_order(X.coupon_use(spark, d), X.DATABASE).select("id", "coupon_id", "user_id", "order_id", "using_time")
 
 
 @query
 def dwd_coupon_pay(spark: SparkSession, d: str) -> DataFrame:
-    return facts.coupon_pay(X.coupon_use(spark, d)).select("id", "coupon_id", "user_id", "order_id", "used_time")
+    return facts.coupon_pay(X.coupon_use(spark, d), X.DATABASE).select("id", "coupon_id", "user_id", "order_id", "used_time")
 
 
 @query
 def dwd_favor_add(spark: SparkSession, d: str) -> DataFrame:
-    return facts.favor_add(X.favors_and_comments(spark, d)).select("id", "user_id", "sku_id", "create_time")
+    return facts.favor_add(X.favors_and_comments(spark, d), X.DATABASE).select("id", "user_id", "sku_id", "create_time")
 
 
 @query
 def dwd_comment(spark: SparkSession, d: str) -> DataFrame:
-    return facts.comment(X.favors_and_comments(spark, d), X.dictionary(spark)).select("id", "user_id", "sku_id", "spu_id", "order_id", "appraise_type_id", "appraise_type_name", "create_time")
+    return facts.comment(X.favors_and_comments(spark, d), X.dictionary(spark), X.DATABASE).select("id", "user_id", "sku_id", "spu_id", "order_id", "appraise_type_id", "appraise_type_name", "create_time")
 
 
 @query
 def dwd_user_register(spark: SparkSession, d: str) -> DataFrame:
-    return facts.user_register(X.user_info(spark, d)).select("id", "create_time", F.col("ts").cast("long").alias("ts"))
+    return facts.user_register(X.user_info(spark, d), X.DATABASE).select("id", "create_time", F.col("ts").cast("long").alias("ts"))
 
 
 # keyed work and dimensions
@@ -250,8 +256,8 @@ def _by_time() -> list[str | Column]:
 
 
 def _details(spark: SparkSession, d: str, last: bool) -> DataFrame:
-    """Order details once per id: the first or the last by change time."""
-    rows = facts.order_detail(_wide(spark, d))
+    """Order details once per id: the first or the last by change time. The jobs on them use neither activities nor coupons."""
+    rows = facts.order_detail(_wide(spark, d, extras=False))
     rows = keyed.latest(rows, ["id"], _by_time()) if last else keyed.first(rows, ["id"], _by_time())
     return rows.withColumn("rt", parse(F.col("create_time")))
 
@@ -268,7 +274,7 @@ def dedup_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dim_enrich_sku(spark: SparkSession, d: str) -> DataFrame:
-    rows = X.order_detail(spark, d).select(C.new("id").alias("id"), C.new("sku_id").alias("sku_id"))
+    rows = C.of_database(X.order_detail(spark, d), X.DATABASE).select(C.new("id").alias("id"), C.new("sku_id").alias("sku_id"))
     return D.enrich_sku(rows, X.dims(spark, d)["sku"])
 
 
@@ -286,74 +292,82 @@ def keyword_tokens(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "part").select("p_partkey", F.explode(tokens(F.concat(F.col("p_name"), F.lit(" 手机壳 A1")))).alias("keyword"))
 
 
-# summaries
+# summaries: the rows with their event time ``rt``, and what sums them up
 
 
-@query
-def dws_keyword_window(spark: SparkSession, d: str) -> DataFrame:
-    return windows.keyword(windows.searches(logs.pages(X.log(spark, d))), DAY)
+def _searches(spark: SparkSession, d: str) -> DataFrame:
+    return windows.searches(logs.pages(X.log(spark, d)))
 
 
-@query
-def dws_traffic_window(spark: SparkSession, d: str) -> DataFrame:
-    return windows.traffic(windows.traffic_flags(_pages(spark, d), BOUNCE_MS), HOUR)
+def _traffic(spark: SparkSession, d: str) -> DataFrame:
+    return windows.traffic_flags(_pages(spark, d), BOUNCE_MS)
 
 
-@query
-def dws_page_view_window(spark: SparkSession, d: str) -> DataFrame:
+def _first_views(spark: SparkSession, d: str) -> DataFrame:
     rows = logs.pages(X.log(spark, d)).where(F.col("page.page_id").isin("home", "good_detail"))
     rows = rows.select(F.col("common.mid").alias("mid"), F.col("page.page_id").alias("page_id"), F.timestamp_millis("ts").alias("rt"))
-    return windows.page_view(keyed.first_per_day(rows, ["mid", "page_id"], "rt", []), HOUR)
+    return keyed.first_per_day(rows, ["mid", "page_id"], "rt", [])
 
 
-@query
-def dws_user_login_window(spark: SparkSession, d: str) -> DataFrame:
-    return windows.user_login(keyed.daily_logins(logs.pages(X.log(spark, d))), HOUR)
+def _logins(spark: SparkSession, d: str) -> DataFrame:
+    return keyed.daily_logins(logs.pages(X.log(spark, d)))
 
 
-@query
-def dws_user_register_window(spark: SparkSession, d: str) -> DataFrame:
-    return windows.user_register(facts.user_register(X.user_info(spark, d)).withColumn("rt", parse(F.col("create_time"))), HOUR)
+def _registrations(spark: SparkSession, d: str) -> DataFrame:
+    return facts.user_register(X.user_info(spark, d), X.DATABASE).withColumn("rt", parse(F.col("create_time")))
 
 
-@query
-def dws_cart_add_window(spark: SparkSession, d: str) -> DataFrame:
-    rows = facts.cart_add(X.cart_info(spark, d), X.dictionary(spark)).withColumn("rt", parse(F.coalesce("operate_time", "create_time")))
-    return windows.cart_add(keyed.first_per_day(rows, ["user_id"], "rt", ["id"]), HOUR)
+def _cart_firsts(spark: SparkSession, d: str) -> DataFrame:
+    rows = facts.cart_add(X.cart_info(spark, d), X.dictionary(spark), X.DATABASE).withColumn("rt", parse(F.coalesce("operate_time", "create_time")))
+    return keyed.first_per_day(rows, ["user_id"], "rt", ["id"])
 
 
-@query
-def dws_payment_window(spark: SparkSession, d: str) -> DataFrame:
+def _payments(spark: SparkSession, d: str) -> DataFrame:
     rows = keyed.latest(_paid(spark, d).where("order_detail_id IS NOT NULL"), ["order_detail_id"], _by_time())
     rows = rows.withColumn("rt", parse(F.col("callback_time"))).withColumn("day", date_part(F.col("callback_time")))
-    return windows.payment(keyed.unique_and_new(rows, "user_id", "rt", ["order_detail_id"], "payment_suc_unique_user_count", "payment_new_user_count"), DAY)
+    return keyed.unique_and_new(rows, "user_id", "rt", ["order_detail_id"], "payment_suc_unique_user_count", "payment_new_user_count")
 
 
-def _amounts(rows: DataFrame) -> DataFrame:
-    """Amounts as doubles for comparison; they were summed as decimals."""
-    return rows.select(*(F.col(c).cast("double").alias(c) if c.endswith("_amount") else F.col(c) for c in rows.columns))
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    return keyed.unique_and_new(_details(spark, d, False), "user_id", "rt", ["id"], "order_unique_user_count", "order_new_user_count")
 
 
-@query
-def dws_trade_order_window(spark: SparkSession, d: str) -> DataFrame:
-    rows = keyed.unique_and_new(_details(spark, d, False), "user_id", "rt", ["id"], "order_unique_user_count", "order_new_user_count")
-    return _amounts(windows.trade_order(rows, DAY))
+def _sku_orders(spark: SparkSession, d: str) -> DataFrame:
+    return D.enrich_sku(_details(spark, d, False), X.dims(spark, d)["sku"])
 
 
-@query
-def dws_user_spu_order_window(spark: SparkSession, d: str) -> DataFrame:
-    dims = X.dims(spark, d)
-    rows = D.enrich_sku(_details(spark, d, False), dims["sku"])
-    return _amounts(windows.user_spu_order(rows, dims["spu"], dims["trademark"], _chain(dims), DAY))
+def _last_orders(spark: SparkSession, d: str) -> DataFrame:
+    return _details(spark, d, True)
 
 
-@query
-def dws_province_order_window(spark: SparkSession, d: str) -> DataFrame:
-    return _amounts(windows.province_order(_details(spark, d, True), X.dims(spark, d)["province"], DAY))
+def _sku_refunds(spark: SparkSession, d: str) -> DataFrame:
+    return D.enrich_sku(_refunds(spark, d).withColumn("rt", parse(F.col("create_time"))), X.dims(spark, d)["sku"])
 
 
-@query
-def dws_refund_window(spark: SparkSession, d: str) -> DataFrame:
-    dims = X.dims(spark, d)
-    rows = D.enrich_sku(_refunds(spark, d).withColumn("rt", parse(F.col("create_time"))), dims["sku"])
-    return windows.refund(rows, dims["trademark"], _chain(dims), DAY)
+#: Name of a summary -> its rows, and the summary of them (rows, dimensions); a stream of the rows takes the same function.
+SUMMARIES: dict[str, tuple[Query, Callable[[DataFrame, dict[str, DataFrame]], DataFrame]]] = {
+    "keyword": (_searches, lambda rows, dims: windows.keyword(rows, DAY)),
+    "traffic": (_traffic, lambda rows, dims: windows.traffic(rows, HOUR)),
+    "page_view": (_first_views, lambda rows, dims: windows.page_view(rows, HOUR)),
+    "user_login": (_logins, lambda rows, dims: windows.user_login(rows, HOUR)),
+    "user_register": (_registrations, lambda rows, dims: windows.user_register(rows, HOUR)),
+    "cart_add": (_cart_firsts, lambda rows, dims: windows.cart_add(rows, HOUR)),
+    "payment": (_payments, lambda rows, dims: windows.payment(rows, DAY)),
+    "trade_order": (_orders, lambda rows, dims: windows.trade_order(rows, DAY)),
+    "user_spu_order": (_sku_orders, lambda rows, dims: windows.user_spu_order(rows, dims["spu"], dims["trademark"], _chain(dims), DAY)),
+    "province_order": (_last_orders, lambda rows, dims: windows.province_order(rows, dims["province"], DAY)),
+    "refund": (_sku_refunds, lambda rows, dims: windows.refund(rows, dims["trademark"], _chain(dims), DAY)),
+}
+
+
+def _amounts(rows: DataFrame) -> DataFrame:
+    """Amounts as doubles for comparison; they were summed as decimals."""
+    return rows.select(*(F.col(c).cast("double").alias(c) if c.endswith("_amount") else F.col(c) for c in rows.columns))
+
+
+def _summary(name: str) -> Query:
+    rows, summary = SUMMARIES[name]
+    return lambda spark, d: _amounts(summary(rows(spark, d), X.dims(spark, d)))
+
+
+QUERIES |= {f"dws_{name}_window": _summary(name) for name in SUMMARIES}

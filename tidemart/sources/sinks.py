@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.changes import route
 from ..operators.keyed import latest
 
 
@@ -32,23 +36,85 @@ def upsert(old: DataFrame | None, new: DataFrame, key: list[str], order: list[st
 
 def partial_upsert(changes: DataFrame, key: list[str], columns: list[str], order: list[str | Column]) -> DataFrame:
     """One row per key from rows that each set only their non-null columns: every column takes its last value set."""
-    rank = F.struct(*(F.col(c) if isinstance(c, str) else c for c in order))
-    return changes.groupBy(*key).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in columns))
+    return current(column_versions(changes, key, columns, order), key, columns)
 
 
-def replace_partitions(spark: SparkSession, path: str, new: DataFrame, key: list[str], order: list[str | Column], partition: str) -> None:
-    """Merge ``new`` into a table partitioned by ``partition``: only the partitions that it touches are read and written."""
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    touched = [r[0] for r in new.select(partition).distinct().collect()]
+def column_versions(changes: DataFrame, key: list[str], columns: list[str], order: list[str | Column]) -> DataFrame:
+    """One row per key with, for each column, its last value set and when: ``(at, value)``; null if it was never set."""
+    at = F.struct(*(F.col(c) if isinstance(c, str) else c for c in order)).alias("at")
+    return changes.groupBy(*key).agg(*(F.max(F.when(F.col(c).isNotNull(), F.struct(at, F.col(c).alias("value")))).alias(c) for c in columns))
+
+
+def merge_versions(stored: DataFrame | None, new: DataFrame, key: list[str]) -> DataFrame:
+    """Two tables of ``column_versions`` as one: each column keeps its later value. The order of merges is all the same, and a replay changes nothing."""
+    if stored is None:
+        return new
+    both = stored.unionByName(new, allowMissingColumns=True)
+    return both.groupBy(*key).agg(*(F.max(c).alias(c) for c in both.columns if c not in key))
+
+
+def current(versions: DataFrame, key: list[str], columns: list[str] | None = None) -> DataFrame:
+    """What readers see of a table of ``column_versions``: the values."""
+    return versions.select(*key, *(F.col(f"{c}.value").alias(c) for c in columns or [c for c in versions.columns if c not in key]))
+
+
+def read_stored(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+    """A Parquet table, or None if there is none yet."""
     try:
-        old = spark.read.schema(new.schema).parquet(path).where(F.col(partition).isin(touched))
-        merged = upsert(old, new, key, order)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        merged = upsert(None, new, key, order)
-    merged = merged.checkpoint()  # the files read are the ones written
-    merged.repartition(partition).write.mode("overwrite").partitionBy(partition).parquet(path)
+        return None
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """The rows as files of the checkpoint folder, which a table that is read and written needs; the folder must be set, but for one machine."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return rows.checkpoint()
+
+
+def merge_dimensions(batch: DataFrame, config: list[Row], path: str) -> None:
+    """Merge routed changes (``sink_table, sink_pk, type, ts, data``) into a table of column versions for each line of the configuration.
+
+    A table is ``path/sink_table``: the key and the listed columns, each with the time of its last value. A change sets the
+    columns that it names, and a rerun of a batch changes nothing. The configuration is the user's bounded list of dimensions.
+    """
+    rows = _cut(batch)
+    for line in config:
+        pk = line["sink_pk"] or "id"
+        columns = [c for c in line["sink_columns"].split(",") if c != pk]
+        own = rows.where(F.col("sink_table") == line["sink_table"])
+        own = own.select(F.col("data")[pk].alias(pk), F.col("ts").try_cast("long").alias("ts"), "type", *(F.col("data")[c].alias(c) for c in columns)).dropna(subset=[pk])
+        if own.isEmpty():
+            continue
+        table = f"{path}/{line['sink_table']}"
+        merged = merge_versions(read_stored(batch.sparkSession, table), column_versions(own, [pk], columns, ["ts", "type"]), [pk])
+        _cut(merged).write.mode("overwrite").parquet(table)
+
+
+def dimension_stream(changes: DataFrame, config: Callable[[], DataFrame], path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Keep the configured dimensions of a stream of changes; every batch asks ``config`` anew, so lines can come and go."""
+
+    def work(batch: DataFrame, _: int) -> None:
+        lines = config()
+        merge_dimensions(route(batch, lines), lines.collect(), path)
+
+    return foreach_batch(changes, checkpoint, work, available_now)
+
+
+def replace_partitions(spark: SparkSession, path: str, new: DataFrame, key: list[str], order: list[str | Column], partition: str) -> None:
+    """Merge ``new`` into a table partitioned by ``partition``: only the partitions that it touches are read and written."""
+    new = _cut(new)
+    stored = read_stored(spark, path, new.schema)
+    if stored is not None:  # a semi join on the partition, which prunes the files of the others
+        stored = stored.join(new.select(partition).distinct(), partition, "left_semi")
+    merged = _cut(upsert(stored, new, key, order))  # the files read are the ones written
+    merged.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def upsert_stream(df: DataFrame, path: str, checkpoint: str, key: list[str], order: list[str], partition: str, available_now: bool = False) -> StreamingQuery:
@@ -65,6 +131,16 @@ def to_jdbc(batch: DataFrame, **options: str) -> None:
     batch.write.format("jdbc").options(**options).mode("append").save()
 
 
+def append_versions(batch: DataFrame, path: str) -> None:
+    """Append ``versioned`` rows to their days. A replayed batch adds the same rows, of which ``replace_latest`` shows one."""
+    batch.write.mode("append").partitionBy("dt").parquet(path)
+
+
+def versions_stream(df: DataFrame, columns: list[str], ts: Column, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Window results of a stream as ``versioned`` rows in day partitions."""
+    return foreach_batch(versioned(df, columns, ts), checkpoint, lambda batch, _: append_versions(batch, path), available_now)
+
+
 def versioned(df: DataFrame, columns: list[str], ts: Column) -> DataFrame:
     """Window results in the sink's column order, with their version and day."""
     return df.select("stt", "edt", *columns, ts.alias("ts")).withColumn("dt", F.to_date("stt"))

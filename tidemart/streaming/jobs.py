@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.windows import WIDTH, traffic_rows
+from ..operators.windows import traffic as traffic_sums
 from ..sources.sinks import append_stream
 
 #: Watermarks of the summaries: logins wait not at all, the union of three traffic streams waits for the bounces.
@@ -20,9 +22,14 @@ def with_time(df: DataFrame, ms: str = "ms") -> DataFrame:
     return df.withColumn("rt", F.timestamp_millis(ms))
 
 
-def windowed(df: DataFrame, name: str, summary: Callable[[DataFrame], DataFrame], time: str = "rt") -> DataFrame:
-    """The named summary of a stream; rows later than its watermark are dropped."""
-    return summary(df.withWatermark(time, WATERMARKS.get(name, WATERMARK)))
+def windowed(df: DataFrame, name: str, summary: Callable[[DataFrame], DataFrame], time: str = "rt", delay: str | None = None) -> DataFrame:
+    """The named summary of a stream; rows later than its watermark, or than ``delay``, are dropped."""
+    return summary(df.withWatermark(time, delay or WATERMARKS.get(name, WATERMARK)))
+
+
+def traffic(page: DataFrame, visitors: DataFrame, jumps: DataFrame, width: str = WIDTH, delay: str | None = None) -> DataFrame:
+    """The traffic summary of three streams, which land apart: page views, unique visitors and bounces."""
+    return windowed(traffic_rows(page, visitors, jumps), "traffic", lambda rows: traffic_sums(rows, width), delay=delay)
 
 
 def run_to_end(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -121,36 +121,72 @@ class Latest(StatefulProcessor):
         pass
 
 
-class Bounces(StatefulProcessor):
-    """Emits session starts (``starts``) whose next row starts a session, comes ``limit_ms`` later, or does not come in that time."""
+class NewFlag(StatefulProcessor):
+    """Emits every row with ``is_new`` '0' where it says '1' on a day after the key's first day as new; state without end: that day.
+
+    With ``backfill`` a row that says '0' makes all that come later old.
+    """
 
-    def __init__(self, columns: list[str], kinds: str, limit_ms: int = 10_000):
-        self.columns, self.kinds, self.limit_ms = columns, kinds, limit_ms
+    def __init__(self, columns: list[str], backfill: bool = False):
+        self.columns, self.backfill = columns, backfill
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.waiting = handle, handle.getValueState("waiting", self.kinds)
+        self.first = handle.getValueState("first", "day string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        before = dict(zip(self.columns, self.waiting.get(), strict=True)) if self.waiting.exists() else {}
-        out = []
+        first, out = str(self.first.get()[0]) if self.first.exists() else "~", []  # "~": after all days, "": before them
         for row in _rows(rows, ["ms"]):
-            if before and (row["starts"] or int(row["ms"]) - int(before["ms"]) >= self.limit_ms):
-                out.append(before)
-            before = row if row["starts"] else {}
-        if before:
-            self.waiting.update(tuple(_plain(before[c]) for c in self.columns))
-            self.handle.registerTimer(int(before["ms"]) + self.limit_ms)
-        else:
-            self.waiting.clear()
+            new = row["is_new"] == "1"
+            out.append(row | {"is_new": "0"} if new and row["day"] > first else row)
+            first = min(first, row["day"]) if new else "" if self.backfill else first
         if out:
+            self.first.update((first,))
             yield pd.DataFrame(out)[self.columns]
 
+    def close(self) -> None:
+        pass
+
+
+class Bounces(StatefulProcessor):
+    """Emits session starts (``starts``) whose next row starts a session, comes ``limit_ms`` later, or does not come in that time.
+
+    Rows are held until the watermark has passed them and so until none can come between them: order of arrival is all the same.
+    """
+
+    def __init__(self, columns: list[str], kinds: str, limit_ms: int = 10_000, tie: list[str] | None = None):
+        self.columns, self.kinds, self.limit_ms, self.by = columns, kinds, limit_ms, ["ms", *(tie or [])]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getListState("held", self.kinds)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        found = _rows(rows, self.by)
+        if found:
+            self.held.appendList([tuple(_plain(r[c]) for c in self.columns) for r in found])
+            for ms in {int(r["ms"]) for r in found}:
+                self.handle.registerTimer(ms + self.limit_ms)
+        return iter(())
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if self.waiting.exists():
-            row = dict(zip(self.columns, self.waiting.get(), strict=True))
-            if int(row["ms"]) + self.limit_ms <= int(timerValues.getCurrentWatermarkInMs()):
-                self.waiting.clear()
-                yield pd.DataFrame([row])
+        passed = int(timerValues.getCurrentWatermarkInMs())
+        rows = [dict(zip(self.columns, r, strict=True)) for r in self.held.get()]
+        rows.sort(key=lambda r: tuple((r[c] is not None, r[c]) for c in self.by))
+        out, keep = [], []
+        for row, later in zip(rows, [*rows[1:], None], strict=True):
+            over = int(row["ms"]) + self.limit_ms
+            if int(row["ms"]) > passed:
+                keep.append(row)
+            elif row["starts"]:
+                known = later is not None and int(later["ms"]) <= passed
+                if not known and over > passed:
+                    keep.append(row)
+                elif not known or later["starts"] or int(later["ms"]) >= over:
+                    out.append(row)
+        self.held.clear()
+        if keep:
+            self.held.put([tuple(r[c] for c in self.columns) for r in keep])
+        if out:
+            yield pd.DataFrame(out)[self.columns]
 
     def close(self) -> None:
         pass
@@ -200,12 +236,18 @@ def latest(df: DataFrame, key: list[str], time: str, tie: list[str], watermark:
     return rows.groupBy(*key).transformWithStateInPandas(Latest(kept, kinds, tie, wait_ms), kinds, "Append", "EventTime")
 
 
-def bounces(pages: DataFrame, time: str = "rt", watermark: str = "2 seconds", limit_ms: int = 10_000) -> DataFrame:
+def fix_is_new(df: DataFrame, key: str, time: str, backfill: bool = False) -> DataFrame:
+    """A stream's rows with ``is_new`` repaired; ``time`` becomes ``ms`` and ``day``. Rows with a null key go."""
+    rows = _timed(df.dropna(subset=[key]), time)
+    return rows.groupBy(key).transformWithStateInPandas(NewFlag(rows.columns, backfill), _kinds(rows), "Append", "None")
+
+
+def bounces(pages: DataFrame, time: str = "rt", watermark: str = "2 seconds", limit_ms: int = 10_000, tie: list[str] | None = None) -> DataFrame:
     """A stream's bounces; ``pages`` is flat, with ``mid`` and ``last_page_id``. Land the result before a windowed summary."""
     rows = pages.withWatermark(time, watermark).where("mid IS NOT NULL").withColumn("ms", F.unix_millis(time)).withColumn("starts", F.col("last_page_id").isNull())
     kept = [c for c in rows.columns if c != time]
     kinds = _kinds(rows.select(*kept))
-    return rows.groupBy("mid").transformWithStateInPandas(Bounces(kept, kinds, limit_ms), kinds, "Append", "EventTime")
+    return rows.groupBy("mid").transformWithStateInPandas(Bounces(kept, kinds, limit_ms, tie), kinds, "Append", "EventTime")
 
 
 def first_in_watermark(df: DataFrame, key: list[str], time: str, watermark: str = "2 seconds") -> DataFrame:
