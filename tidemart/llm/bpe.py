@@ -13,8 +13,9 @@ up the same kind of tree.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,30 @@ from pyspark.sql import DataFrame
 from .shared import bounded_batches
 
 #: Characters of a part that is encoded alone; bytes of the parts to which a longer match is reduced.
-LEAF = 512
+LEAF = 1024
 PIECE = 64
 #: Matches whose tokens are remembered, and characters of the longest such match.
-CACHE, SHORT = 1 << 17, 32
+CACHE, SHORT = 1 << 18, 32
 #: Characters of the first window on each side of a seam.
 WINDOW = 48
 
 
+class _Tokens(dict):
+    """Tokens of matches, encoded when first asked for; short ones are remembered until there are CACHE of them."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, match: str) -> list[int]:
+        found = self.encode(match)
+        if len(match) <= SHORT:
+            if len(self) >= CACHE:
+                self.clear()
+            self[match] = found
+        return found
+
+
 class Vocabulary:
     """Ranks of byte strings and the split pattern; encodes and decodes whole texts."""
 
@@ -41,7 +58,7 @@ class Vocabulary:
         self.bytes_of = dict(zip(self.ranks.values(), self.ranks, strict=True))
         self.far = 1 + max(self.bytes_of, default=0)  # ranks no pair of parts
         self.pattern = regex.compile(pattern)
-        self.short = lru_cache(CACHE)(self.encode_match)
+        self.tokens = _Tokens(self.encode_match)
         self.pair = lru_cache(65536)(lambda a, b: tuple(self.merge(self.bytes_of[a] + self.bytes_of[b])))
 
     # one match of the pattern, as bytes
@@ -88,14 +105,11 @@ class Vocabulary:
 
     def encode_window(self, text: str) -> list[int]:
         """A stretch of text encoded match by match."""
-        ids: list[int] = []
-        for match in self.pattern.findall(text):
-            ids += self.short(match) if len(match) <= SHORT else self.encode_match(match)
-        return ids
+        return list(chain.from_iterable(map(self.tokens.__getitem__, self.pattern.findall(text))))
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of the whole text."""
-        return np.array([t for part in self._reduce(text, 0, len(text)) for t in part], np.uint32)
+        return np.array(list(chain.from_iterable(self._reduce(text, 0, len(text)))), np.uint32)
 
     def _reduce(self, text: str, a: int, b: int) -> list[list[int]]:
         if b - a <= LEAF:
