@@ -89,6 +89,55 @@ def test_refund_payment_joins_by_sku(spark):
     assert facts.refund_pay_suc(feed, codes).count() == 2 and facts.refund_pay_suc(feed, codes, by_sku=False).count() == 4
 
 
+def test_bad_values_end_no_job(spark):
+    codes = spark.createDataFrame([("1101", "cash"), ("2401", "s"), ("1301", "r"), ("1501", "t")], "dic_code string, dic_name string")
+    feed = [("order_detail", "insert", "x", {"id": "1", "order_id": "1", "source_type": "2401", "create_time": "never"}, None), ("order_info", "insert", None, {"id": "1"}, None)]
+    feed += [("payment_info", "update", "1", {"order_id": "1", "payment_type": "1101", "payment_status": "1602", "callback_time": "soon"}, None), ("payment_info", "update", "1", {"payment_type": "1101", "payment_status": "1602"}, None)]
+    feed += [("order_refund_info", "insert", "1e", {"order_id": "1", "refund_type": "1501", "refund_reason_type": "1301"}, None), ("order_refund_info", "update", "?", {"order_id": "1", "refund_status": "0705"}, {"refund_status": "0"})]
+    feed += [("refund_payment", "update", "", {"order_id": "1", "payment_type": "1101"}, None), (None, "insert", "5", {}, None)]
+    rows = spark.createDataFrame([("shop", t, k, ts, d, o) for t, k, ts, d, o in feed], CHANGE)
+    wide = facts.order_pre_process(rows, codes)
+    assert [r.row_op_ts for r in wide.collect()] == [None] and facts.order_pre_process(rows, codes, retention="1 DAY").count() == 1
+    paid = lambda **o: sorted((r.p_order_id, r.order_detail_id) for r in facts.pay_detail_suc(rows.where("data['order_id'] IS NOT NULL OR `table` <> 'payment_info'"), facts.order_detail(wide), codes, **o).collect())
+    assert paid() == [("1", "1")] and paid(retention_s=905) == [("1", None)] and paid(retention_s=905, how="inner") == []
+    assert facts.pay_detail_suc(rows, facts.order_detail(wide), codes).where("p_order_id IS NULL AND order_detail_id IS NULL").count() == 1
+    assert facts.order_refund(rows, codes).count() == 1 and facts.refund_pay_suc(rows, codes).count() == 0
+    assert C.set_aside(rows).count() == 6
+    bad = spark.createDataFrame([("1", "a", "b", "x", "y", "z"), ("2", "1.5", "2", "3", "4", "5")], "order_id string, order_price string, sku_num string, split_activity_amount string, split_coupon_amount string, split_total_amount string")
+    bad = bad.withColumns({"rt": F.to_timestamp(F.lit("2024-01-01")), "order_unique_user_count": F.lit(1), "order_new_user_count": F.lit(0), "province_id": F.lit("1")})
+    got = windows.trade_order(bad).first()
+    assert (float(got.order_origin_total_amount), float(got.order_activity_reduce_amount), float(got.order_coupon_reduce_amount)) == (3.0, 3.0, 4.0)
+    province = spark.createDataFrame([("1", "p")], "id string, name string")
+    assert [(r.order_count, float(r.order_amount)) for r in windows.province_order(bad, province).collect()] == [(2, 5.0)]
+
+
+def test_changes_of_another_database_stay_out(spark):
+    rows = spark.createDataFrame([(b, "user_info", "insert", "1", {"id": b}, None) for b in ("shop", "branch", None)], CHANGE)
+    assert [r.id for r in facts.user_register(rows, "shop").collect()] == ["shop"] and facts.user_register(rows).count() == 3
+
+
+def test_configuration_changes_with_its_feed(spark):
+    line = lambda t, columns, pk=None: (t, f"dim_{t}", columns, pk, None)
+    kind = "source_table string, sink_table string, sink_columns string, sink_pk string, sink_extend string"
+    feed = [(None, line("a", "id,x"), "r", 1), (None, line("b", "k,y", "k"), "c", 2), (line("a", "id,x"), line("a", "id,x,z"), "u", 3), (line("b", "k,y", "k"), None, "d", 4), (None, line("c", "id"), "c", 5), (line("c", "id"), None, "d", 6), (None, line("c", "id,w"), "c", 7)]
+    config = C.current_config(spark.createDataFrame(feed, f"before struct<{kind.replace(' ', ':')}>, after struct<{kind.replace(' ', ':')}>, op string, ts_ms long".replace(",:", ",")))
+    assert sorted((r.source_table, r.sink_columns) for r in config.collect()) == [("a", "id,x,z"), ("c", "id,w")]
+    routed = C.route(change(spark, [("a", "insert", {"id": "1", "x": "2", "secret": "3"}, None), ("b", "insert", {"k": "1"}, None)]), config).collect()
+    assert [(r.sink_table, r.sink_pk, r.data) for r in routed] == [("dim_a", "id", {"id": "1", "x": "2"})]
+
+
+def test_users_first_rows(spark):
+    rows = spark.createDataFrame([("u", "2024-01-01 05:00:00", "b"), ("u", "2024-01-01 05:00:00", "a"), ("u", "2024-01-02 01:00:00", "c"), (None, "2024-01-01 00:00:00", "d"), ("v", None, "e")], "user string, t string, id string").withColumn("rt", F.to_timestamp("t"))
+    got = {r.id: (r.one, r.first) for r in keyed.unique_and_new(rows, "user", "rt", ["id"], "one", "first").collect()}
+    assert got == {"a": (1, 1), "b": (0, 0), "c": (1, 0), "d": (0, 0), "e": (0, 0)}
+
+
+def test_bounces_across_hours(spark):
+    hour = 3600
+    rows = [("a", 10, None), ("a", hour - 1, None), ("a", hour + 2, "home"), ("a", 5 * hour, None), ("a", 9 * hour, "home"), ("b", hour - 1, None), ("b", hour, None), (None, 5, None)]
+    assert sorted((r.common.mid, r.ts // 1000) for r in keyed.bounces(page(spark, rows)).collect()) == [("a", 10), ("a", 5 * hour), ("b", hour - 1), ("b", hour)]
+
+
 def test_parse_log_splits_dirty_lines(spark):
     good = json.dumps({"common": {"mid": "a"}, "page": {"page_id": "home"}, "ts": 1})
     raw = spark.createDataFrame([(good,), ("not json",), ("{}",), (None,)], "value string")
@@ -121,6 +170,9 @@ def test_tokens(spark):
 def test_partial_upsert_and_replace_latest(spark):
     rows = spark.createDataFrame([("k", 1, "a", None), ("k", 2, None, "b"), ("k", 3, "c", None)], "id string, t int, x string, y string")
     assert [tuple(r) for r in sinks.partial_upsert(rows, ["id"], ["x", "y"], ["t"]).collect()] == [("k", "c", "b")]
+    early, late = (sinks.column_versions(rows.where(w), ["id"], ["x", "y"], ["t"]) for w in ("t <> 2", "t <= 2"))
+    for a, b in ((early, late), (late, early), (sinks.merge_versions(early, late, ["id"]), early)):
+        assert [tuple(r) for r in sinks.current(sinks.merge_versions(a, b, ["id"]), ["id"]).collect()] == [("k", "c", "b")]
     versions = spark.createDataFrame([("s", "e", "d", 1, 1), ("s", "e", "d", 5, 2)], "stt string, edt string, dim string, n int, ts int")
     assert [r.n for r in sinks.replace_latest(versions, ["dim"]).collect()] == [5]
 
@@ -134,6 +186,12 @@ def test_replace_partitions_touches_only_its_days(spark, tmp_path):
     assert sorted((r.id, r.v) for r in spark.read.parquet(path).collect()) == [("a", 2), ("b", 1), ("c", 1)]
 
 
+def test_replace_partitions_sets_nothing_in_the_session(spark, tmp_path):
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    sinks.replace_partitions(spark, f"{tmp_path}/t", spark.createDataFrame([("a", 1, "d")], "id string, t int, dt string"), ["id"], ["t"], "dt")
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
+
+
 def test_window_edges(spark):
     rows = spark.createDataFrame([(t,) for t in ("2024-01-01 00:00:09", "2024-01-01 00:00:10", "2024-01-01 00:00:19")], "t string").select(F.to_timestamp("t").alias("rt"))
     assert sorted((r.stt[-2:], r.register_ct) for r in windows.user_register(rows).collect()) == [("00", 1), ("10", 2)]

@@ -39,6 +39,36 @@ def test_upsert_stream(spark, tmp_path):
     assert sorted((r.id, r.v) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", 2), ("b", 3)]
 
 
+def test_dimension_tables_take_one_batch_after_the_other(spark, tmp_path):
+    """Each change sets its own columns; late and repeated batches do no harm; a table for each line of the configuration."""
+    config = spark.createDataFrame([("a", "dim_a", "id,x,y", None, None), ("b", "dim_b", "k,z", "k", None)], "source_table string, sink_table string, sink_columns string, sink_pk string, sink_extend string")
+    batches = [[("a", "5", {"id": "1", "x": "new"}), ("b", "1", {"k": "9", "z": "q"})], [("a", "4", {"id": "1", "x": "old", "y": "kept"}), ("a", "x", {"id": "2", "y": "no time"}), ("a", "1", {"x": "no key"})]]
+    for i, rows in enumerate([*batches, batches[0]]):
+        spark.createDataFrame([("shop", t, "update", ts, d, None) for t, ts, d in rows], CHANGE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(CHANGE).parquet(f"{tmp_path}/in")
+        sinks.dimension_stream(stream, lambda: config, f"{tmp_path}/dims", f"{tmp_path}/cp", available_now=True).awaitTermination()
+        if i == 0:
+            assert [tuple(r) for r in sinks.current(sinks.read_stored(spark, f"{tmp_path}/dims/dim_a"), ["id"]).collect()] == [("1", "new", None)]
+    got = sorted(tuple(r) for r in sinks.current(sinks.read_stored(spark, f"{tmp_path}/dims/dim_a"), ["id"]).collect())
+    assert got == [("1", "new", "kept"), ("2", None, "no time")]
+    assert [tuple(r) for r in sinks.current(sinks.read_stored(spark, f"{tmp_path}/dims/dim_b"), ["k"]).collect()] == [("9", "q")]
+    assert sinks.read_stored(spark, f"{tmp_path}/dims/dim_c") is None
+
+
+def test_versions_in_day_partitions(spark, tmp_path):
+    row = "stt string, edt string, register_ct long"
+    one = [("2024-01-01 00:00:00", "2024-01-01 00:00:10", 5), ("2024-01-02 00:00:00", "2024-01-02 00:00:10", 6)]
+    for ts, rows in ((1, one), (1, one), (2, [(*one[0][:2], 7)])):  # the second is a replay
+        sinks.append_versions(sinks.versioned(spark.createDataFrame(rows, row), SUMMARIES["user_register"], F.lit(ts)), f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    assert stored.count() == 5 and sorted(p.name for p in tmp_path.joinpath("t").glob("dt=*")) == ["dt=2024-01-01", "dt=2024-01-02"]
+    assert sorted((r.stt[:10], r.register_ct) for r in sinks.replace_latest(stored.drop("dt"), []).collect()) == [("2024-01-01", 7), ("2024-01-02", 6)]
+    spark.createDataFrame(one, row).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(row).parquet(f"{tmp_path}/in")
+    sinks.versions_stream(stream, SUMMARIES["user_register"], F.lit(3), f"{tmp_path}/t", f"{tmp_path}/cp", available_now=True).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/t").where("ts = 3").count() == 2
+
+
 def test_versioned_rows_keep_the_sinks_columns(spark):
     rows = spark.createDataFrame([("2024-01-01 00:00:00", "2024-01-01 00:00:10", 5, "extra")], "stt string, edt string, register_ct long, helper string")
     out = sinks.versioned(rows, SUMMARIES["user_register"], F.lit(7))

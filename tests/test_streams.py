@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemart.operators import facts, keyed, logs, windows
 from tidemart.plans import fixtures as X
+from tidemart.plans.queries import SUMMARIES
+from tidemart.schemas import CHANGE
 from tidemart.streaming import jobs, states
 
 DATA = "/root/testdata/sf0.001"
@@ -57,13 +63,82 @@ def test_unique_visitors(spark, tmp_path):
     same(ended(spark, states.first_per_day(stream, ["mid"], "rt"), tmp_path).select("mid", "ms"), batch.select("mid", "ms"))
 
 
+def jittered(spark, df, tmp_path, time, spread, closing, parts=4, seed=3):
+    """``df`` in files, one a micro-batch, whose rows come up to ``spread`` (in units of ``time``) late and in no order; then a closing row."""
+    rng = np.random.default_rng(seed)
+    number = lambda v: v.timestamp() if hasattr(v, "timestamp") else v
+    rows = [tuple(r) for _, _, r in sorted((number(r[time]) + rng.uniform(0, spread), i, r) for i, r in enumerate(df.collect()))]
+    step = -(-len(rows) // parts)
+    pieces = [spark.createDataFrame(rows[i : i + step], df.schema) for i in range(0, len(rows), step)]
+    for piece in [*pieces, spark.createDataFrame([closing], df.schema)]:
+        piece.coalesce(1).write.mode("append").parquet(f"{tmp_path}/jittered")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/jittered")
+
+
+def nested(rows):
+    return rows.select(F.struct("mid").alias("common"), F.struct("last_page_id").alias("page"), F.col("ms").alias("ts"))
+
+
 def test_bounces(spark, tmp_path):
     rows = flat_pages(spark).select("mid", "last_page_id", "ms")
-    stream = jobs.with_time(as_stream(spark, rows, tmp_path, "ms", ("zz", "home", FAR))).drop("ms")
+    day = 86_400_000
+    stream = jobs.with_time(jittered(spark, rows, tmp_path, "ms", day, ("zz", "home", FAR))).drop("ms")
+    limit = 6 * 3600 * 1000
+    got = ended(spark, states.bounces(stream, "rt", "2 days", limit_ms=limit), tmp_path).select("mid", "ms")
+    same(got, keyed.bounces(nested(rows), limit).select("common.mid", F.col("ts").alias("ms")))
+
+
+def test_a_start_that_comes_late_hides_no_bounce(spark, tmp_path):
+    """Starts at 100 s and 150 s, then in the next batch a view at 90 s: the reference orders by event time."""
+    row = "mid string, last_page_id string, ms long"
+    for part in ([("a", None, 100_000), ("a", None, 150_000)], [("a", "home", 90_000), ("a", "home", 153_000)], [("zz", "home", FAR)]):
+        spark.createDataFrame(part, row).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(row).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = ended(spark, states.bounces(jobs.with_time(stream).drop("ms"), "rt", "100 seconds"), tmp_path)
+    assert [r.ms for r in got.collect()] == [100_000]
+
+
+def test_new_flags(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "1", 10), ("a", "1", 20), ("a", "1", 90_000_000), ("b", "0", 5), ("b", "1", 90_000_000), ("b", "1", 200_000_000), (None, "1", 7)], "mid string, is_new string, ms long")
+    log = rows.select(F.struct("mid", "is_new").alias("common"), F.col("ms").alias("ts"))
+    stream = jobs.with_time(as_stream(spark, rows, tmp_path, "ms")).drop("ms")
+    for backfill in (False, True):
+        got = ended(spark, states.fix_is_new(stream, "mid", "rt", backfill), tmp_path, f"out{backfill}").select("mid", "ms", "is_new")
+        same(got, keyed.fix_is_new(log.where("common.mid IS NOT NULL"), backfill).select("common.mid", F.col("ts").alias("ms"), "common.is_new"))
+
+
+@pytest.mark.parametrize("name", sorted(SUMMARIES))
+def test_summaries(spark, tmp_path, name):
+    """Every summary as a stream of unordered micro-batches gives what the batch gives."""
+    made, summary = SUMMARIES[name]
+    rows, dims = made(spark, DATA).cache(), X.dims(spark, DATA)
+    closing = tuple(datetime.datetime(2090, 1, 1) if c == "rt" else "1" if k == "string" else 0 if k in ("bigint", "int") else None for c, k in rows.dtypes)
+    stream = jittered(spark, rows, tmp_path, "rt", 86_400, closing)
+    got = ended(spark, jobs.windowed(stream, name, lambda df: summary(df, dims), delay="3 days"), tmp_path)
+    same(got.where("stt < '2090'"), summary(rows, dims))
+
+
+def test_traffic_of_three_streams(spark, tmp_path):
+    """Page views, unique visitors and bounces land apart; their union waits for the bounces."""
+    page = logs.pages(X.log(spark, DATA)).cache()
     limit = 6 * 3600 * 1000
-    got = ended(spark, states.bounces(stream, "rt", limit_ms=limit), tmp_path).select("mid", "ms")
-    nested = rows.select(F.struct("mid").alias("common"), F.struct("last_page_id").alias("page"), F.col("ms").alias("ts"))
-    same(got, keyed.bounces(nested, limit).select("common.mid", F.col("ts").alias("ms")))
+    parts = {"page": page, "visitors": logs.unique_visitors(page), "jumps": keyed.bounces(page, limit)}
+    closing = page.limit(1).withColumn("ts", F.lit(FAR))
+    for name, rows in parts.items():
+        for piece in (rows.where("ts % 2 = 0"), rows.where("ts % 2 = 1"), closing, closing.withColumn("ts", F.lit(FAR + 60_000_000))):
+            piece.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    streams = [spark.readStream.schema(page.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}") for name in parts]
+    got = ended(spark, jobs.traffic(*streams, width="1 hour", delay="60 days"), tmp_path)
+    same(got.where("stt < '2090'"), windows.traffic(windows.traffic_flags(page, limit), "1 hour"))
+
+
+def test_rows_later_than_the_watermark_are_dropped(spark, tmp_path):
+    row = "id string, ms long"
+    for part in ([("a", 1_000)], [("b", 100_000)], [("c", 101_000)], [("late", 2_000), ("d", 99_500)], [("z", FAR)]):
+        spark.createDataFrame(part, row).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.with_time(spark.readStream.schema(row).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    got = ended(spark, jobs.windowed(stream, "user_register", windows.user_register), tmp_path)
+    assert sorted((r.stt[-8:], r.register_ct) for r in got.where("stt < '2090'").collect()) == [("00:00:00", 1), ("00:01:30", 1), ("00:01:40", 2)]
 
 
 def test_logins_and_flags(spark, tmp_path):
@@ -89,18 +164,54 @@ def test_dedup_within_watermark(spark, tmp_path):
     assert ended(spark, states.first_in_watermark(stream, ["id"], "rt"), tmp_path).count() == 2
 
 
+CODES = [("2401", "search"), ("1101", "cash"), ("1301", "r"), ("1501", "t")]
+
+
+def feed_stream(spark, tmp_path, rows):
+    """Changes (table, kind, seconds, data, old) as a stream, then closing changes of every table far in the future, twice."""
+    text = lambda x: x and {k: str(v) for k, v in x.items()}
+    rows = [("shop", t, k, str(ts), text(d), text(o)) for t, k, ts, d, o in rows]
+    far = {"id": 99, "order_id": 99, "order_detail_id": 99, "source_type": 1, "payment_status": 1602, "payment_type": 1, "refund_type": 1, "refund_reason_type": 1, "sku_id": 99, "callback_time": "2096-10-02 07:06:40", "create_time": "2096-10-02 07:06:40"}
+    tables = ("order_detail", "order_info", "order_detail_activity", "order_detail_coupon", "payment_info", "order_refund_info", "refund_payment")
+    statuses = ((1005, 1001, "0705"), (1006, 1005, "0705"))
+    end = [("shop", t, k, "4000000000", text(far | {"order_status": s, "refund_status": r}), text({"order_status": b, "refund_status": 1})) for t in tables for k in ("insert", "update") for s, b, r in statuses]
+    for part in (rows, end, end):
+        spark.createDataFrame(part, CHANGE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    return spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), spark.createDataFrame(CODES, "dic_code string, dic_name string"), spark.createDataFrame(rows, CHANGE)
+
+
 def test_wide_order_as_a_stream_of_joins(spark, tmp_path):
-    from tidemart.schemas import CHANGE
-
-    data = lambda **x: {k: str(v) for k, v in x.items()}
-    rows = [("order_detail", "insert", "100", data(id=1, order_id=1, source_type=2401)), ("order_info", "insert", "101", data(id=1, user_id=7)), ("order_detail_coupon", "insert", "101", data(id=5, order_detail_id=1, coupon_id=3)), ("order_detail", "insert", "102", data(id=2, order_id=2, source_type=2401))]
-    rows += [(t, "insert", "4000000000", data(id=99, order_id=99, order_detail_id=99, source_type=1)) for t in ("order_detail", "order_info", "order_detail_activity", "order_detail_coupon")]
-    feed = spark.createDataFrame([("shop", t, k, ts, d, None) for t, k, ts, d in rows], CHANGE)
-    for i, part in enumerate((feed.where("ts <> '4000000000'"), feed.where("ts = '4000000000'"), feed.where("ts = '4000000000'"))):
-        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{i}")
-        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    codes = spark.createDataFrame([("2401", "search")], "dic_code string, dic_name string")
+    rows = [("order_detail", "insert", 100, {"id": 1, "order_id": 1, "source_type": 2401}, None), ("order_info", "insert", 101, {"id": 1, "user_id": 7}, None), ("order_detail_coupon", "insert", 101, {"id": 5, "order_detail_id": 1, "coupon_id": 3}, None), ("order_detail", "insert", 102, {"id": 2, "order_id": 2, "source_type": 2401}, None)]
+    stream, codes, _ = feed_stream(spark, tmp_path, rows)
     wide = facts.order_pre_process(stream, codes, retention="10 SECONDS").select("id", "user_id", "coupon_id", "source_type_name")
     got = sorted(tuple(r) for r in ended(spark, wide, tmp_path).collect())
     assert got == [("1", "7", "3", "search"), ("2", None, None, "search")]
+
+
+def test_payments_as_a_stream(spark, tmp_path):
+    paid = lambda order, at, kind=1101: ("payment_info", "update", 100, {"order_id": order, "payment_type": kind, "payment_status": 1602, "callback_time": f"1970-01-02 {at}"}, None)
+    stream, codes, batch = feed_stream(spark, tmp_path, [paid(1, "00:10:00"), paid(2, "01:00:00"), paid(3, "00:10:00"), paid(1, "00:10:00", 9)])
+    row = "id string, order_id string, create_time string"
+    details = [("d1", "1", "1970-01-02 00:00:00"), ("d2", "1", "1970-01-02 00:01:00"), ("d3", "2", "1970-01-02 00:00:00")]
+    for part in (details, [("z", "99", "2096-10-02 07:06:40")], [("z", "99", "2096-10-02 07:06:40")]):
+        spark.createDataFrame(part, row).coalesce(1).write.mode("append").parquet(f"{tmp_path}/details")
+    landed = spark.readStream.schema(row).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/details")
+    for how, wanted in (("left", [("1", "d1"), ("1", "d2"), ("2", None), ("3", None)]), ("inner", [("1", "d1"), ("1", "d2")])):
+        show = lambda df: sorted((r.p_order_id, r.order_detail_id) for r in df.where("p_order_id <> '99'").collect())
+        assert show(facts.pay_detail_suc(batch, spark.createDataFrame(details, row), codes, how, 905)) == wanted
+        assert show(ended(spark, facts.pay_detail_suc(stream, landed, codes, how, 905).select("p_order_id", "order_detail_id"), tmp_path, how)) == wanted
+
+
+def test_refunds_as_streams(spark, tmp_path):
+    asked = lambda i, order, ts: ("order_refund_info", "insert", ts, {"id": i, "order_id": order, "sku_id": 1, "refund_type": 1501, "refund_reason_type": 1301}, None)
+    turned = lambda order, ts, status, before: ("order_info", "update", ts, {"id": order, "province_id": 8, "user_id": 4, "order_status": status}, {"order_status": before})
+    rows = [asked("a", 1, 100), turned(1, 103, 1005, 1001), asked("b", 2, 100), turned(2, 500, 1005, 1001), asked("c", 3, 100)]
+    rows += [("order_refund_info", "update", 110, {"order_id": o, "sku_id": 1, "refund_num": 2, "refund_status": "0705"}, {"refund_status": "0701"}) for o in (1, 2)]
+    rows += [turned(1, 111, 1006, 1005), turned(2, 700, 1006, 1005), *(("refund_payment", "update", 112, {"id": f"p{o}", "order_id": o, "sku_id": 1, "payment_type": 1101}, None) for o in (1, 2))]
+    stream, codes, batch = feed_stream(spark, tmp_path, rows)
+    for name, job, wanted in (
+        ("refund", lambda df: facts.order_refund(df, codes, "10 SECONDS").select("id", "province_id"), [("a", "8"), ("b", None), ("c", None)]),
+        ("paid", lambda df: facts.refund_pay_suc(df, codes, retention="10 SECONDS").select("id", "refund_num", "user_id"), [("p1", "2", "4")]),
+    ):
+        show = lambda df: sorted(tuple(r) for r in df.where("id <> '99'").collect())
+        assert show(job(batch)) == wanted and show(ended(spark, job(stream), tmp_path, name)) == wanted

@@ -172,7 +172,8 @@ class Bounces(StatefulProcessor):
         rows = [dict(zip(self.columns, r, strict=True)) for r in self.held.get()]
         rows.sort(key=lambda r: tuple((r[c] is not None, r[c]) for c in self.by))
         out, keep = [], []
-        for row, later in zip(rows, [*rows[1:], None], strict=True):
+        for i, row in enumerate(rows):
+            later = rows[i + 1] if i + 1 < len(rows) else None
             over = int(row["ms"]) + self.limit_ms
             if int(row["ms"]) > passed:
                 keep.append(row)
