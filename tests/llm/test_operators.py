@@ -162,6 +162,13 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), ["doc_id"], "size").count() == 0
 
 
+def test_shuffled_edges(spark):
+    rows = spark.createDataFrame([(1, "a", [3, 4], "x"), (None, "b", [3], "y"), (None, "b", [3], "y"), (2, None, [], "z"), (5, "c", None, "w")], "doc_id long, text string, shards array<long>, shard string").withColumn("place", F.lit("clash"))
+    got = sorted((r.shard, r.place, str(r.doc_id)) for r in mixing.shuffled(rows, ["doc_id", "text"]).collect())
+    assert [x[:2] for x in got] == [(3, 0), (3, 1), (3, 2), (4, 0)] and sorted(x[2] for x in got) == ["1", "1", "None", "None"]
+    assert mixing.shuffled(rows.limit(0), ["doc_id"]).count() == 0
+
+
 @pytest.mark.parametrize("text", ["no two alike", "all alike"])
 def test_mixing_of_a_source_with_one_third_null_ids(spark, text):
     rows = [(None if i % 3 == 0 else i, "ab"[i % 2], f"{text} {i if text[0] == 'n' else ''}", 5) for i in range(6000)]
@@ -201,6 +208,26 @@ def test_vectors(spark):
     assert {r.vec_id: r.component_id for r in small.collect()} == {k: v[1] for k, v in got.items()} and hnsw.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_links_of_asked_vectors_are_found_across_shards(spark):
+    """Recall of the links of every vector whose id is divisible by 50, against all rows, over several shards a label."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1200, 24))
+    for i in range(0, 1200, 4):  # a near vector for some, groups for others
+        x[i + 1] = x[i] + rng.normal(size=24) * 0.02
+    x[300:380] = x[300] + rng.normal(size=(80, 24)) * 0.03
+    label = rng.integers(0, 2, 1200)
+    label[1::4] = label[::4]
+    rows = [(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))]
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=150).toPandas().set_index("vec_id")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(links, False)
+    asked = np.arange(0, 1200, 50)
+    true, found = links[asked].sum(1), got.n_links[asked].to_numpy()
+    assert true.sum() >= 60 and (found <= true).all() and found.sum() >= 0.99 * true.sum()
+    assert (got.n_links.sum() >= 0.99 * links.sum()) and got.recall.min() >= 0.97
+
+
 def test_url_rules_and_aliases(spark):
     rules = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "bad.net/")]
     canonical = lambda u: f'<html><link rel="canonical" href="{u}">'
@@ -245,6 +272,43 @@ def test_warc(spark, tmp_path):
     assert [(got[i].record_type, got[i].refers_to) for i in (1, 2, 4, 5, None)] == [("revisit", 2), ("response", None), ("response", None), ("response", None), ("revisit", 2)]
 
 
+def test_warc_of_gz_names_other_records_and_no_pages(spark, tmp_path):
+    """Files named as crawls name them, in small ranges: warcinfo, request, metadata, repeated headers, chunks, a damaged member, none."""
+    import gzip
+    import os
+
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nX: 1\r\nX: 2\r\n\r\n3\r\nabc\r\n0\r\n\r\n"
+
+    def record(kind, i, block, more=b""):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(block)}\r\n".encode()
+        return gzip.compress(head + more + b"\r\n" + block + b"\r\n\r\n")
+
+    noise = [os.urandom(400) for _ in range(40)]
+    parts = [record("warcinfo", 0, b"software: x\r\n"), record("request", 1, b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"), record("response", 2, http, b"WARC-Target-URI: http://a/\r\nWARC-Target-URI: http://b/\r\n")]
+    parts += [record("metadata", 10 + i, b"via: " + x) for i, x in enumerate(noise)] + [record("metadata", 99, b"gone")[:-12], gzip.compress(b"no record")]
+    os.mkdir(tmp_path / "w")
+    (tmp_path / "w" / "CC-MAIN-0.warc.gz").write_bytes(b"".join(parts))
+    (tmp_path / "w" / "CC-MAIN-1.warc.gz").write_bytes(b"")
+    (tmp_path / "w" / "CC-MAIN-2.warc").write_bytes(b"".join(parts[:3]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(r.type for r in got) == sorted(["warcinfo", "request", "response"] * 2 + ["metadata"] * 40)
+    assert {bytes(r.payload) for r in got if r.type == "metadata"} == {b"via: " + x for x in noise}
+    answer = next(r for r in got if r.type == "response")
+    assert answer.url == "http://b/" and bytes(answer.payload) == b"3\r\nabc\r\n0\r\n\r\n"
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_archives(warc.plan_records(empty), str(tmp_path / "none"))
+    assert warc.page_records(warc.read_archives(spark, str(tmp_path / "none"))).count() == 0
+    twice = spark.createDataFrame([(7, "u", "x" * 2000), (7, "u", "x" * 2000), (6, "u", "x" * 2000)], "page_id long, url string, html string")
+    warc.write_archives(warc.plan_records(twice), str(tmp_path / "twice"))
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.page_records(warc.read_archives(spark, str(tmp_path / "twice"))).select("page_id", "record_type", "refers_to").collect()) == [(6, "revisit", 7), (7, "response", None), (7, "response", None)]
+
+
 def test_warc_ranges_and_chance_magic(spark, tmp_path):
     """Small byte ranges, with a magic inside records that is not a member's start."""
     digest = "da39a3ee5e6b4b0d3255bfef95601890afd80709"

@@ -274,13 +274,12 @@ def _links(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], copies: n
 
 def _found(shards: DataFrame, threshold: float) -> DataFrame:
     """Landed counts ``(node, n)``, connecting links ``(node, peer)`` and audits ``(label, dim, met, of)``."""
-    sizes = shards.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("shards")).withColumn("parts", F.ceil(F.col("shards") / PAST).cast("int"))
+    sizes = shards.groupBy("label", "dim").agg((F.max("shard") + 1).alias("shards")).withColumn("parts", F.ceil(F.col("shards") / PAST).cast("int"))
     tasks = sizes.agg(F.sum(F.col("shards") * F.col("parts"))).first()[0] or 1
     by = ["label", "dim", "shard", "part"]
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    held = shards.join(sizes, ["label", "dim"]).withColumn("part", each(F.col("parts"))).withColumn("q_shard", F.lit(-1))
-    read = shards.join(sizes, ["label", "dim"]).withColumn("part", F.floor(F.col("shard") / PAST).cast("int")).withColumn("q_shard", F.col("shard"))
-    read = read.withColumn("shard", each(F.col("shards").cast("int"))).withColumn("layers", F.lit(None).cast("array<binary>"))
+    held = shards.join(sizes, ["label", "dim"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("q_shard", F.lit(-1))
+    read = shards.withColumnRenamed("shard", "q_shard").withColumn("part", F.floor(F.col("q_shard") / PAST).cast("int")).withColumn("layers", F.lit(None).cast("array<binary>"))
+    read = read.join(shards.select("label", "dim", "shard"), ["label", "dim"])  # a shard that got no vectors is not there
     columns = [*by, "q_shard", "nodes", "copies", "x", "layers"]
     both = held.select(*columns).unionByName(read.select(*columns)).repartition(2 * tasks, *by).sortWithinPartitions(*by, "q_shard")
 
