@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from tidemart.operators import dims as D
-from tidemart.schemas import CHANGE, SUMMARIES
+from tidemart.schemas import CHANGE, DICTIONARY, SUMMARIES
 from tidemart.sources import feeds, sinks
 
 
@@ -31,6 +31,17 @@ def test_dictionary_and_tombstones(spark, tmp_path):
     assert feeds.read_table(spark, f"{tmp_path}/t", rows.schema).count() == 1
 
 
+def test_jdbc_dictionary_and_sink(spark, tmp_path):
+    """The database that comes with Spark stands in for the shop's."""
+    jdbc = {"url": f"jdbc:derby:{tmp_path}/db;create=true", "dbtable": "base_dic", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    day = datetime.datetime(2024, 1, 1)
+    codes = spark.createDataFrame([("1101", "cash", "11", day, None), ("1102", "card", "11", day, day)], DICTIONARY)
+    sinks.to_jdbc(codes.limit(1), **jdbc)
+    sinks.to_jdbc(codes.where("dic_code = '1102'"), **jdbc)
+    got = feeds.read_dictionary(spark, **jdbc)
+    assert got.schema.names == DICTIONARY.names and sorted(tuple(r) for r in got.select("dic_code", "dic_name", "create_time").collect()) == [("1101", "cash", day), ("1102", "card", day)]
+
+
 def test_upsert_stream(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, 1, "d1"), ("a", 2, 2, "d1"), ("b", 3, 1, "d2")], "id string, v int, t int, dt string")
     rows.repartition(3).write.parquet(f"{tmp_path}/in")

@@ -111,7 +111,7 @@ def test_new_flags(spark, tmp_path):
 def test_summaries(spark, tmp_path, name):
     """Every summary as a stream of unordered micro-batches gives what the batch gives."""
     made, summary = SUMMARIES[name]
-    rows, dims = made(spark, DATA).cache(), X.dims(spark, DATA)
+    rows, dims = made(spark, DATA).cache(), lambda: X.dims(spark, DATA)
     closing = tuple(datetime.datetime(2090, 1, 1) if c == "rt" else "1" if k == "string" else 0 if k in ("bigint", "int") else None for c, k in rows.dtypes)
     stream = jittered(spark, rows, tmp_path, "rt", 86_400, closing)
     got = ended(spark, jobs.windowed(stream, name, lambda df: summary(df, dims), delay="3 days"), tmp_path)

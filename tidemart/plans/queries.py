@@ -344,8 +344,8 @@ def _sku_refunds(spark: SparkSession, d: str) -> DataFrame:
     return D.enrich_sku(_refunds(spark, d).withColumn("rt", parse(F.col("create_time"))), X.dims(spark, d)["sku"])
 
 
-#: Name of a summary -> its rows, and the summary of them (rows, dimensions); a stream of the rows takes the same function.
-SUMMARIES: dict[str, tuple[Query, Callable[[DataFrame, dict[str, DataFrame]], DataFrame]]] = {
+#: Name of a summary -> its rows, and the summary of them by the dimensions of the tables; a stream of the rows takes the same function.
+SUMMARIES: dict[str, tuple[Query, Callable[[DataFrame, Callable[[], dict[str, DataFrame]]], DataFrame]]] = {
     "keyword": (_searches, lambda rows, dims: windows.keyword(rows, DAY)),
     "traffic": (_traffic, lambda rows, dims: windows.traffic(rows, HOUR)),
     "page_view": (_first_views, lambda rows, dims: windows.page_view(rows, HOUR)),
@@ -354,9 +354,9 @@ SUMMARIES: dict[str, tuple[Query, Callable[[DataFrame, dict[str, DataFrame]], Da
     "cart_add": (_cart_firsts, lambda rows, dims: windows.cart_add(rows, HOUR)),
     "payment": (_payments, lambda rows, dims: windows.payment(rows, DAY)),
     "trade_order": (_orders, lambda rows, dims: windows.trade_order(rows, DAY)),
-    "user_spu_order": (_sku_orders, lambda rows, dims: windows.user_spu_order(rows, dims["spu"], dims["trademark"], _chain(dims), DAY)),
-    "province_order": (_last_orders, lambda rows, dims: windows.province_order(rows, dims["province"], DAY)),
-    "refund": (_sku_refunds, lambda rows, dims: windows.refund(rows, dims["trademark"], _chain(dims), DAY)),
+    "user_spu_order": (_sku_orders, lambda rows, dims: windows.user_spu_order(rows, (x := dims())["spu"], x["trademark"], _chain(x), DAY)),
+    "province_order": (_last_orders, lambda rows, dims: windows.province_order(rows, dims()["province"], DAY)),
+    "refund": (_sku_refunds, lambda rows, dims: windows.refund(rows, (x := dims())["trademark"], _chain(x), DAY)),
 }
 
 
@@ -367,7 +367,7 @@ def _amounts(rows: DataFrame) -> DataFrame:
 
 def _summary(name: str) -> Query:
     rows, summary = SUMMARIES[name]
-    return lambda spark, d: _amounts(summary(rows(spark, d), X.dims(spark, d)))
+    return lambda spark, d: _amounts(summary(rows(spark, d), lambda: X.dims(spark, d)))
 
 
 QUERIES |= {f"dws_{name}_window": _summary(name) for name in SUMMARIES}
