@@ -146,7 +146,7 @@ def test_bpe(docs, empty):
 
 def test_mixing(spark):
     rows = [(i, ["a", "b", None, "z"][i % 4], 0 if i % 4 == 3 else 1 + i % 7) for i in range(4000)] + [(8, "a", 2), (None, "b", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("target", F.lit("clash"))
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumns({c: F.lit("clash") for c in ("target", "rest", "part", "fits", "_h", "room")})
     mixed = mixing.mix(docs, ["doc_id"], "size", shard_words=1000)
     got = mixed.toPandas()
     assert len(got) == len(rows) and got.shards.map(len).max() <= 2

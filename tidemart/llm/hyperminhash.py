@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bounded_batches, land
+from .shared import bounded_batches, free_shuffles, land
 
 BUCKET_BITS = 8
 BUCKETS = 1 << BUCKET_BITS
@@ -355,9 +355,11 @@ def _grouped(own: DataFrame, text: str, shingle: int, percent: int) -> DataFrame
     entries = reps.select("sig", F.posexplode(keys).alias("k", "band"))
     bands = land(entries.groupBy("band").agg(F.min("sig").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
     shared = land(entries.join(bands, "band").where("sig != pivot").select("k", "band", "sig", "pivot", "n"), "entries")
+    free_shuffles(own.sparkSession)
     star = land(_promising(shared.select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct(), reps, t), "pairs")
     full = _full_sets(star.select(F.col("a").alias("sig")).union(star.select("b")), own, reps, text, shingle)
     links = land(_confirmed(star, full, percent), "links")
+    free_shuffles(own.sparkSession)
     labels = connected_components(links, "a", "b").withColumnRenamed("node", "sig")
     members = shared.where("n > 2").select("k", "band", "sig").join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     crossing = land(members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band"), "crossing")
@@ -368,6 +370,7 @@ def _grouped(own: DataFrame, text: str, shingle: int, percent: int) -> DataFrame
         more = land(_inside_bands(members, percent, width), "links")
         if not more.isEmpty():
             labels = connected_components(links.union(more), "a", "b").withColumnRenamed("node", "sig")
+    free_shuffles(own.sparkSession)
     by_set = reps.select("sig", "first_id").join(labels, "sig", "left").select("sig", "first_id", F.coalesce("component", "sig").alias("component"))
     by_set = land(by_set, "members")
     least = land(by_set.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import land
+from .shared import free_shuffles, land
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a shard, about, and the least number of shards, about, that smaller ones make up; blocks of a shard.
@@ -137,12 +137,16 @@ def mix(docs: DataFrame, key: list[str], size: str, source: str = "source", shar
     where rows are equal in ``key``, as long as the table is read in the same partitions.
     An empty table gives no rows. Other columns pass unchanged, but the three new ones are replaced.
     """
-    docs = land(docs.drop("source_size", "target", "shards").withColumn("_r", F.monotonically_increasing_id()), "numbered")
+    kept = [c for c in docs.columns if c not in ("source_size", "target", "shards")]
+    docs = land(docs.select(*(f"`{c}`" for c in kept)).withColumn("_r", F.monotonically_increasing_id()), "numbered")
     own = F.xxhash64(F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in key))
     source_key = F.xxhash64(F.lit(seed), F.col(source).isNull(), source)
     rows = land(docs.select("_r", own.alias("_h"), source_key.alias("_s"), F.col(size).alias("size"), F.col(source).alias("source")), "sizes")
-    ties = rows.groupBy("_s", "_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_s", "_h", F.lit(True).alias("_tie"))
-    rows = rows.join(ties, ["_s", "_h"], "left").withColumn("_h", F.when(F.col("_tie"), F.xxhash64("_h", "_r")).otherwise(F.col("_h"))).drop("_tie")
+    ties = land(rows.groupBy("_s", "_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_s", "_h", F.lit(True).alias("_tie")), "ties")
+    docs = docs.select(F.struct(*(f"`{c}`" for c in kept)).alias("_doc"), "_r", own.alias("_h"), source_key.alias("_s"))
+    if not ties.isEmpty():
+        apart = F.when(F.col("_tie"), F.xxhash64("_h", "_r")).otherwise(F.col("_h"))
+        rows, docs = (x.join(ties, ["_s", "_h"], "left").withColumn("_h", apart).drop("_tie") for x in (rows, docs))
     lean = rows.groupBy("_s").agg(F.first("source").alias("source"), F.sum("size").alias("size"))
     plan = targets(lean.select("source", "size"), share, cycle, most).withColumn("_s", F.xxhash64(F.lit(seed), F.col("source").isNull(), "source"))
     plan = plan.withColumn("epochs", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("int"))
@@ -153,8 +157,8 @@ def mix(docs: DataFrame, key: list[str], size: str, source: str = "source", shar
     # the hash's top 32 bits order a source; a block is an equal stretch of them
     blocks = F.ceil(F.col("source_size") / (shard / SHARD_BLOCKS)).cast("long")
     order = F.shiftrightunsigned("_h", 32)
-    rows = rows.join(plan, "_s").withColumn("_b", F.floor(order * blocks / F.lit(1 << 32)).cast("long"))
-    rows = land(rows.select("_r", "_s", "_h", "_b", "size", "source_size", "target", "epochs", "rest"), "dealt")
+    rows, docs = (x.join(plan, "_s").withColumn("_b", F.floor(order * blocks / F.lit(1 << 32)).cast("long")) for x in (rows, docs))
+    rows = land(rows.select("_s", "_h", "_b", "size", "epochs", "rest"), "dealt")
     blocks = rows.groupBy("_s", "_b").agg(F.sum("size").alias("words"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"))
     blocks = running(blocks.withColumn("one", F.lit(1).cast("long")).withColumn("words", F.coalesce("words", F.lit(0))), "_s", "_b", place="one", sum="words")
     blocks = blocks.withColumn("room", F.col("rest") - F.col("sum")).withColumn("part", F.col("room") > 0)
@@ -166,25 +170,28 @@ def mix(docs: DataFrame, key: list[str], size: str, source: str = "source", shar
     drawn = drawn.join(quotas.select("source_key", "cycle"), "source_key").withColumn("place", F.col("at") % F.col("cycle"))
     drawn = drawn.groupBy(F.col("source_key").alias("_s"), "place").agg(F.array_sort(F.collect_list(F.struct("at", "shard")))["shard"].alias("drawn"))
     dealt = blocks.join(drawn, ["_s", "place"], "left").select("_s", "_b", "room", "part", F.col("words").alias("_words"), F.coalesce("drawn", F.array().cast("array<long>")).alias("drawn"))
-    rows = rows.drop("rest").join(land(dealt, "drawn"), ["_s", "_b"])
+    dealt = land(dealt, "drawn")
     # in the block where the source's room ends, the rows in hash order up to the nearest place
-    edge = rows.where(F.col("part") & (F.col("room") < F.col("_words"))).groupBy("_s", "_h", "room").agg(F.sum("size").alias("size"))
+    ends = dealt.where(F.col("part") & (F.col("room") < F.col("_words"))).select("_s", "_b", "room")
+    edge = rows.join(ends, ["_s", "_b"]).groupBy("_s", "_h", "room").agg(F.sum("size").alias("size"))
     fits = edge.withColumn("sum", F.sum("size").over(Window.partitionBy("_s").orderBy("_h")))
     fits = land(fits.where("sum - size / 2 <= room").select("_s", "_h", F.lit(True).alias("fits")), "edge")
-    rows = rows.join(fits, ["_s", "_h"], "left")
+    free_shuffles(docs.sparkSession)
+    docs = docs.join(dealt, ["_s", "_b"]).join(fits, ["_s", "_h"], "left")
     whole = F.col("part") & ((F.col("room") >= F.col("_words")) | F.col("fits"))
     taken = F.col("epochs") + F.when(whole, 1).otherwise(0)
-    decided = land(rows.select("_r", "source_size", "target", F.slice("drawn", 1, taken).alias("shards")), "decided")
-    return docs.join(decided, "_r").drop("_r")
+    return docs.select(*(F.col(f"_doc.`{c}`") for c in kept), "source_size", "target", F.slice("drawn", 1, taken).alias("shards"))
 
 
 def shuffled(mixed: DataFrame, key: list[str], seed: int = 7) -> DataFrame:
     """The mix itself: a row for each time that one is taken, with its ``shard`` and, from 0, its ``place`` in the shard's own random order.
 
+    The rows of a shard stand together and in that order.
     A row that the mix does not take gives none, and so does an empty table. Null keys count as a value of their own; rows
     equal in ``key`` stand next to each other. ``shard`` and ``place`` replace columns of these names.
     """
     rows = mixed.drop("shard", "place").withColumn("shard", F.explode("shards"))
     order = F.xxhash64(F.lit(seed), "shard", *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in key))
-    place = F.row_number().over(Window.partitionBy("shard").orderBy("_order")) - 1
-    return rows.withColumn("_order", order).withColumn("place", place).drop("_order", "shards")
+    rows = rows.withColumn("_order", order).repartition("shard").sortWithinPartitions("shard", "_order")
+    place = F.row_number().over(Window.partitionBy("shard").orderBy("_order")) - 1  # which deals and sorts no further
+    return rows.withColumn("place", place).drop("_order", "shards")

@@ -43,6 +43,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corpus/{name}-{uuid.uuid4().hex}"
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that are done: it does so when the driver collects their handles."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def land(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return it as read back.
 
