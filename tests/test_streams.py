@@ -8,10 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemart import schemas
 from tidemart.operators import facts, keyed, logs, windows
 from tidemart.plans import fixtures as X
 from tidemart.plans.queries import SUMMARIES
 from tidemart.schemas import CHANGE
+from tidemart.sources import sinks
 from tidemart.streaming import jobs, states
 
 DATA = "/root/testdata/sf0.001"
@@ -113,9 +115,10 @@ def test_summaries(spark, tmp_path, name):
     made, summary = SUMMARIES[name]
     rows, dims = made(spark, DATA).cache(), lambda: X.dims(spark, DATA)
     closing = tuple(datetime.datetime(2090, 1, 1) if c == "rt" else "1" if k == "string" else 0 if k in ("bigint", "int") else None for c, k in rows.dtypes)
-    stream = jittered(spark, rows, tmp_path, "rt", 86_400, closing)
+    stream = jittered(spark, rows, tmp_path, "rt", 86_400, closing, parts=2)
     got = ended(spark, jobs.windowed(stream, name, lambda df: summary(df, dims), delay="3 days"), tmp_path)
     same(got.where("stt < '2090'"), summary(rows, dims))
+    assert sinks.versioned(got, schemas.SUMMARIES[name], F.lit(1)).columns == ["stt", "edt", *schemas.SUMMARIES[name], "ts", "dt"]
 
 
 def test_traffic_of_three_streams(spark, tmp_path):
