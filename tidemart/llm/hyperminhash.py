@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bounded_batches, free_shuffles, land
+from .shared import bounded_batches, free_shuffles, land, scratch
 
 BUCKET_BITS = 8
 BUCKETS = 1 << BUCKET_BITS
@@ -335,25 +335,36 @@ def duplicates(rows: DataFrame, id_col: str = "doc_id", text: str = "text", shin
 
     The row with the smallest id stays, null last, and of rows that repeat it the one with the smallest number.
     """
-    return _gone(_grouped(rows.select(F.col(id_col).alias("_id"), F.col(text).alias(text), "_row"), text, shingle, percent))
+    with scratch(rows.sparkSession):
+        return _gone(_grouped(rows.select(F.col(id_col).alias("_id"), F.col(text).alias(text), "_row"), text, shingle, percent))
 
 
 def _gone(grouped: DataFrame) -> DataFrame:
     first = F.min(F.when(F.col("_id").eqNullSafe(F.col("component_id")), F.col("_row")))
     large = grouped.where("sig IS NOT NULL").groupBy("component").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return land(grouped.join(land(large.select("component", "first"), "first"), "component").where("_row != first").select("_row"), "gone")
+    return land(grouped.join(land(large.select("component", "first"), "first"), "component").where("_row != first").select("_row"), "gone", keep=True)
 
 
 def _grouped(own: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
     """``_id, text, _row`` -> ``_row, _id, n_shingles, sig, component, component_id``; a text without shingles has a null ``sig`` and ``component``."""
     bounded_batches(own.sparkSession)
-    t = percent / 100
     sketched = land(sketch(own.select("_row", "_id", text), text, shingle), "sketches")
+    with scratch(own.sparkSession):
+        ids = _components(own, sketched, text, shingle, percent)
+    out = sketched.join(ids, "sig", "left").withColumn("component_id", F.when(F.col("sig").isNull(), F.col("_id")).otherwise(F.col("component_id")))
+    return out.select("_row", "_id", "n_shingles", "sig", "component", "component_id")
+
+
+def _components(own: DataFrame, sketched: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
+    """``sig, component, component_id``: the component of each set, named by its smallest ``sig``, and the smallest id in it."""
+    t = percent / 100
     reps = land(sketched.where("n_shingles > 0").groupBy("sig", "registers", "n_shingles").agg(F.min("_id").alias("first_id"), F.min("_row").alias("_row")), "sets")
+    free_shuffles(own.sparkSession)
     width = band_width(t)
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("registers", 1 + 2 * width * i, 2 * width)) for i in range(BUCKETS // width)))
     entries = reps.select("sig", F.posexplode(keys).alias("k", "band"))
     bands = land(entries.groupBy("band").agg(F.min("sig").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
+    free_shuffles(own.sparkSession)
     shared = land(entries.join(bands, "band").where("sig != pivot").select("k", "band", "sig", "pivot", "n"), "entries")
     free_shuffles(own.sparkSession)
     star = land(_promising(shared.select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct(), reps, t), "pairs")
@@ -374,6 +385,4 @@ def _grouped(own: DataFrame, text: str, shingle: int, percent: int) -> DataFrame
     by_set = reps.select("sig", "first_id").join(labels, "sig", "left").select("sig", "first_id", F.coalesce("component", "sig").alias("component"))
     by_set = land(by_set, "members")
     least = land(by_set.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
-    ids = land(by_set.join(least, "component").select("sig", "component", "component_id"), "ids")
-    out = sketched.join(ids, "sig", "left").withColumn("component_id", F.when(F.col("sig").isNull(), F.col("_id")).otherwise(F.col("component_id")))
-    return out.select("_row", "_id", "n_shingles", "sig", "component", "component_id")
+    return land(by_set.join(least, "component").select("sig", "component", "component_id"), "ids", keep=True)

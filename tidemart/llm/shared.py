@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes in a batch that goes to Python.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 
 _OWN: dict[str, str] = {}
+#: Paths of the tables that ``scratch`` blocks have landed so far.
+_SCRATCH: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,11 +52,27 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
-def land(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return it as read back.
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that are landed inside the block, but for kept ones, at its end: nothing that outlives it may read them."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _SCRATCH.pop():
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        free_shuffles(spark)
+
+
+def land(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return it as read back; ``keep`` it beyond a ``scratch`` block.
 
     The plan restarts from files that survive lost executors, and joins on it see true sizes.
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
