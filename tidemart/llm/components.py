@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .shared import land
 
-#: So many edges, or fewer, are contracted by one task (some 100 MB).
+#: So many edges, or fewer, are contracted by one task; with nodes of at most some 60 bytes, as vectors' and documents' are, that is some 100 MB.
 LAST_EDGES = 200_000
 
 
@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", l
     Each round every component hooks onto its smallest smaller neighbour, the hooks are followed to their roots by
     pointer jumping, and the edges are rewritten between roots; edges inside a root vanish. Once few edges are left, one
     task unites their ends, which ends the rounds. Hubs are safe: minima are partial aggregates and both sides of each join
-    are landed tables, whose hot keys Spark splits at run time. Nodes can be of any type that sorts alike in Spark and in
+    are landed tables, whose hot keys Spark splits at run time. With ``last_edges`` 0 the rounds go on to the end, in
+    DataFrame functions only; take that for nodes of unbounded length, too. Nodes can be of any type that sorts alike in Spark and in
     Python: integers, text, bytes. Edges with a null end and loops are ignored; repeated edges count once; no edges, no rows.
     """
     e = edges.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).where(

@@ -83,7 +83,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], edges: DataFrame | Non
     judged = judged.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     if links.isEmpty():
         return judged.withColumn("verdict", F.coalesce(kind, F.lit("allow")))
-    groups = connected_components(links)
+    groups = connected_components(links, last_edges=0)  # urls have no bounded length
     as_url = F.concat(F.lit("x://"), F.col("node"))
     bad = groups.withColumn("rule", rule_of(host_of(as_url), path_of(as_url), rules)).where(kind == "block").select("component").distinct()
     blocked = land(groups.join(bad, "component", "left_semi").select(F.col("node").alias("_key")), "blocked")
