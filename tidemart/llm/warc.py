@@ -3,14 +3,19 @@
 Archives are written by Spark's text writer, whose commit protocol keeps lost and repeated tasks from leaving partial
 files, and read by its text reader with the gzip magic as the line separator: each task scans its byte range for the
 magic and owns what starts inside. A stretch between two magics is only a candidate: the magic also occurs by chance in
-compressed data. A candidate starts a record if the rest of the gzip header and the WARC version decode; one that does
-not continues the record before it. Records that are still open at the end of a range are joined with the first stretches of the
-ranges after it, which are set aside with their order; there are few, as a chance magic must fall into the record that crosses the border.
+compressed data, and in blocks that are stored as they are, which can hold whole archives. A candidate starts a record if
+no member is open before it, and the rest of the gzip header and the WARC version decode; while a member has not
+ended, all that follows belongs to it. A member that turns out to be damaged is dropped, and what it had taken is looked at anew.
+
+Records that are still open at the end of a range are joined with the first stretches of the ranges after it, which are set
+aside with their order; there are few, as a chance magic must fall into the record that crosses the border. Where such a record does
+not end there either, what the next range took for records may stand inside it: then that file is read again from its start by one task, in order and record by record.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -89,29 +94,79 @@ def write_archives(records: DataFrame, path: str) -> None:
     members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", _END).text(path)
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    """The content of a whole member, or None if it is not one; what follows the member's end is padding."""
-    try:
-        found = zlib.decompressobj(31)
-        out = found.decompress(raw)
-    except zlib.error:
-        return None
-    return out if found.eof else None
-
-
 def _starts(candidate: bytes) -> bool:
-    """Whether the gzip header after the magic and the WARC version decode."""
-    try:
-        return zlib.decompressobj(31).decompress(MAGIC + candidate[:4096], len(VERSION)).startswith(b"WARC/1.")
-    except zlib.error:
-        return False
+    """Whether the gzip header after the magic and the WARC version decode, as far as the candidate goes."""
+    for size in (4096, len(candidate)):  # headers can be longer, but few are
+        found = zlib.decompressobj(31)
+        try:
+            out = found.decompress(MAGIC + candidate[:size], len(VERSION))
+        except zlib.error:
+            return False
+        if out or found.eof or size >= len(candidate):
+            break
+    return out.startswith(b"WARC/1.") or not found.eof and b"WARC/1.".startswith(out)
+
+
+class _Members:
+    """Records from the stretches of a file, in order; ``strays`` are stretches that belong to none."""
+
+    def __init__(self) -> None:
+        self.pieces: list[bytes] = []
+        self.content: list[bytes] = []
+        self.inflate = zlib.decompressobj(31)
+
+    def feed(self, piece: bytes) -> tuple[list[bytes], list[bytes]]:
+        """The contents of the records that end with this stretch, and the strays."""
+        records, strays, waiting = [], [], [piece]
+        while waiting:
+            now = waiting.pop()
+            if not self.pieces and not _starts(now):
+                strays.append(now)
+                continue
+            self.pieces.append(now)
+            try:
+                self.content.append(self.inflate.decompress(MAGIC + now))
+            except zlib.error:
+                strays.append(self.pieces[0])
+                waiting += self.drop()
+                continue
+            if self.inflate.eof:  # what follows the member's end is padding
+                content = b"".join(self.content)
+                if content.startswith(b"WARC/1."):
+                    records.append(content)
+                self.drop()
+        return records, strays
+
+    def drop(self) -> list[bytes]:
+        """Give up the open member; all its stretches but the first, the last one first."""
+        rest = self.pieces[:0:-1]
+        self.pieces, self.content, self.inflate = [], [], zlib.decompressobj(31)
+        return rest
+
+    def end(self) -> list[bytes]:
+        """The records among the stretches that a member took which does not end with its file."""
+        records = []
+        while self.pieces:
+            for piece in reversed(self.drop()):
+                records += self.feed(piece)[0]
+        return records
+
+
+def _number(text: str | None) -> int | None:
+    """A length of a header, which can be said several times; None if it is no number or has more than 18 digits."""
+    found = re.fullmatch(r"\s*([0-9]{1,18})\s*(?:,\s*\1\s*)*", text or "", re.ASCII)
+    return int(found[1]) if found else None
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (lower-case names) and payload of a record: the block's body if the block is an HTTP response."""
+    """Headers (lower-case names) and payload of a record: the block's body if the block is an HTTP response.
+
+    A block of missing or unreadable length reaches to the record's end.
+    """
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
-    block = rest[: int(fields.get("content-length", 0))]
+    length = _number(fields.get("content-length"))
+    block = rest.removesuffix(b"\r\n\r\n") if length is None else rest[:length]
     http, _, body = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
     fields |= {"http-" + k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
     return fields, body
@@ -123,99 +178,131 @@ _NAMES = ["record_id", "type", "url", "digest", "refers_to", "http_length", "pay
 
 def _row(content: bytes) -> tuple:
     head, body = parse_record(content)
-    length = head.get("http-content-length")
-    return (head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-payload-digest"), head.get("warc-refers-to"), int(length) if length else None, body)
+    return (*(head.get(f"warc-{c}") for c in ("record-id", "type", "target-uri", "payload-digest", "refers-to")), _number(head.get("http-content-length")), body)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record: ``record_id, type, url, digest, refers_to, http_length, payload``, as its headers say.
 
     Files of gzip members are read in byte ranges whatever their names, ``*.warc.gz`` included. Bytes before a file's first
-    magic are ignored, and so are members that are not WARC records. A record whose member is damaged is dropped. All types
-    of records come out (warcinfo, request, metadata, ...); of a header that repeats, the last value counts; a payload is
-    what is stored, in chunks if the server sent chunks. A file without records, or an empty folder of files, gives no rows.
+    magic are ignored, and so are members that are not WARC records. A record whose member is damaged or cut off is dropped, the ones behind it
+    are not. All types of records come out (warcinfo, request, metadata, ...); of a header that repeats, the last value
+    counts; a length that cannot be read is null, and a block of such a length reaches to its record's end; a payload is what is
+    stored, in chunks if the server sent chunks. A file without records, or an empty folder of files, gives no rows.
     """
     bounded_batches(spark)
-    lines = spark.read.options(**_as_stored(spark)).option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
-    place = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start")]
-    stretches = lines.select(*place, F.col("value").cast("binary").alias("raw"))
+    stretches = _stretches(spark, path)
+    blank = [None] * len(_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole records, and as (file, block, part, raw) what may belong together across ranges: part -1 is a record that is
-        open at its range's end, parts from 0 are the stretches before the range's first record."""
+        """Whole records, and as (file, block, part, raw) what may belong together across ranges: parts from -2**31 are the stretches of a
+        record that is open at its range's end, parts from 0 those before the range's first record."""
         out: list[tuple] = []
-        now, open_, n = None, None, 0
-
-        def close(last: bool) -> None:
-            nonlocal open_
-            if open_ is not None:
-                raw = MAGIC + MAGIC.join(open_)
-                if (content := _inflate(raw)) is not None:
-                    out.append((None, None, None, None, *_row(content)))
-                elif last:
-                    out.append((*now, -1, raw, *[None] * len(_NAMES)))
-            open_ = None
-
-        def flush() -> pa.RecordBatch:
-            done = pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema)
-            out.clear()
-            return done
-
-        schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("raw", pa.binary()), ("record_id", pa.string()), ("type", pa.string()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("http_length", pa.int64()), ("payload", pa.binary())])
+        now, members, n, first = None, _Members(), 0, True  # n: strays so far
+
+        def close() -> None:
+            out.extend((*now, i - 2**31, raw, *blank) for i, raw in enumerate(members.pieces))
+            members.drop()
+
         for batch in batches:
             for file, block, raw in zip(*(batch.column(c).to_pylist() for c in ("file_path", "file_block_start", "raw")), strict=True):
                 if (file, block) != now:
-                    close(True)
-                    now, n = (file, block), 0
+                    if now:
+                        close()
+                    now, n, first = (file, block), 0, True
                     if block == 0:
-                        n = -1  # what stands before the file's first magic
-                if n >= 0 and _starts(raw):
-                    close(False)
-                    open_ = [raw]
-                elif open_ is not None:
-                    open_.append(raw)
-                elif n >= 0:
-                    out.append((file, block, n, MAGIC + raw, *[None] * len(_NAMES)))
-                n += 1
+                        continue  # what stands before the file's first magic
+                records, strays = members.feed(raw)
+                first &= not records
+                out.extend((file, block, None, None, *_row(x)) for x in records)
+                if first:
+                    out.extend((file, block, n + i, x, *blank) for i, x in enumerate(strays))
+                n += len(strays)
                 if len(out) >= 256:
-                    yield flush()
-        close(True)
+                    yield _found(out)
+        if now:
+            close()
         if out:
-            yield flush()
+            yield _found(out)
+
+    found = land(stretches.mapInArrow(run, _FOUND), "records")
+    whole, pieces = found.where("part IS NULL"), found.where("part IS NOT NULL")
+    if pieces.where("part < 0").isEmpty():
+        return whole.select(*_NAMES)
+    joined = land(_across(pieces), "across")
+    unsure = joined.where("block = -1").select("file").distinct()
+    whole, joined = (x.join(unsure, "file", "left_anti").select(*_NAMES) for x in (whole, joined))
+    if unsure.isEmpty():
+        return whole.union(joined)
+    again = stretches.join(unsure.withColumnRenamed("file", "file_path"), "file_path", "left_semi")
+    return whole.union(joined).union(_in_order(again).select(*_NAMES))
+
+
+def _stretches(spark: SparkSession, path: str) -> DataFrame:
+    """``file_path, file_block_start, at, raw``: what stands between two gzip magics, in order."""
+    lines = spark.read.options(**_as_stored(spark)).option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    place = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start")]
+    return lines.select(*place, F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("raw"))
+
 
-    found = land(stretches.mapInArrow(run, "file string, block long, part int, raw binary, " + _READ), "records")
-    whole = found.where("file IS NULL").select(*_NAMES)
-    pieces = found.where("file IS NOT NULL")
-    if pieces.where("part = -1").isEmpty():
-        return whole
-    return whole.union(_across(pieces))
+_FOUND = "file string, block long, part int, raw binary, " + _READ
+_KINDS = {"file": pa.string(), "block": pa.int64(), "part": pa.int32(), "raw": pa.binary(), **dict.fromkeys(_NAMES, pa.string()), "http_length": pa.int64(), "payload": pa.binary()}
+
+
+def _found(out: list[tuple]) -> pa.RecordBatch:
+    """The rows as a batch of _FOUND, which empties the list."""
+    done = pa.RecordBatch.from_pylist([dict(zip(_KINDS, x, strict=True)) for x in out], pa.schema(list(_KINDS.items())))
+    out.clear()
+    return done
 
 
 def _across(pieces: DataFrame) -> DataFrame:
-    """Records from an open one and the stretches that follow it in its file, up to the next open one."""
+    """Records from the stretches of an open one and those that follow it in its file, up to the next open one; ``block`` -1: it ends in none of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, raw = None, b""
-        out = []
+        members, now, out = _Members(), None, []
+        for batch in batches:
+            for file, block, part, raw in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "part", "raw")), strict=True):
+                if part == -(2**31) or file != now:
+                    if members.pieces:
+                        out.append((now, -1, *[None] * (2 + len(_NAMES))))
+                    members.drop()
+                    now = file
+                if part < 0 or members.pieces:
+                    out.extend((file, block, None, None, *_row(x)) for x in members.feed(raw)[0])
+                if len(out) >= 256:
+                    yield _found(out)
+        if members.pieces:
+            out.append((now, -1, *[None] * (2 + len(_NAMES))))
+        if out:
+            yield _found(out)
+
+    # within a range its first stretches stand before the record that is open at its end
+    ordered = pieces.withColumn("last", F.col("part") < 0).repartition("file").sortWithinPartitions("file", "block", "last", "part")
+    return ordered.select("file", "block", "part", "raw").mapInArrow(run, _FOUND)
 
-        def close() -> None:
-            if raw and (content := _inflate(raw)) is not None:
-                out.append(dict(zip(_NAMES, _row(content), strict=True)))
 
+def _in_order(stretches: DataFrame) -> DataFrame:
+    """The records of whole files, one task a file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, now, out = _Members(), None, []
         for batch in batches:
-            for x in batch.to_pylist():
-                if x["part"] == -1 or x["file"] != key:
-                    close()
-                    key, raw = x["file"], x["raw"] if x["part"] == -1 else b""
-                elif raw:
-                    raw += x["raw"]
-        close()
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("record_id", pa.string()), ("type", pa.string()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("http_length", pa.int64()), ("payload", pa.binary())]))
+            for file, block, raw in zip(*(batch.column(c).to_pylist() for c in ("file_path", "file_block_start", "raw")), strict=True):
+                if file != now:
+                    out.extend((now, block, None, None, *_row(x)) for x in members.end())
+                    now = file
+                    if block == 0:
+                        continue  # what stands before the file's first magic
+                out.extend((file, block, None, None, *_row(x)) for x in members.feed(raw)[0])
+                if len(out) >= 256:
+                    yield _found(out)
+        out.extend((now, None, None, None, *_row(x)) for x in members.end())
+        if out:
+            yield _found(out)
 
-    # within a range its first stretches stand before the record that is open at its end
-    last = F.when(F.col("part") == -1, F.lit(1)).otherwise(F.lit(0))
-    ordered = pieces.withColumn("last", last).repartition("file").sortWithinPartitions("file", "block", "last", "part")
-    return ordered.select("file", "part", "raw").mapInArrow(run, _READ)
+    ordered = stretches.repartition("file_path").sortWithinPartitions("file_path", "file_block_start", "at")
+    return ordered.select("file_path", "file_block_start", "raw").mapInArrow(run, _FOUND)
 
 
 def page_records(records: DataFrame) -> DataFrame:
