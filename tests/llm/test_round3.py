@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,7 +15,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemart.llm import conversations, fingerprint, queries, resample
+from tidemart.llm import components, conversations, fingerprint, licenses, queries, resample, urlfilter, warc
+from tidemart.llm.shared import land
 
 DATA = "/root/testdata/sf0.001"
 
@@ -251,3 +253,145 @@ def test_repair_of_edge_rows(spark):
     long = spark.createDataFrame([(7, i, ("user", "assistant")[i % 2], f"{i} " + "w " * 2000 + ".") for i in range(3000)], "conv_id long, turn long, role string, text string")
     (r,) = conversations.report(long).collect()
     assert (r.cost, r.audit, r.gaps) == (0, "K" * 3000, 0)
+
+
+def archive(record, payload, level=6, head=b"", http=b"", extra=b"", length=None):
+    """A gzip member of one record; level 0 stores it as it is, ``extra`` goes into the gzip header."""
+    block = b"HTTP/1.1 200 OK\r\n" + http + b"\r\n" + payload
+    size = str(len(block)).encode() if length is None else length
+    raw = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\n%sContent-Length: %s\r\n\r\n%s\r\n\r\n" % (record, head, size, block)
+    deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
+    flags, more = (4, len(extra).to_bytes(2, "little") + extra) if extra else (0, b"")
+    return b"\x1f\x8b\x08" + bytes([flags]) + b"\0\0\0\0\0\xff" + more + deflate.compress(raw) + deflate.flush() + zlib.crc32(raw).to_bytes(4, "little") + (len(raw) % 2**32).to_bytes(4, "little")
+
+
+def read_in_ranges(spark, path, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        return {int(r.record_id[10:-1]): r for r in warc.read_archives(spark, str(path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("size", [10**6, 400])
+def test_warc_of_archives_in_archives(spark, tmp_path, size):
+    """Blocks stored as they are that hold whole archives; members that are damaged, cut off, and of long gzip headers; in ranges of any size."""
+    noise = random.Random(size).randbytes
+    inner = archive(77, b"inner" * 30) + archive(78, b"more " * 30)
+    parts = [archive(0, b"a" * 50), archive(1, b"b" + inner + b"c" * 100, level=0), archive(2, noise(900)), archive(3, noise(80), extra=noise(20_000)), archive(4, b"x" + inner + inner, level=0)]
+    damaged = bytearray(archive(5, noise(400), level=0))
+    damaged[-6] ^= 1
+    parts += [bytes(damaged), archive(6, b"after"), archive(7, noise(600))[:300], archive(8, b"behind the cut"), archive(9, noise(300)), archive(10, b"end")[:-9]]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc.gz").write_bytes(b"before the first" + b"".join(parts))
+    (tmp_path / "w" / "b.warc.gz").write_bytes(archive(20, b"sound") + archive(21, noise(500)))
+    got = read_in_ranges(spark, tmp_path / "w", size)
+    assert sorted(got) == [0, 1, 2, 3, 4, 6, 8, 9, 20, 21]
+    assert got[1].payload == b"b" + inner + b"c" * 100 and got[4].payload == b"x" + inner + inner
+
+
+def test_warc_of_unreadable_lengths(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    parts = [archive(0, b"zero", length=b"abc"), archive(1, b"one", http=b"Content-Length: 3, 3\r\n"), archive(2, b"two", http=b"Content-Length: 3, 4\r\n"), archive(3, b"three", http=b"Content-Length: -5\r\n", length=b""), archive(4, b"four", http="Content-Length: ٣\r\n".encode(), length=b"9" * 30), archive(5, b"five", length=b"12")]
+    (tmp_path / "w" / "a.warc.gz").write_bytes(b"".join(parts))
+    got = read_in_ranges(spark, tmp_path / "w", 10**6)
+    assert [(bytes(got[i].payload), got[i].http_length) for i in range(5)] == [(b"zero", None), (b"one", 3), (b"two", None), (b"three", None), (b"four", None)]
+    assert len(got) == 6
+
+
+def test_url_filters_run_no_python(spark, monkeypatch):
+    """Every plan of a judgement with aliases, over chains, stars and rings of some hundred pages; and what brute force says."""
+    plans = []
+
+    def landed(df, name, *rest):
+        plans.append(df._jdf.queryExecution().toString())
+        return land(df, name, *rest)
+
+    monkeypatch.setattr(urlfilter, "land", landed)
+    monkeypatch.setattr(components, "land", landed)
+    rnd = random.Random(2)
+    urls = [f"http://{rnd.choice(('a.com', 'b.net', 'c.org'))}/{rnd.choice(('en', 'es', 'x'))}/{i}" for i in range(400)]
+    aliases = {i: i - 1 for i in range(1, 90)} | {i: 90 for i in range(91, 150)} | {i: rnd.randrange(150, 400) for i in range(150, 400, 2)}
+    tag = lambda to: f'<html><head><link href="{to}" rel="canonical"></head>' if rnd.random() < 0.5 else f"<meta http-equiv=refresh content='0; url={to}'>"
+    html = [tag(urls[aliases[i]]) if i in aliases else "<p>" for i in range(400)]
+    html[3] += "<link rel=canonical " * 20_000 + "<meta http-equiv='refresh' content='" * 5000  # tags that never close
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").join(spark.createDataFrame(list(enumerate(html)), "page_id long, html string"), "page_id")
+    rules = [("block", "net/es/"), ("allow", "com/"), ("block", "org/en/")]
+    judged = urlfilter.judge(pages, rules)
+    plans.append(judged._jdf.queryExecution().toString())
+    root = list(range(400))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in aliases.items():
+        root[find(i)] = find(j)
+    rule = lambda u: "allow" if ".com/" in u else "block" if ".net/es/" in u or ".org/en/" in u else None
+    bad = {find(i) for i, u in enumerate(urls) if rule(u) == "block"}
+    assert {r.page_id: r.verdict for r in judged.collect()} == {i: rule(u) or ("block" if find(i) in bad else "allow") for i, u in enumerate(urls)}
+    assert len(plans) > 8 and not any(re.search("Python|Pandas|InArrow|MapPartitions|BatchEval", p) for p in plans)
+
+
+def test_license_expressions_of_any_length():
+    """Long runs of brackets and of identifiers take time in proportion; what is passed over stays the least."""
+    scanner = licenses.Scanner(licenses.BASE, licenses.NOTICES, (licenses.TAG,), licenses.RESTRICTS)
+    labels = lambda text: scanner.scan(f"SPDX-License-Identifier: {text}")["labels"]
+    began = time.time()
+    n = 100_000
+    assert labels("(" * n) == [] and labels("(" * n + "MIT") == ["mit"] and labels("(" * n + "MIT" + ")" * n) == ["mit"] and labels("(" * n + "MIT" + ")" * 7 + " and ISC and (") == ["isc", "mit"]
+    assert labels(" and ".join(f"x{i}" for i in range(n))) == sorted(f"x{i}" for i in range(n)) and labels(" or ".join(f"x{i}" for i in range(n))) == ["x0"]
+    assert labels("-".join(["gpl"] * n)) == ["-".join(["gpl"] * n)] and labels("mit " + "(a)" * n) == ["mit"]
+    assert time.time() - began < 20
+
+    def slowly(tokens):  # drops one leading bracket after the other
+        def good(t):
+            return any(t) and not re.search(r"\( \)", " ".join(t)) and _balanced(t)
+
+        def _balanced(t):
+            depth, operand = 0, False
+            for x in t:
+                if x == "(":
+                    if operand:
+                        return False
+                    depth += 1
+                elif x == ")":
+                    if not operand or not depth:
+                        return False
+                    depth -= 1
+                elif x in ("and", "or", "with"):
+                    if not operand:
+                        return False
+                    operand = False
+                else:
+                    if operand:
+                        return False
+                    operand = True
+            return operand and not depth
+
+        while tokens:
+            found = next((tokens[:k] for k in range(len(tokens), 0, -1) if good(tokens[:k])), None)
+            if found or tokens[0] != "(":
+                return found
+            tokens = tokens[1:]
+        return None
+
+    rnd = random.Random(3)
+    for _ in range(4000):
+        tokens = ["("] * rnd.randrange(4) + rnd.choices(["(", ")", "a", "b", "and", "or", "with"], [2, 3, 4, 2, 2, 2, 1], k=rnd.randrange(9))
+        wanted = slowly(tokens)
+        got = licenses.postfix(" ".join(tokens))
+        assert got == (licenses._yard(wanted) if wanted else None), tokens
+
+
+def test_license_phrases_of_the_caller(spark):
+    rows = [(1, "SPDX License Identifier MIT or more"), (2, "the SPDX license identifier is a tag"), (3, "spdx-license-identifier =\tGPL-2.0+ // x\nSPDX-License-Identifier: Zlib"), (4, "Acme house rules; X-Lic: acme-1 OR mit\r\n"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.base_labels, r.labels, r.score) for r in licenses.find_licenses(docs).collect()}
+    assert got == {1: ([], ["mit"], 0.1), 2: ([], [], 0.0), 3: ([], ["gpl-2.0+", "zlib"], 0.7), 4: ([], [], 0.0), 5: ([], [], 0.0)}
+    own = licenses.find_licenses(docs, base={"house rules": "house"}, notices={"acme": "acme"}, tags=("x lic",), table={"acme": 0.9, "house": 0.2, "mit": 0.1})
+    got = {r.doc_id: (r.base_labels, r.labels, r.score) for r in own.collect()}
+    assert got[4] == (["house"], ["acme", "house", "mit"], 0.9) and got[1] == ([], [], 0.0)

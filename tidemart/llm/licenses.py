@@ -1,10 +1,14 @@
-"""License scans: an Aho-Corasick automaton over normalized words, and a shunting-yard parser for license expressions."""
+"""License scans: an Aho-Corasick automaton over normalized words, and a shunting-yard parser for license expressions.
+
+The automaton finds phrases and the words of identifier tags in one pass over the words; where it finds a tag, the rest of that line is
+read as an expression. Phrases, tags and how much an identifier restricts are the caller's; the tables here are defaults.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import takewhile
 
 import ahocorasick
 import pyarrow as pa
@@ -38,7 +42,7 @@ NOTICES = {
     "proprietary and confidential": "proprietary",
 }
 
-#: Words of an identifier tag; the expression follows it in the text.
+#: Words of an identifier tag; the expression follows it in its line.
 TAG = "spdx license identifier"
 
 #: How much each family of identifiers restricts use, 0 to 1; the longest fitting start of an identifier counts.
@@ -51,124 +55,157 @@ UNKNOWN_RESTRICTS = 0.5
 EXCEPTION = 0.5
 
 _BINDS = {"or": 1, "and": 2, "with": 3}
-_EXPRESSION = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)")
+#: What follows a tag's words: a sign that an expression comes, and the line's rest.
+_REST = re.compile(rb"[ \t]*([:=]?)[ \t]*([^\r\n]*)")
+_WORD = re.compile(rb"[^ ]+")
 _TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:_-]*")
 #: A-Z to a-z, other ASCII characters but digits and letters to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def restricts(identifier: str) -> float:
-    fits = [k for k in RESTRICTS if identifier == k or identifier.startswith(k + "-")]
-    return RESTRICTS[max(fits, key=len)] if fits else UNKNOWN_RESTRICTS
+def family(identifier: str, table: dict[str, float] = RESTRICTS) -> str | None:
+    """The longest listed family that the identifier is, or starts with before a hyphen."""
+    parts = identifier.split("-", 1 + max((k.count("-") for k in table), default=0))
+    return next((name for n in range(len(parts), 0, -1) if (name := "-".join(parts[:n])) in table), None)
+
 
+def restricts(identifier: str, table: dict[str, float] = RESTRICTS) -> float:
+    found = family(identifier, table)
+    return UNKNOWN_RESTRICTS if found is None else table[found]
 
-def postfix(expression: str) -> list[str] | None:
+
+def postfix(expression: str, table: dict[str, float] | None = None) -> list[str] | None:
     """Shunting-yard: the longest well-formed start of a lower-case expression in postfix order; None if there is none.
 
     ``with`` binds more than ``and``, which binds more than ``or``. Reading stops at the first token that does not fit,
-    such as the words of a comment after the expression. Parentheses at the very start that never close are passed over.
+    such as the words of a comment after the expression; with a ``table``, also at the first identifier of no listed family.
+    As many parentheses at the very start as never close are passed over.
     """
     tokens = _TOKEN.findall(expression)
-    while tokens:
-        out, good = _yard(tokens)
-        if good:
-            return out if good == len(tokens) else _yard(tokens[:good])[0]
-        if tokens[0] != "(":
-            return None
-        tokens = tokens[1:]
-    return None
-
-
-def _yard(tokens: list[str]) -> tuple[list[str], int]:
-    """The tokens in postfix order as far as they fit, and how many of them make up the longest well-formed start."""
-    out: list[str] = []
-    stack: list[str] = []
-    operand = False  # whether the last token completed an operand
-    open_ = good = 0
-    for n, token in enumerate(tokens, 1):
+    if table is not None:
+        tokens = [*takewhile(lambda x: x in "()" or x in _BINDS or family(x, table) is not None, tokens)]
+    skip, good = _extent(tokens)
+    return _yard(tokens[skip:good]) if good else None
+
+
+def _extent(tokens: list[str]) -> tuple[int, int]:
+    """How many opening parentheses to pass over, the fewest that leave a well-formed start, and where that ends (0: nowhere)."""
+    lead = next((i for i, token in enumerate(tokens) if token != "("), len(tokens))
+    depth = low = good = 0  # of parentheses behind the leading ones; where operands end deepest, the last time
+    operand = False
+    for n, token in enumerate(tokens[lead:], lead + 1):
         if token == "(":
             if operand:
                 break
-            stack.append(token)
-            open_ += 1
+            depth += 1
         elif token == ")":
-            if not operand or not open_:
+            if not operand or depth == -lead:
                 break
-            open_ -= 1
+            depth -= 1
+        elif token in _BINDS:
+            if not operand:
+                break
+            operand = False
+        else:
+            if operand:
+                break
+            operand = True
+        if operand and depth <= low:
+            low, good = depth, n
+    return lead + low, good
+
+
+def _yard(tokens: list[str]) -> list[str]:
+    """The tokens of a well-formed expression in postfix order."""
+    out: list[str] = []
+    stack: list[str] = []
+    for token in tokens:
+        if token == "(":
+            stack.append(token)
+        elif token == ")":
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
         elif token in _BINDS:
-            if not operand:
-                break
             while stack and stack[-1] != "(" and _BINDS[stack[-1]] >= _BINDS[token]:
                 out.append(stack.pop())
             stack.append(token)
-            operand = False
         else:
-            if operand:
-                break
             out.append(token)
-            operand = True
-        good = n if operand and not open_ else good
-    return out + stack[::-1], good
+    return out + stack[::-1]
 
 
-def evaluate(tokens: list[str]) -> tuple[set[str], float]:
-    """Identifiers that take effect and how much they restrict: ``or`` takes the freer side, ``and`` both sides."""
-    stack: list[tuple[set[str], float]] = []
+def evaluate(tokens: list[str], table: dict[str, float] = RESTRICTS) -> tuple[set[str], float]:
+    """Identifiers that take effect and how much they restrict: ``or`` takes the freer side (of equals the one whose sorted identifiers come first), ``and`` both sides."""
+    stack: list[tuple[set[str], float, str]] = []  # with the first identifier
     for token in tokens:
-        if token in _BINDS:
-            right, left = stack.pop(), stack.pop()
-            if token == "or":
-                stack.append(min(left, right, key=lambda x: (x[1], sorted(x[0]))))
-            elif token == "and":
-                stack.append((left[0] | right[0], max(left[1], right[1])))
+        if token not in _BINDS:
+            name = token.replace(":", "-")
+            stack.append(({name}, restricts(token, table), name))
+            continue
+        right, left = stack.pop(), stack.pop()
+        if token == "or":
+            if left[1:] == right[1:]:
+                stack.append(min(left, right, key=lambda x: sorted(x[0])))
             else:
-                stack.append((left[0] | right[0], left[1] * EXCEPTION))
-        else:
-            stack.append(({token.replace(":", "-")}, restricts(token)))
-    return stack[-1]
-
-
-@lru_cache(1)
-def _automaton() -> ahocorasick.Automaton:
-    found = ahocorasick.Automaton()
-    for phrase in {*BASE, *NOTICES, TAG}:
-        found.add_word(f" {phrase} ", phrase)
-    found.make_automaton()
-    return found
-
-
-def scan(text: str) -> dict:
-    raw = text.encode("utf-8", "surrogatepass")
-    words = raw.translate(_FOLD).split()
-    line = b" ".join([b"", *words, b""]).decode("utf-8", "replace")
-    places, base, noticed, labels, score, tagged = [], set(), set(), set(), 0.0, False
-    at, n = 0, 0
-    for end, phrase in sorted((x for x in _automaton().iter(line)), key=lambda x: x[0] - len(x[1])):
-        start = end - len(phrase) - 1
-        n += line.count(" ", at, start)
-        at = start
-        if phrase in BASE:
-            places.append(n)
-            base.add(BASE[phrase])
-        if phrase in NOTICES:
-            noticed.add(NOTICES[phrase])
-        tagged |= phrase == TAG
-    if tagged:
-        for expression in _EXPRESSION.findall(raw.translate(_LOWER).decode("utf-8", "replace")):
-            if tokens := postfix(expression):
-                ids, value = evaluate(tokens)
+                stack.append(min(left, right, key=lambda x: x[1:]))
+            continue
+        large, small = (left, right) if len(left[0]) >= len(right[0]) else (right, left)
+        large[0].update(small[0])  # no one else holds it
+        stack.append((large[0], max(left[1], right[1]) if token == "and" else left[1] * EXCEPTION, min(left[2], right[2])))
+    return stack[-1][:2]
+
+
+class Scanner:
+    """The automaton of a set of phrases and tags, and what its finds mean."""
+
+    def __init__(self, base: dict[str, str], notices: dict[str, str], tags: tuple[str, ...], table: dict[str, float]):
+        self.base, self.notices, self.tags, self.table = base, notices, frozenset(tags), table
+        self.automaton = ahocorasick.Automaton()
+        for phrase in {*base, *notices, *tags}:
+            self.automaton.add_word(f" {phrase} ", phrase)
+        self.automaton.make_automaton()
+
+    def scan(self, text: str) -> dict:
+        raw = text.encode("utf-8", "surrogatepass")
+        folded = raw.translate(_FOLD)
+        words = folded.split()
+        line = b" ".join([b"", *words, b""]).decode("utf-8", "replace")
+        places, base, labels, score, tagged = [], set(), set(), 0.0, []
+        at, n = 0, 0
+        for end, phrase in sorted((x for x in self.automaton.iter(line)), key=lambda x: x[0] - len(x[1])):
+            start = end - len(phrase) - 1
+            n += line.count(" ", at, start)
+            at = start
+            if phrase in self.base:
+                places.append(n)
+                base.add(self.base[phrase])
+            if phrase in self.notices:
+                labels.add(self.notices[phrase])
+            if phrase in self.tags:
+                tagged.append(n + phrase.count(" "))  # the tag's last word
+        labels |= base
+        score = max((restricts(x, self.table) for x in labels), default=0.0)
+        for expression, signed in self._expressions(raw, folded, tagged):
+            if tokens := postfix(expression, None if signed else self.table):
+                ids, value = evaluate(tokens, self.table)
                 labels |= ids
                 score = max(score, value)
-    labels |= noticed | base
-    score = max([score, *map(restricts, noticed | base)])
-    return {"n_words": len(words), "places": sorted(places), "base_labels": sorted(base), "labels": sorted(labels), "score": score}
+        return {"n_words": len(words), "places": sorted(places), "base_labels": sorted(base), "labels": sorted(labels), "score": score}
+
+    @staticmethod
+    def _expressions(raw: bytes, folded: bytes, tagged: list[int]) -> Iterator[tuple[str, bool]]:
+        """What follows the given words in their lines, in lower case, and whether a sign stands before it."""
+        words, n = _WORD.finditer(folded), -1
+        for last in sorted(set(tagged)):
+            while n < last:
+                word, n = next(words), n + 1
+            rest = _REST.match(raw, word.end())
+            yield rest[2].translate(_LOWER).decode("utf-8", "replace"), bool(rest[1])
 
 
-def find_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
+def find_licenses(docs: DataFrame, text: str = "text", base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, tags: tuple[str, ...] = (TAG,), table: dict[str, float] = RESTRICTS) -> DataFrame:
     """Every row without its text, with ``n_words``, ``places`` (word indexes of base phrases), ``base_labels``, ``labels``, ``score``.
 
     A-Z count as a-z; words are runs of letters, digits and non-ASCII characters. Phrases match whole words wherever they
@@ -182,8 +219,9 @@ def find_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     keep = [f for f in docs.schema if f.name not in (text, *kinds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(base, notices, tags, table)
         for batch in batches:
-            found = [scan(x.as_py() or "") for x in batch.column(text)]
+            found = [scanner.scan(x.as_py() or "") for x in batch.column(text)]
             out = [batch.column(f.name) for f in keep] + [pa.array([x[k] for x in found], kind) for k, kind in kinds.items()]
             yield pa.RecordBatch.from_arrays(out, [*(f.name for f in keep), *kinds])
 
