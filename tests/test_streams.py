@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemart import schemas
+from tidemart.operators import dims as D
 from tidemart.operators import facts, keyed, logs, windows
 from tidemart.plans import fixtures as X
 from tidemart.plans.queries import SUMMARIES
@@ -58,13 +59,6 @@ def test_registrations(spark, tmp_path):
     same(got.where("stt < '2090'"), summary(rows.withColumn("rt", F.to_timestamp("create_time"))))
 
 
-def test_unique_visitors(spark, tmp_path):
-    rows = flat_pages(spark).where("last_page_id IS NULL").select("mid", "ms")
-    stream = jobs.with_time(as_stream(spark, rows, tmp_path, "ms")).drop("ms")
-    batch = keyed.first_per_day(jobs.with_time(rows), ["mid"], "rt", [])
-    same(ended(spark, states.first_per_day(stream, ["mid"], "rt"), tmp_path).select("mid", "ms"), batch.select("mid", "ms"))
-
-
 def jittered(spark, df, tmp_path, time, spread, closing, parts=4, seed=3):
     """``df`` in files, one a micro-batch, whose rows come up to ``spread`` (in units of ``time``) late and in no order; then a closing row."""
     rng = np.random.default_rng(seed)
@@ -100,12 +94,47 @@ def test_a_start_that_comes_late_hides_no_bounce(spark, tmp_path):
     assert [r.ms for r in got.collect()] == [100_000]
 
 
+DAY_MS = 86_400_000
+
+
+def test_unique_visitors(spark, tmp_path):
+    rows = flat_pages(spark).where("last_page_id IS NULL").select("mid", "ms", F.monotonically_increasing_id().alias("n"))
+    stream = jobs.with_time(jittered(spark, rows, tmp_path, "ms", 3 * DAY_MS, ("zz", FAR, 0))).drop("ms")
+    batch = keyed.first_per_day(jobs.with_time(rows), ["mid"], "rt", ["n"])
+    got = ended(spark, states.first_per_day(stream, ["mid"], "rt", ["n"], "4 days"), tmp_path)
+    same(got.where("mid <> 'zz'").select("mid", "ms", "rt", "n"), batch.select("mid", "ms", "rt", "n"))
+
+
+def test_a_row_of_an_earlier_day_that_comes_a_batch_late_is_first_of_its_day(spark, tmp_path):
+    for part in ([("a", 2 * DAY_MS + 5)], [("a", DAY_MS + 7), ("a", DAY_MS + 9)], [("zz", FAR)]):
+        spark.createDataFrame(part, "mid string, ms long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.with_time(spark.readStream.schema("mid string, ms long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")).drop("ms")
+    got = ended(spark, states.first_per_day(stream, ["mid"], "rt", watermark="2 days"), tmp_path)
+    assert sorted(r.ms for r in got.collect()) == [DAY_MS + 7, 2 * DAY_MS + 5]
+
+
+def test_states_of_a_day_end_with_it(spark, tmp_path):
+    """Days come to their end by event time, their state rows go, and the run ends."""
+    for d in range(1, 5):
+        spark.createDataFrame([(m, d * DAY_MS + 1000 * i) for i, m in enumerate("abc")], "mid string, ms long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.with_time(spark.readStream.schema("mid string, ms long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")).drop("ms")
+    days = lambda: sorted(r.value.day for r in spark.read.format("statestore").option("stateVarName", "last").load(f"{tmp_path}/out-checkpoint").collect())
+    got = ended(spark, states.first_per_day(stream, ["mid"], "rt"), tmp_path)
+    assert got.count() == 10 and days() == ["1970-01-05"]  # of the last day the row at the watermark
+    spark.createDataFrame([("d", 4 * DAY_MS + 9000)], "mid string, ms long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = ended(spark, states.first_per_day(stream, ["mid"], "rt"), tmp_path)
+    assert got.count() == 12 and days() == ["1970-01-05"] * 3
+    spark.createDataFrame([("e", 7 * DAY_MS)], "mid string, ms long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    ended(spark, states.first_per_day(stream, ["mid"], "rt"), tmp_path)
+    assert days() == []
+
+
 def test_new_flags(spark, tmp_path):
-    rows = spark.createDataFrame([("a", "1", 10), ("a", "1", 20), ("a", "1", 90_000_000), ("b", "0", 5), ("b", "1", 90_000_000), ("b", "1", 200_000_000), (None, "1", 7)], "mid string, is_new string, ms long")
+    rows = spark.createDataFrame([("a", "1", 10), ("a", "1", 20), ("a", "1", 90_000_000), ("b", "0", 5), ("b", "1", 90_000_000), ("b", "1", 200_000_000), ("c", "1", 100_000_000), ("c", "0", 180_000_000), ("c", "1", 180_000_000), ("c", None, 300_000_000), (None, "1", 7)], "mid string, is_new string, ms long")
     log = rows.select(F.struct("mid", "is_new").alias("common"), F.col("ms").alias("ts"))
-    stream = jobs.with_time(as_stream(spark, rows, tmp_path, "ms")).drop("ms")
+    stream = jobs.with_time(jittered(spark, rows, tmp_path, "ms", 3 * DAY_MS, ("zz", "1", FAR))).drop("ms")
     for backfill in (False, True):
-        got = ended(spark, states.fix_is_new(stream, "mid", "rt", backfill), tmp_path, f"out{backfill}").select("mid", "ms", "is_new")
+        got = ended(spark, states.fix_is_new(stream, "mid", "rt", backfill, "4 days"), tmp_path, f"out{backfill}").where("mid <> 'zz'").select("mid", "ms", "is_new")
         same(got, keyed.fix_is_new(log.where("common.mid IS NOT NULL"), backfill).select("common.mid", F.col("ts").alias("ms"), "common.is_new"))
 
 
@@ -121,6 +150,61 @@ def test_summaries(spark, tmp_path, name):
     assert sinks.versioned(got, schemas.SUMMARIES[name], F.lit(1)).columns == ["stt", "edt", *schemas.SUMMARIES[name], "ts", "dt"]
 
 
+def repeated(rows, spread=3):
+    """Rows of an id several times over, as a join that comes to its result piece by piece gives them; the same time, other change times."""
+    return rows.withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(spread) - F.pmod(F.xxhash64("rt"), F.lit(2)).cast("int"))))
+
+
+def order_rows(spark):
+    made = [(str(i), str(i % 7) if i % 5 else None, str(i % 4), str(i % 3), str(i % 6), "10.5", str(i % 3 + 1), "9.25", "1.0", None if i % 2 else "0.5", datetime.datetime(2024, 1, 1 + i % 4, i % 24, i % 60, 7, 1000 * i)) for i in range(120)]
+    names = "id user_id order_id province_id sku_id order_price sku_num split_total_amount split_activity_amount split_coupon_amount".split()
+    return spark.createDataFrame(made, ", ".join(f"{n} string" for n in names) + ", rt timestamp")
+
+
+def dimension_rows(spark):
+    dim = lambda kind, n, *more: spark.createDataFrame([(str(i), f"{kind} {i}", *(str(i % k) for k in (2,) * len(more))) for i in range(n)], ", ".join(f"{c} string" for c in ("id", "name", *more)))
+    sku = spark.createDataFrame([(str(i), str(i % 3), str(i % 2), str(i % 2)) for i in range(5)], "id string, spu_id string, tm_id string, category3_id string")
+    chain = spark.createDataFrame([(str(i), f"c3 {i}", "0", "c2", "0", "c1") for i in range(2)], "category3_id string, category3_name string, category2_id string, category2_name string, category1_id string, category1_name string")
+    return sku, dim("spu", 3), dim("tm", 2), dim("province", 3), chain
+
+
+CHAINS = ["page_view", "user_login", "cart_add", "payment", "trade_order", "user_spu_order", "province_order", "refund"]
+
+
+@pytest.mark.parametrize("name", CHAINS)
+def test_chains_from_facts_to_windows_in_one_query(spark, tmp_path, name):
+    """Order, repeats, first days and windows in one query with one checkpoint, on unordered micro-batches: what the batch gives."""
+    sku, spu, trademark, province, chain = dimension_rows(spark)
+    base = order_rows(spark)
+    far = datetime.datetime(2090, 1, 1)
+    wide, delay = "1 hour", "5 days"
+    if name in ("page_view", "user_login", "cart_add"):
+        rows = base.select(F.col("user_id").alias("mid"), F.col("user_id").alias("uid"), "user_id", F.when(F.col("sku_id") < "3", "home").otherwise("good_detail").alias("page_id"), "rt", F.col("id").cast("int").alias("n"))
+    elif name == "refund":
+        rows = base
+    else:
+        rows = repeated(base.withColumn("order_detail_id", F.col("id"))).withColumn("split_total_amount", F.concat("seq", F.lit(".25")))
+    tie, by = ["n"], ["seq"]
+    firsts = lambda key: keyed.first_per_day(rows, key, "rt", tie)
+    nested = lambda df: df.select(F.struct("uid").alias("common"), F.struct(F.lit(None).cast("string").alias("last_page_id")).alias("page"), F.unix_millis("rt").alias("ts"))
+    flagged = lambda df, id_, u, n: keyed.unique_and_new(df, "user_id", "rt", [id_], u, n)
+    batch, stream = {
+        "page_view": (lambda: windows.page_view(firsts(["mid", "page_id"]), wide), lambda s: jobs.page_views(s, wide, delay, tie)),
+        "user_login": (lambda: windows.user_login(keyed.daily_logins(nested(rows)), wide), lambda s: jobs.user_logins(s, wide, delay, tie)),
+        "cart_add": (lambda: windows.cart_add(firsts(["user_id"]), wide), lambda s: jobs.cart_adds(s, wide, delay, tie)),
+        "payment": (lambda: windows.payment(flagged(keyed.latest(rows, ["order_detail_id"], by), "order_detail_id", "payment_suc_unique_user_count", "payment_new_user_count"), wide), lambda s: jobs.payments(s, by, wide, delay)),
+        "trade_order": (lambda: windows.trade_order(flagged(keyed.first(rows, ["id"], by), "id", "order_unique_user_count", "order_new_user_count"), wide), lambda s: jobs.trade_orders(s, by, wide, delay)),
+        "user_spu_order": (lambda: windows.user_spu_order(D.enrich_sku(keyed.first(rows, ["id"], by), sku), spu, trademark, chain, wide), lambda s: jobs.user_spu_orders(s, by, sku, spu, trademark, chain, wide, delay)),
+        "province_order": (lambda: windows.province_order(keyed.latest(rows, ["id"], by), province, wide), lambda s: jobs.province_orders(s, by, province, wide, delay)),
+        "refund": (lambda: windows.refund(D.enrich_sku(rows, sku), trademark, chain, wide), lambda s: jobs.refunds(s, sku, trademark, chain, wide, delay)),
+    }[name]
+    closing = tuple(far if k == "timestamp" else "zz" if k == "string" else 1 for _, k in rows.dtypes)
+    got = ended(spark, stream(jittered(spark, rows, tmp_path, "rt", 2 * 86_400, closing)), tmp_path)
+    expected = batch()
+    same(got.where("stt < '2090'"), expected)
+    assert expected.count() > 10
+
+
 def test_traffic_of_three_streams(spark, tmp_path):
     """Page views, unique visitors and bounces land apart; their union waits for the bounces."""
     page = logs.pages(X.log(spark, DATA)).cache()
@@ -145,20 +229,23 @@ def test_rows_later_than_the_watermark_are_dropped(spark, tmp_path):
 
 
 def test_logins_and_flags(spark, tmp_path):
-    rows = flat_pages(spark).where("uid IS NOT NULL AND last_page_id IS NULL").select("uid", "ms")
-    stream = jobs.with_time(as_stream(spark, rows, tmp_path, "ms")).drop("ms")
+    """In no order, and with rows that have no user."""
+    rows = flat_pages(spark).where("last_page_id IS NULL").select("uid", "ms", F.monotonically_increasing_id().alias("n"))
+    stream = jobs.with_time(jittered(spark, rows, tmp_path, "ms", 3 * DAY_MS, ("zz", FAR, 0))).drop("ms")
     nested = rows.select(F.struct("uid").alias("common"), F.struct(F.lit(None).cast("string").alias("last_page_id")).alias("page"), F.col("ms").alias("ts"))
     batch = keyed.daily_logins(nested, away_days=2).select("uid", F.unix_millis("rt").alias("ms"), "uu_ct", "back_ct")
-    same(ended(spark, states.daily_logins(stream, "uid", "rt", 2), tmp_path).select("uid", "ms", "uu_ct", "back_ct"), batch)
-    flags = keyed.unique_and_new(jobs.with_time(rows), "uid", "rt", [], "u", "n").select("uid", "ms", "u", "n")
-    same(ended(spark, states.user_flags(stream, "uid", "rt", "u", "n"), tmp_path, "flags").select("uid", "ms", "u", "n"), flags)
-
-
-def test_latest_per_id(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 1000, 1, "x"), ("a", 2000, 1, "y"), ("a", 2000, 2, "z"), ("b", 1500, 1, "w"), ("b", 1400, 5, "v"), ("c", 9000, 1, "u")], "id string, ms long, seq int, v string")
-    stream = jobs.with_time(as_stream(spark, rows, tmp_path, "ms", ("zz", FAR, 1, "end"))).drop("ms")
-    got = ended(spark, states.latest(stream, ["id"], "rt", ["seq"]), tmp_path).select("id", "v")
-    same(got, keyed.latest(rows, ["id"], ["ms", "seq"]).select("id", "v"))
+    same(ended(spark, states.daily_logins(stream, "uid", "rt", 2, watermark="4 days"), tmp_path).where("uid <> 'zz'").select("uid", "ms", "uu_ct", "back_ct"), batch)
+    flags = keyed.unique_and_new(jobs.with_time(rows), "uid", "rt", ["n"], "u", "v").select("uid", "ms", "u", "v")
+    same(ended(spark, states.user_flags(stream, "uid", "rt", "u", "v", ["n"], "4 days"), tmp_path, "flags").where("NOT uid <=> 'zz'").select("uid", "ms", "u", "v"), flags)
+
+
+def test_first_and_latest_per_id(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1000, 1, "x"), ("a", 2000, 1, "y"), ("a", 2000, 2, "z"), ("b", 1500, 1, "w"), ("b", 1400, 5, "v"), ("c", 9000, 1, "u"), ("c", 7000, None, "t")], "id string, ms long, seq int, v string")
+    stream = jobs.with_time(jittered(spark, rows, tmp_path, "ms", 4000, ("zz", FAR, 1, "end"))).drop("ms")
+    for name, by_stream, by_batch in (("latest", states.latest, keyed.latest), ("first", states.first, keyed.first)):
+        got = ended(spark, by_stream(stream, ["id"], "rt", ["seq"], "10 seconds"), tmp_path, name).where("id <> 'zz'")
+        same(got.select("id", "v", "ms"), by_batch(rows, ["id"], ["ms", "seq"]).select("id", "v", "ms"))
+        assert got.where("unix_millis(rt) <> ms + 5000").count() == 0
 
 
 def test_dedup_within_watermark(spark, tmp_path):

@@ -15,11 +15,16 @@ from .dims import name_of
 from .keyed import bounced, with_next
 
 WIDTH = "10 seconds"
+ON_TIME = "0 seconds"
 _MONEY = "decimal(38,6)"
 
 
-def summarize(rows: DataFrame, width: str, dims: list[str], *measures: Column) -> DataFrame:
-    grouped = rows.groupBy(F.window("rt", width).alias("window"), *dims).agg(*measures)
+def summarize(rows: DataFrame, width: str, dims: list[str], *measures: Column, late: str = ON_TIME) -> DataFrame:
+    """Sums by window of ``rt``; ``late`` is how much ``rt`` was put off by a step before, the windows are those of the events."""
+    grouped = rows.groupBy(F.window("rt", width, width, late).alias("window"), *dims).agg(*measures)
+    if late != ON_TIME:
+        ends = (F.expr(f"window.{end} - INTERVAL {late}").alias(end) for end in ("start", "end"))
+        grouped = grouped.withColumn("window", F.struct(*ends))
     return grouped.select(*bounds(), *[c for c in grouped.columns if c != "window"])
 
 
@@ -92,11 +97,11 @@ def cart_add(firsts: DataFrame, width: str = WIDTH) -> DataFrame:
     return summarize(firsts, width, [], F.count(F.lit(1)).alias("cart_add_uu_ct"))
 
 
-def payment(flagged: DataFrame, width: str = WIDTH) -> DataFrame:
-    return summarize(flagged, width, [], *_sums("payment_suc_unique_user_count", "payment_new_user_count"))
+def payment(flagged: DataFrame, width: str = WIDTH, late: str = ON_TIME) -> DataFrame:
+    return summarize(flagged, width, [], *_sums("payment_suc_unique_user_count", "payment_new_user_count"), late=late)
 
 
-def trade_order(flagged: DataFrame, width: str = WIDTH) -> DataFrame:
+def trade_order(flagged: DataFrame, width: str = WIDTH, late: str = ON_TIME) -> DataFrame:
     """Amounts that are no numbers count as none."""
     money = lambda c: F.coalesce(F.col(c).try_cast("decimal(18,4)"), F.lit(0))
     origin = F.col("order_price").try_cast("decimal(18,2)") * F.col("sku_num").try_cast("decimal(12,2)")
@@ -105,6 +110,7 @@ def trade_order(flagged: DataFrame, width: str = WIDTH) -> DataFrame:
         F.sum(money("split_activity_amount")).cast(_MONEY).alias("order_activity_reduce_amount"),
         F.sum(money("split_coupon_amount")).cast(_MONEY).alias("order_coupon_reduce_amount"),
         F.sum(origin).cast(_MONEY).alias("order_origin_total_amount"),
+        late=late,
     )
 
 
@@ -113,14 +119,14 @@ def _amount() -> Column:
     return F.sum(F.col("split_total_amount").try_cast("decimal(18,4)")).cast(_MONEY).alias("order_amount")
 
 
-def user_spu_order(rows: DataFrame, spu: DataFrame, trademark: DataFrame, chain: DataFrame, width: str = WIDTH) -> DataFrame:
+def user_spu_order(rows: DataFrame, spu: DataFrame, trademark: DataFrame, chain: DataFrame, width: str = WIDTH, late: str = ON_TIME) -> DataFrame:
     """From details with their sku's dimensions; names join the small aggregate."""
-    sums = summarize(rows, width, ["user_id", "spu_id", "trademark_id", "category3_id"], _orders(rows), _amount())
+    sums = summarize(rows, width, ["user_id", "spu_id", "trademark_id", "category3_id"], _orders(rows), _amount(), late=late)
     return name_of(name_of(sums, spu, "spu_id", "spu_name"), trademark, "trademark_id", "trademark_name").join(chain, "category3_id")
 
 
-def province_order(rows: DataFrame, province: DataFrame, width: str = WIDTH) -> DataFrame:
-    return name_of(summarize(rows, width, ["province_id"], _orders(rows), _amount()), province, "province_id", "province_name")
+def province_order(rows: DataFrame, province: DataFrame, width: str = WIDTH, late: str = ON_TIME) -> DataFrame:
+    return name_of(summarize(rows, width, ["province_id"], _orders(rows), _amount(), late=late), province, "province_id", "province_name")
 
 
 def refund(rows: DataFrame, trademark: DataFrame, chain: DataFrame, width: str = WIDTH) -> DataFrame:

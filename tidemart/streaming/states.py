@@ -1,8 +1,13 @@
-"""Keyed state for streams: what the batch jobs do with window functions."""
+"""Keyed state for streams: what the batch jobs do with window functions.
+
+Every processor acts in the order of event time: rows are held until the watermark has passed them, so that none can come between
+them any more, and are released by timers. Results keep their event time and a watermark on it, so that further stateful
+steps and windows can follow in the same query. State that a day needs ends with the day, by event time.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -12,136 +17,198 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Streams with these states need this provider (spark.sql.streaming.stateStore.providerClass).
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-DAY_MS = 86_400_000
 
 
-def _rows(batches: Iterator[pd.DataFrame], by: list[str]) -> list[dict[str, Any]]:
-    """A micro-batch's rows of one key in order; a key's rows of one batch only."""
-    parts = list(batches)
-    return pd.concat(parts).sort_values(by, kind="stable").to_dict("records") if parts else []
+def _sort_key(row: dict[str, Any], by: list[str]) -> tuple:
+    """Nulls first."""
+    return tuple((row[c] is not None, row[c]) for c in by)
+
+
+def _rows(batches: Iterator[pd.DataFrame], columns: list[str]) -> list[dict[str, Any]]:
+    """A micro-batch's rows of one key; a key's rows of one batch only."""
+    return [{c: _plain(v) for c, v in r.items()} for part in batches for r in part[columns].to_dict("records")]
 
 
-class FirstPerDay(StatefulProcessor):
-    """Emits a key's first row of each day (``day`` a date text, ``ms`` its time); state: the last day, kept for ``ttl_ms`` if given."""
+class InOrder(StatefulProcessor):
+    """Holds rows (``columns``, with ``at_us``, their time in microseconds) until the watermark has passed them; then ``take`` gets them by time and ``tie``."""
 
-    def __init__(self, columns: list[str], ttl_ms: int | None = None):
-        self.columns, self.ttl_ms = columns, ttl_ms
+    def __init__(self, columns: list[str], kinds: str, out: list[str], time: str, tie: list[str] | None = None):
+        self.columns, self.kinds, self.out, self.time, self.by = columns, kinds, out, time, ["at_us", *(tie or [])]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "day string", ttlDurationMs=self.ttl_ms)
+        self.handle, self.held = handle, handle.getListState("held", self.kinds)
+
+    def take(self, rows: list[dict[str, Any]]) -> list[dict[str, Any]]:
+        """What these rows of the key give; the rows come after all that came before."""
+        raise NotImplementedError
+
+    def expire(self, passed: int) -> None:
+        """Drop state that rows after the watermark, in milliseconds, do not need."""
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last, out = str(self.last.get()[0]) if self.last.exists() else "", []
-        for row in _rows(rows, ["ms"]):
+        found = _rows(rows, self.columns)
+        if found:
+            self.held.appendList([tuple(r[c] for c in self.columns) for r in found])
+            self.wake({r["at_us"] for r in found})
+        return iter(())
+
+    def wake(self, times: set[int]) -> None:
+        """Timers of the milliseconds before: one expires once the watermark is behind it, when the row is passed."""
+        for ms in {-(-us // 1000) - 1 for us in times}:
+            self.handle.registerTimer(ms)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed = int(timerValues.getCurrentWatermarkInMs())
+        held = [dict(zip(self.columns, r, strict=True)) for r in self.held.get()]
+        due = [r for r in held if r["at_us"] <= 1000 * passed]
+        if due:
+            keep = [r for r in held if r["at_us"] > 1000 * passed]
+            self.held.clear()
+            if keep:
+                self.held.put([tuple(r[c] for c in self.columns) for r in keep])
+            found = self.take(sorted(due, key=lambda r: _sort_key(r, self.by)))
+            if found:
+                yield self.result(found)
+        self.expire(passed)
+
+    def result(self, rows: list[dict[str, Any]]) -> pd.DataFrame:
+        done = pd.DataFrame(rows)
+        done[self.time] = pd.to_datetime(done["at_us"], unit="us", utc=True)
+        return done[self.out]
+
+    def close(self) -> None:
+        pass
+
+
+class FirstPerDay(InOrder):
+    """A key's first row of each day; the last day is remembered until the watermark has passed its end."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "day string, until long")
+
+    def take(self, rows: list[dict[str, Any]]) -> list[dict[str, Any]]:
+        last, until = self.last.get() if self.last.exists() else ("", 0)
+        out = []
+        for row in rows:
             if row["day"] > last:
-                last = row["day"]
+                last, until = row["day"], row["day_end"]
                 out.append(row)
         if out:
-            self.last.update((last,))
-            yield pd.DataFrame(out)[self.columns]
+            self.last.update((last, until))
+            self.handle.registerTimer(until)
+        return out
 
-    def close(self) -> None:
-        pass
+    def expire(self, passed: int) -> None:
+        if self.last.exists() and self.last.get()[1] <= passed:
+            self.last.clear()
 
 
-class UserFlags(StatefulProcessor):
-    """Emits every row with ``unique`` (first of the key's day) and ``new`` (first ever), 0 or 1; state without end: the last day."""
+class UserFlags(InOrder):
+    """Every row with ``unique`` (first of the key's day) and ``new`` (first ever), 0 or 1; state without end: the last day. Rows without a user have neither."""
 
-    def __init__(self, columns: list[str], unique: str, new: str):
-        self.columns, self.unique, self.new = columns, unique, new
+    def __init__(self, columns: list[str], kinds: str, out: list[str], time: str, tie: list[str] | None, user: str, unique: str, new: str):
+        super().__init__(columns, kinds, out, time, tie)
+        self.user, self.unique, self.new = user, unique, new
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.last = handle.getValueState("last", "day string")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last, out = str(self.last.get()[0]) if self.last.exists() else "", []
-        for row in _rows(rows, ["ms"]):
-            out.append(row | {self.unique: int(row["day"] > last), self.new: int(last == "")})
-            last = max(last, row["day"])
-        if out:
+    def take(self, rows: list[dict[str, Any]]) -> list[dict[str, Any]]:
+        before = last = str(self.last.get()[0]) if self.last.exists() else ""
+        out = []
+        for row in rows:
+            known = row[self.user] is not None
+            out.append(row | {self.unique: int(known and row["day"] > last), self.new: int(known and last == "")})
+            last = max(last, row["day"]) if known else last
+        if last != before:
             self.last.update((last,))
-            yield pd.DataFrame(out)[self.columns]
-
-    def close(self) -> None:
-        pass
+        return out
 
 
-class Logins(StatefulProcessor):
-    """Emits a user's first login of each day with ``uu_ct`` 1 and ``back_ct``; state without end: the last day."""
+class Logins(InOrder):
+    """A user's first login of each day with ``uu_ct`` 1 and ``back_ct``; state without end: the last day."""
 
-    def __init__(self, columns: list[str], away_days: int = 7):
-        self.columns, self.away_days = columns, away_days
+    def __init__(self, columns: list[str], kinds: str, out: list[str], time: str, tie: list[str] | None, away_days: int):
+        super().__init__(columns, kinds, out, time, tie)
+        self.away_days = away_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.last = handle.getValueState("last", "day string")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def take(self, rows: list[dict[str, Any]]) -> list[dict[str, Any]]:
         last, out = str(self.last.get()[0]) if self.last.exists() else "", []
-        for row in _rows(rows, ["ms"]):
+        for row in rows:
             if row["day"] > last:
                 away = (pd.Timestamp(row["day"]) - pd.Timestamp(last)).days if last else 0
                 out.append(row | {"uu_ct": 1, "back_ct": int(away > self.away_days)})
                 last = row["day"]
         if out:
             self.last.update((last,))
-            yield pd.DataFrame(out)[self.columns]
+        return out
 
-    def close(self) -> None:
-        pass
 
+class NewFlag(InOrder):
+    """Every row with ``is_new`` '0' where it says '1' on a day after the key's first day as new; state without end: that day.
 
-class Latest(StatefulProcessor):
-    """Emits a key's last row (by ``ms``, then ``tie``) once ``wait_ms`` of event time have passed since its first."""
+    With ``backfill`` a row that says '0' makes all that come later, or at the same time, old.
+    """
 
-    def __init__(self, columns: list[str], kinds: str, tie: list[str], wait_ms: int = 5000):
-        self.columns, self.kinds, self.by, self.wait_ms = columns, kinds, ["ms", *tie], wait_ms
+    def __init__(self, columns: list[str], kinds: str, out: list[str], time: str, backfill: bool):
+        super().__init__(columns, kinds, out, time, ["is_new"])
+        self.backfill = backfill
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.held = handle, handle.getValueState("held", self.kinds)
+        super().init(handle)
+        self.first = handle.getValueState("first", "day string")
+
+    def take(self, rows: list[dict[str, Any]]) -> list[dict[str, Any]]:
+        before = first = str(self.first.get()[0]) if self.first.exists() else "~"  # "~": after all days, "": before them
+        out = []
+        for row in rows:
+            new = row["is_new"] == "1"
+            out.append(row | {"is_new": "0"} if new and row["day"] > first else row)
+            first = min(first, row["day"]) if new else "" if self.backfill and row["is_new"] is not None else first
+        if first != before:
+            self.first.update((first,))
+        return out
+
+
+class Kept(StatefulProcessor):
+    """A key's last row, or first one, by ``by`` once ``wait_ms`` of event time have passed since its earliest; its time is put off by as much."""
+
+    def __init__(self, columns: list[str], kinds: str, out: list[str], time: str, by: list[str], wait_ms: int, last: bool):
+        self.columns, self.kinds, self.out, self.time, self.by, self.wait_ms, self.last = columns, kinds, out, time, by, wait_ms, last
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("held", f"{self.kinds}, `_due` long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        found = _rows(rows, self.by)
+        found = _rows(rows, self.columns)
         if found:
-            best = found[-1]
+            due = min(r["at_us"] for r in found) // 1000 + self.wait_ms
             if self.held.exists():
-                now = dict(zip(self.columns, self.held.get(), strict=True))
-                best = now if [now[c] for c in self.by] > [best[c] for c in self.by] else best
+                *now, before = self.held.get()
+                found.append(dict(zip(self.columns, now, strict=True)))
+                due = min(due, before)
+                if due < before:
+                    self.handle.deleteTimer(before - 1)
+                    self.handle.registerTimer(due - 1)
             else:
-                self.handle.registerTimer(int(found[0]["ms"]) + self.wait_ms)
-            self.held.update(tuple(_plain(best[c]) for c in self.columns))
+                self.handle.registerTimer(due - 1)  # expires once the watermark is behind it
+            best = (max if self.last else min)(found, key=lambda r: _sort_key(r, self.by))
+            self.held.update((*(best[c] for c in self.columns), due))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         if self.held.exists():
-            row = self.held.get()
+            row = dict(zip(self.columns, self.held.get()[:-1], strict=True))
             self.held.clear()
-            yield pd.DataFrame([dict(zip(self.columns, row, strict=True))])
-
-    def close(self) -> None:
-        pass
-
-
-class NewFlag(StatefulProcessor):
-    """Emits every row with ``is_new`` '0' where it says '1' on a day after the key's first day as new; state without end: that day.
-
-    With ``backfill`` a row that says '0' makes all that come later old.
-    """
-
-    def __init__(self, columns: list[str], backfill: bool = False):
-        self.columns, self.backfill = columns, backfill
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "day string")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        first, out = str(self.first.get()[0]) if self.first.exists() else "~", []  # "~": after all days, "": before them
-        for row in _rows(rows, ["ms"]):
-            new = row["is_new"] == "1"
-            out.append(row | {"is_new": "0"} if new and row["day"] > first else row)
-            first = min(first, row["day"]) if new else "" if self.backfill else first
-        if out:
-            self.first.update((first,))
-            yield pd.DataFrame(out)[self.columns]
+            done = pd.DataFrame([row])
+            done[self.time] = pd.to_datetime(done["at_us"] + 1000 * self.wait_ms, unit="us", utc=True)
+            yield done[self.out]
 
     def close(self) -> None:
         pass
@@ -160,9 +227,9 @@ class Bounces(StatefulProcessor):
         self.handle, self.held = handle, handle.getListState("held", self.kinds)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        found = _rows(rows, self.by)
+        found = _rows(rows, self.columns)
         if found:
-            self.held.appendList([tuple(_plain(r[c]) for c in self.columns) for r in found])
+            self.held.appendList([tuple(r[c] for c in self.columns) for r in found])
             for ms in {int(r["ms"]) for r in found}:
                 self.handle.registerTimer(ms + self.limit_ms)
         return iter(())
@@ -202,49 +269,78 @@ def _kinds(df: DataFrame) -> str:
     return ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
 
 
-def _timed(df: DataFrame, time: str) -> DataFrame:
-    """Rows with ``ms`` and ``day`` in place of the timestamp that the watermark is on."""
-    return df.withColumn("ms", F.unix_millis(time)).withColumn("day", F.date_format(time, "yyyy-MM-dd")).drop(time)
+def _timed(df: DataFrame, time: str, late_ms: int = 0) -> DataFrame:
+    """Rows with ``ms``, ``day`` and what the processors need (time and end of the day) in place of the timestamp that the watermark is on.
+
+    ``late_ms`` is how much that timestamp has been put off by a step before; ``ms`` and ``day`` are those of the event.
+    """
+    at = F.timestamp_micros(F.unix_micros(time) - 1000 * late_ms)
+    rows = df.withColumns({"ms": F.unix_millis(at), "day": F.date_format(at, "yyyy-MM-dd"), "at_us": F.unix_micros(time)})
+    return rows.withColumn("day_end", F.unix_millis(F.date_add(at, 1).cast("timestamp")) + late_ms).drop(time)
+
+
+def _run(rows: DataFrame, key: list[str], time: str, more: dict[str, str], processor: Callable[[list[str], str, list[str]], StatefulProcessor], hidden: list[str] | None = None) -> DataFrame:
+    """The rows of ``_timed`` through a processor: their own columns and ``more`` ones, with the time and its watermark."""
+    out = [c for c in rows.columns if c not in ("at_us", "day_end", *(hidden or []), *more)]
+    kinds = f"{_kinds(rows.select(*out))}, {''.join(f'`{c}` {k}, ' for c, k in more.items())}`{time}` timestamp"
+    made = processor(rows.columns, _kinds(rows), [*out, *more, time])
+    return rows.groupBy(*key).transformWithStateInPandas(made, kinds, "Append", "EventTime", eventTimeColumnName=time)
 
 
-def first_per_day(df: DataFrame, key: list[str], time: str, ttl_ms: int | None = None) -> DataFrame:
-    """A stream's first row per key and day; ``time`` becomes ``ms`` and ``day``. Rows with a null key go.
+def _marked(df: DataFrame, time: str, watermark: str | None) -> DataFrame:
+    return df if watermark is None else df.withWatermark(time, watermark)
 
-    ``ttl_ms`` (DAY_MS, say) frees state in long-running streams; Spark counts it by the clock and then never ends an
-    ``availableNow`` run, so leave it out there.
+
+def first_per_day(df: DataFrame, key: list[str], time: str, tie: list[str] | None = None, watermark: str | None = "2 seconds") -> DataFrame:
+    """A stream's first row per key and day, with ``ms`` and ``day`` of its time. Rows with a null key go.
+
+    ``watermark`` None: the rows have one already. A key's state ends when the watermark passes the end of its day.
     """
-    rows = _timed(df.dropna(subset=key), time)
-    return rows.groupBy(*key).transformWithStateInPandas(FirstPerDay(rows.columns, ttl_ms), _kinds(rows), "Append", "ProcessingTime" if ttl_ms else "None")
+    rows = _timed(_marked(df, time, watermark).dropna(subset=key), time)
+    return _run(rows, key, time, {}, lambda columns, kinds, out: FirstPerDay(columns, kinds, out, time, tie))
 
 
-def user_flags(df: DataFrame, user: str, time: str, unique: str, new: str) -> DataFrame:
-    rows = _timed(df.dropna(subset=[user]), time)
-    columns = [*rows.columns, unique, new]
-    return rows.groupBy(user).transformWithStateInPandas(UserFlags(columns, unique, new), f"{_kinds(rows)}, `{unique}` long, `{new}` long", "Append", "None")
+def user_flags(df: DataFrame, user: str, time: str, unique: str, new: str, tie: list[str] | None = None, watermark: str | None = "2 seconds", late_ms: int = 0) -> DataFrame:
+    """A stream's rows with ``unique`` 1 on a user's first row of a day, ``new`` 1 on the user's first row ever; without a user both are 0."""
+    rows = _timed(_marked(df, time, watermark), time, late_ms)
+    own = F.coalesce(F.col(user).cast("string"), F.concat(F.lit("\0"), F.pmod(F.xxhash64("at_us", *(tie or [])), F.lit(1024)).cast("string")))  # rows without a user stay apart
+    more = {unique: "long", new: "long"}
+    return _run(rows.withColumn("own_key", own), ["own_key"], time, more, lambda columns, kinds, out: UserFlags(columns, kinds, out, time, tie, user, unique, new), ["own_key"])
 
 
-def daily_logins(df: DataFrame, user: str, time: str, away_days: int = 7) -> DataFrame:
-    rows = _timed(df.dropna(subset=[user]), time)
-    columns = [*rows.columns, "uu_ct", "back_ct"]
-    return rows.groupBy(user).transformWithStateInPandas(Logins(columns, away_days), f"{_kinds(rows)}, uu_ct long, back_ct long", "Append", "None")
+def daily_logins(df: DataFrame, user: str, time: str, away_days: int = 7, tie: list[str] | None = None, watermark: str | None = "2 seconds") -> DataFrame:
+    """A stream's first login per user and day with ``uu_ct`` 1, and ``back_ct`` 1 if the login before was over ``away_days`` ago."""
+    rows = _timed(_marked(df, time, watermark).dropna(subset=[user]), time)
+    more = {"uu_ct": "long", "back_ct": "long"}
+    return _run(rows, [user], time, more, lambda columns, kinds, out: Logins(columns, kinds, out, time, tie, away_days))
 
 
-def latest(df: DataFrame, key: list[str], time: str, tie: list[str], watermark: str = "2 seconds", wait_ms: int = 5000) -> DataFrame:
-    """A stream's last row per key, released ``wait_ms`` after the key's first. Land the result before a windowed summary."""
-    rows = df.withWatermark(time, watermark).dropna(subset=key).withColumn("ms", F.unix_millis(time))
-    kept = [c for c in rows.columns if c != time]
-    kinds = _kinds(rows.select(*kept))
-    return rows.groupBy(*key).transformWithStateInPandas(Latest(kept, kinds, tie, wait_ms), kinds, "Append", "EventTime")
+def fix_is_new(df: DataFrame, key: str, time: str, backfill: bool = False, watermark: str | None = "2 seconds") -> DataFrame:
+    """A stream's rows with ``is_new`` repaired, and ``ms`` and ``day`` of their time. Rows with a null key go."""
+    rows = _timed(_marked(df, time, watermark).dropna(subset=[key]), time)
+    return _run(rows, [key], time, {}, lambda columns, kinds, out: NewFlag(columns, kinds, out, time, backfill))
+
+
+def _kept(df: DataFrame, key: list[str], time: str, by: list[str] | None, watermark: str | None, wait_ms: int, last: bool) -> DataFrame:
+    rows = _timed(_marked(df, time, watermark).dropna(subset=key), time).drop("day", "day_end")
+    return _run(rows, key, time, {}, lambda columns, kinds, out: Kept(columns, kinds, out, time, by or ["ms"], wait_ms, last))
+
+
+def latest(df: DataFrame, key: list[str], time: str, tie: list[str], watermark: str | None = "2 seconds", wait_ms: int = 5000, by: list[str] | None = None) -> DataFrame:
+    """A stream's last row per key, by ``by`` or else time and ``tie``, released ``wait_ms`` after the key's earliest; ``ms`` is its time, and ``time`` that much later.
+
+    Steps that follow in the same query take ``late_ms``, and windows ``late``, for what the time is put off by.
+    """
+    return _kept(df, key, time, by or ["at_us", *tie], watermark, wait_ms, True)
 
 
-def fix_is_new(df: DataFrame, key: str, time: str, backfill: bool = False) -> DataFrame:
-    """A stream's rows with ``is_new`` repaired; ``time`` becomes ``ms`` and ``day``. Rows with a null key go."""
-    rows = _timed(df.dropna(subset=[key]), time)
-    return rows.groupBy(key).transformWithStateInPandas(NewFlag(rows.columns, backfill), _kinds(rows), "Append", "None")
+def first(df: DataFrame, key: list[str], time: str, tie: list[str], watermark: str | None = "2 seconds", wait_ms: int = 5000, by: list[str] | None = None) -> DataFrame:
+    """A stream's first row per key, as ``latest``."""
+    return _kept(df, key, time, by or ["at_us", *tie], watermark, wait_ms, False)
 
 
 def bounces(pages: DataFrame, time: str = "rt", watermark: str = "2 seconds", limit_ms: int = 10_000, tie: list[str] | None = None) -> DataFrame:
-    """A stream's bounces; ``pages`` is flat, with ``mid`` and ``last_page_id``. Land the result before a windowed summary."""
+    """A stream's bounces; ``pages`` is flat, with ``mid`` and ``last_page_id``. A bounce is known ``limit_ms`` after its time: land the result before a windowed summary."""
     rows = pages.withWatermark(time, watermark).where("mid IS NOT NULL").withColumn("ms", F.unix_millis(time)).withColumn("starts", F.col("last_page_id").isNull())
     kept = [c for c in rows.columns if c != time]
     kinds = _kinds(rows.select(*kept))
