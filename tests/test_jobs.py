@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import json
+import random
+import time
 
 from pyspark.sql import functions as F
 
+from tidemart.functions import text
 from tidemart.functions.text import explode_words, tokens
 from tidemart.functions.times import date_part, parse, to_millis, to_time_text
 from tidemart.operators import changes as C
 from tidemart.operators import facts, keyed, logs, windows
 from tidemart.schemas import CHANGE, LOG
 from tidemart.sources import feeds, sinks
+from tidemart.streaming import jobs
 
 
 def page(spark, rows):
@@ -202,3 +206,90 @@ def test_traffic_flags_sum_up_the_union(spark):
     union = windows.traffic_rows(rows, logs.unique_visitors(rows), keyed.bounces(rows))
     got = [sorted(map(str, windows.traffic(x).collect())) for x in (union, windows.traffic_flags(rows))]
     assert got[0] == got[1]
+
+
+def test_words_of_a_lexicon(spark):
+    """Every listed word of random texts, against trying all of them; overlapping ones and unknown rests too."""
+    rnd = random.Random(4)
+    words = {"".join(rnd.choices("苹果手机壳a1b", k=rnd.randrange(1, 5))) for _ in range(40)}
+    found = text.Lexicon(words)
+    for _ in range(500):
+        value = "".join(rnd.choices("苹果手机壳a1b c", k=rnd.randrange(30)))
+        every = sorted(((a, a + len(w)) for w in words for a in range(len(value)) if value.startswith(w, a)), key=lambda x: (x[0], -x[1]))
+        assert found.find(value) == every
+        at, longest = 0, []
+        while at < len(value):
+            best = max((w for w in words if value.startswith(w, at)), key=len, default=None)
+            longest += [(at, at + len(best))] if best else []
+            at += len(best) if best else 1
+        assert found.longest(value) == longest
+    rows = spark.createDataFrame([("新款苹果手机壳 iPhone15 start",), (None,), ("",)], "s string")
+    lexicon = ["苹果", "苹果手机", "手机", "手机壳", "iphone", "art", "iPhone15"]
+    df = text.explode_words(rows, "s", lexicon=lexicon, fine=True)
+    assert [r.keyword for r in df.collect()] == ["新款", "苹果手机", "苹果", "手机壳", "手机", "iphone15", "start"]
+    assert "苹果" not in df._jdf.queryExecution().toString()
+
+
+def test_a_large_lexicon(spark):
+    """100,000 words go to the workers once; a long text takes time in proportion to its length."""
+    rnd = random.Random(2)
+    words = ["".join(chr(0x4E00 + rnd.randrange(400)) for _ in range(rnd.randrange(2, 5))) for _ in range(100_000)]
+    found = text.Lexicon(words)
+    known = set(words)
+    value = "".join(chr(0x4E00 + rnd.randrange(400)) for _ in range(50_000))
+    began = time.time()
+    got = found.find(value)
+    assert time.time() - began < 5
+    assert got == sorted(((a, a + n) for a in range(len(value)) for n in (2, 3, 4) if a + n <= len(value) and value[a : a + n] in known), key=lambda x: (x[0], -x[1]))
+    df = text.explode_words(spark.createDataFrame([(value[:2000],)] * 5, "s string"), "s", lexicon=words, fine=True)
+    assert len(df._jdf.queryExecution().toString()) < 50_000 and df.count() > 5 * 500
+
+
+def raw_lines(spark, tmp_path, n=3):
+    lines = ['{"common":{"mid":"m1"},"start":{"entry":"icon"},"ts":5}', '{"common":{"mid":"m2"},"page":{"page_id":"home"},"displays":[{"item":"1"},{"item":"2"}],"actions":[{"action_id":"a","ts":7}],"err":{"error_code":9},"ts":6}', "not json", '{"common":{"mid":null},"ts":1}', '{"common":{"mid":"m3"},"page":{"page_id":"cart"},"displays":[],"ts":8}']
+    for i in range(n):
+        spark.createDataFrame([(x.replace("m1", f"m1{i}"),) for x in lines], "value string").coalesce(1).write.mode("append").text(f"{tmp_path}/raw")
+    return spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).text(f"{tmp_path}/raw")
+
+
+COUNTS = {"error": 1, "start": 1, "display": 2, "action": 1, "page": 2, "dirty": 2}
+
+
+def test_log_outputs_in_one_pass(spark, tmp_path):
+    raw = raw_lines(spark, tmp_path)
+    jobs.log_outputs(raw, f"{tmp_path}/out", f"{tmp_path}/cp", available_now=True).awaitTermination()
+    jobs.log_outputs(raw, f"{tmp_path}/out", f"{tmp_path}/cp", available_now=True).awaitTermination()
+    rows = spark.read.parquet(f"{tmp_path}/out")
+    assert {r.kind: r["count"] for r in rows.groupBy("kind").count().collect()} == {k: 3 * n for k, n in COUNTS.items()}
+    assert {r.display.item for r in logs.of_kind(rows, "display").collect()} == {"1", "2"} and logs.of_kind(rows, "error").first().err.error_code == 9
+    assert {r.value for r in logs.of_kind(rows, "dirty").collect()} == {"not json", '{"common":{"mid":null},"ts":1}'} and logs.of_kind(rows, "page").columns == ["common", "page", "ts"]
+    batch = logs.fan_out(feeds.parse_lines(spark.read.text(f"{tmp_path}/raw")))
+    assert batch._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1 and batch.count() == rows.count()
+
+
+def test_log_topics_after_a_stop_between_two_outputs(spark, tmp_path):
+    """A stop after any output: the batch comes again, and each row is there once."""
+    raw, stops = raw_lines(spark, tmp_path), iter([2, 0, 5, 3])
+    last = {}
+
+    def run():
+        left = next(stops, 99)
+
+        def write(rows, kind):
+            nonlocal left
+            if left == 0:
+                raise RuntimeError("stopped")
+            left -= 1
+            rows.write.mode("append").parquet(f"{tmp_path}/{kind}")
+            last[kind] = rows.first()["batch"]
+
+        jobs.log_topics(raw, write, lambda kind: last.get(kind, -1), f"{tmp_path}/cp", available_now=True).awaitTermination()
+
+    for _ in range(9):
+        try:
+            run()
+        except Exception:  # noqa: S112
+            continue
+    for kind, n in COUNTS.items():
+        rows = spark.read.parquet(f"{tmp_path}/{kind}")
+        assert rows.count() == 3 * n and {r.batch for r in rows.collect()} == {0, 1, 2}

@@ -32,9 +32,18 @@ def _sums(*names: str) -> list[Column]:
     return [F.sum(n).alias(n) for n in names]
 
 
-def _orders(rows: DataFrame) -> Column:
-    """Distinct orders: exact in a batch; in a stream from a set that a window and key bound."""
-    return (F.size(F.collect_set("order_id")).cast("long") if rows.isStreaming else F.count_distinct("order_id")).alias("order_count")
+def _order_sums(rows: DataFrame, width: str, dims: list[str], count: str, late: str, amount: bool = True) -> DataFrame:
+    """Distinct orders, and their amounts, by window.
+
+    A batch counts them in one aggregate. A stream first sums up each order by itself and counts the orders of a window once that has
+    closed, so that a row of state holds one order or one window's sums, however many orders a key has.
+    """
+    number = F.col("split_total_amount").try_cast("decimal(18,4)") if amount else F.lit(None).cast("decimal(18,4)")  # amounts that are no numbers count as none
+    if rows.isStreaming:
+        rows = rows.groupBy(F.window("rt", width, width, late).alias("_window"), *dims, "order_id").agg(F.sum(number).alias("_amount"))
+        rows, number = rows.withColumn("rt", F.window_time("_window")), F.col("_amount")
+    orders = (F.count if rows.isStreaming else F.count_distinct)("order_id").alias(count)
+    return summarize(rows, width, dims, orders, *([F.sum(number).cast(_MONEY).alias("order_amount")] if amount else []), late=late)
 
 
 def searches(page: DataFrame) -> DataFrame:
@@ -43,8 +52,8 @@ def searches(page: DataFrame) -> DataFrame:
     return page.where(hits).select(F.timestamp_millis("ts").alias("rt"), F.col("page.item").alias("text"))
 
 
-def keyword(words: DataFrame, width: str = WIDTH, lexicon: list[str] | None = None) -> DataFrame:
-    rows = explode_words(words, "text", lexicon=lexicon)
+def keyword(words: DataFrame, width: str = WIDTH, lexicon: list[str] | None = None, fine: bool = False) -> DataFrame:
+    rows = explode_words(words, "text", lexicon=lexicon, fine=fine)
     return summarize(rows.withColumn("source", F.lit("SEARCH")), width, ["source", "keyword"], F.count(F.lit(1)).alias("keyword_count"))
 
 
@@ -64,11 +73,14 @@ def traffic_rows(page: DataFrame, visitors: DataFrame, jumps: DataFrame) -> Data
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def traffic_flags(page: DataFrame, limit_ms: int = 10_000) -> DataFrame:
-    """What ``traffic_rows`` sums up, as one row for each page view of a batch; no task orders more than a visitor's day."""
+def traffic_flags(page: DataFrame, limit_ms: int = 10_000, tie: list[str | Column] | None = None) -> DataFrame:
+    """What ``traffic_rows`` sums up, as one row for each page view of a batch; no task orders more than a visitor's day.
+
+    ``tie`` tells views of one visitor and time apart.
+    """
     mid, day = F.col("common.mid"), F.to_date(F.timestamp_millis("ts"))
-    first = F.col("_start") & (F.row_number().over(Window.partitionBy(mid, day, "_start").orderBy("ts")) == 1)
-    return with_next(page).withColumns({"_unique": first, "_jump": bounced(limit_ms)}).select(
+    first = F.col("_start") & (F.row_number().over(Window.partitionBy(mid, day, "_start").orderBy("ts", *(tie or []))) == 1)
+    return with_next(page, tie).withColumns({"_unique": first, "_jump": bounced(limit_ms)}).select(
         F.timestamp_millis("ts").alias("rt"), *(F.col(f"common.{c}") for c in ("vc", "ch", "ar", "is_new")),
         F.col("_unique").cast("long").alias("uv_ct"), F.col("_start").cast("long").alias("sv_ct"), F.lit(1).cast("long").alias("pv_ct"),
         F.coalesce("page.during_time", F.lit(0)).cast("long").alias("dur_sum"), F.col("_jump").cast("long").alias("uj_ct"),
@@ -114,21 +126,16 @@ def trade_order(flagged: DataFrame, width: str = WIDTH, late: str = ON_TIME) ->
     )
 
 
-def _amount() -> Column:
-    """Amounts that are no numbers count as none."""
-    return F.sum(F.col("split_total_amount").try_cast("decimal(18,4)")).cast(_MONEY).alias("order_amount")
-
-
 def user_spu_order(rows: DataFrame, spu: DataFrame, trademark: DataFrame, chain: DataFrame, width: str = WIDTH, late: str = ON_TIME) -> DataFrame:
     """From details with their sku's dimensions; names join the small aggregate."""
-    sums = summarize(rows, width, ["user_id", "spu_id", "trademark_id", "category3_id"], _orders(rows), _amount(), late=late)
+    sums = _order_sums(rows, width, ["user_id", "spu_id", "trademark_id", "category3_id"], "order_count", late)
     return name_of(name_of(sums, spu, "spu_id", "spu_name"), trademark, "trademark_id", "trademark_name").join(chain, "category3_id")
 
 
 def province_order(rows: DataFrame, province: DataFrame, width: str = WIDTH, late: str = ON_TIME) -> DataFrame:
-    return name_of(summarize(rows, width, ["province_id"], _orders(rows), _amount(), late=late), province, "province_id", "province_name")
+    return name_of(_order_sums(rows, width, ["province_id"], "order_count", late), province, "province_id", "province_name")
 
 
 def refund(rows: DataFrame, trademark: DataFrame, chain: DataFrame, width: str = WIDTH) -> DataFrame:
-    sums = summarize(rows, width, ["user_id", "trademark_id", "category3_id"], _orders(rows).alias("refund_count"))
+    sums = _order_sums(rows, width, ["user_id", "trademark_id", "category3_id"], "refund_count", ON_TIME, amount=False)
     return name_of(sums, trademark, "trademark_id", "trademark_name").join(chain, "category3_id")

@@ -123,6 +123,20 @@ def log_action(spark: SparkSession, d: str) -> DataFrame:
     return logs.actions(X.log(spark, d)).select(F.col("common.mid").alias("mid"), "page.page_id", "action.action_id", "action.item", F.col("action.ts").alias("action_ts"))
 
 
+@query
+def log_fan_out(spark: SparkSession, d: str) -> DataFrame:
+    """All outputs of the log in one pass, counted by kind and visitor."""
+    rows = logs.fan_out(feeds.parse_lines(X.raw_log(spark, d)))
+    return rows.groupBy("kind", F.col("common.mid").alias("mid")).agg(F.count(F.lit(1)).alias("n"), F.sum("ts").alias("sum_ts"))
+
+
+@query
+def log_fan_out_items(spark: SparkSession, d: str) -> DataFrame:
+    """Displays and actions out of the same pass."""
+    rows = logs.fan_out(feeds.parse_lines(X.raw_log(spark, d))).where(F.col("kind").isin("display", "action"))
+    return rows.select("kind", "page.page_id", F.coalesce("display.item", "action.item").alias("item"), F.col("display.order").alias("place"), F.coalesce("ts", "action.ts").alias("ts"))
+
+
 def _flat_pages(rows: DataFrame) -> DataFrame:
     return rows.select(*(F.col(f"common.{c}").alias(c) for c in ("mid", "uid", "vc", "ch", "ar", "is_new")), *(F.col(f"page.{c}").alias(c) for c in ("page_id", "last_page_id", "item", "item_type", "during_time")), "ts")
 

@@ -114,6 +114,16 @@ SQL = {
     "log_dirty": f"WITH {_LOG} SELECT 'not json ' || ms AS value FROM log WHERE ms % 97 = 0",
     "log_fix_is_new": f"WITH {_LOG} SELECT mid, ms AS ts, is_new FROM fixed",
     "log_error": f"WITH {_LOG} SELECT mid, ms AS ts, page_id, 1000 + n % 100 AS error_code FROM log WHERE kind = 'error'",
+    "log_fan_out": f"""WITH {_LOG},
+        good AS (SELECT * FROM log WHERE ms % 97 <> 0),
+        k AS (
+            SELECT 'error' AS kind, mid, ms FROM good WHERE kind = 'error' UNION ALL SELECT 'start', mid, ms FROM good WHERE kind = 'signup' UNION ALL SELECT 'page', mid, ms FROM good WHERE kind <> 'signup'
+            UNION ALL SELECT 'display', mid, ms FROM (SELECT *, unnest(range(1, n % 4 + 1)) FROM good WHERE kind = 'view') UNION ALL SELECT 'action', mid, NULL FROM good WHERE kind = 'click' AND n % 2 = 0
+            UNION ALL SELECT 'dirty', NULL, NULL FROM log WHERE ms % 97 = 0)
+        SELECT kind, mid, count(*) AS n, CAST(sum(ms) AS BIGINT) AS sum_ts FROM k GROUP BY kind, mid""",
+    "log_fan_out_items": f"""WITH {_LOG}, good AS (SELECT * FROM log WHERE ms % 97 <> 0)
+        SELECT 'display' AS kind, page_id, CAST(n + i AS VARCHAR) AS item, i AS place, ms AS ts FROM (SELECT *, unnest(range(1, n % 4 + 1)) AS i FROM good WHERE kind = 'view')
+        UNION ALL SELECT 'action', page_id, CAST(n AS VARCHAR), NULL, ms FROM good WHERE kind = 'click' AND n % 2 = 0""",
     "log_start": f"WITH {_LOG} SELECT mid, ms AS ts, 'icon' AS entry, n % 1000 AS loading_time, n % 7 AS open_ad_id, n % 100 AS open_ad_ms FROM log WHERE kind = 'signup'",
     "log_display": f"WITH {_LOG} SELECT mid, ms AS ts, page_id, CAST(n + i AS VARCHAR) AS item, i AS place, i % 5 AS pos_id FROM (SELECT *, unnest(range(1, n % 4 + 1)) AS i FROM log WHERE kind = 'view')",
     "log_action": f"WITH {_LOG} SELECT mid, page_id, 'favor_add' AS action_id, CAST(n AS VARCHAR) AS item, ms AS action_ts FROM log WHERE kind = 'click' AND n % 2 = 0",

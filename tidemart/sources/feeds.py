@@ -27,16 +27,24 @@ def parse_changes(raw: DataFrame) -> DataFrame:
     return raw.select(row.alias("r")).where("r.`table` IS NOT NULL").select("r.*")
 
 
-def parse_log(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Behaviour log records, and the raw lines that do not parse; a line without ``common`` or ``ts`` is of the second kind.
+def parse_lines(raw: DataFrame) -> DataFrame:
+    """Every line with its ``value``, whether it is ``good``, and the columns of a behaviour log record; JSON is parsed once.
 
-    JSON is parsed once per output; write both from one cached parse when both are needed.
+    A line that is no JSON object or has no ``common.mid`` or ``ts`` is not good.
     """
     schema = T.StructType([*LOG.fields, T.StructField("_corrupt", T.StringType())])
     row = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    parsed = raw.withColumn("r", row)
     good = F.col("r._corrupt").isNull() & F.col("r.common.mid").isNotNull() & F.col("r.ts").isNotNull()
-    return parsed.where(good).select("r.*").drop("_corrupt"), parsed.where(~F.coalesce(good, F.lit(False))).select("value")
+    return raw.select("value", row.alias("r")).select("value", F.coalesce(good, F.lit(False)).alias("good"), *(F.col(f"r.{f.name}") for f in LOG))
+
+
+def parse_log(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Behaviour log records, and the raw lines that do not parse; a line without ``common`` or ``ts`` is of the second kind.
+
+    JSON is parsed once per output; ``logs.fan_out`` gives both in one pass.
+    """
+    parsed = parse_lines(raw)
+    return parsed.where("good").select(*LOG.names), parsed.where("NOT good").select("value")
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, streaming: bool = False, fmt: str = "parquet") -> DataFrame:

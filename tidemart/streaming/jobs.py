@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import windows
+from ..operators import logs, windows
 from ..operators.dims import enrich_sku
 from ..operators.windows import WIDTH, traffic_rows
 from ..operators.windows import traffic as traffic_sums
-from ..sources.sinks import append_stream
+from ..sources.feeds import parse_lines
+from ..sources.sinks import append_stream, foreach_batch
 from . import states
 
 #: Watermarks of the summaries: logins wait not at all, the union of three traffic streams waits for the bounces.
@@ -82,6 +83,34 @@ def refunds(asked: DataFrame, sku: DataFrame, trademark: DataFrame, chain: DataF
     return windows.refund(enrich_sku(asked.withWatermark("rt", delay), sku), trademark, chain, width)
 
 
+def log_outputs(raw: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """The outputs of a raw behaviour log as one table in partitions by ``kind``, bad lines included: one query parses each line once and commits all outputs together.
+
+    The file sink's log has each batch once, so a restart anywhere repeats nothing; read an output with ``logs.of_kind``.
+    """
+    writer = logs.fan_out(parse_lines(raw)).writeStream.format("parquet").partitionBy("kind").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start(path)
+
+
+def log_topics(raw: DataFrame, write: Callable[[DataFrame, str], None], done: Callable[[str], int], checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """The outputs of a raw behaviour log for sinks that do not commit together, such as topics: each batch is parsed once and kept for all outputs.
+
+    ``write`` gets the rows of an output with the batch's number as ``batch``, and its kind; ``done`` says up to which batch a kind has come, so that
+    after a stop between two outputs only the missing ones are written.
+    """
+
+    def work(batch: DataFrame, number: int) -> None:
+        rows = logs.fan_out(parse_lines(batch)).persist()
+        try:
+            for kind in logs.KINDS:
+                if done(kind) < number:
+                    write(logs.of_kind(rows, kind).withColumn("batch", F.lit(number).cast("long")), kind)
+        finally:
+            rows.unpersist()
+
+    return foreach_batch(raw, checkpoint, work, available_now)
+
+
 def run_to_end(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append what a stream holds now to Parquet files and wait for the end."""
     done = append_stream(df, path, checkpoint, available_now=True)
