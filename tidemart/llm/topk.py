@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches, land
 
-#: Candidates of a block, queries of a batch, blocks of a group, batches that one task reads for a group.
-BLOCK, QUERIES, RUN, BATCHES = 1024, 128, 8, 32
+#: Candidates of a block, queries of a batch, blocks of a group, batches that one task reads for a group, groups whose heads one task holds.
+BLOCK, QUERIES, RUN, BATCHES, HEADS = 1024, 128, 8, 32, 256
 #: Shares of the lists after which bounds are tested.
 ROUNDS = (1 / 8, 1 / 4, 1 / 2, 3 / 4, 1)
 #: Vectors that serve as coarse centres: those of the smallest hashes.
@@ -248,20 +248,42 @@ def _bars(row: dict) -> np.ndarray:
     return np.array([known.get(i, _NONE) for i in np.frombuffer(row["q_ids"], np.int64).tolist()], np.int64)
 
 
-def _meetings(asked: DataFrame, lists: DataFrame) -> DataFrame:
-    """``(asked, g)``: the groups with a block whose heads reach the bar of a query of the batch."""
+def _meetings(asked: DataFrame, lists: DataFrame, groups: int, shares: int) -> DataFrame:
+    """``(asked, g)``: the groups with a block whose heads reach the bar of a query of the batch.
+
+    A grid of cells: a task holds the heads of HEADS groups and reads a share of the batches past them, so that neither side meets in one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
         for batch in batches:
             for x in batch.to_pylist():
-                hi, lo = (_numbers(b"".join(h[c] for h in x["heads"]), x["dim"]) for c in ("hi", "lo"))
-                some = (heads_of(_numbers(x["q"], x["dim"]), hi, lo) >= _bars(x)[:, None]).any(0)
-                groups = np.unique(np.array([h["g"] for h in x["heads"]], np.int32)[some])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(groups), x["asked"])), pa.array(groups)], ["asked", "g"])
+                if (x["h"], x["share"]) != now:
+                    now, held = (x["h"], x["share"]), {}
+                if x["asked"] < 0:
+                    held.setdefault(x["dim"], []).append((x["g"], x["hi"], x["lo"]))
+                    continue
+                own = held.get(x["dim"], [])
+                if own and isinstance(own, list):  # all heads of the cell stand before its batches
+                    own = held[x["dim"]] = (np.array([g for g, _, _ in own], np.int32), *(_numbers(b"".join(o[i] for o in own), x["dim"]) for i in (1, 2)))
+                if not len(own):
+                    continue
+                some = (heads_of(_numbers(x["q"], x["dim"]), own[1], own[2]) >= _bars(x)[:, None]).any(0)
+                found = np.unique(own[0][some])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), x["asked"])), pa.array(found)], ["asked", "g"])
+
+    cells = -(-groups // HEADS)
+    blank = lambda df, columns: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in columns]
+    head, ask = ["g", "hi", "lo"], ["q_ids", "q", "bars"]
+    heads = lists.select(F.floor(F.col("g") / HEADS).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "dim", F.lit(-1).cast("long").alias("asked"), *head, *blank(asked, ask))
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("h"), _share(shares).alias("share"), "dim", "asked", *blank(lists, head), *ask)
+    both = heads.unionByName(sent).repartition(4 * cells * shares, "h", "share").sortWithinPartitions("h", "share", "asked")
+    return land(both.mapInArrow(run, "asked long, g int"), "meetings")
+
 
-    heads = lists.groupBy("dim", F.floor(F.col("g") / 64).alias("h")).agg(F.collect_list(F.struct("g", "hi", "lo")).alias("heads"))  # 64 groups
-    met = heads.join(asked, "dim").select("asked", "dim", "q_ids", "q", "bars", "heads")
-    return land(met.mapInArrow(run, "asked long, g int"), "meetings")
+def _share(shares: int) -> Column:
+    """Which of so many shares a batch belongs to."""
+    return F.pmod(F.xxhash64("asked"), F.lit(shares)).cast("int")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -297,11 +319,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     asked = asked.join(_first_bars(asked, lists, k), "asked", "left").select("asked", "dim", "q_ids", "q", "bars")
 
     # a task holds the blocks of a group and reads them for its share of the batches that meet the group
-    met = _meetings(asked, lists).join(asked, "asked")
     shares = parts  # of about BATCHES batches
+    met = _meetings(asked, lists, groups, shares).join(asked, "asked")
     blank = lambda df, columns: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in columns]
     block, ask = ["n", "wide", "ids", "values", "places", "hi", "lo"], ["q_ids", "q", "bars"]
-    sent = met.select("g", F.pmod(F.xxhash64("asked"), F.lit(shares)).cast("int").alias("share"), "dim", "asked", *ask, *blank(lists, block))
+    sent = met.select("g", _share(shares).alias("share"), "dim", "asked", *ask, *blank(lists, block))
     held = lists.join(sent.select("g", "share").distinct(), "g").select("g", "share", "dim", F.lit(-1).cast("long").alias("asked"), *blank(asked, ask), *block)
     both = held.unionByName(sent).repartition(4 * groups * shares, "g", "share").sortWithinPartitions("g", "share", "asked")
 
