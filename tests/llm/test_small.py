@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import random
+import time
 import zlib
 
 import numpy as np
@@ -188,17 +189,23 @@ def test_heads_bound_what_a_block_holds():
     assert (heads[:, 0] >= (q @ x.T).max(1)).all() and heads[0, 0] == np.maximum(q[0] * x.max(0), q[0] * x.min(0)).sum()
 
 
+def audited(x, layers, q, least, own):
+    beam, met, of = hnsw.audit(x, layers, q, least, own)
+    found = dict(hnsw.search(x, layers, q, least, beam))
+    return [found[i] for i in range(len(q))], met, of
+
+
 def test_graph_finds_links():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
     x[:600] = x[0] + rng.normal(size=(600, 16)).astype(np.float32) * 0.03
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    found, met, of = hnsw.audited(x, hnsw.build(x), x, 0.98, np.arange(1500))
+    found, met, of = audited(x, hnsw.build(x), x, 0.98, np.arange(1500))
     assert of and met >= hnsw.RECALL * of
     true = [set(np.flatnonzero(r >= 0.98)) for r in x @ x.T]
     assert sum(len(t & set(f.tolist())) for t, f in zip(true, found, strict=True)) >= 0.99 * sum(map(len, true))
     for n in (1, 2, 5):
-        assert len(hnsw.audited(x[:n], hnsw.build(x[:n]), x[:n], 0.98, np.arange(n))[0]) == n
+        assert len(audited(x[:n], hnsw.build(x[:n]), x[:n], 0.98, np.arange(n))[0]) == n
 
 
 def test_audit_sees_misses_where_links_are_rare():
@@ -208,7 +215,7 @@ def test_audit_sees_misses_where_links_are_rare():
     x, q = unit(rng.normal(size=(1500, 16))), unit(rng.normal(size=(1500, 16)))
     q[:10] = unit(x[:10] + rng.normal(0, 0.01, (10, 16)))
     layers = [(nodes, np.where(links < 20, -1, links)) for nodes, links in hnsw.build(x)]
-    found = hnsw.audited(x, layers, q, 0.98, np.full(1500, -1))[0]
+    found = audited(x, layers, q, 0.98, np.full(1500, -1))[0]
     assert [f.tolist() for f in found] == [np.flatnonzero(r >= 0.98).tolist() for r in q @ x.T] and all(i in found[i] for i in range(10))
 
 
@@ -247,3 +254,15 @@ def test_warc_record_round_trip():
         head, body = warc.parse_record(raw)
         assert body == (b"" if refers else payload) and head["warc-type"] == ("revisit" if refers else "response") and head["http-content-length"] == str(len(payload))
     assert warc._starts(warc._member(1, None, b"x", digest, 1, None)[3:]) and not warc._starts(b"\x00" * 50)
+
+
+def test_links_of_a_dense_group():
+    """Near vectors all of which are linked: every link, in seconds, and no more edges than connect them."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=64) + rng.normal(size=(3000, 64)) * 0.05
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    began = time.time()
+    counts, ends, met, of = hnsw._links(x, hnsw.build(unit), np.ones(3000, np.int64), x, True, 0.98)
+    assert time.time() - began < 60 and len(ends) == 2999 and met >= hnsw.RECALL * of
+    exact = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (counts == (exact @ exact.T >= 0.98).sum(1) - 1).all()

@@ -1,8 +1,8 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one a shard.
 
 Equal vectors are folded first. The vectors of a label are dealt into shards of at most about ``SHARD``; a task builds a
-shard's graph and stores it as a row. Every shard of a label is queried with every shard's vectors: a task holds one graph
-and reads the vectors of some shards past it. A query's beam is widened while much of it are links, and a block's first
+shard's graph and stores it as a row. Every shard of a label is queried with every shard's vectors: a task holds the graphs of
+a tile of shards and reads the vectors of a tile past them. A query's beam is widened while much of it are links, and a block's first
 beam is widened until an audit, a fixed number of its queries compared with the whole shard, finds enough of their true
 nearest vectors, which every query has, and of the true links, which may be rare. There is no other way than the graph; a
 beam that has grown to a shard's size holds all of it. Links are verified by cosine in double precision and counted where
@@ -29,8 +29,10 @@ SHARD, SHARD_BYTES, LINKS, BUILD_BEAM = 8192, 32 << 20, 16, 48
 BEAM, BATCH, AUDITS, RECALL = 24, 256, 64, 0.995
 #: Nearest vectors of an audited query that count, without those of its own direction.
 NEAREST = 10
-#: Shards whose vectors one task reads past a graph.
-PAST = 4
+#: Shards in a tile: so many graphs are held by one task, and so many shards' vectors read past them.
+TILE = 4
+#: A beam that would be wider than this part of a shard takes in all of it.
+WIDEST = 1 / 16
 #: Makes every id a number that is not negative.
 _OFFSET = Decimal(2**63)
 
@@ -154,9 +156,8 @@ def _descend(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.n
     return entry
 
 
-def search(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-    """For each query the nodes found with a similarity of ``least`` or more; its beam widens while a quarter of it or more is found."""
-    found: list[np.ndarray] = [np.zeros(0, np.int32)] * len(q)
+def search(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, least: float, beam: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each query with the nodes found with a similarity of ``least`` or more, in no order; its beam widens while a quarter of it or more is found."""
     waiting, beam = np.arange(len(q)), min(beam, len(x))
     top = _entries(x, layers, q)
     while len(waiting):
@@ -165,11 +166,15 @@ def search(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.nda
             who = waiting[a : a + BATCH]
             ids, sims = _beam_search(x, layers[-1][1], q[who], top[who], beam)
             ok = sims >= least
-            for i, w in enumerate(who):
-                found[w] = ids[i, ok[i]]
-            again.append(who[(4 * ok.sum(1) >= beam) & (beam < len(x))])
-        waiting, beam = np.concatenate(again), min(4 * beam, len(x))
-    return found
+            wider = (4 * ok.sum(1) >= beam) & (beam < len(x))
+            for i in np.flatnonzero(~wider).tolist():
+                yield int(who[i]), ids[i, ok[i]]
+            again.append(who[wider])
+        waiting, beam = np.concatenate(again), _wider(beam, 4, len(x))
+
+
+def _wider(beam: int, times: int, n: int) -> int:
+    return times * beam if times * beam <= n * WIDEST else n
 
 
 def _entries(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray) -> np.ndarray:
@@ -177,8 +182,8 @@ def _entries(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.n
     return np.where(top < 0, layers[-1][0][0], top)
 
 
-def audited(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, least: float, own: np.ndarray) -> tuple[list[np.ndarray], int, int]:
-    """``search`` from the first beam that passes the audit, and how many of the nearest vectors the audit found and looked for.
+def audit(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, least: float, own: np.ndarray) -> tuple[int, int, int]:
+    """The first beam that passes the audit, and how many of the nearest vectors the audit found and looked for.
 
     A sample of the queries must find RECALL of its nearest vectors and of its true links. ``own``: each query's own node
     (-1: not in the shard), which counts as neither.
@@ -199,11 +204,11 @@ def audited(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.nd
         if beam == len(x):
             break
         if met >= RECALL * of:
-            hits = sum(int(true[i, f].sum()) for i, f in enumerate(search(x, layers, q[sample], least, beam)))
+            hits = sum(int(true[i, f].sum()) for i, f in search(x, layers, q[sample], least, beam))
             if hits >= RECALL * true.sum():
                 break
-        beam = min(2 * beam, len(x))
-    return search(x, layers, q, least, beam), met, of
+        beam = _wider(beam, 2, len(x))
+    return beam, met, of
 
 
 _INDEX = "label long, shard int, dim int, nodes array<string>, copies binary, x binary, layers array<binary>"
@@ -247,62 +252,63 @@ def _shards(vectors: DataFrame, shard: int) -> DataFrame:
 
 
 def _links(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], copies: np.ndarray, q: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]], int, int]:
-    """Verified links of each query, copies counted, and those (query, node) that connect components; with the audit's figures."""
+    """Verified links of each query, copies counted, and those (query, node) that connect components; with the audit's figures.
+
+    What a query has found is verified, counted and united at once, and forgotten: a dense group is as many links as pairs.
+    """
     length, q_length = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
     unit, q_unit = (x / length[:, None]).astype(np.float32), (q / q_length[:, None]).astype(np.float32)
-    found, met, of = audited(unit, layers, q_unit, threshold - 1e-4, np.arange(len(q)) if same else np.full(len(q), -1))
+    beam, met, of = audit(unit, layers, q_unit, threshold - 1e-4, np.arange(len(q)) if same else np.full(len(q), -1))
     counts, ends = np.zeros(len(q), np.int64), []
     far = 0 if same else len(q)  # nodes stand behind the queries, or are the queries
-    root = list(range(len(q) + (0 if same else len(x))))
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = c = root[root[c]]
-        return c
-
-    for i, to in enumerate(found):
-        to = to[(x[to] @ q[i]) / (length[to] * q_length[i]) >= threshold]
+    group = np.arange(len(q) + (0 if same else len(x)))
+    for i, to in search(unit, layers, q_unit, threshold - 1e-4, beam):
+        dots = (x @ q[i])[to] if 2 * len(to) > len(x) else x[to] @ q[i]
+        to = to[dots / (length[to] * q_length[i]) >= threshold]
         to = to[to != i] if same else to
         counts[i] = copies[to].sum()
-        for j in to.tolist():
-            a, b = find(i), find(far + j)
-            if a != b:
-                root[a] = b
-                ends.append((i, j))
+        apart = np.flatnonzero(group[far + to] != group[i])
+        if len(apart):
+            others, first = np.unique(group[far + to[apart]], return_index=True)
+            ends += [(i, int(j)) for j in to[apart[first]]]
+            group[np.isin(group, others)] = group[i]
     return counts, ends, met, of
 
 
 def _found(shards: DataFrame, threshold: float) -> DataFrame:
     """Landed counts ``(node, n)``, connecting links ``(node, peer)`` and audits ``(label, dim, met, of)``."""
-    sizes = shards.groupBy("label", "dim").agg((F.max("shard") + 1).alias("shards")).withColumn("parts", F.ceil(F.col("shards") / PAST).cast("int"))
-    tasks = sizes.agg(F.sum(F.col("shards") * F.col("parts"))).first()[0] or 1
-    by = ["label", "dim", "shard", "part"]
-    held = shards.join(sizes, ["label", "dim"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("q_shard", F.lit(-1))
-    read = shards.withColumnRenamed("shard", "q_shard").withColumn("part", F.floor(F.col("q_shard") / PAST).cast("int")).withColumn("layers", F.lit(None).cast("array<binary>"))
-    read = read.join(shards.select("label", "dim", "shard"), ["label", "dim"])  # a shard that got no vectors is not there
-    columns = [*by, "q_shard", "nodes", "copies", "x", "layers"]
-    both = held.select(*columns).unionByName(read.select(*columns)).repartition(2 * tasks, *by).sortWithinPartitions(*by, "q_shard")
+    by = ["label", "dim", "tile", "part"]
+    tiles = shards.groupBy("label", "dim").agg(F.floor(F.max("shard") / TILE).cast("int").alias("last"))
+    tasks = tiles.agg(F.sum((F.col("last") + 1) * (F.col("last") + 1))).first()[0] or 1
+    placed = shards.join(tiles, ["label", "dim"]).withColumn("own", F.floor(F.col("shard") / TILE).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    columns = [*by, "read", "shard", "nodes", "copies", "x", "layers"]
+    held = placed.withColumns({"tile": F.col("own"), "part": F.col("other"), "read": F.lit(False)})
+    read = placed.withColumns({"tile": F.col("other"), "part": F.col("own"), "read": F.lit(True), "layers": F.lit(None).cast("array<binary>")})
+    both = held.select(*columns).unionByName(read.select(*columns)).repartition(2 * tasks, *by).sortWithinPartitions(*by, "read", "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("node", pa.string()), ("n", pa.int64()), ("peer", pa.string()), ("label", pa.int64()), ("dim", pa.int32()), ("met", pa.int64()), ("of", pa.int64())])
-        graph: dict = {}
-        layers: list[tuple[np.ndarray, np.ndarray]] = []
+        now, graphs = None, []
         for batch in batches:
             for i in range(batch.num_rows):
                 (r,) = batch.slice(i, 1).to_pylist()
-                if r["q_shard"] < 0:
-                    graph, raw = r, [np.frombuffer(y, np.int32) for y in r["layers"]]
+                if tuple(r[c] for c in by) != now:
+                    now, graphs = tuple(r[c] for c in by), []
+                vectors = np.frombuffer(r["x"], np.float64).reshape(-1, r["dim"])
+                if not r["read"]:
+                    raw = [np.frombuffer(y, np.int32) for y in r["layers"]]
                     layers = [(a, b.reshape(len(r["nodes"]), -1)) for a, b in zip(raw[::2], raw[1::2], strict=True)]
+                    graphs.append((r["shard"], r["nodes"], np.frombuffer(r["copies"], np.int64), vectors, layers))
                     continue
-                x, q = (np.frombuffer(y["x"], np.float64).reshape(-1, r["dim"]) for y in (graph, r))
-                counts, ends, met, of = _links(x, layers, np.frombuffer(graph["copies"], np.int64), q, r["shard"] == r["q_shard"], threshold)
-                some = np.flatnonzero(counts)
-                out = {c: [None] * (1 + len(some) + len(ends)) for c in schema.names}
-                out["label"][0], out["dim"][0], out["met"][0], out["of"][0] = r["label"], r["dim"], met, of
-                out["node"][1:] = [r["nodes"][i] for i in some] + [r["nodes"][i] for i, _ in ends]
-                out["n"][1 : 1 + len(some)] = counts[some].tolist()
-                out["peer"][1 + len(some) :] = [graph["nodes"][j] for _, j in ends]
-                yield pa.RecordBatch.from_pydict(out, schema)
+                for shard, nodes, copies, x, layers in graphs:
+                    counts, ends, met, of = _links(x, layers, copies, vectors, r["shard"] == shard, threshold)
+                    some = np.flatnonzero(counts)
+                    out = {c: [None] * (1 + len(some) + len(ends)) for c in schema.names}
+                    out["label"][0], out["dim"][0], out["met"][0], out["of"][0] = r["label"], r["dim"], met, of
+                    out["node"][1:] = [r["nodes"][i] for i in some] + [r["nodes"][i] for i, _ in ends]
+                    out["n"][1 : 1 + len(some)] = counts[some].tolist()
+                    out["peer"][1 + len(some) :] = [nodes[j] for _, j in ends]
+                    yield pa.RecordBatch.from_pydict(out, schema)
 
     return land(both.mapInArrow(run, "node string, n long, peer string, label long, dim int, met long, of long"), "links")
 
