@@ -72,6 +72,33 @@ def test_members_of_a_band_meet_without_their_pivot(spark):
     assert [(bytes(r.a), bytes(r.b)) for r in hyperminhash._inside_bands(members, 85, 7).collect()] in ([(sig(1), sig(2))], [(sig(2), sig(1))])
 
 
+def test_bands_of_large_sets_are_compared_in_blocks_of_bounded_bytes(spark, monkeypatch):
+    """Every pair of an open band is compared however many blocks its bytes make."""
+    rng = np.random.default_rng(5)
+    base = np.sort(rng.integers(0, 2**62, 3000).astype(np.uint64))
+    sets = [base[: 3000 - 20 * (i % 4)] if i < 12 else np.sort(rng.integers(0, 2**62, 2000).astype(np.uint64)) for i in range(20)]
+    regs = [hyperminhash.registers(s, np.array([0, len(s)]))[0].tobytes() for s in sets]
+    rows = [(7, 0, bytes([i]), bytes([i]), len(s), regs[0] if i < 12 else regs[i], s.tobytes()) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "band long, k int, sig binary, component binary, n_shingles long, registers binary, hashes binary")
+
+    def groups():
+        root = list(range(20))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for r in hyperminhash._inside_bands(members, 85, 7).collect():
+            a, b = find(r.a[0]), find(r.b[0])
+            root[max(a, b)] = min(a, b)
+        return [find(i) for i in range(20)]
+
+    whole = groups()
+    monkeypatch.setattr(hyperminhash, "BLOCK_BYTES", 40_000)  # some twelve blocks
+    assert groups() == whole == [0] * 12 + list(range(12, 20))
+
+
 def test_one_row_of_each_group_stays(spark):
     """Null ids, an id with two different texts, repeated rows of the smallest id, near copies under null ids only."""
     import corpus_pipeline

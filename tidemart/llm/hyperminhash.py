@@ -32,8 +32,8 @@ MANTISSA_BITS = 10
 MISS = 1e-6
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 MARGIN = 5.0
-#: Members of a band compared in one block.
-BLOCK = 512
+#: Members of a band compared in one block, and bytes of their sets, about.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Ids of at most so many texts are broadcast to find the texts (some 50 MB); more are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text hashed at once.
@@ -258,11 +258,11 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 def _inside_bands(members: DataFrame, percent: int, width: int) -> DataFrame:
     """Confirmed links between different components within a band.
 
-    A band of many members is compared in pairs of blocks. A pair is compared in the first band it shares, on the full
+    A band of many members, or of large sets, is compared in pairs of blocks, so that a task holds two blocks' sets. A pair is compared in the first band it shares, on the full
     sets if the estimate allows it, and a block gives at most the links that connect its components.
     """
-    sizes = land(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "open")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    sizes = land(members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("n_shingles")).alias("bytes")), "open")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     placed = members.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("sig"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.select("band", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "component", "n_shingles", "registers", "hashes")
     placed = placed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
