@@ -248,6 +248,14 @@ def test_first_and_latest_per_id(spark, tmp_path):
         assert got.where("unix_millis(rt) <> ms + 5000").count() == 0
 
 
+def test_repeats_are_near_in_time(spark, tmp_path):
+    """Rows of an id far apart are not repeats, in whatever order they come."""
+    rows = spark.createDataFrame([("a", 1000, "x"), ("a", 4000, "y"), ("a", 60_000, "z"), ("a", 61_000, "w"), ("b", 60_500, "v")], "id string, ms long, v string")
+    stream = jobs.with_time(jittered(spark, rows, tmp_path, "ms", 100_000, ("zz", FAR, "end"))).drop("ms")
+    got = ended(spark, states.latest(stream, ["id"], "rt", [], "10 minutes"), tmp_path).where("id <> 'zz'")
+    assert sorted((r.id, r.v, r.ms) for r in got.collect()) == [("a", "w", 61_000), ("a", "y", 4000), ("b", "v", 60_500)]
+
+
 def test_dedup_within_watermark(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1000), ("a", 1500), ("b", 2000)], "id string, ms long")
     stream = jobs.with_time(as_stream(spark, rows, tmp_path, "ms"))

@@ -7,6 +7,7 @@ steps and windows can follow in the same query. State that a day needs ends with
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -24,9 +25,19 @@ def _sort_key(row: dict[str, Any], by: list[str]) -> tuple:
     return tuple((row[c] is not None, row[c]) for c in by)
 
 
-def _rows(batches: Iterator[pd.DataFrame], columns: list[str]) -> list[dict[str, Any]]:
-    """A micro-batch's rows of one key; a key's rows of one batch only."""
-    return [{c: _plain(v) for c, v in r.items()} for part in batches for r in part[columns].to_dict("records")]
+def _rows(batches: Iterator[pd.DataFrame], columns: list[str], whole: set[str]) -> list[dict[str, Any]]:
+    """A micro-batch's rows of one key; a key's rows of one batch only. ``whole`` are the columns of integers, which are floats beside nulls."""
+
+    def plain(c: str, value: Any) -> Any:
+        value = _plain(value)
+        return int(value) if c in whole and value is not None else value
+
+    return [{c: plain(c, v) for c, v in r.items()} for part in batches for r in part[columns].to_dict("records")]
+
+
+def _whole(kinds: str) -> set[str]:
+    """The integer columns of what ``_kinds`` gives."""
+    return set(re.findall(r"`([^`]*)` (?:tinyint|smallint|int|bigint)(?:,|$)", kinds))
 
 
 class InOrder(StatefulProcessor):
@@ -46,7 +57,7 @@ class InOrder(StatefulProcessor):
         """Drop state that rows after the watermark, in milliseconds, do not need."""
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        found = _rows(rows, self.columns)
+        found = _rows(rows, self.columns, _whole(self.kinds))
         if found:
             self.held.appendList([tuple(r[c] for c in self.columns) for r in found])
             self.wake({r["at_us"] for r in found})
@@ -176,42 +187,30 @@ class NewFlag(InOrder):
         return out
 
 
-class Kept(StatefulProcessor):
-    """A key's last row, or first one, by ``by`` once ``wait_ms`` of event time have passed since its earliest; its time is put off by as much."""
+class Kept(InOrder):
+    """Of a key's rows within ``wait_ms`` of its earliest the last one, or the first, by ``best``, once that time is over; later rows start anew. Its time is put off by as much."""
 
-    def __init__(self, columns: list[str], kinds: str, out: list[str], time: str, by: list[str], wait_ms: int, last: bool):
-        self.columns, self.kinds, self.out, self.time, self.by, self.wait_ms, self.last = columns, kinds, out, time, by, wait_ms, last
+    def __init__(self, columns: list[str], kinds: str, out: list[str], time: str, best: list[str], wait_ms: int, last: bool):
+        super().__init__(columns, kinds, out, time)
+        self.best, self.wait_ms, self.last = best, wait_ms, last
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.held = handle, handle.getValueState("held", f"{self.kinds}, `_due` long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        found = _rows(rows, self.columns)
-        if found:
-            due = min(r["at_us"] for r in found) // 1000 + self.wait_ms
-            if self.held.exists():
-                *now, before = self.held.get()
-                found.append(dict(zip(self.columns, now, strict=True)))
-                due = min(due, before)
-                if due < before:
-                    self.handle.deleteTimer(before - 1)
-                    self.handle.registerTimer(due - 1)
-            else:
-                self.handle.registerTimer(due - 1)  # expires once the watermark is behind it
-            best = (max if self.last else min)(found, key=lambda r: _sort_key(r, self.by))
-            self.held.update((*(best[c] for c in self.columns), due))
-        return iter(())
+    def wake(self, times: set[int]) -> None:
+        super().wake({us + 1000 * self.wait_ms for us in times})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if self.held.exists():
-            row = dict(zip(self.columns, self.held.get()[:-1], strict=True))
+        passed, wait = 1000 * int(timerValues.getCurrentWatermarkInMs()), 1000 * self.wait_ms
+        held = sorted((dict(zip(self.columns, r, strict=True)) for r in self.held.get()), key=lambda r: r["at_us"])
+        out = []
+        while held and held[0]["at_us"] + wait <= passed:
+            near = [r for r in held if r["at_us"] <= held[0]["at_us"] + wait]
+            held = held[len(near) :]
+            best = (max if self.last else min)(near, key=lambda r: _sort_key(r, self.best))
+            out.append(best | {"at_us": best["at_us"] + wait})
+        if out:
             self.held.clear()
-            done = pd.DataFrame([row])
-            done[self.time] = pd.to_datetime(done["at_us"] + 1000 * self.wait_ms, unit="us", utc=True)
-            yield done[self.out]
-
-    def close(self) -> None:
-        pass
+            if held:
+                self.held.put([tuple(r[c] for c in self.columns) for r in held])
+            yield self.result(out)
 
 
 class Bounces(StatefulProcessor):
@@ -227,7 +226,7 @@ class Bounces(StatefulProcessor):
         self.handle, self.held = handle, handle.getListState("held", self.kinds)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        found = _rows(rows, self.columns)
+        found = _rows(rows, self.columns, _whole(self.kinds))
         if found:
             self.held.appendList([tuple(r[c] for c in self.columns) for r in found])
             for ms in {int(r["ms"]) for r in found}:
@@ -329,6 +328,8 @@ def _kept(df: DataFrame, key: list[str], time: str, by: list[str] | None, waterm
 def latest(df: DataFrame, key: list[str], time: str, tie: list[str], watermark: str | None = "2 seconds", wait_ms: int = 5000, by: list[str] | None = None) -> DataFrame:
     """A stream's last row per key, by ``by`` or else time and ``tie``, released ``wait_ms`` after the key's earliest; ``ms`` is its time, and ``time`` that much later.
 
+    Repeats are the rows within ``wait_ms`` of event time; a key's rows that come later still count as another one, as its state has ended.
+
     Steps that follow in the same query take ``late_ms``, and windows ``late``, for what the time is put off by.
     """
     return _kept(df, key, time, by or ["at_us", *tie], watermark, wait_ms, True)
