@@ -293,3 +293,13 @@ def test_log_topics_after_a_stop_between_two_outputs(spark, tmp_path):
     for kind, n in COUNTS.items():
         rows = spark.read.parquet(f"{tmp_path}/{kind}")
         assert rows.count() == 3 * n and {r.batch for r in rows.collect()} == {0, 1, 2}
+
+
+def test_views_of_one_millisecond_have_an_order(spark):
+    """Which of two views is the visit does not hang on how the rows lie, and the first views of hours follow the same order."""
+    rows = [{"common": {"mid": "m", "vc": v, "ch": "c", "ar": "a", "is_new": "1"}, "page": {"page_id": p, "last_page_id": None, "during_time": 1}, "ts": 1000} for v, p in (("2", "home"), ("1", "cart"), ("1", "home"))]
+    tie = ["common.vc", "page.page_id"]
+    for made in (rows, rows[::-1]):
+        page = spark.createDataFrame([json.loads(json.dumps(x)) for x in made], LOG)
+        assert [(r.common.vc, r.page.page_id) for r in logs.unique_visitors(page, tie).collect()] == [("1", "cart")]
+        assert [r.vc for r in windows.traffic_flags(page, 10, tie).where("uv_ct = 1").collect()] == ["1"]

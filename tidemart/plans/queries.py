@@ -20,6 +20,8 @@ QUERIES: dict[str, Query] = {}
 
 #: Widths and limits for events that lie hours apart.
 HOUR, DAY, BOUNCE_MS = "1 hour", "1 day", 6 * 3600 * 1000
+#: What tells page views of one visitor and millisecond apart.
+TIE = ["common.vc", "page.page_id", "page.item"]
 
 
 def query(work: Query) -> Query:
@@ -152,12 +154,12 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dwd_unique_visitor(spark: SparkSession, d: str) -> DataFrame:
-    return _flat_pages(logs.unique_visitors(_pages(spark, d)))
+    return _flat_pages(logs.unique_visitors(_pages(spark, d), TIE))
 
 
 @query
 def dwd_user_jump(spark: SparkSession, d: str) -> DataFrame:
-    return _flat_pages(keyed.bounces(_pages(spark, d), BOUNCE_MS))
+    return _flat_pages(keyed.bounces(_pages(spark, d), BOUNCE_MS, TIE))
 
 
 # facts
@@ -314,7 +316,7 @@ def _searches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _traffic(spark: SparkSession, d: str) -> DataFrame:
-    return windows.traffic_flags(_pages(spark, d), BOUNCE_MS)
+    return windows.traffic_flags(_pages(spark, d), BOUNCE_MS, TIE)
 
 
 def _first_views(spark: SparkSession, d: str) -> DataFrame:

@@ -57,9 +57,9 @@ _LOG = """log AS (
     FROM events JOIN part ON event_id % 200 = p_partkey),
 fixed AS (SELECT *, CASE WHEN said_new = '1' AND CAST(rt AS DATE) > min(CAST(rt AS DATE)) OVER (PARTITION BY mid) THEN '0' ELSE said_new END AS is_new FROM log),
 page AS (SELECT * FROM fixed WHERE kind <> 'signup'),
-uv AS (SELECT * FROM page WHERE last_page_id IS NULL QUALIFY row_number() OVER (PARTITION BY mid, CAST(rt AS DATE) ORDER BY ms) = 1),
+uv AS (SELECT * FROM page WHERE last_page_id IS NULL QUALIFY row_number() OVER (PARTITION BY mid, CAST(rt AS DATE) ORDER BY ms, vc, page_id, item) = 1),
 jump AS (
-    SELECT * FROM (SELECT *, lead(ms) OVER w AS next_ms, lead(last_page_id IS NULL) OVER w AS next_starts FROM page WINDOW w AS (PARTITION BY mid ORDER BY ms))
+    SELECT * FROM (SELECT *, lead(ms) OVER w AS next_ms, lead(last_page_id IS NULL) OVER w AS next_starts FROM page WINDOW w AS (PARTITION BY mid ORDER BY ms, vc, page_id, item))
     WHERE last_page_id IS NULL AND (next_ms IS NULL OR next_starts OR next_ms - ms >= 21600000))"""
 _PAGE = "mid, uid, vc, ch, ar, is_new, page_id, last_page_id, item, item_type, during_time, ms AS ts"
 
