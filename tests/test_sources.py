@@ -147,10 +147,23 @@ def test_summaries_are_compacted_by_day(spark, tmp_path):
     assert table.read(dt=[day(2)]).count() == 1
     spark.createDataFrame([of(1, "a", 99, 9)], row).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(row).parquet(f"{tmp_path}/in")
-    store.summary_stream(stream, table, f"{tmp_path}/cp", available_now=True).awaitTermination()
+    store.log_stream(stream, table, f"{tmp_path}/cp", available_now=True).awaitTermination()
     assert {(r.stt, r.kind): r.n for r in table.read().collect()} == wanted | {("2024-01-01 00:00:00", "a"): 99}
 
 
+def test_last_rows_of_a_stream(spark, tmp_path):
+    """What the rewriting sink gives, by batches that only append; repeated rows and late ones do no harm."""
+    rows = [("a", 1, 1, "d1"), ("a", 2, 2, "d1"), ("b", 3, 1, "d2"), ("a", 0, 0, "d1"), ("b", 3, 1, "d2"), (None, 5, 1, None)]
+    for r in rows:
+        spark.createDataFrame([r], "id string, v int, t int, dt string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id string, v int, t int, dt string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    table = store.last_rows(spark, f"{tmp_path}/t", stream.schema, ["id"], ["t"], "dt", most=2)
+    store.log_stream(stream, table, f"{tmp_path}/cp", available_now=True).awaitTermination()
+    assert sorted(((r.id, r.v, r.dt) for r in table.read().collect()), key=str) == [("a", 2, "d1"), ("b", 3, "d2"), (None, 5, None)]
+    assert max(map(len, table.manifest()["live"].values())) <= 2 and table.manifest()["batches"] == {"rows": 5}
+    assert [r.v for r in table.read(dt=["d2"]).collect()] == [3]
+
+
 def test_first_days_batch_by_batch_in_any_order(spark, tmp_path):
     """Day by day, in two orders, gives the flags of all days at once; a day without new users writes nothing."""
     rnd = random.Random(1)

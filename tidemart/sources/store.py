@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.changes import route
+from ..operators.keyed import latest
 from .sinks import foreach_batch, replace_latest
 
 #: Folders of a part after which it is compacted.
@@ -214,14 +215,22 @@ def summaries(spark: SparkSession, path: str, schema: T.StructType, dims: list[s
     return LogTable(spark, path, schema, ["dt"], newest, most)
 
 
-def summary_stream(versions: DataFrame, table: LogTable, checkpoint: str, name: str = "windows", available_now: bool = False) -> StreamingQuery:
-    """Keep a stream of ``sinks.versioned`` rows in a summary table; days with many folders are compacted on the way."""
+def log_stream(rows: DataFrame, table: LogTable, checkpoint: str, name: str = "rows", available_now: bool = False) -> StreamingQuery:
+    """Keep a stream in a log table, such as that of ``summaries`` or ``last_rows``; parts with many folders are compacted on the way, and a replayed batch changes nothing."""
 
     def work(batch: DataFrame, number: int) -> None:
         table.append(batch, (name, number))
         table.compact()
 
-    return foreach_batch(versions, checkpoint, work, available_now)
+    return foreach_batch(rows, checkpoint, work, available_now)
+
+
+# last rows by key
+
+
+def last_rows(spark: SparkSession, path: str, schema: T.StructType | str, key: list[str], order: list[str], partition: str, most: int = MOST) -> LogTable:
+    """A table of the last row per key by ``order``, in parts by ``partition``, a column that a key keeps; a batch writes its own rows only."""
+    return LogTable(spark, path, schema, [partition], lambda rows: latest(rows, [partition, *key], order), most)
 
 
 # first days
