@@ -340,12 +340,12 @@ def test_license_expressions_of_any_length():
     """Long runs of brackets and of identifiers take time in proportion; what is passed over stays the least."""
     scanner = licenses.Scanner(licenses.BASE, licenses.NOTICES, (licenses.TAG,), licenses.RESTRICTS)
     labels = lambda text: scanner.scan(f"SPDX-License-Identifier: {text}")["labels"]
-    began = time.time()
+    began = time.thread_time()
     n = 100_000
     assert labels("(" * n) == [] and labels("(" * n + "MIT") == ["mit"] and labels("(" * n + "MIT" + ")" * n) == ["mit"] and labels("(" * n + "MIT" + ")" * 7 + " and ISC and (") == ["isc", "mit"]
     assert labels(" and ".join(f"x{i}" for i in range(n))) == sorted(f"x{i}" for i in range(n)) and labels(" or ".join(f"x{i}" for i in range(n))) == ["x0"]
     assert labels("-".join(["gpl"] * n)) == ["-".join(["gpl"] * n)] and labels("mit " + "(a)" * n) == ["mit"]
-    assert time.time() - began < 20
+    assert time.thread_time() - began < 20
 
     def slowly(tokens):  # drops one leading bracket after the other
         def good(t):
