@@ -253,6 +253,7 @@ def test_repair_of_edge_rows(spark):
     long = spark.createDataFrame([(7, i, ("user", "assistant")[i % 2], f"{i} " + "w " * 2000 + ".") for i in range(3000)], "conv_id long, turn long, role string, text string")
     (r,) = conversations.report(long).collect()
     assert (r.cost, r.audit, r.gaps) == (0, "K" * 3000, 0)
+    assert [(x.place, x.edit) for x in conversations.repair(long).orderBy("place").collect()] == [(i, "K") for i in range(3000)]
 
 
 def archive(record, payload, level=6, head=b"", http=b"", extra=b"", length=None):

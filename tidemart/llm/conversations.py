@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches
@@ -220,13 +220,13 @@ def _reports(batches: Iterator[pa.RecordBatch], keep: Callable | None) -> Iterat
                 now = _Report(x["conv"], keep)
             if not x["gone"]:
                 now.add(x["turn"], x["role"], x["text"], x["seen"], x["blank"], x["cut"])
-            elif keep is not None:
-                yield {}  # so that kept edits are handed on
+        if keep is not None:
+            yield {}  # so that kept edits are handed on
     if now is not None:
         yield now.end()
 
 
-def _in_order(rows: DataFrame) -> Column:
+def _in_order(rows: DataFrame) -> DataFrame:
     return rows.select("conv", "turn", "role", "text", "gone", "seen", "blank", "cut")
 
 
