@@ -14,7 +14,11 @@ def keep_types(changes: DataFrame) -> DataFrame:
 
 
 def new(column: str) -> Column:
-    return F.col("data")[column]
+    """The value after a change: of the map ``data``, or of a column where a feed with columns of its own has the alias ``data``.
+
+    Maps are built and searched for each row, and nothing is known of what lies in them; columns keep their partitions through joins.
+    """
+    return F.col(f"data.`{column}`")
 
 
 def old(column: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import parse
@@ -54,21 +54,47 @@ def cart_add(changes: DataFrame, dictionary: DataFrame, database: str | None = N
     return rows.withColumnRenamed("source_type", "source_type_id")
 
 
-def order_pre_process(changes: DataFrame, dictionary: DataFrame, retention: str | None = None, database: str | None = None, extras: bool = True) -> DataFrame:
+def _attach(details: DataFrame, sides: list[DataFrame]) -> DataFrame:
+    """Left joins of ``sides`` by ``order_id`` and ``id``, as lists collected inside the partitions of the orders.
+
+    A join by both keys would move all rows; a window keeps them where their order's rows are. Rows without a key match nothing.
+    """
+    names = [[c for c in side.columns if c not in ("order_id", "id")] for side in sides]
+    rows = details.withColumn("_detail", F.lit(True))
+    for i, side in enumerate(sides):
+        part = side.where("order_id IS NOT NULL AND id IS NOT NULL").select("order_id", "id", F.struct(*names[i]).alias(f"_side{i}"))
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    same = Window.partitionBy("order_id", "id")
+    rows = rows.withColumns({f"_side{i}": F.collect_list(f"_side{i}").over(same) for i in range(len(sides))}).where("_detail")
+    for i in range(len(sides)):
+        rows = rows.select("*", F.inline_outer(f"_side{i}")).drop(f"_side{i}")
+    return rows.drop("_detail")
+
+
+def order_pre_process(
+    changes: DataFrame, dictionary: DataFrame, retention: str | None = None, database: str | None = None, extras: bool = True, by_order: bool = False
+) -> DataFrame:
     """Order details with each change of their order, their activity, coupon and source name.
 
     ``retention`` (an interval) also bounds the times between a detail and what joins it, as streams need it. Without
-    ``extras`` activities and coupons are not joined and their columns are null, for jobs that use neither.
+    ``extras`` activities and coupons are not joined and their columns are null, for jobs that use neither. ``by_order`` says that
+    activities and coupons carry their detail's ``order_id``, too: a batch then moves all rows once, to their order.
     """
     details = changes_of(changes, "order_detail", ("insert",), DETAIL, also=[change_time().alias("row_op_ts")], database=database)
     orders = changes_of(changes, "order_info", ("insert", "update"), ["id", *ORDER], also=["type", "old", change_time().alias("o_ts")], database=database)
     sides = [(orders.withColumnRenamed("id", "o_id"), "order_id", "o_id", "o_ts")]
+    inside = []
+    if by_order and (retention or details.isStreaming):
+        raise ValueError("by_order is for batches without retention")
     for kind, columns in (("activity", ["activity_id", "activity_rule_id"]), ("coupon", ["coupon_id", "coupon_use_id"])):
         key, time = f"{kind[0]}_id", f"{kind[0]}_ts"
-        if extras:
+        if extras and by_order:
+            side = changes_of(changes, f"order_detail_{kind}", ("insert",), ["id", "order_id", "order_detail_id", *columns], database=database)
+            inside.append(side.withColumnsRenamed({"id": f"order_detail_{kind}_id", "order_detail_id": "id"}))
+        elif extras:
             side = changes_of(changes, f"order_detail_{kind}", ("insert",), ["id", "order_detail_id", *columns], also=[change_time().alias(time)], database=database)
             sides.append((side.withColumnsRenamed({"id": f"order_detail_{kind}_id", "order_detail_id": key}), "id", key, time))
-    details = _late(details, "row_op_ts")
+    details = _attach(details, inside) if inside else _late(details, "row_op_ts")
     for side, left, right, time in sides:
         on = F.col(left) == F.col(right)
         details = details.join(_late(side, time), on & _near(time, "row_op_ts", retention) if retention else on, "left").drop(right, time)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.facts import DETAIL, ORDER
 from ..operators.keyed import latest
 from ..schemas import LOG
 
@@ -16,6 +17,13 @@ ROUTES = [("part", "dim_sku_info", "id,tm_id", "id"), ("nation", "dim_base_provi
 DATABASE, OTHER = "shop", "branch"
 #: Tie-breaks of details with equal ids and times.
 DETAIL_TIES = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+#: Rows of a table that a task is to join and put in order, so that its memory does not grow with the table.
+ROWS_A_TASK = 250_000
+#: All columns of the changes of orders, details, activities, coupons and refunds, as the jobs know them.
+RECORD = list(dict.fromkeys([
+    *DETAIL, *ORDER, "order_detail_id", "activity_id", "activity_rule_id", "coupon_id", "coupon_use_id", "refund_type", "refund_num", "refund_amount", "refund_reason_type",
+    "refund_reason_txt", "refund_status", "payment_type", "callback_time",
+]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.select(*(F.col(c).cast("timestamp").alias(c) if kind.startswith("timestamp") else F.col(c) for c, kind in rows.dtypes))
 
 
+def partitions(spark: SparkSession, sf_dir: str, name: str, rows: int = ROWS_A_TASK) -> int | None:
+    """Partitions for steps as long as this table, whose rows Parquet's footers tell; None where the session's number is enough."""
+    needed = -(-table(spark, sf_dir, name).count() // rows)
+    return needed if needed > _session_partitions(spark) else None
+
+
+def _session_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def dictionary(spark: SparkSession) -> DataFrame:
     return _values(spark, ["dic_code", "dic_name"], [(c, f"name_{c}") for c in CODES])
 
@@ -46,18 +64,20 @@ def _money(c: str) -> Column:
     return F.col(c).cast("decimal(18,2)")
 
 
-def _change(rows: DataFrame, name: str, kind: str, time: Column, data: dict[str, Column], old: dict[str, Column] | None = None, database: str = DATABASE) -> DataFrame:
+def _change(rows: DataFrame, name: str, kind: str, time: Column, data: dict[str, Column], old: dict[str, Column] | None = None, database: str = DATABASE, record: list[str] | None = None) -> DataFrame:
+    """A change; its ``data`` is a map, or the ``record``'s columns beside the others, of which Spark computes only those that a job takes."""
+
     def as_map(columns: dict[str, Column] | None) -> Column:
         pairs = [x for k, v in (columns or {}).items() for x in (F.lit(k), v.cast("string"))]
         return F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
 
+    values = [as_map(data).alias("data")] if record is None else [data.get(c, F.lit(None)).cast("string").alias(c) for c in record]
     return rows.select(
-        F.lit(database).alias("database"), F.lit(name).alias("table"), F.lit(kind).alias("type"), F.unix_seconds(time).cast("string").alias("ts"),
-        as_map(data).alias("data"), as_map(old).alias("old"),
-    )
+        F.lit(database).alias("database"), F.lit(name).alias("table"), F.lit(kind).alias("type"), F.unix_seconds(time).cast("string").alias("ts"), *values, as_map(old).alias("old"),
+    ).alias("data")
 
 
-def elsewhere(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+def elsewhere(spark: SparkSession, sf_dir: str, *names: str, record: list[str] | None = None) -> DataFrame:
     """Changes of tables of these names in the other database, with keys and codes that would pass for the shop's."""
     rows = table(spark, sf_dir, "nation")
     key, day = F.col("n_nationkey") + 1, F.to_timestamp(F.lit("2024-01-01"))
@@ -68,7 +88,7 @@ def elsewhere(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     out = None
     for name in names:
         for kind, status in (("insert", "1001"), ("update", "1003"), ("update", "1005"), ("update", "1006")):
-            part = _change(rows, name, kind, day, data | {"order_status": F.lit(status), "coupon_status": F.lit("1402")}, before, OTHER)
+            part = _change(rows, name, kind, day, data | {"order_status": F.lit(status), "coupon_status": F.lit("1402")}, before, OTHER, record)
             out = part if out is None else out.union(part)
     return out
 
@@ -79,7 +99,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("made", F.col("o_orderdate") + seconds)
 
 
-def order_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_info(spark: SparkSession, sf_dir: str, record: list[str] | None = None) -> DataFrame:
     rows = orders(spark, sf_dir).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     later = F.col("made") + F.expr("INTERVAL 300 SECONDS")
 
@@ -89,41 +109,43 @@ def order_info(spark: SparkSession, sf_dir: str) -> DataFrame:
             "create_time": _text(F.col("made")), "operate_time": _text(later), "total_amount": _money("o_totalprice"),
         }
 
-    first = _change(rows, "order_info", "insert", F.col("made"), data(F.lit("1001")))
+    first = _change(rows, "order_info", "insert", F.col("made"), data(F.lit("1001")), record=record)
     status = F.when(F.col("o_orderstatus") == "F", "1003").otherwise("1005")
-    second = _change(rows.where("o_orderstatus IN ('F', 'P')"), "order_info", "update", later, data(status), {"order_status": F.lit("1001")})
-    third = _change(rows.where("o_orderstatus = 'P' AND o_orderkey % 2 = 0"), "order_info", "update", later, data(F.lit("1006")), {"order_status": F.lit("1005")})
-    return first.union(second).union(third).union(elsewhere(spark, sf_dir, "order_info"))
+    second = _change(rows.where("o_orderstatus IN ('F', 'P')"), "order_info", "update", later, data(status), {"order_status": F.lit("1001")}, record=record)
+    third = _change(rows.where("o_orderstatus = 'P' AND o_orderkey % 2 = 0"), "order_info", "update", later, data(F.lit("1006")), {"order_status": F.lit("1005")}, record=record)
+    return first.union(second).union(third).union(elsewhere(spark, sf_dir, "order_info", record=record))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    return rows.withColumn("price", _money("l_extendedprice")).withColumn("discount", _money("l_discount"))
+    """Lines, moved once to their order's partition: ``order_id`` is the key of all that joins them or puts them in order."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("order_id", F.col("l_orderkey").cast("string"))
+    rows = rows.repartition(partitions(spark, sf_dir, "lineitem") or _session_partitions(spark), "order_id")
+    return rows.withColumn("id", F.concat_ws("-", "order_id", "l_linenumber")).withColumn("price", _money("l_extendedprice")).withColumn("discount", _money("l_discount"))
 
 
 def _lines_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest(_lines(spark, sf_dir), ["id"], ["l_shipdate", *DETAIL_TIES])
+    return latest(_lines(spark, sf_dir), ["order_id", "l_linenumber"], ["l_shipdate", *DETAIL_TIES])
 
 
-def order_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = orders(spark, sf_dir).select(F.col("o_orderkey").alias("l_orderkey"), "made")
-    rows = _lines(spark, sf_dir).join(made, "l_orderkey")
+def order_detail(spark: SparkSession, sf_dir: str, record: list[str] | None = None) -> DataFrame:
+    made = orders(spark, sf_dir).select(F.col("o_orderkey").cast("string").alias("order_id"), "made")
+    rows = _lines(spark, sf_dir).join(made, "order_id")
     cut = F.col("price") * F.col("discount")
     data = {
-        "id": F.col("id"), "order_id": F.col("l_orderkey"), "sku_id": F.col("l_partkey"), "sku_num": F.col("l_quantity").cast("int"), "order_price": F.col("price"),
+        "id": F.col("id"), "order_id": F.col("order_id"), "sku_id": F.col("l_partkey"), "sku_num": F.col("l_quantity").cast("int"), "order_price": F.col("price"),
         "create_time": _text(F.col("made")), "source_type": 2401 + F.col("l_suppkey") % 4, "source_id": F.col("l_suppkey"), "split_total_amount": F.col("price") - cut,
         "split_activity_amount": F.when(F.col("l_returnflag") == "A", cut), "split_coupon_amount": F.when(F.col("l_returnflag") == "R", cut),
     }
-    return _change(rows, "order_detail", "insert", F.col("l_shipdate"), data).union(elsewhere(spark, sf_dir, "order_detail"))
+    return _change(rows, "order_detail", "insert", F.col("l_shipdate"), data, record=record).union(elsewhere(spark, sf_dir, "order_detail", record=record))
 
 
-def order_detail_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_detail_extras(spark: SparkSession, sf_dir: str, record: list[str] | None = None) -> DataFrame:
     rows = _lines_once(spark, sf_dir)
     parts = []
     for flag, kind in (("A", "activity"), ("R", "coupon")):
-        data = {"id": F.concat(F.lit(kind[0]), "id"), "order_id": F.col("l_orderkey"), "order_detail_id": F.col("id"), f"{kind}_id": F.col("l_suppkey")}
-        parts.append(_change(rows.where(F.col("l_returnflag") == flag), f"order_detail_{kind}", "insert", F.col("l_shipdate"), data))
-    return parts[0].union(parts[1]).union(elsewhere(spark, sf_dir, "order_detail_activity", "order_detail_coupon"))
+        data = {"id": F.concat(F.lit(kind[0]), "id"), "order_id": F.col("order_id"), "order_detail_id": F.col("id"), f"{kind}_id": F.col("l_suppkey")}
+        parts.append(_change(rows.where(F.col("l_returnflag") == flag), f"order_detail_{kind}", "insert", F.col("l_shipdate"), data, record=record))
+    return parts[0].union(parts[1]).union(elsewhere(spark, sf_dir, "order_detail_activity", "order_detail_coupon", record=record))
 
 
 def payment_info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,27 +155,27 @@ def payment_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _change(rows, "payment_info", "update", paid, data, {"payment_status": F.lit("1601")}).union(elsewhere(spark, sf_dir, "payment_info"))
 
 
-def refunds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = orders(spark, sf_dir).select(F.col("o_orderkey").alias("l_orderkey"), "made", "o_custkey")
-    rows = _lines_once(spark, sf_dir).where("l_returnflag = 'R'").join(made, "l_orderkey")
+def refunds(spark: SparkSession, sf_dir: str, record: list[str] | None = None) -> DataFrame:
+    made = orders(spark, sf_dir).select(F.col("o_orderkey").cast("string").alias("order_id"), "made", "o_custkey")
+    rows = _lines_once(spark, sf_dir).where("l_returnflag = 'R'").join(made, "order_id")
     asked = F.col("made") + F.expr("INTERVAL 1 DAY")
 
     def data(status: str) -> dict[str, Column]:
         return {
-            "id": F.concat(F.lit("r"), "id"), "user_id": F.col("o_custkey"), "order_id": F.col("l_orderkey"), "sku_id": F.col("l_partkey"), "refund_type": 1501 + F.col("l_linenumber") % 2,
+            "id": F.concat(F.lit("r"), "id"), "user_id": F.col("o_custkey"), "order_id": F.col("order_id"), "sku_id": F.col("l_partkey"), "refund_type": 1501 + F.col("l_linenumber") % 2,
             "refund_num": F.col("l_quantity").cast("int"), "refund_amount": F.col("price"), "refund_reason_type": 1301 + F.col("l_linenumber") % 7, "refund_status": F.lit(status), "create_time": _text(asked),
         }
 
     even = rows.where("l_orderkey % 2 = 0")
     payment = {
-        "id": F.concat(F.lit("p"), "id"), "order_id": F.col("l_orderkey"), "sku_id": F.col("l_partkey"), "payment_type": 1101 + F.col("l_orderkey") % 3,
+        "id": F.concat(F.lit("p"), "id"), "order_id": F.col("order_id"), "sku_id": F.col("l_partkey"), "payment_type": 1101 + F.col("l_orderkey") % 3,
         "total_amount": F.col("price") * (1 - F.col("discount")), "callback_time": _text(asked),
     }
     return (
-        _change(rows, "order_refund_info", "insert", asked, data("0701"))
-        .union(_change(even, "order_refund_info", "update", asked, data("0705"), {"refund_status": F.lit("0701")}))
-        .union(_change(even, "refund_payment", "update", asked, payment, {"refund_status": F.lit("0701")}))
-        .union(elsewhere(spark, sf_dir, "order_refund_info", "refund_payment"))
+        _change(rows, "order_refund_info", "insert", asked, data("0701"), record=record)
+        .union(_change(even, "order_refund_info", "update", asked, data("0705"), {"refund_status": F.lit("0701")}, record=record))
+        .union(_change(even, "refund_payment", "update", asked, payment, {"refund_status": F.lit("0701")}, record=record))
+        .union(elsewhere(spark, sf_dir, "order_refund_info", "refund_payment", record=record))
     )
 
 

@@ -166,9 +166,9 @@ def dwd_user_jump(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _wide(spark: SparkSession, d: str, extras: bool = True) -> DataFrame:
-    feed = X.order_detail(spark, d).union(X.order_info(spark, d))
-    feed = feed.union(X.order_detail_extras(spark, d)) if extras else feed
-    return facts.order_pre_process(feed, X.dictionary(spark), database=X.DATABASE, extras=extras)
+    feed = X.order_detail(spark, d, X.RECORD).union(X.order_info(spark, d, X.RECORD))
+    feed = feed.union(X.order_detail_extras(spark, d, X.RECORD)) if extras else feed
+    return facts.order_pre_process(feed.alias("data"), X.dictionary(spark), database=X.DATABASE, extras=extras, by_order=True)
 
 
 def _numbers(rows: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def pay_detail_inner(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _refunds(spark: SparkSession, d: str) -> DataFrame:
-    return facts.order_refund(X.refunds(spark, d).union(X.order_info(spark, d)), X.dictionary(spark), database=X.DATABASE)
+    return facts.order_refund(X.refunds(spark, d, X.RECORD).union(X.order_info(spark, d, X.RECORD)).alias("data"), X.dictionary(spark), database=X.DATABASE)
 
 
 @query
@@ -229,7 +229,7 @@ def dwd_order_refund(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dwd_refund_pay_suc(spark: SparkSession, d: str) -> DataFrame:
-    rows = facts.refund_pay_suc(X.refunds(spark, d).union(X.order_info(spark, d)), X.dictionary(spark), database=X.DATABASE)
+    rows = facts.refund_pay_suc(X.refunds(spark, d, X.RECORD).union(X.order_info(spark, d, X.RECORD)).alias("data"), X.dictionary(spark), database=X.DATABASE)
     return _numbers(rows.select("id", "user_id", "order_id", "sku_id", "province_id", "payment_type_id", "payment_type_name", "refund_num", "total_amount", "callback_time"))
 
 
@@ -290,7 +290,7 @@ def dedup_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dim_enrich_sku(spark: SparkSession, d: str) -> DataFrame:
-    rows = C.of_database(X.order_detail(spark, d), X.DATABASE).select(C.new("id").alias("id"), C.new("sku_id").alias("sku_id"))
+    rows = C.of_database(X.order_detail(spark, d, X.RECORD).alias("data"), X.DATABASE).select(C.new("id").alias("id"), C.new("sku_id").alias("sku_id"))
     return D.enrich_sku(rows, X.dims(spark, d)["sku"])
 
 
