@@ -8,7 +8,7 @@ import re
 import pytest
 
 from tidemart.operators import changes as C
-from tidemart.operators import facts
+from tidemart.operators import facts, keyed, windows
 from tidemart.plans import fixtures as X
 from tidemart.plans.queries import QUERIES
 from tidemart.schemas import CHANGE
@@ -33,12 +33,19 @@ def moves(df):
     return [re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(df))]
 
 
-@pytest.mark.parametrize("name", ["dwd_order_pre_process"])
+@pytest.mark.parametrize("name", ["dwd_order_pre_process", "dedup_first", "dedup_latest"])
 def test_details_stay_with_their_order(large, name):
     keys = {tuple(k.split(", ")[:-1]) for k in moves(QUERIES[name](large, DATA))}
     assert keys - {("o_custkey",), ("c_custkey",)} == {("order_id",), ("o_id",)}
 
 
+def test_trade_orders_move_as_orders_and_are_made_once(large):
+    df = QUERIES["dws_trade_order_window"](large, DATA)
+    assert [k for k in moves(df) if k.startswith("order_id")] == ["order_id, 4", "order_id, 4"]  # lines and the times of their orders
+    assert plan(df).count("lineitem.parquet") == 1
+    assert not any(k.startswith(("id,", "user_id,")) for k in moves(df))
+
+
 def test_activities_and_coupons_attached_inside_the_order(spark):
     pick = random.Random(5)
     rows = []
@@ -63,3 +70,17 @@ def test_changes_from_a_map_and_from_columns(spark):
     as_map = spark.createDataFrame([("shop", "t", "insert", "1", {"id": "7"}, None)], CHANGE)
     as_columns = as_map.selectExpr("database", "`table`", "type", "ts", "data['id'] AS id", "old").alias("data")
     assert [C.changes_of(f, "t", ("insert",), ["id"]).collect() for f in (as_map, as_columns)] == [[("7",)]] * 2
+
+
+def test_flags_with_partitions_and_by_order(spark):
+    pick = random.Random(3)
+    made = [(pick.choice(["u", "v", None]), pick.choice(["2024-01-01 10:00:00", "2024-01-01 11:00:00", "2024-01-03 09:00:00", None])) for _ in range(20)]
+    rows = [(f"{o}-{i}", str(o), *made[o], "1.50", "3", "0.25" if i else "x", None) for o in range(20) for i in range(3)]
+    df = spark.createDataFrame(rows, "id string, order_id string, user_id string, t string, order_price string, sku_num string, split_activity_amount string, split_coupon_amount string")
+    df = df.selectExpr("*", "CAST(t AS timestamp) AS rt")
+    flag = lambda rows, n=None: keyed.unique_and_new(rows, "user_id", "rt", ["id"], "order_unique_user_count", "order_new_user_count", n)
+    shown = ["id", "order_unique_user_count", "order_new_user_count"]
+    flags = sorted(flag(df).select(*shown).collect())
+    assert flags == sorted(flag(df, 3).select(*shown).collect()) and sum(r[2] for r in flags) == 2
+    sums = sorted(windows.trade_order(flag(df), "1 day").collect())
+    assert sums == sorted(windows.trade_order(flag(windows.trade_orders(df), 3), "1 day").collect()) and sums

@@ -85,16 +85,19 @@ def daily_logins(pages: DataFrame, tie: list[str] | None = None, away_days: int
     return rows.select("uid", "rt", F.lit(1).cast("long").alias("uu_ct"), back.alias("back_ct"))
 
 
-def unique_and_new(rows: DataFrame, user: str, time: str, tie: list[str], unique: str, new: str) -> DataFrame:
+def unique_and_new(rows: DataFrame, user: str, time: str, tie: list[str], unique: str, new: str, partitions: int | None = None) -> DataFrame:
     """Rows with flags: ``unique`` 1 on a user's first row of a day, ``new`` 1 on the user's first row ever.
 
-    The first row ever is the first one of the first day, so a task orders one user's rows of one day only. Rows without a
-    user or a time are the first of nothing.
+    The first row ever is the first one of the first day: only the first rows of a user's days meet each other, the others stay
+    with their day, so a task orders one user's rows of one day only, and the rows are made once. Rows without a user or a time
+    are the first of nothing. ``partitions`` are those of long tables; None leaves them to Spark.
     """
-    day = F.to_date(time)
-    first_day = rows.where(F.col(user).isNotNull()).groupBy(F.col(user).alias("_user")).agg(F.min(day).alias("_first"))
     own = F.coalesce(F.col(user).cast("string"), F.concat(F.lit("\0"), F.xxhash64(time, *tie).cast("string")))  # rows without a user stay apart
-    n = F.row_number().over(Window.partitionBy(own, day).orderBy(F.col(time), *map(F.col, tie)))
-    out = rows.withColumn("_n", F.when(F.col(user).isNotNull() & day.isNotNull(), n)).join(first_day, F.col(user) == F.col("_user"), "left")
-    flag = lambda x: F.coalesce(x, F.lit(False)).cast("long")
-    return out.withColumn(unique, flag(F.col("_n") == 1)).withColumn(new, flag((F.col("_n") == 1) & (day == F.col("_first")))).drop("_n", "_user", "_first")
+    out = rows.withColumns({"_own": own, "_day": F.to_date(time)})
+    out = out.repartition(partitions, "_own", "_day") if partitions else out
+    n = F.row_number().over(Window.partitionBy("_own", "_day").orderBy(F.col(time), *map(F.col, tie)))
+    out = out.withColumn("_first", F.coalesce(F.when(F.col(user).isNotNull() & F.col("_day").isNotNull(), n) == 1, F.lit(False)))
+    out = out.withColumn("_rest", F.when(~F.col("_first"), F.coalesce(F.col("_day").cast("string"), F.lit(""))))  # null: the first rows of days
+    out = out.repartition(partitions, "_own", "_rest") if partitions else out
+    ever = F.min("_day").over(Window.partitionBy("_own", "_rest")) == F.col("_day")
+    return out.withColumns({unique: F.col("_first").cast("long"), new: (F.col("_first") & ever).cast("long")}).drop("_own", "_day", "_first", "_rest")

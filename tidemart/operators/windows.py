@@ -113,16 +113,25 @@ def payment(flagged: DataFrame, width: str = WIDTH, late: str = ON_TIME) -> Data
     return summarize(flagged, width, [], *_sums("payment_suc_unique_user_count", "payment_new_user_count"), late=late)
 
 
-def trade_order(flagged: DataFrame, width: str = WIDTH, late: str = ON_TIME) -> DataFrame:
-    """Amounts that are no numbers count as none."""
+def _trade_amounts() -> dict[str, Column]:
+    """What ``trade_order`` sums up, from a detail's texts; amounts that are no numbers count as none."""
     money = lambda c: F.coalesce(F.col(c).try_cast("decimal(18,4)"), F.lit(0))
-    origin = F.col("order_price").try_cast("decimal(18,2)") * F.col("sku_num").try_cast("decimal(12,2)")
+    return {
+        "order_activity_reduce_amount": money("split_activity_amount"), "order_coupon_reduce_amount": money("split_coupon_amount"),
+        "order_origin_total_amount": F.col("order_price").try_cast("decimal(18,2)") * F.col("sku_num").try_cast("decimal(12,2)"),
+    }
+
+
+def trade_orders(details: DataFrame) -> DataFrame:
+    """Details of a batch as one row for each user, time and order, with the smallest ``id``: flags and ``trade_order`` come out the same."""
+    return details.groupBy("order_id", "user_id", "rt").agg(F.min("id").alias("id"), *(F.sum(c).alias(name) for name, c in _trade_amounts().items()))
+
+
+def trade_order(flagged: DataFrame, width: str = WIDTH, late: str = ON_TIME) -> DataFrame:
+    """From flagged details, or flagged rows of ``trade_orders``."""
+    amounts = {name: F.col(name) if name in flagged.columns else c for name, c in _trade_amounts().items()}
     return summarize(
-        flagged, width, [], *_sums("order_unique_user_count", "order_new_user_count"),
-        F.sum(money("split_activity_amount")).cast(_MONEY).alias("order_activity_reduce_amount"),
-        F.sum(money("split_coupon_amount")).cast(_MONEY).alias("order_coupon_reduce_amount"),
-        F.sum(origin).cast(_MONEY).alias("order_origin_total_amount"),
-        late=late,
+        flagged, width, [], *_sums("order_unique_user_count", "order_new_user_count"), *(F.sum(c).cast(_MONEY).alias(name) for name, c in amounts.items()), late=late,
     )
 
 

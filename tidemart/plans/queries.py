@@ -272,9 +272,12 @@ def _by_time() -> list[str | Column]:
 
 
 def _details(spark: SparkSession, d: str, last: bool) -> DataFrame:
-    """Order details once per id: the first or the last by change time. The jobs on them use neither activities nor coupons."""
+    """Order details once per id: the first or the last by change time. The jobs on them use neither activities nor coupons.
+
+    A detail's id is of one order, so repeats lie where their order's rows are.
+    """
     rows = facts.order_detail(_wide(spark, d, extras=False))
-    rows = keyed.latest(rows, ["id"], _by_time()) if last else keyed.first(rows, ["id"], _by_time())
+    rows = (keyed.latest if last else keyed.first)(rows, ["order_id", "id"], _by_time())
     return rows.withColumn("rt", parse(F.col("create_time")))
 
 
@@ -339,13 +342,14 @@ def _cart_firsts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _payments(spark: SparkSession, d: str) -> DataFrame:
-    rows = keyed.latest(_paid(spark, d).where("order_detail_id IS NOT NULL"), ["order_detail_id"], _by_time())
+    rows = keyed.latest(_paid(spark, d).where("order_detail_id IS NOT NULL"), ["order_id", "order_detail_id"], _by_time())
     rows = rows.withColumn("rt", parse(F.col("callback_time"))).withColumn("day", date_part(F.col("callback_time")))
-    return keyed.unique_and_new(rows, "user_id", "rt", ["order_detail_id"], "payment_suc_unique_user_count", "payment_new_user_count")
+    return keyed.unique_and_new(rows, "user_id", "rt", ["order_detail_id"], "payment_suc_unique_user_count", "payment_new_user_count", X.partitions(spark, d, "lineitem"))
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
-    return keyed.unique_and_new(_details(spark, d, False), "user_id", "rt", ["id"], "order_unique_user_count", "order_new_user_count")
+    rows = windows.trade_orders(_details(spark, d, False))
+    return keyed.unique_and_new(rows, "user_id", "rt", ["id"], "order_unique_user_count", "order_new_user_count", X.partitions(spark, d, "orders"))
 
 
 def _sku_orders(spark: SparkSession, d: str) -> DataFrame:
