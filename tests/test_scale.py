@@ -33,7 +33,7 @@ def moves(df):
     return [re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(df))]
 
 
-@pytest.mark.parametrize("name", ["dwd_order_pre_process", "dedup_first", "dedup_latest"])
+@pytest.mark.parametrize("name", ["dwd_order_pre_process", "dwd_order_detail", "dedup_first", "dedup_latest"])
 def test_details_stay_with_their_order(large, name):
     keys = {tuple(k.split(", ")[:-1]) for k in moves(QUERIES[name](large, DATA))}
     assert keys - {("o_custkey",), ("c_custkey",)} == {("order_id",), ("o_id",)}
