@@ -46,6 +46,14 @@ def test_trade_orders_move_as_orders_and_are_made_once(large):
     assert not any(k.startswith(("id,", "user_id,")) for k in moves(df))
 
 
+def test_user_spu_orders_move_once_to_their_group(large, monkeypatch):
+    monkeypatch.setattr(X, "ROWS_A_TASK", 1000)
+    got = QUERIES["dws_user_spu_order_window"](large, DATA)
+    assert [k for k in moves(got) if "user_id" in k] == ["user_id, spu_id, trademark_id, category3_id, 6"]
+    monkeypatch.undo()
+    assert sorted(got.collect()) == sorted(QUERIES["dws_user_spu_order_window"](large, DATA).collect())
+
+
 def test_activities_and_coupons_attached_inside_the_order(spark):
     pick = random.Random(5)
     rows = []

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def enrich_sku(rows: DataFrame, sku: DataFrame) -> DataFrame:
-    """Rows with the spu, trademark and category of their sku; rows of an unknown sku go. Spark picks the join by the table's size."""
+def enrich_sku(rows: DataFrame, sku: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows with the spu, trademark and category of their sku; rows of an unknown sku go. Spark picks the join by the table's size.
+
+    ``partitions`` are those of a join with more skus than can be broadcast.
+    """
+    rows = rows.repartition(partitions, "sku_id") if partitions else rows
     return rows.join(sku.select(F.col("id").alias("sku_id"), "spu_id", F.col("tm_id").alias("trademark_id"), "category3_id"), "sku_id")
 
 

@@ -353,7 +353,10 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sku_orders(spark: SparkSession, d: str) -> DataFrame:
-    return D.enrich_sku(_details(spark, d, False), X.dims(spark, d)["sku"])
+    """First details with their sku's dimensions; many are brought to their group at once, since there are about as many groups as details."""
+    rows = D.enrich_sku(_details(spark, d, False), X.dims(spark, d)["sku"], X.sku_partitions(spark, d))
+    n = X.partitions(spark, d, "lineitem")
+    return rows.repartition(n, "user_id", "spu_id", "trademark_id", "category3_id") if n else rows
 
 
 def _last_orders(spark: SparkSession, d: str) -> DataFrame:
