@@ -54,6 +54,18 @@ def test_user_spu_orders_move_once_to_their_group(large, monkeypatch):
     assert sorted(got.collect()) == sorted(QUERIES["dws_user_spu_order_window"](large, DATA).collect())
 
 
+def test_tasks_grow_in_number_with_the_lines(large, monkeypatch):
+    few = QUERIES["dim_enrich_sku"](large, DATA)
+    wanted = sorted(few.collect())
+    monkeypatch.setattr(X, "ROWS_A_TASK", 1000)
+    monkeypatch.setattr(X, "BROADCAST_PARTS", 10)
+    lines = X.table(large, DATA, "lineitem").count()
+    more = QUERIES["dim_enrich_sku"](large, DATA)
+    n = -(-lines // 1000)
+    assert n > 4 and {k for k in moves(more) if k.startswith(("order_id", "sku_id"))} == {f"order_id, {n}", f"sku_id, {n}"}
+    assert sorted(more.collect()) == wanted
+
+
 def test_activities_and_coupons_attached_inside_the_order(spark):
     pick = random.Random(5)
     rows = []

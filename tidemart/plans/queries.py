@@ -294,7 +294,7 @@ def dedup_latest(spark: SparkSession, d: str) -> DataFrame:
 @query
 def dim_enrich_sku(spark: SparkSession, d: str) -> DataFrame:
     rows = C.of_database(X.order_detail(spark, d, X.RECORD).alias("data"), X.DATABASE).select(C.new("id").alias("id"), C.new("sku_id").alias("sku_id"))
-    return D.enrich_sku(rows, X.dims(spark, d)["sku"])
+    return D.enrich_sku(rows, X.dims(spark, d)["sku"], X.sku_partitions(spark, d))
 
 
 def _chain(dims: dict[str, DataFrame]) -> DataFrame:
